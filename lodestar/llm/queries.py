@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import ann, exact_dedup, langid, mixing, packing, quality, sharding
+from lodestar.llm import ann, exact_dedup, langid, mixing, ngram_join, packing, quality, sharding, warc
 from lodestar.llm.runtime import documents
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir), width=4, num=85, den=100)
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -23,6 +27,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classify(documents(spark, sf_dir), keep="largest")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, _ = warc.deduplicate(documents(spark, sf_dir, "pages"), least=0)
+    return records
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
@@ -40,9 +49,11 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_mix": op2_mix,
     "op3_shards": op3_shards,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_warc": op5_warc,
     "op7_quality": op7_quality,
     "op8_pack": op8_pack,
     "op9_langid": op9_langid,

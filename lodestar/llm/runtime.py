@@ -89,5 +89,11 @@ def drop(*frames: DataFrame) -> None:
         _made.pop(path, None)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path from ``table_path``."""
+    _delete(spark, path)
+    _made.pop(path, None)
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
