@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -11,14 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.runtime import cut, tune
-from lodestar.llm.textkernels import Words, chunks
+from lodestar.llm.textkernels import FOLD, Words, chunks
 
 WINDOW = 4096
 END_ID = 2
 #: Rows of one length are numbered in so many independent parts.
 PARTS = 256
 #: Words whose ids a worker keeps; beyond it the memory is emptied.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 2_000_000
 
 
 def default_tokenizer() -> str:
@@ -30,59 +31,133 @@ def default_tokenizer() -> str:
 class WordIds:
     """Ids of texts by way of their words.
 
-    The tokenizer never joins anything across ASCII white space, so a text's ids
-    are those of its words in turn. Each distinct word is encoded once a worker.
+    The tokenizer never joins anything across ASCII white space, and within a
+    word of plain letters, digits and punctuation it splits at every change
+    between letters and others and after each digit. So such words are cut there
+    and other words are kept whole, letters are folded as the tokenizer does,
+    and each distinct unit is encoded once a worker; a text's ids are those of
+    its units in turn.
     """
 
     def __init__(self, spec: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        size = self.tokenizer.get_vocab_size()
+        self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)], dtype=bool)
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.begin = np.zeros(1024, dtype=np.int64)
-        self.count = np.zeros(1024, dtype=np.int64)
-        self.pool = np.zeros(8192, dtype="<u4")
-        self.filled = 0
-
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        n, m = len(self.place), len(found)
-        counts = np.fromiter(map(len, found), dtype=np.int64, count=m)
-        ids = np.fromiter((i for x in found for i in x), dtype="<u4", count=int(counts.sum()))
-        while len(self.begin) < n + m:
-            self.begin, self.count = np.concatenate((self.begin, self.begin)), np.concatenate((self.count, self.count))
-        while len(self.pool) < self.filled + len(ids):
-            self.pool = np.concatenate((self.pool, self.pool))
-        self.begin[n : n + m] = self.filled + np.cumsum(counts) - counts
-        self.count[n : n + m] = counts
-        self.pool[self.filled : self.filled + len(ids)] = ids
-        self.filled += len(ids)
-        self.place.update(zip(hashes, range(n, n + m), strict=True))
+        self.keys = np.zeros(0, dtype=np.uint64)  # sorted
+        self.begin = np.zeros(0, dtype=np.int64)
+        self.count = np.zeros(0, dtype=np.int64)
+        self.pool = np.zeros(0, dtype="<u4")
+
+    def _encode_units(self, units: list[str], simple: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the units in turn, number of ids of each). Simple units end with a closing id, so they go as one text."""
+        parts, counts = [], np.zeros(len(units), dtype=np.int64)
+        order = np.concatenate((np.flatnonzero(simple), np.flatnonzero(~simple)))
+        many = int(simple.sum())
+        for at in range(0, many, 4096):
+            to = min(many, at + 4096)
+            ids = np.array(self.tokenizer.encode(" ".join(units[i] for i in order[at:to]), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != to - at:
+                raise ValueError("the tokenizer does not close every unit")
+            counts[order[at:to]] = np.diff(ends, prepend=0)
+            parts.append(ids)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([units[i] for i in order[many:]], add_special_tokens=False)]
+        counts[order[many:]] = [len(x) for x in found]
+        parts += [np.array(x, dtype="<u4") for x in found]
+        ids = np.concatenate(parts) if parts else np.zeros(0, dtype="<u4")
+        # back to the order of the units
+        begin = np.zeros(len(units), dtype=np.int64)
+        begin[order] = np.cumsum(counts[order]) - counts[order]
+        take = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(len(ids))
+        return ids[take], counts
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, number of ids of each text)."""
         words = Words(data, offsets, fold=False)
         if not len(words):
             return np.zeros(0, dtype="<u4"), np.zeros(words.rows, dtype=np.int64)
-        if len(self.place) > KNOWN_WORDS:
+        folded, simple_word = units_of(words)
+        hashes = words.hashes(folded)
+        unique, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.keys) > KNOWN_WORDS:
             self.clear()
-        unique, where, inverse = np.unique(words.hashes(data), return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.place]
-        if new:
-            raw = data.tobytes()
-            self._learn([keys[i] for i in new], [raw[words.start[where[i]] : words.end[where[i]]].decode("utf-8", "replace") for i in new])
-        at = np.fromiter((self.place[h] for h in keys), dtype=np.int64, count=len(keys))[inverse]
+        at = np.searchsorted(self.keys, unique)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == unique[known]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = folded.tobytes()
+            spots = where[new]
+            ids, counts = self._encode_units([raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[spots].tolist(), words.end[spots].tolist(), strict=True)], simple_word[spots])
+            begin = len(self.pool) + np.cumsum(counts) - counts
+            self.pool = np.concatenate((self.pool, ids))
+            self.keys = np.insert(self.keys, at[new], unique[new])
+            self.begin, self.count = np.insert(self.begin, at[new], begin), np.insert(self.count, at[new], counts)
+            at = np.searchsorted(self.keys, unique)
+        at = at[inverse]
         count = self.count[at]
         ends = np.cumsum(count)
-        take = np.repeat(self.begin[at] - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)
-        per_row = np.bincount(words.row, weights=count, minlength=words.rows).astype(np.int64)
+        take = np.repeat(self.begin[at] - (ends - count), count) + np.arange(int(ends[-1]))
+        before = np.concatenate(([0], ends))
+        per_row = np.diff(before[np.searchsorted(words.start, offsets)])
         return self.pool[take], per_row
 
 
+#: Classes of bytes: 1 letters, 2 digits, 3 other printable ASCII, 0 all else.
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[33:127] = 3
+_KIND[ord("0") : ord("9") + 1] = 2
+_KIND[ord("A") : ord("Z") + 1] = 1
+_KIND[ord("a") : ord("z") + 1] = 1
+
+
+def units_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts the words of ``words``, in place, into units; (folded bytes, which units are simple).
+
+    Letters are ASCII letters and the two-byte letters U+00C0 to U+00FF. A word
+    with an apostrophe, a ``<|`` or any other byte is one unit, as it is.
+    """
+    data, n = words.data, len(words.data)
+    kind = _KIND[data]
+    lead = np.zeros(n + 1, dtype=bool)
+    lead[:-1] = data == 0xC3
+    after = np.zeros(n, dtype=bool)
+    after[1:] = lead[: n - 1]
+    letter2 = after & (data != 0x97) & (data != 0xB7) & (data >= 0x80)
+    kind[letter2] = 1
+    kind[np.flatnonzero(letter2) - 1] = 1
+    odd = (kind == 0) | (data == 0x27)
+    bar = data == 0x7C
+    odd[1:] |= bar[1:] & (data[:-1] == 0x3C)
+    sums = np.concatenate(([0], np.cumsum(odd)))
+    simple = sums[words.end] == sums[words.start]
+    low = FOLD[data]
+    upper2 = letter2 & (data < 0x9F)
+    low[upper2] += 0x20
+    inside = np.zeros(n + 1, dtype=np.int8)  # bytes of simple words
+    inside[words.start[simple]] += 1
+    inside[words.end[simple]] -= 1
+    inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
+    keep = np.where(inside, low, data)
+    cut = np.zeros(n + 1, dtype=bool)
+    cut[1:n] = inside[1:] & inside[:-1] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+    cut[words.start] = False
+    extra = np.flatnonzero(cut)
+    starts = np.concatenate((words.start, extra))
+    order = np.argsort(starts, kind="stable")
+    starts = starts[order]
+    owner = np.searchsorted(words.start, starts, side="right") - 1
+    ends = np.minimum(np.append(starts[1:], n), words.end[owner])
+    words.start, words.end, words.row = starts, ends, words.row[owner]
+    return keep, simple[owner]
+
+
 _workers: dict[int, WordIds] = {}
 
 
@@ -94,7 +169,7 @@ def _pieces(spec, window: int, end_id: int):
         coder = _workers[key]
         for batch in batches:
             rows, starts, lengths, crcs, totals = [], [], [], [], []
-            for at, data, offsets in chunks(batch.column(1), 1 << 21):
+            for at, data, offsets in chunks(batch.column(1)):
                 ids, per_row = coder.encode(data, offsets)
                 to = 0
                 for k, n in enumerate(per_row.tolist()):
