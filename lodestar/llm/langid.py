@@ -205,3 +205,23 @@ def identify(docs: DataFrame, train_on: DataFrame | None = None, id_col: str = "
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(id_col, text_col).mapInArrow(predictor(names, model), f"id {kind}, held_out boolean, lang_pred string, score double, n_languages int")
     return out.withColumnRenamed("id", id_col)
+
+
+def keep_identified(docs: DataFrame, least_share: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, with all columns, whose language is found.
+
+    Rows go that are ``und`` (no text, no letter) or in which no language has
+    ``least_share`` of the words. No row moves between tasks.
+    """
+    spark = docs.sparkSession
+    names, table = train(docs, id_col, text_col, lang_col)
+    model = spark.sparkContext.broadcast(table)  # CELLS * 4 bytes a language
+    predict, at = predictor(names, model), (docs.columns.index(id_col), docs.columns.index(text_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = next(predict(iter([pa.RecordBatch.from_arrays([batch.column(i) for i in at], ["id", "text"])])))
+            ok = np.array(found.column(2).to_pylist(), dtype=object) != UNKNOWN
+            yield batch.filter(pa.array(ok & (found.column(3).to_numpy() >= least_share), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -98,3 +98,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     out = whole.unionByName(last).withColumn("times", F.col("epochs") + F.col("extra"))
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+
+
+def apply(docs: DataFrame, **options) -> DataFrame:
+    """The mixed rows: each row of ``docs`` as many times as ``mix`` takes it, with all columns.
+
+    Rows that share an id are taken alike, as often as the most taken of them.
+    """
+    id_col = options.get("id_col", "doc_id")
+    taken = mix(docs, **options).where("taken > 0").groupBy(F.col(id_col).alias("__id")).agg(F.max("times").cast("int").alias("__times"))
+    rows = docs.join(taken, F.col(id_col).eqNullSafe(F.col("__id")))
+    return rows.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import ann, exact_dedup, langid, mixing, ngram_join, packing, quality, sharding, warc
+from lodestar.llm import ann, exact_dedup, langid, lm, mixing, ngram_join, packing, quality, sharding, warc
 from lodestar.llm.runtime import documents
 
 
@@ -32,6 +32,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_shards": op3_shards,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_warc": op5_warc,
+    "op6_lm": op6_lm,
     "op7_quality": op7_quality,
     "op8_pack": op8_pack,
     "op9_langid": op9_langid,
