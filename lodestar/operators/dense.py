@@ -49,14 +49,14 @@ def exact_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                 ids = np.concatenate((ids, np.broadcast_to(own, (len(qid), len(own)))), axis=1)
                 best = np.concatenate((best, q @ v.T), axis=1)
                 if best.shape[1] > k:
-                    order = np.lexsort((ids, -np.round(best, 12)), axis=1)[:, :k]
+                    order = np.lexsort((ids, -np.round(best, 9)), axis=1)[:, :k]
                     ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
             n = best.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)), pa.array(ids.ravel()), pa.array(best.ravel())], ["qid", "chunk_id", "score"])
 
         some = vectors.select(F.col("chunk_id").cast("long").alias("chunk_id"), "v").mapInArrow(run, "qid long, chunk_id long, score double")
         found = some if found is None else found.unionByName(some)
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "chunk_id"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "chunk_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
@@ -83,7 +83,7 @@ def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int, planes: int = 8, ta
     a = queries.select("qid", "q", F.explode(buckets(F.col("q"))).alias("key"))
     b = vectors.select("chunk_id", "v", F.explode(buckets(F.col("v"))).alias("key"))
     met = a.join(b, "key").dropDuplicates(["qid", "chunk_id"]).select("qid", "chunk_id", dot(F.col("q"), F.col("v")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "chunk_id"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "chunk_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k)
 
 

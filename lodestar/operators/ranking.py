@@ -14,11 +14,13 @@ from lodestar.plans.lineage import cut
 #: Share of the dense score in hybrid scores, and of the graph score in fused ones.
 DENSE_WEIGHT, GRAPH_WEIGHT = 0.9, 0.5
 KEYS = ["qid", "chunk_id"]
+#: Digits that scores are compared at: sums in another order agree to these.
+PLACES = 9
 
 
 def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("qid",)) -> DataFrame:
     """Adds ``rank``: scores descending, ties to the smaller chunk id; the first ``k``."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.round("score", 12)), "chunk_id"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.round("score", PLACES)), "chunk_id"))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 

@@ -24,12 +24,25 @@ def contingency(outcomes: DataFrame, a: str, b: str, *by: str) -> DataFrame:
     ).withColumn("discordant", F.col("a_only") + F.col("b_only"))
 
 
+def _log_factorial(n: Column) -> Column:
+    """ln n! by Stirling's series, good to 1e-13 for n of 100 and more."""
+    x = n.cast("double") + 1
+    return (x - 0.5) * F.log(x) - x + F.lit(0.9189385332046727) + 1 / (12 * x) - 1 / (360 * x * x * x)
+
+
 def binom_half(k: Column, n: Column) -> Column:
-    """Exact two-sided p of k of n at one half; 1 for n = 0. For n below 1,000."""
+    """Exact two-sided p of k of n at one half; 1 for n = 0.
+
+    Terms are summed by their ratios, from the first for n below 1,000 and from
+    the largest beyond, where the first would underflow.
+    """
     m = F.least(k, n - k).cast("int")
-    start = F.struct(F.pow(F.lit(2.0), -n.cast("double")).alias("c"), F.lit(0.0).alias("s"))
     step = lambda a, i: F.struct((a.c * (n - i) / (i + 1)).alias("c"), (a.s + a.c).alias("s"))
-    tail = F.aggregate(F.sequence(F.lit(0), m), start, step, lambda a: a.s)
+    up = F.aggregate(F.sequence(F.lit(0), m), F.struct(F.pow(F.lit(2.0), -n.cast("double")).alias("c"), F.lit(0.0).alias("s")), step, lambda a: a.s)
+    back = lambda a, i: F.struct((a.c * i / (n - i + 1)).alias("c"), (a.s + a.c).alias("s"))
+    log_top = _log_factorial(n) - F.when(m >= 100, _log_factorial(m)).otherwise(F.aggregate(F.sequence(F.lit(0), m), F.lit(0.0), lambda s, i: s + F.when(i > 0, F.log(i.cast("double"))).otherwise(F.lit(0.0)))) - _log_factorial(n - m) - n * F.log(F.lit(2.0))
+    down = F.exp(log_top) * F.aggregate(F.sequence(m, F.lit(0)), F.struct(F.lit(1.0).alias("c"), F.lit(0.0).alias("s")), back, lambda a: a.s)
+    tail = F.when(n < 1000, up).otherwise(down)
     return F.when((k < 0) | (k > n), F.raise_error(F.lit("k must be in 0..n")).cast("double")).when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
