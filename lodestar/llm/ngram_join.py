@@ -23,18 +23,12 @@ RANGES = 32
 
 def _tally(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, waiting, held = np.zeros(1 << CELL_BITS, dtype=np.uint32), [], 0
+        total = np.zeros(1 << CELL_BITS, dtype=np.uint32)
         for batch in batches:
             for _, data, offsets in chunks(batch.column(0)):
                 words = Words(data, offsets)
                 _, h = windows(words.hashes(), words.row, words.rows, width)
-                waiting.append((h >> np.uint64(64 - CELL_BITS)).astype(np.int64))
-                held += len(h)
-                if held > 2_000_000:
-                    total += np.bincount(np.concatenate(waiting), minlength=1 << CELL_BITS).astype(np.uint32)
-                    waiting, held = [], 0
-        if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=1 << CELL_BITS).astype(np.uint32)
+                np.add.at(total, h >> np.uint64(64 - CELL_BITS), np.uint32(1))
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["counts"])
 
     return run

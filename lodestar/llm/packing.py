@@ -19,7 +19,7 @@ END_ID = 2
 #: Rows of one length are numbered in so many independent parts.
 PARTS = 256
 #: Words whose ids a worker keeps; beyond it the memory is emptied.
-KNOWN_WORDS = 2_000_000
+KNOWN_WORDS = 600_000
 
 
 def default_tokenizer() -> str:

@@ -8,11 +8,31 @@ byte values, so no Python object is made per word. Words are runs of
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+
+
+def _steady_memory() -> None:
+    """Large arrays go back to the system when they are freed.
+
+    A Python worker lives through many tasks of many operators; without this the
+    allocator keeps the largest of each for good.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 22)  # M_TRIM_THRESHOLD
+    except OSError:
+        pass  # another C library has its own ways
+
+
+_steady_memory()
+
 #: Bytes of text handled at once; bounds memory at about 40 times as much.
 CHUNK_BYTES = 1 << 20
 
