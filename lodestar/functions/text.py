@@ -18,6 +18,11 @@ NUMBER = r"[0-9][0-9,]*[0-9]|[0-9]"
 SENTENCE_BREAKS = "\n.。!?;:·▪◦□■○●◇◆-–—|"
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.btrim(text, F.lit(" \t\n\r\f\x0b\u00a0\u3000"))
+
+
 def tokens(text: Column) -> Column:
     """Retrieval tokens in order, with repeats."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(RETRIEVAL_TOKEN), F.lit(0))
@@ -34,11 +39,11 @@ def without_space(text: Column) -> Column:
 def clean(text: Column) -> Column:
     """CR to LF, runs of blanks to one space, lines trimmed, empty lines dropped."""
     spaced = F.regexp_replace(F.replace(text, F.lit("\r"), F.lit("\n")), "[ \\t\u00a0]+", " ")
-    return F.array_join(F.filter(F.transform(F.split(spaced, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(F.split(spaced, "\n"), lambda x: strip(x)), lambda x: x != ""), "\n")
 
 
 def file_stem(name: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_extract(name, "([^/]*)$", 1), r"(?<=.)\.[^.]*$", ""))
+    return strip(F.regexp_replace(F.regexp_extract(name, "([^/]*)$", 1), r"(?<=.)\.[^.]*$", ""))
 
 
 def parse_filename(name: Column) -> Column:
@@ -47,8 +52,8 @@ def parse_filename(name: Column) -> Column:
     agency, project = F.regexp_extract(stem, "^([^_]+)_(.+)$", 1), F.regexp_extract(stem, "^([^_]+)_(.+)$", 2)
     fits = stem.rlike("^[^_]+_.+$")
     return F.struct(
-        F.when(fits, F.trim(agency)).otherwise(F.lit("")).alias("agency"),
-        F.when(fits, F.trim(F.regexp_replace(project, r"\s+", " "))).otherwise(stem).alias("project"),
+        F.when(fits, strip(agency)).otherwise(F.lit("")).alias("agency"),
+        F.when(fits, strip(F.regexp_replace(project, r"\s+", " "))).otherwise(stem).alias("project"),
     )
 
 
@@ -96,7 +101,7 @@ def normalize_amounts(text: pd.Series) -> pd.Series:
 def window_around(text: Column, start: Column, end: Column, pad: int = 40) -> Column:
     """Text from ``pad`` before ``start`` to ``pad`` after ``end`` (0-based, end exclusive), on one line."""
     low = F.greatest(F.lit(0), start - pad)
-    return F.trim(F.translate(F.substring(text, low + 1, end + pad - low), "\n", " "))
+    return strip(F.translate(F.substring(text, low + 1, end + pad - low), "\n", " "))
 
 
 def sentence_around(text: Column, start: Column, end: Column, pad: int = 45) -> Column:
@@ -105,7 +110,7 @@ def sentence_around(text: Column, start: Column, end: Column, pad: int = 45) ->
     low = F.greatest(F.lit(0), start - pad)
     left = F.regexp_extract(F.substring(text, low + 1, start - low), f"[^{breaks}]*\\z", 0)
     right = F.regexp_extract(F.substring(text, end + 1, F.lit(pad)), f"^[^{breaks}]*", 0)
-    return F.trim(F.concat(left, F.substring(text, start + 1, end - start), right))
+    return strip(F.concat(left, F.substring(text, start + 1, end - start), right))
 
 
 def first_match(text: Column, patterns: Iterable[str], pad: int = 40) -> Column:
@@ -114,7 +119,7 @@ def first_match(text: Column, patterns: Iterable[str], pad: int = 40) -> Column:
     for p in patterns:
         at = F.regexp_instr(text, F.lit(p)) - 1
         value = F.regexp_extract(text, p, 0)
-        found.append(F.when(at >= 0, F.struct(F.trim(value).alias("value"), window_around(text, at, at + F.length(value), pad).alias("evidence"))))
+        found.append(F.when(at >= 0, F.struct(strip(value).alias("value"), window_around(text, at, at + F.length(value), pad).alias("evidence"))))
     return F.coalesce(*found)
 
 

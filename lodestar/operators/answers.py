@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions.text import strip
+
 #: Texts of rule-based answers.
 NOTHING_FOUND = "관련 문서를 찾을 수 없습니다."
 ANSWER_FORM = "[%s / 페이지 %d] 관련 내용:\n\n%s\n\n(※ Ollama 미연결 — Rule-based 폴백)"
@@ -29,12 +31,12 @@ def rule_answers(queries: DataFrame, ranked: DataFrame, most: int = 600) -> Data
 
 def split_claims(answer: Column) -> Column:
     """Statements between full stops, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(answer, F.lit("")), "[.。]"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(answer, F.lit("")), "[.。]"), lambda x: strip(x)), lambda x: x != "")
 
 
 def stub_supported(statement: Column, contexts: Column) -> Column:
     """The deterministic judge: the statement's first word occurs in the contexts."""
-    return F.array_join(contexts, "\n").contains(F.split(F.trim(statement), r"\s+")[0])
+    return F.array_join(contexts, "\n").contains(F.split(strip(statement), r"\s+")[0])
 
 
 def stub_faithfulness(rows: DataFrame) -> DataFrame:
