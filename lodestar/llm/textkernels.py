@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 
 
-
 def _steady_memory() -> None:
     """Large arrays go back to the system when they are freed.
 
@@ -35,6 +34,8 @@ _steady_memory()
 
 #: Bytes of text handled at once; bounds memory at about 40 times as much.
 CHUNK_BYTES = 1 << 20
+#: Texts handled at once.
+CHUNK_ROWS = 1000
 
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -101,7 +102,7 @@ class Words:
 
 
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of slices of at most ``limit`` bytes, or of one row. Null is empty."""
+    """(first row, bytes, offsets) of slices of at most ``limit`` bytes and ``CHUNK_ROWS`` rows, or of one row. Null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
@@ -117,7 +118,7 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.
     at = 0
     while at < n:
         to = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
-        to = min(n, max(to, at + 1))
+        to = min(n, at + CHUNK_ROWS, max(to, at + 1))
         yield at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 
