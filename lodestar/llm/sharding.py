@@ -20,7 +20,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", te
     each shard.
 
     A large group is never gathered: its rows are counted and numbered in
-    ``PARTS`` parts by a hash of the id. A null text is its own group, of
+    ``PARTS`` parts by a hash of the id. A null text equals an empty one, of
     ``overhead`` bytes a row and CRC 0; null ids count as an id. Repeated rows
     get slots of their own. An empty table gives an empty result. With fewer
     groups than shards some shards are empty.
@@ -30,7 +30,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", te
         F.col(id_col).alias("id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(overhead)).alias("size"),
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("crc"),
-        F.coalesce(F.md5(text), F.lit("")).alias("g"),
+        F.md5(F.coalesce(text, F.lit(""))).alias("g"),
     ).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"))
     parts = rows.groupBy("g", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     groups = parts.groupBy("g").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).withColumn("range", F.substring("g", 1, 3))
@@ -48,7 +48,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", te
     placed = (
         groups.withColumn("gn", F.coalesce(F.sum("n").over(inside), F.lit(0)))
         .withColumn("gb", F.coalesce(F.sum("bytes").over(inside), F.lit(0)))
-        .join(F.broadcast(ranges), "range")  # at most 4,097 rows: three hex digits, or none for null
+        .join(F.broadcast(ranges), "range")  # at most 4,096 rows: three hex digits
         .select(
             "g", (F.col("n0") + F.col("gn")).alias("first"),
             F.least(F.lit(shards - 1), F.floor((F.col("b0") + F.col("gb") + F.col("bytes") / 2) * shards / F.col("total"))).cast("int").alias("shard"),
