@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.runtime import cut, tune
+from lodestar.llm.runtime import cut, take_by_hash, tune
 
 #: Centroids of each half; the index has CENTROIDS**2 cells.
 CENTROIDS = 64
@@ -130,7 +130,8 @@ def _meet(dim: int, k: int, half_cells: int):
                 s = q @ v.T
                 s[m[:, cell] == 0] = -np.inf
                 s[qid[at : at + 256, None] == vid[None, :]] = -np.inf
-                edge = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)] - 1e-9
+                edge = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
+                edge -= 1e-9 * np.maximum(1.0, np.where(np.isfinite(edge), np.abs(edge), 0.0))
                 i, j = np.nonzero((s >= edge[:, None]) & np.isfinite(s))
                 exact = exact_products(q32[at + i], v32[j])
                 order = np.lexsort((vid[j], -exact, i))
@@ -180,7 +181,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         return spark.createDataFrame([], empty)
     dim, total = dims[0]["dim"], dims[0]["n"]
     rows = rows.where(F.size(v) == dim)
-    fitted = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(MAX_FITTED).toArrow()
+    fitted = take_by_hash(rows.select("id", "v"), "id", MAX_FITTED).toArrow()
     x = matrix(fitted["v"], dim).astype(np.float64)
     half = max(1, dim // 2)
     centres = [kmeans(x[:, :half], centroids), kmeans(x[:, half:], centroids)] if dim > 1 else [kmeans(x, centroids), np.zeros((1, 0))]

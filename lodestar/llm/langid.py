@@ -14,9 +14,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from lodestar.llm.runtime import tune
+from lodestar.llm.runtime import tree_sum, tune
 from lodestar.llm.textkernels import Words, chunks, crc_remainder
 
 #: Cells of the trigram table: fixed, so a model takes CELLS * 4 bytes a language.
@@ -78,15 +77,13 @@ def _add(pdf: pd.DataFrame) -> pd.DataFrame:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities [CELLS, languages]) of all training rows.
 
-    Each task counts into one table a language; tables are added in groups of
-    tasks and then over groups. What comes to the driver is one table of
+    Each task counts into one table a language; tables are added in a tree. What
+    comes to the driver is one table of
     ``CELLS`` numbers a language.
     """
     tune(docs.sparkSession)
     parts = docs.select(id_col, text_col, lang_col).mapInArrow(_count, "lang string, counts binary")
-    some = parts.withColumn("lot", F.pmod(F.spark_partition_id(), F.lit(64)))
-    some = some.groupBy("lang", "lot").applyInPandas(_add, "lang string, counts binary")
-    rows = some.groupBy("lang").applyInPandas(_add, "lang string, counts binary").collect()
+    rows = tree_sum(parts, _add, "lang string, counts binary", "lang").collect()
     rows = sorted(rows, key=lambda r: r["lang"])
     names = [r["lang"] for r in rows]
     table = np.zeros((CELLS, len(names)), dtype=np.float32)

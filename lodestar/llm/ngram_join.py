@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.runtime import cut, drop, tune
+from lodestar.llm.runtime import cut, drop, tree_sum, tune
 from lodestar.llm.textkernels import Words, chunks, windows
 
 #: Cells of the table that orders shingles by how often they occur: a fixed size, 2 bytes each when broadcast.
@@ -46,11 +46,10 @@ def frequency_order(texts: DataFrame, width: int) -> np.ndarray:
 
     Any order that all texts share is right for prefix filtering; this one puts
     rare shingles first. Tasks count into a table of fixed size, and tables are
-    added in lots before the last sum.
+    added in a tree.
     """
     parts = texts.mapInArrow(_tally(width), "counts binary")
-    lots = parts.withColumn("lot", F.pmod(F.spark_partition_id(), F.lit(32))).groupBy("lot").applyInPandas(_sum, "counts binary")
-    rows = lots.withColumn("lot", F.lit(0)).groupBy("lot").applyInPandas(_sum, "counts binary").collect()
+    rows = tree_sum(parts, _sum, "counts binary").collect()
     total = np.frombuffer(zlib.decompress(rows[0]["counts"]), dtype=np.uint32) if rows else np.zeros(1 << CELL_BITS, dtype=np.uint32)
     return np.minimum(np.log2(total + 1.0) * 512, (1 << 14) - 1).astype(np.uint16)
 

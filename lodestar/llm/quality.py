@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.runtime import tune
+from lodestar.llm.runtime import take_by_hash, tune
 from lodestar.llm.textkernels import Words, chunks, crc_remainder, mix
 
 #: Weights of the model: fixed, so it takes BUCKETS * 4 bytes.
@@ -127,11 +127,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     """
     spark = docs.sparkSession
     tune(spark)
-    sample = (
+    marked = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(FOLDS)) != HELD))
         .groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("int").alias("__label"))
-        .orderBy(F.xxhash64("__id"), "__id").limit(MAX_LABELLED)
     )
+    sample = take_by_hash(marked, "__id", MAX_LABELLED)
     rows = docs.join(F.broadcast(sample), docs[id_col] == sample["__id"]).select(id_col, text_col, "__label")
     kind = docs.schema[id_col].dataType.simpleString()
     made = rows.mapInArrow(_examples, f"id {kind}, label int, at binary, share binary")

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch handed to a Python worker. Texts can be long, so a
 #: batch stays small; kernels split it further by bytes.
@@ -95,5 +96,42 @@ def remove(spark: SparkSession, path: str) -> None:
     _made.pop(path, None)
 
 
+def tree_sum(parts: DataFrame, add, schema: str, *keys: str, fan: int = 32) -> DataFrame:
+    """Adds the tables that tasks have made, ``fan`` at a time, until one is left (of each ``keys``).
+
+    ``add`` takes a pandas frame of some rows of one key and returns one row.
+    However many tasks there are, no task holds more than ``fan`` tables.
+    """
+    n = parts.rdd.getNumPartitions()
+    out = parts.withColumn("lot", F.spark_partition_id())
+
+    def level(pdf):
+        lot = pdf["lot"].iloc[0]
+        one = add(pdf)
+        one["lot"] = lot
+        return one
+
+    while True:
+        n = -(-n // fan)
+        out = out.withColumn("lot", F.floor(F.col("lot") / fan).cast("int")).groupBy(*keys, "lot").applyInPandas(level, f"{schema}, lot int")
+        if n <= 1:
+            return out.drop("lot")
+
+
+def take_by_hash(rows: DataFrame, id_col: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those of the smallest hashes of their id: the same at every run.
+
+    Rows are thinned by their hash before they are sorted, so however many there
+    are, about ``most`` reach the sort.
+    """
+    n = rows.count()
+    h = F.xxhash64(id_col)
+    if n > 2 * most:
+        # at least `most` pass: the bound is 16 standard deviations above it
+        share = (most + 16 * most**0.5) / n
+        rows = rows.where(F.shiftrightunsigned(h, 33) < int(share * 2**31))
+    return rows.orderBy(F.shiftrightunsigned(h, 33), h, id_col).limit(most)
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
