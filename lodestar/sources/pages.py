@@ -55,3 +55,30 @@ def html_headings(pages: DataFrame) -> DataFrame:
     """(page_id, pos, heading) of h1..h3."""
     found = F.regexp_extract_all("html", F.lit(r"(?i)<h[1-3][^>]*>([^<]*)</h[1-3]>"), F.lit(1))
     return pages.select("page_id", F.posexplode(found).alias("pos", "heading"))
+
+
+def read_files(spark, path: str, parser, pattern: str = "*.pdf") -> tuple[DataFrame, DataFrame]:
+    """Lines and tables of files, for ``page_chunks``, by an injected parser.
+
+    ``parser`` takes the bytes of a file and gives lines (page_num, line_num,
+    text, size) and tables (page_num, table_num, rows). The name of a document is
+    the stem of its file, so reading a file again gives the same ids.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            found = [parser(bytes(c)) for c in pdf["content"]]
+            yield pd.DataFrame({
+                "path": pdf["path"],
+                "lines": [[dict(zip(("page_num", "line_num", "text", "size"), x, strict=True)) for x in lines] for lines, _ in found],
+                "tables": [[dict(zip(("page_num", "table_num", "rows"), x, strict=True)) for x in tables] for _, tables in found],
+            })
+
+    line, table = "struct<page_num:int,line_num:int,text:string,size:double>", "struct<page_num:int,table_num:int,rows:array<array<string>>>"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    parsed = files.mapInPandas(run, f"path string, lines array<{line}>, tables array<{table}>")
+    named = parsed.select(F.url_decode(F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)).alias("doc_name"), "lines", "tables")
+    return named.select("doc_name", F.explode("lines").alias("l")).select("doc_name", "l.*"), named.select("doc_name", F.explode("tables").alias("t")).select("doc_name", "t.*")
