@@ -67,7 +67,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_BASE32 = """array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + ((('0x' || substr(sha1(html), 1 + 5 * (i // 4), 5))::INT >> (15 - 5 * (i % 4))) & 31), 1)), '')"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+             s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                   ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM w),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+             p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+             e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)),
+             both_ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+             r(u, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.u, b.y FROM r JOIN both_ways b ON b.x = r.v)
+        SELECT u AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(v) AS component_id FROM r LEFT JOIN n ON n.doc_id = u GROUP BY u""",
+    "op5_warc": f"""
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages), f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html)
+        SELECT page_id, strlen(p.html) AS payload_bytes, {_BASE32.replace('html', 'p.html')} AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first < page_id THEN first END AS refers_to, url AS target_uri FROM p JOIN f ON p.html = f.html""",
     "op4_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {_FOLD} AS norm FROM documents),
              g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
