@@ -375,8 +375,9 @@ def _(spark, d):
     def scorer(pairs):
         return [float(len(set(q.lower().split()) & set(t.lower().split()))) for q, t in pairs]
 
-    pairs = questions(spark, d).crossJoin(chunks_of(spark, d)).select("qid", "chunk_id", "question", "text")
-    return ranking.rerank(ranking.top_k(bm25_of(spark, d), 20), pairs, scorer, 3)
+    best = ranking.top_k(bm25_of(spark, d), 20)
+    pairs = best.select("qid", "chunk_id").join(questions(spark, d), "qid").join(chunks_of(spark, d), "chunk_id")  # texts of candidates alone
+    return ranking.rerank(best, pairs, scorer, 3)
 
 
 @query("export_by_strategy", f"""WITH {bm25_sql('okapi')}, {OVERLAP}, al AS (SELECT 'bm25' AS strategy, qid, chunk_id, score FROM bm UNION ALL SELECT 'keyword', * FROM kw), {top_sql('al', 3, 'best', 'strategy, qid')}
