@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators.stats import wilson
+from lodestar.plans.lineage import numbered
 
 CENSUS = 150
 
@@ -18,8 +19,11 @@ def plan_audit(populations: DataFrame, limit: int = CENSUS) -> DataFrame:
 
 def systematic_sample(rows: DataFrame, k: int, order: list[str | Column], *by: str) -> DataFrame:
     """Rows int(i * N / k) for i < k in the given order, of all rows or of each group; all if k >= N."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    numbered = rows.withColumn("__i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
+    if by:
+        w = Window.partitionBy(*by)
+        marked = rows.withColumn("__i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
+    else:
+        marked = numbered(rows, order, "__i").crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("__n"))))  # one row
     # row j is taken if some i has int(i * (N / k)) = j: the least i with i * (N / k) >= j, or one less by rounding
     step = F.col("__n").cast("double") / F.lit(float(k))
     guess = F.floor(F.col("__i") / step)
@@ -27,7 +31,7 @@ def systematic_sample(rows: DataFrame, k: int, order: list[str | Column], *by: s
     for d in (0, 1):
         i = guess + d
         hit = hit | ((i >= 0) & (i < k) & (F.floor(i * step) == F.col("__i")))
-    return numbered.where((F.col("__n") <= k) | hit).drop("__i", "__n")
+    return marked.where((F.col("__n") <= k) | hit).drop("__i", "__n")
 
 
 def precision(labels: DataFrame, sampled: Column, *by: str) -> DataFrame:

@@ -24,15 +24,16 @@ def exact_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
 def exact_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(qid, chunk_id, score, rank): the ``k`` best of all rows, ties to the smaller id.
 
-    Queries are read in blocks of ``QUERY_BLOCK``. Each task multiplies its Arrow
+    Queries are read in blocks of about ``QUERY_BLOCK``, one scan of the rows each. Each task multiplies its Arrow
     batches with a block and keeps its own k best, so no pair leaves a task; the
     last window sees k rows of each task and query.
     """
     spark = queries.sparkSession
-    rows = queries.select(F.col("qid").cast("long").alias("qid"), "q").orderBy("qid").toArrow()
+    rows = queries.select(F.col("qid").cast("long").alias("qid"), "q")
+    blocks = max(1, -(-rows.count() // QUERY_BLOCK))
     found = None
-    for at in range(0, max(1, rows.num_rows), QUERY_BLOCK):
-        part = rows.slice(at, QUERY_BLOCK)
+    for number in range(blocks):
+        part = rows.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == number).toArrow()  # about one block
         qid = part["qid"].to_numpy()
         q = np.array(part["q"].to_pylist(), dtype=np.float64).reshape(len(qid), -1)
         block = spark.sparkContext.broadcast((qid, q))

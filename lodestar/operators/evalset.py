@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import fill, format_won, korean_units, number_set
 from lodestar.operators.graph import directed_edges, unique_steps
+from lodestar.plans.lineage import numbered
 
 MAX_GOLD = 3
 # How questions read, by relation type and direction. (kind, type, forward, template)
@@ -93,8 +94,8 @@ def leaks(queries: DataFrame, entities: DataFrame) -> DataFrame:
 
 def finalize(queries: DataFrame, prefix: str = "g", digits: int = 3) -> DataFrame:
     """Adds qid by the order of (hops, question, gold)."""
-    n = F.row_number().over(Window.orderBy("hops", "question", "gold"))
-    return queries.select(F.concat(F.lit(prefix), F.lpad(n.cast("string"), digits, "0")).alias("qid"), "*")
+    rows = numbered(queries, ["hops", "question", "gold"], "__n", 1)
+    return rows.select(F.concat(F.lit(prefix), F.lpad(F.col("__n").cast("string"), digits, "0")).alias("qid"), *queries.columns)
 
 
 def generate(relations: DataFrame, home: DataFrame, entities: DataFrame, entities_of: DataFrame, max_gold: int = MAX_GOLD) -> DataFrame:

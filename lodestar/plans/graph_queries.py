@@ -91,11 +91,6 @@ def _(spark, d):
     return graph.adjacency(relations(spark, d)).select("eid", F.size("neighbours").cast("long").alias("n"), F.array_join("neighbours", " ").alias("neighbours"))
 
 
-@query("degree_rank", f"WITH {REL}, {EDGE} SELECT src AS eid, count(*) AS degree, row_number() OVER (ORDER BY count(*) DESC, src) AS rank FROM edge GROUP BY src")
-def _(spark, d):
-    return graph.degree_rank(relations(spark, d))
-
-
 # a chunk is an order: it states who placed it and where that customer lives
 _ORD = "cr AS (SELECT 'order:' || o_orderkey AS chunk_id, 'nation:' || c_nationkey AS head, 'CONTAINS' AS rtype, 'customer:' || c_custkey AS tail FROM orders JOIN customer ON o_custkey = c_custkey)"
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -16,3 +17,18 @@ def cut(df: DataFrame) -> DataFrame:
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestar-"))
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, order: list[str | Column], name: str, start: int = 0) -> DataFrame:
+    """Adds consecutive numbers in a global order, without one task that sorts all rows.
+
+    Rows are dealt by range, ranges are cut from their lineage so that both
+    readers see the same, each range is numbered on its own, and the sizes of
+    the ranges before it are added.
+    """
+    ranges = cut(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy("__range").agg(F.count(F.lit(1)).alias("__size"))
+    sizes = sizes.select("__range", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))  # one row a range
+    nth = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranges.join(F.broadcast(sizes), "__range").withColumn(name, F.col("__before") + nth - 1 + start).drop("__range", "__before")
