@@ -124,8 +124,9 @@ def read_archives(spark, path: str, with_payload: bool = False) -> DataFrame:
     """(record, url, type, digest, bytes, refers, payload) of the records under ``path``.
 
     Digests of responses are checked against their blocks; a damaged record fails the read.
+    A task holds the files of one partition of at most ``spark.sql.files.maxPartitionBytes``.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # files, of FILE_RECORDS records each
+    tune(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(_read(with_payload), _SCHEMA)
 
