@@ -30,20 +30,23 @@ def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "te
     which saves a join when scoring.
     """
     rows = chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.col(text_col)).alias("toks"))
-    lengths = rows.select("chunk_id", F.size("toks").cast("long").alias("dl"))
     postings = (
         rows.select("chunk_id", F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("term"))
         .groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     )
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats.select("n")))  # one row
+    # the number of chunks needs no text, and all else comes from the postings, whose exchange is reused
+    ids = chunks.select(F.col(id_col).alias("chunk_id"))
+    per_term = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    n = ids.agg(F.count(F.lit(1)).alias("n"))
+    stats = n.crossJoin(per_term.agg(F.sum("cf").alias("total"))).select("n", (F.coalesce("total", F.lit(0)) / F.col("n")).alias("avgdl"))  # tables of one row
+    df = per_term.select("term", "df").crossJoin(F.broadcast(n))  # one row
     if idf == "lucene":
         terms = df.withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     else:
         raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
         mean = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
         terms = raw.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")))  # one row
-    return LexicalIndex(postings, terms.select("term", "df", "idf"), stats, lengths.select("chunk_id"))
+    return LexicalIndex(postings, terms.select("term", "df", "idf"), stats, ids)
 
 
 def query_terms(queries: DataFrame, id_col: str = "qid", text_col: str = "question") -> DataFrame:
