@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one group are numbered in so many independent parts.
 PARTS = 256
+#: Share of a shard's target up to which a group of equal texts is not cut.
+WHOLE = 0.1
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
@@ -14,10 +16,11 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", te
 
     The global order is (hash of the text, part, id). Totals of groups of equal
     texts are summed in ranges of that order, range totals are prefix-summed
-    (a table of at most 4,096 rows), and a group goes to the shard in which the
-    middle of its bytes falls: shards are contiguous in the order, near equal in
-    bytes, and a group of equal texts stays whole. Slots are gapless from 0 in
-    each shard.
+    (a table of at most 4,096 rows), and shards are cut at equal targets of
+    bytes: contiguous in the order and near equal. A group of up to ``WHOLE``
+    of a target goes as one to the shard in which its middle falls, so equal
+    texts stay together; a larger one is cut between its rows where a target
+    ends. Slots are gapless from 0 in each shard.
 
     A large group is never gathered: its rows are counted and numbered in
     ``PARTS`` parts by a hash of the id. A null text equals an empty one, of
@@ -49,24 +52,22 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", te
         groups.withColumn("gn", F.coalesce(F.sum("n").over(inside), F.lit(0)))
         .withColumn("gb", F.coalesce(F.sum("bytes").over(inside), F.lit(0)))
         .join(F.broadcast(ranges), "range")  # at most 4,096 rows: three hex digits
-        .select(
-            "g", (F.col("n0") + F.col("gn")).alias("first"),
-            F.least(F.lit(shards - 1), F.floor((F.col("b0") + F.col("gb") + F.col("bytes") / 2) * shards / F.col("total"))).cast("int").alias("shard"),
-        )
+        .select("g", "bytes", "total", (F.col("n0") + F.col("gn")).alias("first"), (F.col("b0") + F.col("gb")).alias("begin"))
     )
-    starts = placed.groupBy("shard").agg(F.min("first").alias("start"))
-    placed = placed.join(F.broadcast(starts), "shard").select("g", "shard", (F.col("first") - F.col("start")).alias("base"))  # one row a shard
     by_part = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        parts.withColumn("pn", F.coalesce(F.sum("n").over(by_part), F.lit(0)))
-        .join(placed, "g")
-        .select("g", "part", "shard", (F.col("base") + F.col("pn")).alias("base"))
-    )
-    nth = F.row_number().over(Window.partitionBy("g", "part").orderBy("id"))
-    return (
+    offsets = parts.select("g", "part", F.coalesce(F.sum("n").over(by_part), F.lit(0)).alias("pn")).join(placed, "g")
+    nth = F.row_number().over(Window.partitionBy("g", "part").orderBy("id")) - 1
+    inner = F.col("pn") + F.col("nth")
+    # rows of a group are alike in size, so a row's bytes begin at its number times that
+    whole_group = F.col("bytes") * shards <= F.col("total") * WHOLE
+    middle = F.col("begin") + F.when(whole_group, F.col("bytes") / 2).otherwise((inner + F.lit(0.5)) * F.col("size"))
+    numbered = (
         rows.withColumn("nth", nth).join(offsets, ["g", "part"])
-        .select(
-            F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
-            (F.col("base") + F.col("nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-        )
+        .withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * shards / F.col("total"))).cast("int"))
+        .select("id", "size", "crc", "shard", (F.col("first") + inner).alias("place"))
+    )
+    starts = numbered.groupBy("shard").agg(F.min("place").alias("start"))
+    return numbered.join(F.broadcast(starts), "shard").select(  # one row a shard
+        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
+        (F.col("place") - F.col("start")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -58,7 +58,8 @@ def test_shards(spark):
         of_text[(r["size"], r.text_crc32)].add(r.shard)
         assert r.law == "bytes" and r.grown_shard is None
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert all(len(s) == 1 for s in of_text.values())
+    # the long text aside, no group is a tenth of a shard
+    assert sum(len(s) > 1 for s in of_text.values()) <= 2
 
 
 def test_shards_are_balanced(spark):
@@ -68,9 +69,17 @@ def test_shards_are_balanced(spark):
 
 
 def test_shards_of_a_hot_group(spark):
-    docs = spark.createDataFrame([(i, "the same text") for i in range(3000)] + [(None, "the same text")] * 5, "doc_id long, text string")
-    got = sharding.shard_by_bytes(docs, 4).collect()
-    assert len({r.shard for r in got}) == 1 and sorted(r.slot for r in got) == list(range(3005))
+    """A group larger than a shard is cut, so that sizes stay near equal; the others stay whole."""
+    rows = [(i, "the same text") for i in range(3000)] + [(None, "the same text")] * 5 + [(10_000 + i, f"text {i // 2}") for i in range(3000)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    size, slots, of_text = Counter(), defaultdict(list), defaultdict(set)
+    for r in got:
+        size[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+        of_text[r.text_crc32].add(r.shard)
+    assert len(size) == 8 and max(size.values()) < 1.02 * sum(size.values()) / 8
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert all(len(s) == 1 for c, s in of_text.items() if c != zlib.crc32(b"the same text"))
 
 
 def plain_targets(sizes, weights=(5, 2, 1), cap=3.0):
