@@ -167,9 +167,20 @@ def _(spark, d):
 # ---- chunks and gold -------------------------------------------------------
 
 
-@query("chunk_lines")
+_KEPT = "coalesce(list_min(list_filter(range(1, len(buf) + 1), lambda k: list_sum(list_transform(buf[len(buf) - k + 1:], lambda x: length(x))) >= 150)), len(buf))"
+_SPLIT = rf"""WITH RECURSIVE l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) AS ls FROM documents),
+        r(doc_id, i, buf, page, done) AS (
+            SELECT doc_id, 0::BIGINT, []::VARCHAR[], 0::BIGINT, NULL::VARCHAR FROM l WHERE len(ls) > 0
+            UNION ALL
+            SELECT doc_id, i + 1, CASE WHEN closes THEN list_append(buf[len(buf) - {_KEPT} + 1:], line) ELSE list_append(buf, line) END, page + closes::INT, CASE WHEN closes THEN array_to_string(buf, chr(10)) END
+            FROM (SELECT r.*, ls[i + 1] AS line, len(buf) > 0 AND coalesce(list_sum(list_transform(buf, lambda x: length(x))), 0) + length(ls[i + 1]) > 1000 AS closes FROM r JOIN l USING (doc_id) WHERE i < len(ls))),
+        c AS (SELECT doc_id, page - 1 AS page_num, done AS text FROM r WHERE done IS NOT NULL UNION ALL SELECT doc_id, page, array_to_string(buf, chr(10)) FROM r JOIN l USING (doc_id) WHERE i = len(ls))
+        SELECT doc_id, page_num, doc_id || '#c' || CASE WHEN page_num < 1000 THEN lpad(page_num::VARCHAR, 3, '0') ELSE page_num::VARCHAR END AS chunk_id, length(text) AS n_chars, md5(text) AS text_md5 FROM c"""
+
+
+@query("chunk_lines", _SPLIT)
 def _(spark, d):
-    return chunking.chunk(table(spark, d, "documents")).select("doc_id", "page_num", "chunk_id", F.length("text").alias("n_chars"), F.xxhash64("text").alias("text_hash"))
+    return chunking.chunk(table(spark, d, "documents")).select("doc_id", "page_num", "chunk_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 @query("chunk_coverage", r"SELECT doc_id, count(DISTINCT line) AS lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '\S') GROUP BY doc_id")
