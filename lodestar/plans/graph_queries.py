@@ -115,25 +115,44 @@ def _(spark, d):
     return rounded(ranking.top_k(graph.relation_scores(graph.expand(seeds(spark, d), relations(spark, d), 2), order_relations(spark, d)), 5), "score")
 
 
-@query("iterative_rounds")
+# searches start from suppliers' nations; flat scores are those of the customers that a supplier reaches
+_FUSE = "fu{0} AS (SELECT qid, chunk_id, 0.5e0 * coalesce(a.score, 0) + 0.5e0 * coalesce(b.score, 0) AS score FROM fn{0} a FULL JOIN rn{0} b USING (qid, chunk_id))"
+_NORMAL = "{1} AS (SELECT qid, chunk_id, score / max(score) OVER (PARTITION BY qid) AS score FROM {0})"
+_NEAR = """di{0} AS (SELECT qid, eid, min(dist) AS dist FROM (SELECT qid, eid, 0 AS dist FROM sd{0} UNION ALL SELECT qid, dst, 1 FROM sd{0} JOIN edge ON eid = src) GROUP BY qid, eid),
+        rs{0} AS (SELECT h.qid, chunk_id, sum(1.0e0 / (1 + least(h.dist, t.dist))) AS score FROM cr JOIN di{0} h ON h.eid = head JOIN di{0} t ON t.eid = tail AND t.qid = h.qid GROUP BY h.qid, chunk_id)"""
+_ITER = f"""{REL}, {EDGE}, {SEED}, {DIST}, {_ORD}, sc AS (SELECT qid, chunk_id, 1.0e0 / (1 + min(dist)) + 0.01e0 * count(*) AS score FROM (SELECT chunk_id, tail AS eid FROM cr) JOIN dist USING (eid) GROUP BY qid, chunk_id),
+        {top_sql('sc', 50, 'fl')}, {_NORMAL.format('fl', 'fn1')}, sd1 AS (SELECT s_suppkey AS qid, 'nation:' || s_nationkey AS eid FROM supplier), {_NEAR.format(1)}, {_NORMAL.format('rs1', 'rn1')}, {_FUSE.format(1)}, {top_sql('fu1', 3, 'b1')},
+        ends AS (SELECT qid, unnest([head, tail]) AS near, unnest([tail, head]) AS far FROM b1 JOIN cr USING (chunk_id) WHERE rank = 1),
+        sd2 AS (SELECT DISTINCT qid, far AS eid FROM ends WHERE (qid, near) IN (SELECT qid, eid FROM sd1) AND (qid, far) NOT IN (SELECT qid, eid FROM sd1)), {_NEAR.format(2)}, {_NORMAL.format('rs2', 'rn2')},
+        fn2 AS (SELECT * FROM fn1 WHERE qid IN (SELECT qid FROM sd2)), {_FUSE.format(2)}, {top_sql('fu2', 3, 'b2')},
+        al AS (SELECT qid, 1 AS round, rank, chunk_id FROM b1 UNION ALL SELECT qid, 2, rank, chunk_id FROM b2)"""
+_PLACED = "pl AS (SELECT {1}, chunk_id, row_number() OVER (PARTITION BY {1} ORDER BY rank, round) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY {1}, chunk_id ORDER BY rank, round) AS nth FROM {0}) WHERE nth = 1)"
+
+
+def _iterated(spark, d):
+    cr = order_relations(spark, d)
+    flat = graph.mention_scores(graph.expand(seeds(spark, d), relations(spark, d), 2), cr.select("chunk_id", F.col("tail").alias("eid")))
+    best = ranking.top_k(flat, 50)
+    start = table(spark, d, "supplier").select(F.col("s_suppkey").alias("qid"), eid("nation", "s_nationkey").alias("eid"))
+    return best, *ranking.iterate(start, best.drop("rank"), relations(spark, d), cr, rounds=2, hops=1)
+
+
+@query("iterative_rounds", f"WITH {_ITER}, {_PLACED.format('al', 'qid')} SELECT * FROM pl WHERE rank <= 3")
 def _(spark, d):
-    flat = graph.mention_scores(graph.expand(seeds(spark, d), relations(spark, d), 2), order_relations(spark, d).select("chunk_id", F.col("tail").alias("eid")))
-    found, _ = ranking.iterate(seeds(spark, d), ranking.top_k(flat, 50).drop("rank"), relations(spark, d), order_relations(spark, d), rounds=2, hops=1)
-    return ranking.interleave(found, 3)
+    return ranking.interleave(_iterated(spark, d)[1], 3)
 
 
-@query("iterative_trace")
+@query("iterative_trace", f"WITH {_ITER} SELECT qid, max(round) AS rounds, count(*) AS retrieved, (SELECT count(*) FROM sd2 WHERE sd2.qid = al.qid) AS discovered FROM al GROUP BY qid")
 def _(spark, d):
-    flat = graph.mention_scores(graph.expand(seeds(spark, d), relations(spark, d), 2), order_relations(spark, d).select("chunk_id", F.col("tail").alias("eid")))
-    found, trace = ranking.iterate(seeds(spark, d), ranking.top_k(flat, 50).drop("rank"), relations(spark, d), order_relations(spark, d), rounds=2, hops=1)
+    _, found, trace = _iterated(spark, d)
     return ranking.trace_summary(found, trace)
 
 
-@query("round_budgets")
+@query("round_budgets", f"""WITH {_ITER}, bu AS (SELECT unnest([1, 2]) AS budget), ab AS (SELECT budget, al.* FROM al, bu WHERE round <= budget), {_PLACED.format('ab', 'budget, qid')},
+        us AS (SELECT budget, qid, max(round) AS used FROM ab GROUP BY budget, qid), li AS (SELECT budget, qid, list(chunk_id) AS r FROM pl WHERE rank <= 3 GROUP BY budget, qid), go AS (SELECT qid, list(chunk_id) AS gold FROM fl WHERE rank <= 2 GROUP BY qid)
+        SELECT budget, round(avg((len(list_intersect(r, gold)) = len(gold))::INT), 6) AS full_hit, round(avg(used), 6) AS avg_rounds FROM li JOIN go USING (qid) JOIN us USING (budget, qid) GROUP BY budget""")
 def _(spark, d):
-    flat = graph.mention_scores(graph.expand(seeds(spark, d), relations(spark, d), 2), order_relations(spark, d).select("chunk_id", F.col("tail").alias("eid")))
-    best = ranking.top_k(flat, 50)
-    found, _ = ranking.iterate(seeds(spark, d), best.drop("rank"), relations(spark, d), order_relations(spark, d), rounds=2, hops=1)
+    best, found, _ = _iterated(spark, d)
     gold = best.where("rank <= 2").groupBy("qid").agg(F.collect_list("chunk_id").alias("gold"))
     return rounded(ranking.sweep_rounds(found, gold, 3, 2), "full_hit", "avg_rounds")
 

@@ -381,7 +381,8 @@ def _(spark, d):
     return ranking.rerank_bound(ranked, gold)
 
 
-@query("rerank_overlap")
+@query("rerank_overlap", f"""WITH {bm25_sql('okapi')}, {top_sql('bm', 20, 'best')}, tq AS (SELECT item_id AS qid, list_distinct(regexp_extract_all(lower(text), '[^ \\t\\n\\r]+')) AS a FROM benchmark), td AS (SELECT doc_id AS chunk_id, list_distinct(regexp_extract_all(lower(text), '[^ \\t\\n\\r]+')) AS b FROM documents),
+        sc AS (SELECT qid, chunk_id, best.rank AS was, len(list_intersect(a, b))::DOUBLE AS score FROM best JOIN tq USING (qid) JOIN td USING (chunk_id)), rr AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, was) AS rank FROM sc) SELECT * FROM rr WHERE rank <= 3""")
 def _(spark, d):
     def scorer(pairs):
         return [float(len(set(q.lower().split()) & set(t.lower().split()))) for q, t in pairs]

@@ -227,7 +227,7 @@ def _(spark, d):
     return stores.get(docs, table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("chunk_id")))
 
 
-@query("encode_missing")
+@query("encode_missing", "SELECT doc_id AS chunk_id, CASE WHEN vec_id IS NULL THEN 2 ELSE len(embedding)::INT END AS dim FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
 def _(spark, d):
     import numpy as np
 
