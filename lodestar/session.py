@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 #: Adaptive execution splits skewed joins and sizes partitions; the rest keeps tasks within memory.
@@ -14,9 +16,22 @@ SETTINGS = {
 }
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Lets Python workers find this package where it was imported from without being on their path.
+
+    That serves workers that share the driver's files; a cluster gets the package
+    with ``--py-files`` or an installed one.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+    return spark
+
+
 def session(name: str = "lodestar", shuffle_partitions: int | None = None, **more: str) -> SparkSession:
     """A session with the settings; on a cluster give ``spark.checkpoint.dir`` a shared folder."""
     builder = SparkSession.builder.appName(name).config(map=SETTINGS | more)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())

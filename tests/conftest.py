@@ -15,5 +15,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", tempfile.mkdtemp()).config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield session
+    from lodestar.session import ship
+
+    yield ship(session)
     session.stop()
