@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.session import ship
+
 #: Rows of one Arrow batch handed to a Python worker. Texts can be long, so a
 #: batch stays small; kernels split it further by bytes.
 ARROW_ROWS = 512
@@ -31,7 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that Python workers receive."""
+    """Bounds the Arrow batches that Python workers receive, and lets them find this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
