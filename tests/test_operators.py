@@ -1,6 +1,7 @@
 """Operators against plain versions and known values."""
 
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
 from lodestar.operators import answers, audit, chunking, dense, evalset, extract, graph, lexical, metrics, ontology, ranking, stats
+from lodestar.plans import registry
 from lodestar.sources import hwp, pages, stores
 
 
@@ -332,6 +334,18 @@ def plain_iterate(flat, rels, chunk_rels, seeds, rounds, per_round, hops, weight
     return found, trace
 
 
+def test_iteration_reads_all_flat_scores(spark, tmp_path):
+    """A customer's order 900 is far behind the 50 smallest ids of its nation."""
+    orders = [(100, 1), (900, 1), *((k, 2 + k % 5) for k in range(101, 181))]
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    write("orders", orders, "o_orderkey long, o_custkey long")
+    write("customer", [(c, 1) for c in range(1, 7)], "c_custkey long, c_nationkey long")
+    write("supplier", [(1, 1)], "s_suppkey long, s_nationkey long")
+    write("nation", [(1, 1)], "n_nationkey long, n_regionkey long")
+    got = sorted((r["rank"], r.chunk_id) for r in registry.QUERIES["iterative_rounds"](spark, str(tmp_path)).collect())
+    assert got == [(1, "order:100"), (2, "order:101"), (3, "order:900")]
+
+
 def test_iterative_retrieval(spark):
     rng = random.Random(5)
     ents = [f"e{i}" for i in range(30)]
