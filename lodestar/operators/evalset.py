@@ -180,14 +180,21 @@ def hallucination_items(facts: DataFrame, chunks: DataFrame, agencies: DataFrame
     ``facts`` is (project_id, project_name, amount, doc_name, text, agency), kept
     where the text holds the amount as a number. Two chunks of other documents
     join the contexts, chosen by hash, as are the wrong agency and the 16 facts of
-    split dev.
+    split dev. Chunks are numbered by document, so the chunks of others are all
+    numbers but one range, and a fact meets only the two that it draws.
     """
     good = facts.where(F.array_contains(number_set(F.col("text")), F.col("amount").cast("string")))
-    good = good.withColumn("place", F.row_number().over(Window.orderBy(F.xxhash64("project_id", F.lit(seed)))))
-    others = chunks.select(F.col("doc_name").alias("other_doc"), F.col("text").alias("other_text"), "chunk_id")
-    met = good.join(others, F.col("doc_name") != F.col("other_doc"))
-    order = F.xxhash64("project_id", "chunk_id", F.lit(seed))
-    few = met.withColumn("r", F.row_number().over(Window.partitionBy("project_id").orderBy(order))).where("r <= 2")
+    good = good.where(F.col("doc_name").isNotNull())
+    dev = good.select("project_id").orderBy(F.xxhash64("project_id", F.lit(seed)), "project_id").limit(n_dev).withColumn("split", F.lit("dev"))
+    others = numbered(chunks.where(F.col("doc_name").isNotNull()).select("doc_name", F.col("text").alias("other_text"), "chunk_id"), ["doc_name", "chunk_id", "other_text"], "pos")
+    total = others.count()
+    own = others.groupBy("doc_name").agg(F.min("pos").alias("begin"), F.count(F.lit(1)).alias("size"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    draws = good.join(own, "doc_name", "left").select("project_id", zero("begin"), zero("size")).withColumn("room", F.lit(total) - F.col("size")).where("room > 0")
+    one = F.pmod(F.xxhash64("project_id", F.lit(seed)), F.greatest("room", F.lit(1)))
+    two = F.pmod(one + 1 + F.pmod(F.xxhash64("project_id", F.lit(seed + 2)), F.greatest(F.col("room") - 1, F.lit(1))), F.greatest("room", F.lit(1)))
+    draws = draws.select("project_id", "begin", "size", F.posexplode(F.when(F.col("room") > 1, F.array(one, two)).otherwise(F.array(one))).alias("r", "nth"))
+    few = draws.select("project_id", "r", F.when(F.col("nth") < F.col("begin"), F.col("nth")).otherwise(F.col("nth") + F.col("size")).alias("pos")).join(others.select("pos", "other_text"), "pos")
     extra = few.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("r", "other_text")))["other_text"].alias("distractors"))
     rows = good.join(extra, "project_id").withColumn("contexts", F.concat(F.array("text"), F.col("distractors"))).withColumn("all", F.array_join("contexts", "\n"))
     wrong = rows.join(agencies.select(F.col("agency").alias("other_agency")), (F.col("other_agency") != F.col("agency")) & ~F.col("all").contains(F.col("other_agency")))
@@ -202,5 +209,6 @@ def hallucination_items(facts: DataFrame, chunks: DataFrame, agencies: DataFrame
         F.struct(F.lit("H-number").alias("variant"), F.lit(1).alias("hallucinated"), says(format_won(other)).alias("answer")),
         F.struct(F.lit("H-extra").alias("variant"), F.lit(1).alias("hallucinated"), F.concat(exact, F.lit(" 이 사업의 발주기관은 "), F.col("other_agency"), F.lit("입니다.")).alias("answer")),
     )
-    items = rows.select("project_id", F.when(F.col("place") <= n_dev, "dev").otherwise(F.lit("test")).alias("split"), F.concat(F.col("project_name"), F.lit("의 사업 예산은 얼마인가?")).alias("question"), "contexts", F.explode(variants).alias("v"))
+    rows = rows.join(F.broadcast(dev), "project_id", "left")  # n_dev rows
+    items = rows.select("project_id", F.coalesce("split", F.lit("test")).alias("split"), F.concat(F.col("project_name"), F.lit("의 사업 예산은 얼마인가?")).alias("question"), "contexts", F.explode(variants).alias("v"))
     return items.select(F.concat_ws("|", "project_id", "v.variant").alias("item_id"), "project_id", "split", "v.variant", "v.hallucinated", "question", "v.answer", "contexts")

@@ -132,12 +132,11 @@ def _(spark, d):
 
 @query("hallucination_items")
 def _(spark, d):
-    o = table(spark, d, "orders").where("o_orderstatus = 'P'").select(
+    o = table(spark, d, "orders").select(
         F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("project_id"), F.concat(F.lit("사업"), F.col("o_orderkey").cast("string")).alias("project_name"), (F.round("o_totalprice").cast("long") * 1000).alias("amount"), F.col("o_custkey").cast("string").alias("doc_name"), F.col("o_orderpriority").alias("agency"),
     ).withColumn("text", F.concat(F.lit("사업비 "), T.format_won(F.col("amount"))))
-    few = o.where(F.col("agency") == "5-LOW").orderBy("project_id").limit(40)  # the items are a question set of 40 facts
-    chunks = few.select("doc_name", "text", F.concat("doc_name", F.lit("#c000")).alias("chunk_id"))
-    return evalset.hallucination_items(few, chunks, o.select("agency").distinct()).drop("contexts")
+    chunks = o.select("doc_name", "text", F.concat("doc_name", F.lit("#c000")).alias("chunk_id"))
+    return evalset.hallucination_items(o, chunks, o.select("agency").distinct()).drop("contexts")
 
 
 _NAMES = "nm AS (SELECT DISTINCT w AS name FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM benchmark) WHERE length(w) >= 6)"

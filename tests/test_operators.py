@@ -517,6 +517,20 @@ def test_hallucination_items(spark):
         assert len(i.contexts) == 3
 
 
+def test_distractors_are_of_other_documents(spark):
+    facts = [(f"p{i}", f"사업{i}", (i + 1) * 37_000_000, f"d{i % 4}", f"사업비 {(i + 1) * 37_000_000:,}원", f"기관{i}") for i in range(20)]
+    df = spark.createDataFrame(facts, "project_id string, project_name string, amount long, doc_name string, text string, agency string")
+    items = evalset.hallucination_items(df, df.select("doc_name", "text", F.col("project_id").alias("chunk_id")), df.select("agency")).collect()
+    doc = {f[4]: f[3] for f in facts}
+    assert len(items) == 80 and all(len(set(i.contexts)) == 3 and all(doc[c] != doc[i.contexts[0]] for c in i.contexts[1:]) for i in items)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_hallucination_items_of_all_orders(spark):
+    d = "/root/testdata/sf0.001"
+    assert registry.QUERIES["hallucination_items"](spark, d).count() == 4 * spark.read.parquet(f"{d}/orders.parquet").count()
+
+
 # ---- sources
 
 
