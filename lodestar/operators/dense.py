@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import dot, unit
+from lodestar.plans.lineage import cut
 
 #: Queries that one broadcast block holds; more queries are searched in further blocks.
 QUERY_BLOCK = 4096
@@ -61,31 +62,84 @@ def exact_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int, planes: int = 8, tables: int = 4, seed: int = 5) -> DataFrame:
+def _buckets(x: np.ndarray, normals: np.ndarray, probes: int) -> np.ndarray:
+    """The buckets [rows, tables, probes] of each row: its own, then those across the planes that it lies closest to."""
+    planes = normals.shape[1]
+    side = np.einsum("nd,tpd->ntp", x, normals)
+    own = ((side > 0) << np.arange(planes)).sum(axis=2)
+    if probes == 1:
+        return own[:, :, None]
+    flips = np.arange(1 << planes)
+    cost = side**2 @ ((flips[:, None] >> np.arange(planes)) & 1).T.astype(np.float64)
+    return own[:, :, None] ^ np.argsort(cost, axis=2, kind="stable")[:, :, :probes]
+
+
+def _first(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best different ids of each row."""
+    order = np.lexsort((ids, -np.round(score, 9), row))
+    row, ids, score = row[order], ids[order], score[order]
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])
+    row, ids, score = row[new], ids[new], score[new]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], ids[keep], score[keep]
+
+
+def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int, planes: int = 8, tables: int = 4, seed: int = 5, probes: int = 2) -> DataFrame:
     """Approximate form of ``exact_topk``: rows that share a random-hyperplane bucket in any table, reranked.
 
-    ``planes`` and ``tables`` are the knob between recall and work. A query may find fewer than ``k`` rows.
+    A query looks into ``probes`` buckets of every table. ``planes``, ``tables`` and ``probes`` are the
+    knob between recall and work. Queries that find fewer than ``k`` rows that way are searched exactly.
+    Blocks of queries meet the rows as in ``exact_topk``: a task multiplies the rows of a bucket with
+    the queries that look into it.
     """
+    spark = queries.sparkSession
     rng = np.random.default_rng(seed)
     first = vectors.select("v").limit(1).collect()
     dim = len(first[0]["v"]) if first else 1
     normals = rng.standard_normal((tables, planes, dim))
+    probes = min(probes, 1 << planes)
+    rows = queries.select(F.col("qid").cast("long").alias("qid"), "q")
+    blocks = max(1, -(-rows.count() // QUERY_BLOCK))
+    met = None
+    for number in range(blocks):
+        part = rows.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == number).toArrow()  # about one block
+        qid = part["qid"].to_numpy()
+        block = spark.sparkContext.broadcast((qid, np.array(part["q"].to_pylist(), dtype=np.float64).reshape(len(qid), dim)))
 
-    def buckets(v: Column) -> Column:
-        keys = []
-        for t in range(tables):
-            bits = [F.when(dot(v, F.lit(normals[t, p].tolist())) > 0, F.lit(1 << p)).otherwise(F.lit(0)) for p in range(planes)]
-            total = bits[0]
-            for b in bits[1:]:
-                total = total + b
-            keys.append(F.struct(F.lit(t).alias("t"), total.alias("bucket")))
-        return F.array(*keys)
-
-    a = queries.select("qid", "q", F.explode(buckets(F.col("q"))).alias("key"))
-    b = vectors.select("chunk_id", "v", F.explode(buckets(F.col("v"))).alias("key"))
-    met = a.join(b, "key").dropDuplicates(["qid", "chunk_id"]).select("qid", "chunk_id", dot(F.col("q"), F.col("v")).alias("score"))
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            qid, q = block.value
+            looks = _buckets(q, normals, probes)
+            best = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)]
+            for batch in batches:
+                if not batch.num_rows or not len(qid):
+                    continue
+                own = batch.column(0).to_numpy()
+                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1).astype(np.float64)
+                held = _buckets(v, normals, 1)[:, :, 0]
+                for t in range(tables):
+                    found = [best]
+                    for bucket in np.unique(held[:, t]):
+                        here, asks = np.flatnonzero(held[:, t] == bucket), np.flatnonzero((looks[:, t] == bucket).any(axis=1))
+                        if not len(asks):
+                            continue
+                        # by id, so that of equal scores the first k are those of the smallest ids
+                        here = here[np.argsort(own[here], kind="stable")]
+                        score = q[asks] @ v[here].T
+                        least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k] if len(here) > k else score.min(axis=1, keepdims=True)
+                        i, j = np.nonzero(score >= least - 1e-8)
+                        found.append(_first(asks[i], own[here[j]], score[i, j], k))
+                    best = list(_first(*(np.concatenate(x) for x in zip(*found, strict=True)), k))
+            yield pa.RecordBatch.from_arrays([pa.array(qid[best[0]], pa.int64()), pa.array(best[1], pa.int64()), pa.array(best[2], pa.float64())], ["qid", "chunk_id", "score"])
+
+        some = vectors.select(F.col("chunk_id").cast("long").alias("chunk_id"), "v").mapInArrow(run, "qid long, chunk_id long, score double")
+        met = some if met is None else met.unionByName(some)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "chunk_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k)
+    found = cut(met.dropDuplicates(["qid", "chunk_id"]).withColumn("rank", rank).where(F.col("rank") <= k))
+    short = rows.join(found.where(F.col("rank") == k).select("qid"), "qid", "left_anti")
+    if not short.limit(1).count():
+        return found
+    return found.join(short.select("qid"), "qid", "left_anti").unionByName(exact_topk(short, vectors, k))
 
 
 def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:

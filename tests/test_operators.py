@@ -259,6 +259,24 @@ def test_exact_topk_in_blocks(spark, monkeypatch):
     assert r > 0.8
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_recall_of_registered_lsh(spark):
+    d = "/root/testdata/sf0.01"
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    exact = dense.exact_topk(e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v")), 5)
+    found = registry.QUERIES["vector_lsh_topk"](spark, d).cache()
+    assert dense.recall(found, exact, 5).agg(F.avg("recall")).first()[0] >= 0.9
+    others = exact.where("qid <> chunk_id and rank <= 5")  # without the trivial hit on itself
+    assert others.join(found, ["qid", "chunk_id"], "left_semi").count() >= 0.9 * others.count()
+
+
+def test_lsh_finds_k_rows(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((60, 8)))], "id long, v array<double>")
+    found = dense.lsh_topk(df.select(F.col("id").alias("qid"), F.col("v").alias("q")), df.select(F.col("id").alias("chunk_id"), "v"), 4, planes=8, tables=1)
+    assert {r["count"] for r in found.groupBy("qid").count().collect()} == {4} and found.select("qid").distinct().count() == 60
+
+
 # ---- graph
 
 
