@@ -54,16 +54,25 @@ def same_as(relations: DataFrame, functional: tuple[str, ...] = ("ISSUED_BY", "H
 
 
 def closure(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(eid, same): the smallest member of each entity's class under the symmetric, transitive closure."""
+    """(eid, same): the smallest member of each entity's class under the symmetric, transitive closure.
+
+    Labels spread to neighbours and then jump to the label of their label, so a
+    long chain settles in about the logarithm of its length; it is an error if
+    they have not settled after ``most_rounds``.
+    """
     edges = cut(pairs.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*").distinct())
     labels = edges.groupBy(F.col("u").alias("eid")).agg(F.least(F.col("eid"), F.min("v")).alias("same"))
     for _ in range(most_rounds):
         near = edges.join(labels.select(F.col("eid").alias("v"), "same"), "v").groupBy(F.col("u").alias("eid")).agg(F.min("same").alias("near"))
-        labels = cut(labels.join(near, "eid").select("eid", F.least("same", "near").alias("same"), (F.col("near") < F.col("same")).alias("moved")))
+        spread = labels.join(near, "eid").select("eid", F.col("same").alias("old"), F.least("same", "near").alias("same"))
+        jump = labels.select(F.col("eid").alias("same"), F.col("same").alias("far"))
+        labels = cut(spread.join(jump, "same").select("eid", F.least("same", "far").alias("same"), (F.least("same", "far") < F.col("old")).alias("moved")))
         moved = labels.where("moved").limit(1).count()
         labels = labels.select("eid", "same")
         if not moved:
             break
+    else:
+        raise RuntimeError("classes did not settle")
     return labels
 
 

@@ -495,6 +495,14 @@ def test_rules(spark):
     assert ontology.substitute(rows, ontology.closure(same)).count() == 2
 
 
+def test_closure_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(f"e{i:04d}", f"e{i + 1:04d}") for i in range(150)], "a string, b string")
+    same = ontology.closure(chain).collect()
+    assert len(same) == 151 and {r.same for r in same} == {"e0000"}
+    with pytest.raises(RuntimeError):
+        ontology.closure(chain, 2)
+
+
 # ---- questions
 
 
