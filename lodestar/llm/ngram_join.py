@@ -54,23 +54,24 @@ def frequency_order(texts: DataFrame, width: int) -> np.ndarray:
     return np.minimum(np.log2(total + 1.0) * 512, (1 << 14) - 1).astype(np.uint16)
 
 
-def ordered_sets(data: np.ndarray, offsets: np.ndarray, width: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct shingles of all rows, rare first within each row; where each row begins and the end)."""
+def ordered_sets(data: np.ndarray, offsets: np.ndarray, width: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct shingles of all rows, rare first within each row; their second hash; where each row begins and the end)."""
     words = Words(data, offsets)
     row, h = windows(words.hashes(), words.row, words.rows, width)
+    _, g = windows(words.hashes(lane=1), words.row, words.rows, width)
     # a row's number takes 10 bits: a batch has at most 512 rows
     key = (row.astype(np.uint64) << np.uint64(54)) | (order[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(40)) | (h & np.uint64((1 << 40) - 1))
     at = np.argsort(key, kind="stable")
-    row, h, key = row[at], h[at], key[at]
+    row, h, g, key = row[at], h[at], g[at], key[at]
     same = key[1:] == key[:-1]
-    if (same & (h[1:] != h[:-1])).any():
-        at = np.lexsort((h, key))
-        row, h = row[at], h[at]
-        same = (row[1:] == row[:-1]) & (h[1:] == h[:-1])
+    if (same & ((h[1:] != h[:-1]) | (g[1:] != g[:-1]))).any():
+        at = np.lexsort((g, h, key))
+        row, h, g = row[at], h[at], g[at]
+        same = (row[1:] == row[:-1]) & (h[1:] == h[:-1]) & (g[1:] == g[:-1])
     keep = np.ones(len(h), dtype=bool)
     keep[1:] = ~same
-    row, h = row[keep], h[keep]
-    return h, np.searchsorted(row, np.arange(words.rows + 1))
+    row, h, g = row[keep], h[keep], g[keep]
+    return h, g, np.searchsorted(row, np.arange(words.rows + 1))
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -79,21 +80,22 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def _sets(width: int, num: int, den: int, order, whole: bool):
-    names = ["id", "n", "cls", "tokens", "ranges"]
+    names = ["id", "n", "cls", "tokens", "seconds" if whole else "ranges"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = order.value
         for batch in batches:
             for at, data, offsets in chunks(batch.column(1)):
-                h, edge = ordered_sets(data, offsets, width, rare)
+                h, g, edge = ordered_sets(data, offsets, width, rare)
                 n = np.diff(edge)
-                cls = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+                cls = [hashlib.blake2b(h[a:b].tobytes() + g[a:b].tobytes(), digest_size=16).digest() for a, b in zip(edge[:-1], edge[1:], strict=True)]
                 signed = h.view(np.int64)
                 size = n if whole else np.array([prefix_length(int(k), num, den) for k in n], dtype=np.int64)
                 take = np.repeat(edge[:-1] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(signed[take]))
+                edges = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
+                tokens = pa.ListArray.from_arrays(edges, pa.array(signed[take]))
                 if whole:
-                    ranges = pa.nulls(len(n), pa.list_(pa.int32()))
+                    ranges = pa.ListArray.from_arrays(edges, pa.array(g.view(np.int64)[take]))
                 else:
                     row = np.repeat(np.arange(len(n)), n)
                     cells = np.bincount(row * RANGES + ((h >> np.uint64(20)) % np.uint64(RANGES)).astype(np.int64), minlength=len(n) * RANGES)
@@ -132,9 +134,12 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int, o
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     kind = docs.schema["id"].dataType.simpleString()
     texts = docs.join(nodes, "id", "left_semi").select("id", "text")
-    made = cut(texts.mapInArrow(_sets(width, num, den, order, True), f"id {kind}, n int, cls binary, tokens array<long>, ranges array<int>").dropDuplicates(["id", "cls"]).select("id", "tokens"), "sets")
-    a, b = made.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), made.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    shared = F.size(F.array_intersect("ta", "tb"))
+    schema = f"id {kind}, n int, cls binary, tokens array<long>, seconds array<long>"
+    made = cut(texts.mapInArrow(_sets(width, num, den, order, True), schema).dropDuplicates(["id", "cls"]).select("id", "tokens", "seconds"), "sets")
+    a = made.select(F.col("id").alias("a"), F.col("tokens").alias("ta"), F.col("seconds").alias("sa"))
+    b = made.select(F.col("id").alias("b"), F.col("tokens").alias("tb"), F.col("seconds").alias("sb"))
+    # shingles count as shared if both of their hashes say so
+    shared = F.least(F.size(F.array_intersect("ta", "tb")), F.size(F.array_intersect("sa", "sb")))
     joined = pairs.join(b, "b").join(a, "a").select("a", "b", shared.alias("both"), F.size("ta").alias("na"), F.size("tb").alias("nb"))
     # no aggregation follows the joins, so adaptive execution can split the pairs of a hub
     links = cut(joined.where(F.col("both").cast("long") * den >= (F.col("na") + F.col("nb") - F.col("both")).cast("long") * num).select("a", "b"), "links")
@@ -183,8 +188,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
        meet in full, under the same filters.
 
     So no large group of near copies is expanded into all its pairs, while
-    every link between two components is found. Sets are compared as 64-bit
-    hashes of shingles.
+    every link between two components is found. Sets are compared as two
+    independent 64-bit hashes of shingles.
 
     Null, empty and wordless texts have 0 shingles, link with nothing and are
     their own component. Rows that share an id are one node of the graph, with a

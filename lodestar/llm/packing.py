@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.runtime import cut, tune
-from lodestar.llm.textkernels import FOLD, Words, chunks
+from lodestar.llm.textkernels import FOLD, Words, chunks, same_ranges
 
 WINDOW = 4096
 END_ID = 2
 #: Rows of one length are numbered in so many independent parts.
 PARTS = 256
-#: Words whose ids a worker keeps; beyond it the memory is emptied.
-KNOWN_WORDS = 600_000
+#: Words whose ids a worker keeps, and their bytes; beyond either the memory is emptied.
+KNOWN_WORDS, KNOWN_BYTES = 600_000, 1 << 25
 
 
 def default_tokenizer() -> str:
@@ -36,7 +36,8 @@ class WordIds:
     between letters and others and after each digit. So such words are cut there
     and other words are kept whole, letters are folded as the tokenizer does,
     and each distinct unit is encoded once a worker; a text's ids are those of
-    its units in turn.
+    its units in turn. Units are found by hash and their bytes are compared with
+    those that were encoded; one that differs is encoded on its own.
     """
 
     def __init__(self, spec: str):
@@ -53,6 +54,9 @@ class WordIds:
         self.begin = np.zeros(0, dtype=np.int64)
         self.count = np.zeros(0, dtype=np.int64)
         self.pool = np.zeros(0, dtype="<u4")
+        self.raw_begin = np.zeros(0, dtype=np.int64)
+        self.raw_end = np.zeros(0, dtype=np.int64)
+        self.raw = np.zeros(0, dtype=np.uint8)
 
     def _encode_units(self, units: list[str], simple: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the units in turn, number of ids of each). Simple units end with a closing id, so they go as one text."""
@@ -85,28 +89,42 @@ class WordIds:
         folded, simple_word = units_of(words)
         hashes = words.hashes(folded)
         unique, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > KNOWN_WORDS:
+        if len(self.keys) > KNOWN_WORDS or len(self.raw) > KNOWN_BYTES:
             self.clear()
         at = np.searchsorted(self.keys, unique)
         known = at < len(self.keys)
         known[known] = self.keys[at[known]] == unique[known]
         new = np.flatnonzero(~known)
         if len(new):
-            raw = folded.tobytes()
             spots = where[new]
-            ids, counts = self._encode_units([raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[spots].tolist(), words.end[spots].tolist(), strict=True)], simple_word[spots])
+            ids, counts = self._encode_units(_strings(folded, words.start[spots], words.end[spots]), simple_word[spots])
             begin = len(self.pool) + np.cumsum(counts) - counts
             self.pool = np.concatenate((self.pool, ids))
+            size = words.end[spots] - words.start[spots]
+            raw_end = len(self.raw) + np.cumsum(size)
+            take = np.repeat(words.start[spots] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            self.raw = np.concatenate((self.raw, folded[take]))
             self.keys = np.insert(self.keys, at[new], unique[new])
             self.begin, self.count = np.insert(self.begin, at[new], begin), np.insert(self.count, at[new], counts)
+            self.raw_begin, self.raw_end = np.insert(self.raw_begin, at[new], raw_end - size), np.insert(self.raw_end, at[new], raw_end)
             at = np.searchsorted(self.keys, unique)
         at = at[inverse]
-        count = self.count[at]
+        begin, count, pool = self.begin[at], self.count[at], self.pool
+        other = np.flatnonzero(~same_ranges(folded, words.start, words.end, self.raw, self.raw_begin[at], self.raw_end[at]))
+        if len(other):
+            ids, count[other] = self._encode_units(_strings(folded, words.start[other], words.end[other]), simple_word[other])
+            begin[other] = len(pool) + np.cumsum(count[other]) - count[other]
+            pool = np.concatenate((pool, ids))
         ends = np.cumsum(count)
-        take = np.repeat(self.begin[at] - (ends - count), count) + np.arange(int(ends[-1]))
+        take = np.repeat(begin - (ends - count), count) + np.arange(int(ends[-1]))
         before = np.concatenate(([0], ends))
         per_row = np.diff(before[np.searchsorted(words.start, offsets)])
-        return self.pool[take], per_row
+        return pool[take], per_row
+
+
+def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
+    raw = data.tobytes()
+    return [raw[a:b].decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist(), strict=True)]
 
 
 #: Classes of bytes: 1 letters, 2 digits, 3 other printable ASCII, 0 all else.

@@ -1,14 +1,15 @@
 """Vectorised word kernels over Arrow string buffers.
 
 The kernels work on the UTF-8 bytes of many texts at once: word boundaries by a
-table of separators, word hashes by a rolling polynomial modulo 2**64 with random
-byte values, so no Python object is made per word. Words are runs of
+table of separators, word hashes by mixing blocks of eight bytes one after the
+other, so no Python object is made per word. Words are runs of
 ``[^\\x20\\x09-\\x0D]``; only A-Z is folded.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,21 +42,10 @@ _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
-_VALUES = np.random.default_rng(0x5EED).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, grown on demand."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
+#: Bytes up to which a word is hashed in blocks; longer ones go through BLAKE2.
+LONG_WORD = 64
+#: Masks that keep the first k bytes of a block.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -67,6 +57,56 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def _blocks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``data`` as one number; zeros follow its end."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte ranges; different ``lane``s are independent hashes.
+
+    Each block of eight bytes passes through a bijection with what came before it,
+    so no arrangement of letters cancels out. Ranges of one length of up to eight
+    bytes never collide.
+    """
+    size = end - start
+    h = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((0xA0761D6478BD642F * (2 * lane + 1)) % 2**64))
+    if not len(size):
+        return h
+    at = _blocks(data)
+    h = mix(h ^ (at[start] & _FIRST[np.minimum(size, 8)]))
+    live, k = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(live):
+        h[live] = mix(h[live] ^ (at[start[live] + k] & _FIRST[np.minimum(size[live] - k, 8)]))
+        k += 8
+        live = live[size[live] > k]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=bytes([lane])).digest()
+        h[i] = np.uint64(int.from_bytes(digest, "little"))
+    return h
+
+
+def same_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_start: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+    """Whether each range of ``data`` holds the same bytes as its partner in ``other``."""
+    size = end - start
+    same = size == other_end - other_start
+    if not len(size):
+        return same
+    one, two = _blocks(data), _blocks(other)
+    live, k = np.flatnonzero(same & (size > 0)), 0
+    while len(live) and k < LONG_WORD:
+        keep = _FIRST[np.minimum(size[live] - k, 8)]
+        equal = ((one[start[live] + k] ^ two[other_start[live] + k]) & keep) == 0
+        same[live[~equal]] = False
+        k += 8
+        live = live[equal & (size[live] > k)]
+    for i in live.tolist():
+        same[i] = data[start[i] + k : end[i]].tobytes() == other[other_start[i] + k : other_end[i]].tobytes()
+    return same
+
+
 class Words:
     """The words of some texts: ``row`` of each, ``start`` and ``end`` byte in ``data``."""
 
@@ -92,13 +132,9 @@ class Words:
     def per_row(self) -> np.ndarray:
         return np.bincount(self.row, minlength=self.rows)
 
-    def hashes(self, data: np.ndarray | None = None) -> np.ndarray:
+    def hashes(self, data: np.ndarray | None = None, lane: int = 0) -> np.ndarray:
         """64-bit hashes of the words (of ``data``, the folded bytes by default)."""
-        data = self.low if data is None else data
-        p, inverse = powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_VALUES[data] * p[:-1], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * inverse[self.start])
+        return range_hashes(self.low if data is None else data, self.start, self.end, lane)
 
 
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -12,6 +12,12 @@ def clash(df):
     return df.withColumns({c: F.lit("x") for c in CLASHES if c not in df.columns})
 
 
+def thue_morse(n=1024):
+    """Two words of n letters that polynomial hashes modulo 2**64 cannot tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 def words(rng, n, vocabulary=400):
     return [f"{'xyzw'[k % 4]}{k}" for k in (int(vocabulary * rng.random() ** 2) for _ in range(n))]
 
@@ -35,6 +41,7 @@ def rows(seed=1, n=60):
         out.append((i * 3, t, rng.choice(["en", "fr", None]), rng.choice(["s1", "s2", "ß", None]), len(t)))
     odd = [(1000, None), (1001, ""), (1002, " \t\n"), (1003, "a"), (1004, "Éa b\x0bc"), (1005, " ".join(words(rng, 30_000))), (None, "no id here at all"), (None, None), (1006, "12 ! ?"), (1007, "中文 字符 é")]
     out += [(i, t, None, None, None if t is None else len(t)) for i, t in odd]
+    out += [(1010 + k, t, "en", "s1", len(t)) for k, t in enumerate([*thue_morse(), *thue_morse(64)])]
     out += [out[5], out[5], out[n + 3]]  # repeated rows
     return out
 

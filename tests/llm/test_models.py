@@ -28,7 +28,7 @@ def crc(i, m):
 @pytest.mark.parametrize("limit", [40, 1 << 20])
 def test_words_and_windows(limit):
     rng = random.Random(1)
-    texts = [None, "", "  ", "A b\tc", "é ß x　y", *["".join(rng.choice("aB é\n\t.") for _ in range(rng.randint(0, 40))) for _ in range(300)]]
+    texts = [None, "", "  ", "A b\tc", "é ß x　y", *messy.thue_morse(), " ".join(messy.thue_morse(64)), "x" * 63, "x" * 64, "x" * 65, *["".join(rng.choice("aB é\n\t.") for _ in range(rng.randint(0, 40))) for _ in range(300)]]
     seen, grams = {}, {}
     for at, data, offsets in tk.chunks(pa.array(texts), limit):
         w = tk.Words(data, offsets)
@@ -46,6 +46,19 @@ def test_words_and_windows(limit):
     assert len(set(seen.values())) == len(seen) and len(set(grams.values())) == len(grams)
 
 
+def test_ranges_are_compared_by_their_bytes():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.choice([0, 1, 7, 8, 9, 63, 64, 65, 200]))) for _ in range(300)]
+    texts += ["a" * 200, "a" * 199 + "b"]
+    (_, data, offsets), = tk.chunks(pa.array(texts))
+    start, end = offsets[:-1], offsets[1:]
+    mates = [rng.choice([i, rng.randrange(len(texts))]) for i in range(len(texts) - 2)] + [len(texts) - 1, len(texts) - 1]
+    got = tk.same_ranges(data, start, end, data, start[mates], end[mates])
+    assert got.tolist() == [texts[i] == texts[j] for i, j in enumerate(mates)]
+    h, g = tk.range_hashes(data, start, end), tk.range_hashes(data, start, end, 1)
+    assert len(set(h.tolist())) == len(set(g.tolist())) == len(set(texts)) and not set(h.tolist()) & set(g.tolist())
+
+
 # ---- packing
 
 
@@ -70,6 +83,17 @@ def test_ids_of_odd_texts():
             to += n
 
 
+def test_equal_hashes_of_different_words(monkeypatch):
+    monkeypatch.setattr(packing.Words, "hashes", lambda self, data=None, lane=0: np.zeros(len(self), dtype=np.uint64))
+    t = tokenizer()
+    coder = packing.WordIds(t.to_str())
+    texts = ["one two", "three", "one a1", "<|x"]
+    (_, data, offsets), = tk.chunks(pa.array(texts))
+    for _ in range(2):
+        ids, counts = coder.encode(data, offsets)
+        assert ids.tolist() == [i for x in texts for i in t.encode(x, add_special_tokens=False).ids] and counts.sum() == len(ids)
+
+
 def test_fullest_is_the_best_sum():
     rng = random.Random(4)
     for _ in range(200):
@@ -239,6 +263,9 @@ def corpus(seed=9, n=400):
 
 def test_language_model(spark):
     rows = [*corpus(), (9000, None), (9001, ""), (9002, "A A a"), (None, "an er"), (9003, "x" * 50_000)]
+    a, b = messy.thue_morse()
+    seen_id, held_id = next(i for i in range(9100, 9200) if crc(i, 7) != 2), next(i for i in range(9100, 9200) if crc(i, 7) == 2)
+    rows += [(seen_id, a), (held_id, b)]
     got = lm.score(messy.clash(spark.createDataFrame(rows, "doc_id long, text string")))
     counts = Counter()
     for i, t in rows:
