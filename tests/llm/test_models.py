@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import langid, lm, packing, quality, warc
+from lodestar.llm import langid, lm, packing, quality, seating, warc
 from lodestar.llm import textkernels as tk
 from tests.llm import messy
 
@@ -258,7 +258,15 @@ def corpus(seed=9, n=400):
     rng = random.Random(seed)
     parts = ["an", "ber", "co", "de", "er", "fi", "go", "hal", "in", "ju"]
     vocabulary = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(3000)]
-    return [(i, " ".join(vocabulary[int(3000 * rng.random() ** 4)] for _ in range(rng.randint(1, 120)))) for i in range(n)]
+    rows = []
+    for i in range(n):
+        k, text = 0, []
+        for _ in range(rng.randint(1, 120)):
+            # half of the words follow from the one before
+            k = (7 * k + rng.randint(0, 2)) % 3000 if rng.random() < 0.5 else int(3000 * rng.random() ** 4)
+            text.append(vocabulary[k])
+        rows.append((i, " ".join(text)))
+    return rows
 
 
 def test_language_model(spark):
@@ -284,47 +292,193 @@ def test_language_model(spark):
     assert p[True].perplexity < p[True].base_perplexity
 
 
-def test_probabilities_sum_to_one(spark):
-    values, totals = lm.train(spark.createDataFrame(corpus(n=150), "id long, text string"))
-    known = values.agg(F.sum("p")).first()[0]
-    assert known + totals["p_unknown"] == pytest.approx(1.0, abs=1e-3)
+def test_blobs():
+    rng = np.random.default_rng(1)
+    arrays = [rng.integers(0, 9, 50), np.zeros(0, dtype=np.int32), rng.random(3).astype(np.float32), rng.integers(0, 2**63, 7).astype(np.uint64)]
+    got = lm.unpack(lm.pack(*arrays))
+    assert [a.dtype for a in got] == [a.dtype for a in arrays] and all((a == b).all() for a, b in zip(got, arrays, strict=True))
 
 
-def test_the_tail_is_scored_by_its_own_counts(spark, monkeypatch):
-    docs = spark.createDataFrame(corpus(n=80), "doc_id long, text string")
-    whole = {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in lm.score(docs).collect()}
-    monkeypatch.setattr(lm, "FREQUENT", 5)
-    assert {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in lm.score(docs).collect()} == whole
+def base_of(rows):
+    """H of the distinct training words, and what is left for the unknown."""
+    words = sorted({w for i, t in rows if crc(i, 7) != 2 for w in [*messy.split(t), ""]})
+    unique, times = np.unique(seating.events(pa.array(words))[0], return_counts=True)
+    model, p = seating.Spelling(unique, times, seating.CONTEXT, np.random.default_rng(6)), 0.0
+    for turn in range(lm.SPELL_BURN_IN + lm.SPELL_SAMPLES):
+        model.sweep()
+        if turn >= lm.SPELL_BURN_IN:
+            p = p + model.probabilities()[0] / lm.SPELL_SAMPLES
+    h = seating.spell(pa.array(words), model.grams[0], np.log(p))
+    return dict(zip(words, h, strict=True))
+
+
+class Plain:
+    """The model as it is written down: one customer at a time, in dictionaries."""
+
+    def __init__(self, rows, seed):
+        self.rng = random.Random(seed)
+        self.h = base_of(rows)
+        self.pairs = [(a, b) for i, t in rows if crc(i, 7) != 2 for ws in [messy.split(t)] for a, b in zip(["", *ws], [*ws, ""], strict=True)]
+        d = lambda counts: seating.discount_of(sum(c == 1 for c in counts), sum(c == 2 for c in counts))
+        self.d0, self.d1 = d(Counter(w for _, w in self.pairs).values()), d(Counter(self.pairs).values())
+        self.rooms = defaultdict(lambda: defaultdict(list))  # of None: the words
+        for a, b in self.pairs:
+            self.add(a, b)
+
+    def p(self, room, w):
+        parent, d = (self.h.get(w, 1 - sum(self.h.values())), self.d0) if room is None else (self.p(None, w), self.d1)
+        tables = self.rooms[room]
+        mine, all_tables = tables.get(w, []), sum(len(x) for x in tables.values())
+        return (sum(mine) - d * len(mine) + (1 + d * all_tables) * parent) / (1 + sum(sum(x) for x in tables.values()))
+
+    def add(self, room, w):
+        parent, d = (self.h[w], self.d0) if room is None else (self.p(None, w), self.d1)
+        mine = self.rooms[room][w]
+        weights = [x - d for x in mine] + [(1 + d * sum(len(x) for x in self.rooms[room].values())) * parent]
+        k = self.rng.choices(range(len(weights)), weights)[0]
+        if k < len(mine):
+            mine[k] += 1
+        else:
+            mine.append(1)
+            if room is not None:
+                self.add(None, w)
+
+    def remove(self, room, w):
+        mine = self.rooms[room][w]
+        k = self.rng.choices(range(len(mine)), mine)[0]
+        mine[k] -= 1
+        if not mine[k]:
+            mine.pop(k)
+            if room is not None:
+                self.remove(None, w)
+
+    def sweep(self):
+        for a, b in self.pairs:
+            self.remove(a, b)
+            self.add(a, b)
+
+
+def test_scores_against_a_plain_model(spark, monkeypatch):
+    rng = random.Random(12)
+    vocabulary = ["ab", "b", "cab", "abba", "bac", "d", "da", "add"]
+    rows = [(i, " ".join(vocabulary[int(8 * rng.random() ** 2)] for _ in range(rng.randint(1, 12)))) for i in range(40)]
+    rows += [(500, "ab new d"), (501, "add add abba cab"), (502, "")]
+    plain, p, many = Plain(rows, 1), defaultdict(float), 150
+    texts = {i: [*messy.split(t)] for i, t in rows}
+    for turn in range(many + 30):
+        plain.sweep()
+        if turn >= 30:
+            for pair in {x for ws in texts.values() for x in zip(["", *ws], [*ws, ""], strict=True)}:
+                p[pair] += plain.p(*pair) / many
+    monkeypatch.setattr(lm, "SAMPLES", 10)
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, ws in texts.items():
+        want = sum(math.log10(p[x]) for x in zip(["", *ws], [*ws, ""], strict=True))
+        assert got[i] == pytest.approx(want, abs=0.03 * (len(ws) + 1)), i
 
 
-def test_a_shorter_context_when_grams_are_many(spark, monkeypatch):
-    monkeypatch.setattr(lm, "MAX_GRAMS", 60)
-    assert lm.score(spark.createDataFrame(corpus(n=60), "doc_id long, text string")).where("score >= 0").count() == 0
+def test_probabilities_sum_to_one(spark):
+    rows = corpus(n=60)
+    vocabulary = sorted({w for i, t in rows if crc(i, 7) != 2 for w in messy.split(t)})
+    context = Counter(w for i, t in rows if crc(i, 7) != 2 for w in messy.split(t)).most_common(1)[0][0]
+    held = next(i for i in range(900, 999) if crc(i, 7) == 2)
+    # every known word, an unknown one and the end come after the context, so its part knows them all
+    text = " ".join(f"{context} {w}" for w in [*vocabulary, "neverseen"]) + f" {context}"
+    model = lm.train(spark.createDataFrame([*rows, (held, text)], "id long, text string"))
+    blobs = {(r["kind"], r["part"]): lm.unpack(r["blob"]) for r in model.state.collect()}
+    seen = 0
+    for (kind, part), blob in blobs.items():
+        if kind != "pairs":
+            continue
+        contexts, words, _, vi, wi, c = blob
+        seats, (times,) = blobs["seats", part], blobs["counts", part]
+        if (times > 0).sum() != len(vocabulary) + 1:
+            continue
+        # the known words, and one for all unknown
+        events = np.append(np.flatnonzero(times > 0), np.flatnonzero(times == 0)[0])
+        for x in range(len(contexts)):
+            mine, p = vi == x, 0.0
+            for k in range(2, len(seats), 2):
+                cs, ts = np.zeros(len(words)), np.zeros(len(words))
+                cs[wi[mine]], ts[wi[mine]] = c[mine], seats[k][mine]
+                p += lm.predictive(cs, ts, c[mine].sum(), seats[k][mine].sum(), seats[k + 1].astype(float), model.sums["d1"])[events].sum() / lm.SAMPLES
+            assert p == pytest.approx(1.0, abs=1e-4)
+            seen += 1
+    assert seen
+
+
+def test_hot_contexts_and_rare_words(spark, monkeypatch):
+    """A context with more tokens than a part is split by the word after it; rare words have no number."""
+    docs = spark.createDataFrame(corpus(n=120), "doc_id long, text string")
+    whole = {r.doc_id: r for r in lm.score(docs).collect()}
+    monkeypatch.setattr(lm, "FREQUENT", 50)
+    monkeypatch.setattr(lm, "PART_TOKENS", 400)
+    monkeypatch.setattr(lm, "BUCKET_WORDS", 60)
+    for r in lm.score(docs).collect():
+        w = whole[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (w.n_tokens, w.n_known, w.train_tokens) and r.base_score == pytest.approx(w.base_score)
+        assert r.score == pytest.approx(w.score, abs=0.06 * r.n_tokens)
+
+
+def test_another_layout_of_files_scores_alike(spark):
+    docs = spark.createDataFrame(corpus(n=60), "doc_id long, text string")
+    a, b = ({r.doc_id: round(r.score, 6) for r in lm.score(docs.repartition(n)).collect()} for n in (2, 5))
+    assert a == b
+
+
+def test_a_text_that_comes_twice_is_told_apart(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join(f"w{rng.randint(0, 3000)}" for _ in range(60))) for i in range(150)]
+    rows += [(1000 + i, t) for i, t in rows[:20]]
+    got = {r.doc_id: r.score / r.n_tokens for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    both = [i for i in range(20) if crc(i, 7) != 2 and crc(1000 + i, 7) != 2]
+    once = [got[i] for i in range(20, 150) if crc(i, 7) != 2]
+    assert min(got[i] for i in both) > max(once)
 
 
 def test_spelling_is_a_distribution():
-    rng = np.random.default_rng(1)
-    words = pa.array(["ab", "abc", "b", "", "bab", "ab"])
-    gram, size = lm.events(words, 2)
-    assert size.tolist() == [3, 4, 2, 1, 4, 3] and len(gram) == 17
-    unique, times = np.unique(gram, return_counts=True)
-    model = lm.Spelling(unique, times, 2, rng)
+    unique, times = np.unique(seating.events(pa.array(["ab", "abc", "b", "", "bab", "ab"]), 2)[0], return_counts=True)
+    assert times.sum() == 17
+    model = seating.Spelling(unique, times, 2, np.random.default_rng(1))
     for _ in range(3):
         model.sweep()
-    p = model.probabilities()
+    p = model.probabilities()[0]
     room = unique >> 9
     for r in np.unique(room):
         assert 0 < p[room == r].sum() < 1
 
 
-def test_seating():
-    rng = np.random.default_rng(2)
-    c = np.array([1, 2, 10, 1000, 100_000])
-    t = lm.seat(c, np.full(5, 0.01), 5.0, 0.5, rng)
-    assert t[0] == 1 and (t >= 1).all() and (t <= c).all()
-    many = lm.seat(np.full(2000, 50), np.full(2000, 0.9), 50.0, 0.5, rng).mean()
-    few = lm.seat(np.full(2000, 50), np.full(2000, 1e-6), 50.0, 0.5, rng).mean()
-    assert few == pytest.approx(1.0, abs=0.01) and many > 20
+def seatings(customers, base, discount, others):
+    """The exact distribution of the tables of a dish, from all seatings."""
+    weight = Counter()
+
+    def go(left, sizes, w):
+        if not left:
+            weight[len(sizes)] += w
+            return
+        go(left - 1, [*sizes, 1], w * (seating.STRENGTH + discount * (others + len(sizes))) * base)
+        for k in range(len(sizes)):
+            go(left - 1, [*sizes[:k], sizes[k] + 1, *sizes[k + 1 :]], w * (sizes[k] - discount))
+
+    go(customers, [], 1.0)
+    return {t: w / sum(weight.values()) for t, w in weight.items()}
+
+
+def test_gibbs_sweeps_have_the_exact_distribution():
+    n, rng = 3000, np.random.default_rng(2)
+    room, base = np.arange(n), np.full(n, 0.05)
+    seats = seating.Seats.start(np.full(n, 6), room, base, 0.5, rng)
+    in_room, found = 40.0 + seats.tables, Counter()
+    for turn in range(50):
+        seats.sweep(room, in_room, base, 0.5, rng)
+        assert (seats.customers() == 6).all() and (in_room == 40 + seats.tables).all() and (seats.sizes > 0).all()
+        if turn >= 15:
+            found.update(seats.tables.tolist())
+    for t, p in seatings(6, 0.05, 0.5, 40).items():
+        assert found[t] / sum(found.values()) == pytest.approx(p, abs=0.01)
+    wanted = rng.integers(0, 12, n)
+    seats.become(wanted, room, in_room, base, 0.5, rng)
+    assert (seats.customers() == wanted).all() and (in_room == 40 + seats.tables).all()
 
 
 def test_no_training_rows(spark):
