@@ -204,14 +204,19 @@ def identify(docs: DataFrame, train_on: DataFrame | None = None, id_col: str = "
     return out.withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, least_share: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs``, with all columns, whose language is found.
 
-    Rows go that are ``und`` (no text, no letter) or in which no language has
-    ``least_share`` of the words. No row moves between tasks.
+    Only rows go that are ``und``: without a text or without a letter. A document
+    in several languages stays, however they share its words. If nothing was
+    learned, because no row names a language, every row stays. Null ids, repeated
+    rows and very long texts are rows like others; an empty table gives an empty
+    result; columns may have any names. No row moves between tasks.
     """
     spark = docs.sparkSession
     names, table = train(docs, id_col, text_col, lang_col)
+    if not names:
+        return docs
     model = spark.sparkContext.broadcast(table)  # CELLS * 4 bytes a language
     predict, at = predictor(names, model), (docs.columns.index(id_col), docs.columns.index(text_col))
 
@@ -219,6 +224,6 @@ def keep_identified(docs: DataFrame, least_share: float = 0.3, id_col: str = "do
         for batch in batches:
             found = next(predict(iter([pa.RecordBatch.from_arrays([batch.column(i) for i in at], ["id", "text"])])))
             ok = np.array(found.column(2).to_pylist(), dtype=object) != UNKNOWN
-            yield batch.filter(pa.array(ok & (found.column(3).to_numpy() >= least_share), pa.bool_()))
+            yield batch.filter(pa.array(ok, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -5,15 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.llm.runtime import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
-#: Ranges of the sampling key that are summed before any rows are sorted.
-RANGES = 65536
+#: The sampling key is summed in RANGES ranges, each in RANGES smaller ones, before any rows are sorted.
+RANGES = 256
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_quality(text: Column, size: Column) -> Column:
+    """A weight from 0.1 to 1: how much a text of ``size`` words looks like prose.
+
+    It falls with the share of characters that are neither letters, digits nor
+    white space (0 at a quarter of them), and with the distance of the mean word
+    length from six characters. Null and wordless texts have 0.1.
+    """
+    chars = F.greatest(F.length(text), F.lit(1))
+    marks = F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s]")) / chars
+    plain = F.greatest(F.lit(0.0), F.lit(1.0) - marks * 4)
+    words = F.exp(-F.pow((chars / F.greatest(size, F.lit(1)) - 6.0) / 4.0, F.lit(2.0)))
+    return F.lit(0.1) + 0.9 * F.when(size > 0, plain * words).otherwise(F.lit(0.0))
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
     """(source, source_size) -> also ``target``: the water level of the weights under the caps.
 
@@ -50,62 +66,72 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     What is left of its budget goes by Efraimidis-Spirakis sampling without
     replacement: a row's key is an exponential variate, from a hash of its id,
     divided by its quality weight (``quality``, a positive column over ``docs``;
-    by default a weight that grows from 1 to 2 with length). Rows are taken in key order while the middle
-    of a row lies within the budget.
+    by default ``text_quality``). Rows are taken in key order while the middle of
+    a row lies within the budget.
 
-    No source is sorted as a whole: keys are summed in ``RANGES`` ranges with
-    map-side combining, a prefix sum over ranges finds the one in which a
-    source's budget ends, and only rows of that range are sorted. Ranges before
-    it are taken whole and those after it not at all.
+    Texts are read once, into a table of ids, sizes and keys. No source is sorted
+    as a whole: keys are summed in ranges, two levels of ``RANGES``, with map-side
+    combining; prefix sums over the ranges, and over the parts of the one in
+    which a source's budget ends, find the part in which it does, and only rows
+    of that part are sorted. Parts before it are taken whole and those after it
+    not at all. No window holds more than ``RANGES`` rows but that last one, a
+    65,536th of a source.
 
     Null or wordless texts have size 0 and are never taken by words (taken 0).
     A null source is a source. Null ids and repeated rows are rows of their
-    own. An empty table gives an empty result. Reruns agree.
+    own. Very long texts are rows like others. An empty table gives an empty
+    result. Other columns are ignored, whatever their names. Reruns agree.
     """
     size = n_words(F.col(text_col))
-    weight = quality if quality is not None else F.lit(1.0) + size / (size + F.lit(200.0))
-    unit = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 11).cast("double") + 0.5) / float(2**53)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), weight.alias("q"), unit.alias("u"))
-    rows = rows.select("id", "source", "size", (-F.log("u") / F.col("q")).alias("key"))
-    rows = rows.withColumn("range", F.least(F.lit(RANGES - 1), F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * RANGES)).cast("int"))
-    sums = rows.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
-    known = targets(sums.groupBy("source").agg(F.sum("in_range").alias("source_size")), weights, cap)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), size.alias("size"), (F.lit(None).cast("double") if quality is None else quality).alias("q"))
+    q = text_quality(F.col("text"), F.col("size")) if quality is None else F.col("q")
+    unit = (F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit(seed)), 11).cast("double") + 0.5) / float(2**53)
+    rows = rows.select("id", "source", "size", (-F.log(unit) / q).alias("key"))
+    fine = F.least(F.lit(RANGES * RANGES - 1), F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * (RANGES * RANGES))).cast("int")
+    rows = cut(rows.withColumn("fine", fine).withColumn("coarse", F.floor(F.col("fine") / RANGES).cast("int")), "keys")
+    parts = rows.groupBy("source", "coarse", "fine").agg(F.sum("size").alias("words"))
+    ranges = parts.groupBy("source", "coarse").agg(F.sum("words").alias("words"))
+    known = targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
     known = (
         known.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
         .withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size"))
         .withColumnRenamed("source", "of")
     )
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = (
-        sums.withColumn("low", F.coalesce(F.sum("in_range").over(before), F.lit(0)))
-        .join(known, F.col("source").eqNullSafe(F.col("of")))
-        .groupBy("of")
-        .agg(
-            F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("epochs").alias("epochs"), F.first("left").alias("left"),
-            # the last range that begins within the budget
-            F.max(F.when(F.col("low") < F.col("left"), F.struct("range", "low"))).alias("cut"),
-        )
-    )
-    joined = rows.join(cuts, F.col("source").eqNullSafe(F.col("of")))
-    joined = joined.withColumn("at", F.col("range") - F.coalesce(F.col("cut.range"), F.lit(-1)))
+    of_source = F.col("source").eqNullSafe(F.col("of"))
+
+    def last_within(sums: DataFrame, at: str, start: Column) -> DataFrame:
+        """By source: the last range ``at`` that begins within the budget, and the words before it."""
+        before = Window.partitionBy("source").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        low = sums.withColumn("low", start + F.coalesce(F.sum("words").over(before), F.lit(0)))
+        return low.where(F.col("low") < F.col("left")).groupBy("of").agg(F.max(F.struct(at, "low")).alias("cut")).select("of", f"cut.{at}", "cut.low")
+
+    wide = last_within(ranges.join(known.select("of", "left"), of_source), "coarse", F.lit(0))
+    wide = wide.withColumnRenamed("of", "wide_of").withColumnRenamed("coarse", "wide").withColumnRenamed("low", "wide_low")
+    inside = parts.join(known.select("of", "left"), of_source).join(wide, F.col("of").eqNullSafe(F.col("wide_of")) & (F.col("coarse") == F.col("wide")))
+    narrow = last_within(inside, "fine", F.col("wide_low")).withColumnRenamed("of", "narrow_of").withColumnRenamed("fine", "last")
+    cuts = known.join(narrow, F.col("of").eqNullSafe(F.col("narrow_of")), "left").drop("narrow_of")
+    joined = rows.join(cuts, of_source).withColumn("at", F.col("fine") - F.coalesce(F.col("last"), F.lit(-1)))
     whole = joined.where("at <> 0").withColumn("extra", (F.col("at") < 0).cast("long"))
     edge = Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    last = (
+    end = (
         joined.where("at = 0")
-        .withColumn("run", F.col("cut.low") + F.coalesce(F.sum("size").over(edge), F.lit(0)))
+        .withColumn("run", F.col("low") + F.coalesce(F.sum("size").over(edge), F.lit(0)))
         .withColumn("extra", (F.col("run") + F.col("size") / 2 <= F.col("left")).cast("long"))
         .drop("run")
     )
-    out = whole.unionByName(last).withColumn("times", F.col("epochs") + F.col("extra"))
+    out = whole.unionByName(end).withColumn("times", F.col("epochs") + F.col("extra"))
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
 
 def apply(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows: each row of ``docs`` as many times as ``mix`` takes it, with all columns.
 
-    Rows that share an id are taken alike, as often as the most taken of them.
+    Rows that share an id are taken alike, as often as the most taken of them; a
+    null id is an id. Null and wordless texts are not taken. Nulls in other
+    columns, very long texts and columns of any name are carried along; an empty
+    table gives an empty result.
     """
     id_col = options.get("id_col", "doc_id")
-    taken = mix(docs, **options).where("taken > 0").groupBy(F.col(id_col).alias("__id")).agg(F.max("times").cast("int").alias("__times"))
-    rows = docs.join(taken, F.col(id_col).eqNullSafe(F.col("__id")))
-    return rows.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = mix(docs, **options).where("taken > 0").groupBy(F.col(id_col).alias("taken_id")).agg(F.max("times").cast("int").alias("times"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id")).join(taken, F.col("id").eqNullSafe(F.col("taken_id")))
+    return rows.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

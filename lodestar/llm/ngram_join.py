@@ -251,7 +251,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
 
 def deduplicate(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component, the one of the smallest id, with all columns."""
-    stay = near_duplicates(docs, width, num, den, id_col, text_col).where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id")))
-    stay = stay.select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of ``docs`` that stay: of each component, the one of the smallest id, with all columns.
+
+    Null, empty and wordless texts link with nothing and stay, and so do rows
+    without an id. Rows that repeat an id stay or go together. Very long texts are
+    compared whole. An empty table gives an empty result. Columns may have any
+    names.
+    """
+    stay = near_duplicates(docs, width, num, den, id_col, text_col)
+    stay = stay.select(F.col(id_col).alias("stays"), "component_id").where(F.col("stays").isNull() | (F.col("stays") == F.col("component_id"))).select("stays").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"))
+    return rows.join(stay, F.col("id").eqNullSafe(F.col("stays")), "left_semi").select("row.*")

@@ -127,12 +127,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     """
     spark = docs.sparkSession
     tune(spark)
-    marked = (
-        labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(FOLDS)) != HELD))
-        .groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("int").alias("__label"))
-    )
-    sample = take_by_hash(marked, "__id", MAX_LABELLED)
-    rows = docs.join(F.broadcast(sample), docs[id_col] == sample["__id"]).select(id_col, text_col, "__label")
+    marked = labels.select(F.col(id_col).alias("marked"), F.col(label_col).alias("label"))
+    marked = marked.where(F.col("label").isNotNull() & F.col("marked").isNotNull() & (F.pmod(F.crc32(F.col("marked").cast("string")), F.lit(FOLDS)) != HELD))
+    marked = marked.groupBy("marked").agg(F.min("label").cast("int").alias("label"))
+    sample = take_by_hash(marked, "marked", MAX_LABELLED)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = rows.join(F.broadcast(sample), F.col("id") == F.col("marked")).select("id", "text", "label")
     kind = docs.schema[id_col].dataType.simpleString()
     made = rows.mapInArrow(_examples, f"id {kind}, label int, at binary, share binary")
     made = made.select(F.lit(1).alias("fit"), F.xxhash64("id").alias("turn"), "label", "at", "share")

@@ -22,10 +22,13 @@ _made: dict[str, SparkSession] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder is made.
+    Where that is unset, a temporary folder is made for a local master; on a
+    cluster it would be one machine's own, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lodestar-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -81,7 +84,7 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
 
 def sweep(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove shuffle files and broadcasts no longer referenced."""
-    gc.collect()
+    gc.collect()  # drops the Python references, whose Java objects the cleaner then finds
     spark.sparkContext._jvm.System.gc()
 
 

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-CLASHES = ("id", "h", "sha", "norm", "key", "range", "n", "rep", "cls", "tokens", "size", "kept", "score", "part", "g", "source_size", "taken", "uid", "rest", "v", "asks", "cell", "label", "length")
+CLASHES = ("id", "h", "sha", "norm", "key", "range", "n", "rep", "cls", "tokens", "size", "kept", "score", "part", "g", "source_size", "taken", "uid", "rest", "v", "asks", "cell", "label", "length", "__id", "__label", "__sha", "__sha_of", "__nth", "__times", "row", "text_", "n", "again", "marked", "stays", "taken_id", "times", "nth", "of", "fine", "coarse", "q", "lot", "copy", "word", "blob", "page_num")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 

@@ -40,11 +40,29 @@ def test_deduplicate_keeps_whole_rows(spark):
 
 
 def test_hash_collisions_do_not_merge(spark, monkeypatch):
+    """Bytes decide: with both hashes constant every text is still a class of its own."""
     from pyspark.sql import functions as F
 
     monkeypatch.setattr(exact_dedup.F, "md5", lambda c: F.lit("same"))
-    got = exact_dedup.classify(messy.documents(spark)).where("kept").count()
-    assert got == len({messy.fold(t) for _, t, *_ in messy.rows()})
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, bits: F.lit("same"))
+    rows = messy.rows()
+    groups = defaultdict(list)
+    for i, t, *_ in rows:
+        groups[messy.fold(t)].append(i)
+    got = exact_dedup.classify(messy.documents(spark)).collect()
+    want = Counter((i, min((x for x in ids if x is not None), default=None), len(ids)) for ids in groups.values() for i in ids)
+    assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == want and sum(r.kept for r in got) == len(groups)
+    kept = exact_dedup.deduplicate(messy.documents(spark)).collect()
+    assert sorted(messy.fold(r.text) for r in kept) == sorted(groups)
+
+
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_deduplicate_keeps_the_named_row(spark, keep):
+    pick, of = {"smallest": min, "largest": max}[keep], defaultdict(list)
+    for i, t, *_ in messy.rows(n=120):
+        of[messy.fold(t)].append(i)
+    want = Counter(pick([i for i in ids if i is not None], default=None) for ids in of.values())
+    assert Counter(r.doc_id for r in exact_dedup.deduplicate(messy.documents(spark, n=120), keep=keep).collect()) == want
 
 
 def test_shards(spark):
@@ -136,6 +154,16 @@ def test_mix_prefers_quality(spark):
     assert good > 0.75 * sum(r.times for r in got)
 
 
+def test_text_quality(spark):
+    from pyspark.sql import functions as F
+
+    texts = [None, "", "a clean sentence about houses near rivers", "a b c d e f g h", "#### $$$$ %%%% &&&&", "x" * 300]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").repartition(2)
+    q = {r.i: r.q for r in df.select("i", mixing.text_quality(F.col("text"), mixing.n_words(F.col("text"))).alias("q")).collect()}
+    assert q[0] == q[1] == pytest.approx(0.1) and all(0.1 <= x <= 1 for x in q.values())
+    assert q[2] > 0.9 and q[3] < q[2] and q[4] == pytest.approx(0.1) and q[5] == pytest.approx(0.1)
+
+
 def test_applied_mix(spark):
     docs = messy.documents(spark, n=200)
     got = mixing.apply(docs)
