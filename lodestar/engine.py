@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import numpy as np
@@ -19,8 +18,9 @@ Encoder = Callable[[list[str]], np.ndarray]
 class Engine:
     """Tables of chunks, vectors and postings under one folder.
 
-    Every ingest writes a new generation and then names it in ``current``, so
-    readers see a whole generation or the one before. Ids come from the supplied
+    Every ingest writes a new generation, and last the folder ``current-<n>``,
+    whose success marker makes it the newest: nothing that exists is overwritten,
+    so readers, and an ingest that fails, see the generation before. Ids come from the supplied
     document ids: a document that comes again replaces its chunks. Term statistics
     are those of all chunks.
     """
@@ -29,13 +29,12 @@ class Engine:
         self.spark, self.path, self.encoder, self.size, self.overlap = spark, path.rstrip("/"), encoder, size, overlap
 
     def _generation(self) -> int:
-        try:
-            names = [r[0] for r in self.spark.read.text(f"{self.path}/current").collect()]  # one line
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return 0
-            raise
-        return max((int(n) for n in names if re.fullmatch(r"\d+", n)), default=0)
+        """The largest number whose ``current`` folder is complete; 0 if there is none."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/current-*/_SUCCESS")) or []
+        return max((int(x.getPath().getParent().getName().removeprefix("current-")) for x in found), default=0)
 
     def _table(self, name: str, generation: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/generation={generation or self._generation()}/{name}")
@@ -68,7 +67,7 @@ class Engine:
             else:
                 vectors = dense.encode(chunks, self.encoder).select("chunk_id", "v")
             vectors.write.mode("overwrite").parquet(f"{after}/vectors")
-        self.spark.createDataFrame([(str(before + 1),)], "n string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
+        self.spark.createDataFrame([(str(before + 1),)], "n string").coalesce(1).write.text(f"{self.path}/current-{before + 1}")
         return made
 
     def query(self, questions: DataFrame, k: int = 2) -> DataFrame:
@@ -76,14 +75,13 @@ class Engine:
         n = self._generation()
         if not n:
             raise LookupError("nothing is ingested")
-        chunks = self._table("chunks", n)
-        near = None
+        chunks, vectors, encoded = self._table("chunks", n), None, None
         if self.encoder:
-            q = dense.encode(questions, self.encoder, "question", "q").select("qid", "q")
-            near = dense.exact_scores(q, self._table("vectors", n))
-        words = lexical.bm25(stores.read_index(self.spark, f"{self.path}/generation={n}/index"), questions)
-        scores, mode = ranking.degrade(near, words, lexical.keyword_overlap(chunks, questions))
-        best = ranking.top_k(scores, k).join(chunks, "chunk_id")
+            vectors, encoded = self._table("vectors", n), dense.encode(questions, self.encoder, "question", "q").select("qid", "q")
+        index = stores.read_index(self.spark, f"{self.path}/generation={n}/index")
+        scores = ranking.scores_of(index, questions, vectors, encoded)
+        mode = ranking.mode_of(self.encoder is not None, True)
+        best = scores.top({mode: ranking.MODES[mode]}, k).join(chunks, "chunk_id")
         return best.select("qid", "rank", "chunk_id", "doc_name", "page_num", "text", F.round("score", 4).alias("score"), F.lit(mode).alias("mode"))
 
     def answer(self, questions: DataFrame, k: int = 2) -> DataFrame:

@@ -3,18 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import dot, unit
 from lodestar.plans.lineage import cut
 
-#: Queries that one broadcast block holds; more queries are searched in further blocks.
-QUERY_BLOCK = 4096
+#: Queries of one lot and vectors of one block: a task multiplies one by the other.
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 8192
+#: Digits that scores are compared at.
+PLACES = 9
+
+
+@dataclass(frozen=True)
+class Formula:
+    """A score ``dense * product + sum(parts)``; a pair is a candidate if one of the parts with a weight is there."""
+
+    dense: float
+    parts: tuple[float, ...] = ()
 
 
 def exact_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -22,44 +34,122 @@ def exact_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return queries.crossJoin(vectors).select("qid", "chunk_id", dot(F.col("q"), F.col("v")).alias("score"))
 
 
-def exact_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(qid, chunk_id, score, rank): the ``k`` best of all rows, ties to the smaller id.
-
-    Queries are read in blocks of about ``QUERY_BLOCK``, one scan of the rows each. Each task multiplies its Arrow
-    batches with a block and keeps its own k best, so no pair leaves a task; the
-    last window sees k rows of each task and query.
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    values = column.combine_chunks()
+    return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
+
+
+def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``k`` largest of each row, columns in order among equals; -inf is no candidate."""
+    order = -np.round(score, PLACES)
+    edge = np.partition(order, min(k, order.shape[1]) - 1, axis=1)[:, [min(k, order.shape[1]) - 1]]
+    i, j = np.nonzero((order <= edge) & np.isfinite(score))
+    at = np.lexsort((j, order[i, j], i))
+    i, j = i[at], j[at]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[keep], j[keep]
+
+
+def _blend(formulas: dict[str, Formula], k: int):
+    """Each formula's best ``k`` of a block of chunks for a lot of queries."""
+    width = len(next(iter(formulas.values())).parts)
+
+    def run(vectors: pa.Table, others: pa.Table) -> pa.Table:
+        asked = others.filter(pc.is_null(others["chunk_id"]))
+        met = others.filter(pc.is_valid(others["chunk_id"]))
+        qids = asked["qid"].combine_chunks()
+        # chunks in order of their ids, with and without a vector
+        ids = pa.chunked_array([*vectors["chunk_id"].chunks, *met["chunk_id"].chunks], vectors["chunk_id"].type).unique()
+        ids = ids.take(pc.sort_indices(ids))
+        has = np.zeros(len(ids), dtype=bool)
+        place = pc.index_in(vectors["chunk_id"], ids).to_numpy()
+        has[place] = True
+        whole = None
+        if vectors.num_rows:
+            v = _matrix(vectors["v"])
+            whole = np.zeros((len(ids), v.shape[1]))
+            whole[place] = v
+        q_of = pc.index_in(met["qid"], qids).combine_chunks()
+        known = pc.is_valid(q_of).to_numpy(zero_copy_only=False)
+        rows, columns = q_of.fill_null(0).to_numpy()[known], pc.index_in(met["chunk_id"], ids).to_numpy()[known]
+        parts = [met[f"p{m}"].to_numpy()[known] for m in range(width)]  # null is NaN
+        order = np.argsort(rows, kind="stable")
+        rows, columns, parts = rows[order], columns[order], [p[order] for p in parts]
+        names, out_q, out_c, out_s = [], [], [], []
+        step = max(1, (1 << 22) // max(1, len(ids)))
+        with_vector = pc.is_valid(asked["q"]).to_numpy()
+        for at in range(0, len(qids), step):
+            n = min(step, len(qids) - at)
+            lo, hi = np.searchsorted(rows, [at, at + n])
+            r, c = rows[lo:hi] - at, columns[lo:hi]
+            product, there = np.zeros((n, len(ids))), np.zeros((n, len(ids)), dtype=bool)
+            mine = np.flatnonzero(with_vector[at : at + n])
+            if whole is not None and len(mine):
+                product[mine] = _matrix(asked["q"].take(pa.array(at + mine))) @ whole.T
+                there[mine] = has
+            spread = []
+            for p in parts:
+                value, held = np.zeros((n, len(ids))), np.zeros((n, len(ids)), dtype=bool)
+                x = p[lo:hi]
+                ok = ~np.isnan(x)
+                value[r[ok], c[ok]], held[r[ok], c[ok]] = x[ok], True
+                spread.append((value, held))
+            for name, f in formulas.items():
+                score, candidate = np.zeros((n, len(ids))), np.zeros((n, len(ids)), dtype=bool)
+                for weight, (value, held) in zip((f.dense, *f.parts), ((product, there), *spread), strict=True):
+                    if weight is not None:
+                        score += weight * value
+                        candidate |= held
+                score[~candidate] = -np.inf
+                i, j = _best(score, k) if len(ids) else (np.zeros(0, dtype=int),) * 2
+                names += [name] * len(i)
+                out_q.append(at + i)
+                out_c.append(j)
+                out_s.append(score[i, j])
+        flat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, dtype=kind)
+        return pa.table({"formula": pa.array(names, pa.string()), "qid": qids.take(pa.array(flat(out_q, int))), "chunk_id": ids.take(pa.array(flat(out_c, int))), "score": pa.array(flat(out_s, float))})
+
+    return run
+
+
+def blend_topk(queries: DataFrame, vectors: DataFrame, formulas: dict[str, Formula], k: int, met: DataFrame | None = None, parts: tuple[str, ...] = ()) -> DataFrame:
+    """(formula, qid, chunk_id, score, rank): the ``k`` best chunks of every query by each formula, ties to the smaller id.
+
+    ``queries`` (qid, q) and ``vectors`` (chunk_id, v) give the product; ``met``
+    (qid, chunk_id, parts...) has the scores of pairs that meet in some other way,
+    null where a part does not hold. A query may have a null q. A weight of None
+    leaves a part out: it neither scores nor makes a candidate.
+
+    Blocks of chunks meet lots of queries: a task multiplies one by the other, adds
+    the parts of its pairs and keeps the k best of each query and formula. No
+    other pair leaves a task, and all formulas come from one product. Ids keep
+    their types.
     """
-    spark = queries.sparkSession
-    rows = queries.select(F.col("qid").cast("long").alias("qid"), "q")
-    blocks = max(1, -(-rows.count() // QUERY_BLOCK))
-    found = None
-    for number in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == number).toArrow()  # about one block
-        qid = part["qid"].to_numpy()
-        q = np.array(part["q"].to_pylist(), dtype=np.float64).reshape(len(qid), -1)
-        block = spark.sparkContext.broadcast((qid, q))
+    n, asked = vectors.count(), queries.count()
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-n // VECTOR_BLOCK), min(cores, -(-n // 256)))
+    lots = max(1, -(-asked // QUERY_BLOCK))
+    block, lot = F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)), F.pmod(F.xxhash64("qid"), F.lit(lots))
+    width = len(parts)
+    if any(len(f.parts) != width for f in formulas.values()):
+        raise ValueError("a formula needs a weight for each part")
+    ids, kinds = queries.schema["qid"].dataType, vectors.schema["chunk_id"].dataType
+    none = [F.lit(None).cast("double").alias(f"p{m}") for m in range(width)]
+    upto = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    others = queries.select(upto(blocks).alias("block"), lot.alias("lot"), F.col("qid").cast(ids), F.lit(None).cast(kinds).alias("chunk_id"), F.col("q").cast("array<double>").alias("q"), *none)
+    if met is not None:
+        own = [F.col(c).cast("double").alias(f"p{m}") for m, c in enumerate(parts)]
+        others = others.unionByName(met.select(block.alias("block"), lot.alias("lot"), F.col("qid").cast(ids), F.col("chunk_id").cast(kinds), F.lit(None).cast("array<double>").alias("q"), *own))
+    held = vectors.select(block.alias("block"), upto(lots).alias("lot"), "chunk_id", "v")
+    schema = f"formula string, qid {ids.simpleString()}, chunk_id {kinds.simpleString()}, score double"
+    found = held.groupBy("block", "lot").cogroup(others.groupBy("block", "lot")).applyInArrow(_blend(formulas, k), schema)
+    rank = F.row_number().over(Window.partitionBy("formula", "qid").orderBy(F.desc(F.round("score", PLACES)), "chunk_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            qid, q = block.value
-            ids = np.zeros((len(qid), 0), dtype=np.int64)
-            best = np.zeros((len(qid), 0))
-            for batch in batches:
-                if not batch.num_rows or not len(qid):
-                    continue
-                own = batch.column(0).to_numpy()
-                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1).astype(np.float64)
-                ids = np.concatenate((ids, np.broadcast_to(own, (len(qid), len(own)))), axis=1)
-                best = np.concatenate((best, q @ v.T), axis=1)
-                if best.shape[1] > k:
-                    order = np.lexsort((ids, -np.round(best, 9)), axis=1)[:, :k]
-                    ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
-            n = best.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)), pa.array(ids.ravel()), pa.array(best.ravel())], ["qid", "chunk_id", "score"])
 
-        some = vectors.select(F.col("chunk_id").cast("long").alias("chunk_id"), "v").mapInArrow(run, "qid long, chunk_id long, score double")
-        found = some if found is None else found.unionByName(some)
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "chunk_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+def exact_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(qid, chunk_id, score, rank): the ``k`` best of all rows by inner product, ties to the smaller id."""
+    return blend_topk(queries, vectors, {"dense": Formula(1.0)}, k).drop("formula")
 
 
 def _buckets(x: np.ndarray, normals: np.ndarray, probes: int) -> np.ndarray:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import number_set, tokens
+from lodestar.plans.lineage import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -27,14 +28,15 @@ def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "te
 
     Terms of a chunk are counted in the task that reads it, so only counted
     postings are shuffled; the length of the chunk travels with each posting,
-    which saves a join when scoring.
+    which saves a join when scoring. Postings are written as a table, since
+    document frequencies, means and scores all read them.
     """
     rows = chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.col(text_col)).alias("toks"))
-    postings = (
+    postings = cut(
         rows.select("chunk_id", F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("term"))
         .groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     )
-    # the number of chunks needs no text, and all else comes from the postings, whose exchange is reused
+    # the number of chunks needs no text, and all else comes from the postings
     ids = chunks.select(F.col(id_col).alias("chunk_id"))
     per_term = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     n = ids.agg(F.count(F.lit(1)).alias("n"))
@@ -62,16 +64,32 @@ def bm25(index: LexicalIndex, queries: DataFrame, id_col: str = "qid", text_col:
     return met.groupBy("qid", "chunk_id").agg(F.sum(part).alias("score"))
 
 
+def components(index: LexicalIndex, queries: DataFrame, id_col: str = "qid", text_col: str = "question") -> DataFrame:
+    """(qid, chunk_id, bm25, keyword) of the pairs that share a term, from one pass over the postings.
+
+    ``bm25`` is by the largest of its query, or 0 where that is not above 0;
+    ``keyword`` is the number of distinct shared tokens. The table is written
+    once, so that every fusion, sweep and fallback reads the same scores.
+    """
+    asked = query_terms(queries, id_col, text_col).join(index.terms, "term")
+    met = index.postings.join(asked, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))  # one row
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scores = cut(met.groupBy("qid", "chunk_id").agg(F.sum(part).alias("bm25"), F.count(F.lit(1)).cast("double").alias("keyword")))
+    top = scores.groupBy("qid").agg(F.max("bm25").alias("top"))
+    share = F.when(F.col("top") > 0, F.col("bm25") / F.col("top")).otherwise(F.lit(0.0))
+    return scores.join(top, "qid").select("qid", "chunk_id", share.alias("bm25"), "keyword")
+
+
 def complete(scores: DataFrame, queries: DataFrame, chunks: DataFrame, id_col: str = "qid") -> DataFrame:
-    """Every chunk for every query, with 0 where there is no score: what dense fusion asks for."""
+    """Every chunk for every query, with 0 where there is no score: for small tables, ``dense.blend_topk`` needs no such table."""
     every = queries.select(F.col(id_col).alias("qid")).distinct().crossJoin(chunks.select("chunk_id").distinct())
     return every.join(scores, ["qid", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def max_normalized(scores: DataFrame) -> DataFrame:
     """Scores by the largest of their query, where that is above 0."""
-    top = F.max("score").over(Window.partitionBy("qid"))
-    return scores.withColumn("top", top).select("qid", "chunk_id", (F.col("score") / F.when(F.col("top") > 0, F.col("top")).otherwise(F.lit(1.0))).alias("score"))
+    top = scores.groupBy("qid").agg(F.max("score").alias("top"))
+    return scores.join(top, "qid").select("qid", "chunk_id", (F.col("score") / F.when(F.col("top") > 0, F.col("top")).otherwise(F.lit(1.0))).alias("score"))
 
 
 def keyword_overlap(chunks: DataFrame, queries: DataFrame, id_col: str = "qid", text_col: str = "question") -> DataFrame:

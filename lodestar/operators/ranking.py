@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators import graph
+from lodestar.operators.dense import Formula, blend_topk
+from lodestar.operators.lexical import LexicalIndex, components
 from lodestar.plans.lineage import cut
 
 #: Share of the dense score in hybrid scores, and of the graph score in fused ones.
@@ -30,9 +33,9 @@ def retrieved(ranked: DataFrame, by: tuple[str, ...] = ("qid",)) -> DataFrame:
 
 
 def normalize(scores: DataFrame) -> DataFrame:
-    """By the largest score of the query; all 0 if that is not above 0."""
-    top = F.max("score").over(Window.partitionBy("qid"))
-    return scores.withColumn("top", top).select(*KEYS, F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(F.lit(0.0)).alias("score"))
+    """By the largest score of the query, found with map-side combining; all 0 if that is not above 0."""
+    top = scores.groupBy("qid").agg(F.max("score").alias("top"))
+    return scores.join(top, "qid").select(*KEYS, F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(F.lit(0.0)).alias("score"))
 
 
 def weighted(a: DataFrame, b: DataFrame, wa: float | Column, wb: float | Column) -> DataFrame:
@@ -48,9 +51,58 @@ def hybrid(dense: DataFrame, lexical: DataFrame, weight: float = DENSE_WEIGHT) -
     return weighted(dense, normalize(lexical), weight, 1 - weight)
 
 
+#: Formulas over the product and the parts (bm25, keyword) of ``Scores``.
+PARTS = ("bm25", "keyword")
+MODES = {
+    "hybrid": Formula(DENSE_WEIGHT, (1 - DENSE_WEIGHT, None)), "bm25_only": Formula(None, (1.0, None)),
+    "dense_only": Formula(1.0, (None, None)), "keyword_fallback": Formula(None, (None, 1.0)),
+}
+
+
+@dataclass(frozen=True)
+class Scores:
+    """What all strategies are made of, scored once: ``queries`` (qid, q), ``vectors`` (chunk_id, v) and ``met`` (qid, chunk_id, bm25, keyword), a table."""
+
+    queries: DataFrame
+    vectors: DataFrame
+    met: DataFrame
+
+    def top(self, formulas: dict[str, Formula], k: int) -> DataFrame:
+        """(formula, qid, chunk_id, score, rank) by all the formulas, in one pass."""
+        return blend_topk(self.queries, self.vectors, formulas, k, self.met, PARTS)
+
+
+def scores_of(index: LexicalIndex, questions: DataFrame, vectors: DataFrame | None = None, encoded: DataFrame | None = None) -> Scores:
+    """Scores of (qid, question): ``encoded`` (qid, q) has the vectors of those that have one."""
+    met = cut(components(index, questions))
+    asked = questions.select("qid")
+    if encoded is None or vectors is None:
+        spark = questions.sparkSession
+        kind = index.chunks.schema["chunk_id"].dataType.simpleString()
+        return Scores(asked.withColumn("q", F.lit(None).cast("array<double>")), spark.createDataFrame([], f"chunk_id {kind}, v array<float>"), met)
+    return Scores(asked.join(encoded.select("qid", "q"), "qid", "left"), vectors.select("chunk_id", "v"), met)
+
+
+def fused_topk(scores: Scores, k: int, flat: Formula = MODES["hybrid"], other: Formula = MODES["keyword_fallback"], weight: float = GRAPH_WEIGHT) -> DataFrame:
+    """(qid, chunk_id, score, rank) of (1 - weight) * flat + weight * other, each by its largest of the query.
+
+    The largest of each are found first; queries and parts are then scaled by them, so the fusion is one more formula.
+    """
+    tops = scores.top({"flat": flat, "other": other}, 1).groupBy("qid").agg(*[F.max(F.when(F.col("formula") == f, F.col("score"))).alias(f) for f in ("flat", "other")])
+    tops = cut(tops)  # one row a query
+    scale = {f: F.when(F.col(f) > 0, w / F.col(f)).otherwise(F.lit(0.0)) for f, w in (("flat", 1 - weight), ("other", weight))}
+    dense = scale["flat"] * F.lit(flat.dense or 0.0) + scale["other"] * F.lit(other.dense or 0.0)
+    queries = scores.queries.join(tops, "qid", "left").select("qid", F.transform("q", lambda x: x * F.coalesce(dense, F.lit(0.0))).alias("q"))
+    parts = [(scale["flat"] * F.lit(flat.parts[m] or 0.0) + scale["other"] * F.lit(other.parts[m] or 0.0)) * F.col(c) for m, c in enumerate(PARTS)]
+    met = scores.met.join(tops, "qid").select(*KEYS, *[x.alias(c) for x, c in zip(parts, PARTS, strict=True)])
+    one = lambda *w: 1.0 if any(x is not None for x in w) else None
+    both = Formula(one(flat.dense, other.dense), tuple(one(a, b) for a, b in zip(flat.parts, other.parts, strict=True)))
+    return blend_topk(queries, scores.vectors, {"fused": both}, k, met, PARTS).drop("formula")
+
+
 def hybrid_served(dense: DataFrame, lexical: DataFrame, chunks: DataFrame, k: int, weight: float = DENSE_WEIGHT) -> DataFrame:
-    """The serving form: candidates are the 2k best dense and all lexical hits; rounded, with the chunk's columns."""
-    near, lex = top_k(dense, 2 * k).select(*KEYS, F.col("score").alias("d")), normalize(lexical).where("score > 0").select(*KEYS, F.col("score").alias("l"))
+    """The serving form of (qid, chunk_id, score) tables: candidates are the 2k best dense and all lexical hits, normalised; rounded, with the chunk's columns."""
+    near, lex = top_k(dense, 2 * k).select(*KEYS, F.col("score").alias("d")), lexical.where("score > 0").select(*KEYS, F.col("score").alias("l"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     both = near.join(lex, KEYS, "full_outer").select(*KEYS, (weight * zero("d") + (1 - weight) * zero("l")).alias("score"), zero("d").alias("dense_score"), zero("l").alias("bm25_score"))
     best = top_k(both, k)
@@ -58,6 +110,11 @@ def hybrid_served(dense: DataFrame, lexical: DataFrame, chunks: DataFrame, k: in
     return rounded.join(chunks, "chunk_id")
 
 
+def mode_of(dense: bool, lexical: bool) -> str:
+    """The best mode that the available parts allow."""
+    return {(True, True): "hybrid", (False, True): "bm25_only", (True, False): "dense_only", (False, False): "keyword_fallback"}[dense, lexical]
+
+
 def degrade(dense: DataFrame | None, lexical: DataFrame | None, keywords: DataFrame, weight: float = DENSE_WEIGHT) -> tuple[DataFrame, str]:
     """The best scores that the available parts allow, and the mode: hybrid, bm25_only, dense_only or keyword_fallback."""
     if dense is not None and lexical is not None:
@@ -129,17 +186,15 @@ def sweep_rounds(found: DataFrame, gold: DataFrame, k: int, budgets: int = 4) ->
     return rows.groupBy("budget").agg(F.avg(ok.cast("double")).alias("full_hit"), F.avg("used").alias("avg_rounds"))
 
 
-def sweep_weights(dense: DataFrame, lexical: DataFrame, gold: DataFrame, k: int, steps: int = 10) -> DataFrame:
-    """(w, full_hit, mrr) for w = 0, 1/steps, ... 1 from scores that are computed once."""
-    both = dense.select(*KEYS, F.col("score").alias("d")).join(normalize(lexical).select(*KEYS, F.col("score").alias("l")), KEYS, "full_outer")
-    w = F.col("step") / F.lit(float(steps))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    grid = both.select("*", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("step"))
-    scored = grid.select("step", *KEYS, (w * zero("d") + (1 - w) * zero("l")).alias("score"))
-    lists = retrieved(top_k(scored, k, ("step", "qid")), ("step", "qid")).join(gold.select("qid", "gold"), "qid")
+def sweep_weights(scores: Scores, gold: DataFrame, k: int, steps: int = 10) -> DataFrame:
+    """(w, full_hit, mrr) for w = 0, 1/steps, ... 1: every weight is a formula over the same scores, in one pass."""
+    formulas = {str(s): Formula(s / steps, (1 - s / steps, None)) for s in range(steps + 1)}
+    ranked = scores.top(formulas, k).withColumn("step", F.col("formula").cast("int"))
+    lists = retrieved(ranked, ("step", "qid")).join(gold.select("qid", "gold"), "qid")
     places = F.filter(F.transform("gold", lambda g: F.array_position("retrieved", g)), lambda p: p > 0)
     return lists.groupBy("step").agg(
-        F.avg((F.size(F.array_except("gold", "retrieved")) == 0).cast("double")).alias("full_hit"), F.avg(F.when(F.size(places) > 0, 1.0 / F.array_min(places)).otherwise(F.lit(0.0))).alias("mrr"),
+        F.avg((F.size(F.array_except("gold", "retrieved")) == 0).cast("double")).alias("full_hit"),
+        F.avg(F.when(F.size(places) > 0, 1.0 / F.array_min(places)).otherwise(F.lit(0.0))).alias("mrr"),
     ).select((F.col("step") / F.lit(float(steps))).alias("w"), "full_hit", "mrr")
 
 
@@ -173,7 +228,7 @@ def rerank_bound(ranked: DataFrame, gold: DataFrame, k: int = 3, depth: int = 20
 
 
 def fan_out(lists: dict[str, DataFrame]) -> DataFrame:
-    """Results of several strategies in one table, each computed once."""
+    """Results of several strategies in one table; what is scored once for all of them is ``Scores``."""
     out = None
     for name, df in lists.items():
         part = df.withColumn("strategy", F.lit(name))

@@ -2,21 +2,52 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_made: dict[str, SparkSession] = {}
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder of the session (``spark.checkpoint.dir``).
 
-    Only where that is unset, as in tests on one machine, a temporary folder is made.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder is made for a local master; on a
+    cluster it would be one machine's own, so there it is an error.
     """
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestar-"))
-    return df.checkpoint()
+        found = context.getCheckpointDir()
+    return found.rstrip("/")
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path, spark in list(_made.items()):
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session may have ended before
+            pass
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, read back: no lineage behind it, and later plans prune its columns.
+
+    Tables go when the driver exits.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    _made[path] = spark
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, order: list[str | Column], name: str, start: int = 0) -> DataFrame:

@@ -90,21 +90,20 @@ def bm25_of(spark: SparkSession, d: str, idf: str = "okapi") -> DataFrame:
 
 
 def gold_rows(spark: SparkSession, d: str) -> DataFrame:
-    b, docs = questions(spark, d), table(spark, d, "documents").select("doc_id", "text")
-    # benchmark passages are a table of fixed size
-    return docs.join(F.broadcast(b), F.col("text").contains(F.col("question"))).select("qid", "doc_id")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return answers.holding(docs, "text", questions(spark, d), "question").select("qid", "doc_id")
 
 
 def gold_of(spark: SparkSession, d: str) -> DataFrame:
     return gold_rows(spark, d).groupBy("qid").agg(F.array_sort(F.collect_list("doc_id")).alias("gold"))
 
 
-def dense_of(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of documents that have a vector against questions that have one."""
+def scores_of(spark: SparkSession, d: str) -> ranking.Scores:
+    """Scores of the benchmark's questions against the documents; vectors are those of documents, and of questions, that have one."""
     e = table(spark, d, "embeddings")
-    q = questions(spark, d).join(e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), "qid")
     v = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id")).join(e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v")), "chunk_id")
-    return dense.exact_scores(q.select("qid", "q"), v)
+    asked = questions(spark, d)
+    return ranking.scores_of(lexical.build_index(chunks_of(spark, d)), asked, v, e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")))
 
 
 @query("tokenize_stats", f"SELECT count(*) AS chunks, round(avg(len(t)), 6) AS avg_tokens, min(len(t)) AS min_tokens, max(len(t)) AS max_tokens FROM (SELECT {TOK.format('text')} AS t FROM documents)")
@@ -293,7 +292,7 @@ _HY = f"{bm25_sql('okapi')}, {NORM.format('bm', 'nm')}, {DENSE}, {fuse_sql('de',
 
 @query("hybrid_topk", f"WITH {_HY}, {top_sql('hy', K, 'best')} SELECT qid, chunk_id, rank, round(score, 6) AS score FROM best")
 def _(spark, d):
-    return rounded(ranking.top_k(ranking.hybrid(dense_of(spark, d), bm25_of(spark, d)), K), "score")
+    return rounded(scores_of(spark, d).top({"hybrid": ranking.MODES["hybrid"]}, K).drop("formula"), "score")
 
 
 @query("hybrid_served", f"""WITH {bm25_sql('okapi')}, {NORM.format('bm', 'nm')}, {DENSE}, {top_sql('de', 4, 'dk')}, sv AS (SELECT qid, chunk_id, coalesce(dk.score, 0) AS dense_score, coalesce(nm.score, 0) AS bm25_score, 0.9e0 * coalesce(dk.score, 0) + 0.1e0 * coalesce(nm.score, 0) AS score
@@ -301,13 +300,14 @@ def _(spark, d):
         SELECT qid, rank, chunk_id, round(score, 4) AS score, round(dense_score, 4) AS dense_score, round(bm25_score, 4) AS bm25_score, 'hybrid' AS mode, source FROM best JOIN documents ON doc_id = chunk_id""")
 def _(spark, d):
     meta = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source")
-    return ranking.hybrid_served(dense_of(spark, d), bm25_of(spark, d), meta, 2)
+    scores = scores_of(spark, d)
+    near = scores.top({"dense": ranking.MODES["dense_only"]}, 4).select("qid", "chunk_id", "score")
+    return ranking.hybrid_served(near, scores.met.select("qid", "chunk_id", F.col("bm25").alias("score")), meta, 2)
 
 
 @query("fused_topk", f"WITH {_HY}, {OVERLAP}, {NORM.format('hy', 'hn')}, {NORM.format('kw', 'kn')}, {fuse_sql('hn', 'kn', 0.5, 0.5, 'fu')}, {top_sql('fu', K, 'best')} SELECT qid, chunk_id, rank, round(score, 6) AS score FROM best")
 def _(spark, d):
-    flat = ranking.hybrid(dense_of(spark, d), bm25_of(spark, d))
-    return rounded(ranking.top_k(ranking.fused(flat, lexical.keyword_overlap(chunks_of(spark, d), questions(spark, d))), K), "score")
+    return rounded(ranking.fused_topk(scores_of(spark, d), K), "score")
 
 
 _SWEEP = f"""{bm25_sql('okapi')}, {NORM.format('bm', 'nm')}, {DENSE}, grid AS (SELECT unnest(range(0, 11)) AS step),
@@ -318,12 +318,12 @@ _SWEEP = f"""{bm25_sql('okapi')}, {NORM.format('bm', 'nm')}, {DENSE}, grid AS (S
 
 @query("weight_sweep", f"WITH {_SWEEP} SELECT w, round(full_hit, 6) AS full_hit, round(mrr, 6) AS mrr FROM sw")
 def _(spark, d):
-    return rounded(ranking.sweep_weights(dense_of(spark, d), bm25_of(spark, d), gold_of(spark, d), 3), "full_hit", "mrr")
+    return rounded(ranking.sweep_weights(scores_of(spark, d), gold_of(spark, d), 3), "full_hit", "mrr")
 
 
 @query("chosen_weight", f"WITH {_SWEEP} SELECT w, round(full_hit, 6) AS full_hit FROM sw ORDER BY sw.full_hit DESC, w LIMIT 1")
 def _(spark, d):
-    return rounded(ranking.choose_weight(ranking.sweep_weights(dense_of(spark, d), bm25_of(spark, d), gold_of(spark, d), 3)), "full_hit")
+    return rounded(ranking.choose_weight(ranking.sweep_weights(scores_of(spark, d), gold_of(spark, d), 3)), "full_hit")
 
 
 _MODES = f"""{_HY}, {OVERLAP}, al AS (SELECT 'hybrid' AS mode, qid, chunk_id, score FROM hy UNION ALL SELECT 'bm25_only', * FROM nm UNION ALL SELECT 'dense_only', qid, chunk_id, score FROM de UNION ALL SELECT 'keyword_fallback', * FROM kw),
@@ -332,11 +332,9 @@ _MODES = f"""{_HY}, {OVERLAP}, al AS (SELECT 'hybrid' AS mode, qid, chunk_id, sc
 
 
 def _outcomes(spark, d):
-    de, bm, kw = dense_of(spark, d), bm25_of(spark, d), lexical.keyword_overlap(chunks_of(spark, d), questions(spark, d))
-    modes = [ranking.degrade(a, b, kw) for a, b in ((de, bm), (None, bm), (de, None), (None, None))]
-    every = ranking.fan_out({mode: scores for scores, mode in modes})
-    lists = ranking.retrieved(ranking.top_k(every, 3, ("strategy", "qid")), ("strategy", "qid"))
-    names = spark.createDataFrame([(m,) for _, m in modes], "strategy string")
+    every = scores_of(spark, d).top(ranking.MODES, 3).withColumnRenamed("formula", "strategy")
+    lists = ranking.retrieved(every, ("strategy", "qid"))
+    names = spark.createDataFrame([(m,) for m in ranking.MODES], "strategy string")
     rows = gold_of(spark, d).crossJoin(F.broadcast(names)).join(lists, ["strategy", "qid"], "left")  # four strategies
     ok = F.size(F.array_except("gold", F.coalesce("retrieved", F.array().cast("array<bigint>")))) == 0
     return rows.select("strategy", "qid", ok.alias("correct"))

@@ -54,8 +54,8 @@ def _(spark, d):
 @query("context_windows", """WITH m AS (SELECT item_id, doc_id, d.text AS t, instr(d.text, b.text) - 1 AS s, length(b.text) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text))
         SELECT item_id, doc_id, s AS start, trim(replace(substr(t, greatest(0, s - 40) + 1, s + n + 40 - greatest(0, s - 40)), chr(10), ' ')) AS window FROM m""")
 def _(spark, d):
-    b = F.broadcast(table(spark, d, "benchmark").select("item_id", F.col("text").alias("needle")))  # a table of fixed size
-    m = table(spark, d, "documents").select("doc_id", "text").join(b, F.col("text").contains(F.col("needle"))).withColumn("start", F.instr("text", F.col("needle")) - 1)
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("needle"))
+    m = answers.holding(table(spark, d, "documents").select("doc_id", "text"), "text", b, "needle").withColumn("start", F.instr("text", F.col("needle")) - 1)
     return m.select("item_id", "doc_id", "start", T.window_around(F.col("text"), F.col("start"), F.col("start") + F.length("needle")).alias("window"))
 
 

@@ -33,6 +33,27 @@ def test_engine(spark, tmp_path, with_vectors):
         assert [r.answer for r in e.answer(nothing).collect()] == ["관련 문서를 찾을 수 없습니다."]
 
 
+def test_a_reader_between_writes_sees_the_last_generation(spark, tmp_path, monkeypatch):
+    from lodestar.sources import stores
+
+    e = Engine(spark, str(tmp_path / "store"))
+    e.ingest(spark.createDataFrame([("a", "battery pack")], "doc_id string, text string"))
+    seen = []
+
+    def look_then_fail(*args):
+        seen.append(Engine(spark, str(tmp_path / "store")).health())
+        raise OSError("the disk is full")
+
+    monkeypatch.setattr(stores, "write_index", look_then_fail)
+    with pytest.raises(OSError):
+        e.ingest(spark.createDataFrame([("b", "motor")], "doc_id string, text string"))
+    monkeypatch.undo()
+    asked = spark.createDataFrame([(1, "battery")], "qid long, question string")
+    assert seen[0]["generation"] == 1 and e.health()["chunks"] == 1 and e.query(asked).count() == 1
+    e.ingest(spark.createDataFrame([("b", "motor")], "doc_id string, text string"))
+    assert e.health() == {"status": "ok", "generation": 2, "chunks": 2, "vectors": False}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "manual 1.pdf").write_bytes(b"Title|body")
 

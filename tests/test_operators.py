@@ -224,27 +224,70 @@ def test_stored_index(spark, tmp_path):
 
 
 def unit_encoder(texts):
-    v = np.array([[float(w in t) for w in ("배터리", "모터", "센서")] for t in texts])
+    v = np.array([[float(w in t) for w in ("tide", "harvest", "lantern")] for t in texts])
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
 
 def test_degradation(spark):
-    chunks = spark.createDataFrame([("c1", "배터리 팩 사양 설명"), ("c2", "모터 제어 로직 설명"), ("c3", "센서 캘리브레이션 절차")], "chunk_id string, text string")
+    chunks = spark.createDataFrame([("c1", "tide tables of the bay"), ("c2", "harvest dates of the hills"), ("c3", "lantern repair in winter")], "chunk_id string, text string")
+    index = lexical.build_index(chunks)
+    vectors = dense.encode(chunks, unit_encoder).select("chunk_id", "v")
 
     def best(question, dense_up, lexical_up):
         q = spark.createDataFrame([("q", question)], "qid string, question string")
-        d = dense.exact_scores(dense.encode(q, unit_encoder, "question", "q").select("qid", "q"), dense.encode(chunks, unit_encoder).select("chunk_id", "v")) if dense_up else None
-        l = lexical.bm25(lexical.build_index(chunks), q) if lexical_up else None
-        scores, mode = ranking.degrade(d, l, lexical.keyword_overlap(chunks, q))
-        return mode, [r.chunk_id for r in ranking.top_k(scores, 1).collect()]
-
-    assert best("배터리", True, True) == ("hybrid", ["c1"])
-    assert best("배터리", False, True) == ("bm25_only", ["c1"])
-    assert best("모터", True, False) == ("dense_only", ["c2"])
-    assert best("센서 캘리브레이션", False, False) == ("keyword_fallback", ["c3"])
+        scores = ranking.scores_of(index, q, vectors, dense.encode(q, unit_encoder, "question", "q")) if dense_up else ranking.scores_of(index, q)
+        mode = ranking.mode_of(dense_up, lexical_up)
+        return mode, [r.chunk_id for r in scores.top({mode: ranking.MODES[mode]}, 1).collect()]
+
+    assert best("tide", True, True) == ("hybrid", ["c1"])
+    assert best("tide", False, True) == ("bm25_only", ["c1"])
+    assert best("harvest", True, False) == ("dense_only", ["c2"])
+    assert best("lantern repair", False, False) == ("keyword_fallback", ["c3"])
     assert best("???", False, False) == ("keyword_fallback", [])
 
 
+def test_blended_scores(spark, monkeypatch):
+    """All formulas against all pairs: chunks without a vector, questions without one, pairs that meet in words alone."""
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 9)
+    monkeypatch.setattr(dense, "VECTOR_BLOCK", 16)
+    rng = np.random.default_rng(8)
+    v = {f"k{i:02d}": rng.integers(-3, 4, 4).astype(float) for i in range(50)}
+    q = {i: rng.integers(-3, 4, 4).astype(float) if i % 5 else None for i in range(20)}
+    chunks = [*v, "only1", "only2"]
+    met = {(i, c): (float(rng.integers(0, 5)) / 4, float(rng.integers(1, 4))) for i in q for c in chunks if rng.random() < 0.2}
+    got = ranking.Scores(
+        spark.createDataFrame([(i, None if x is None else x.tolist()) for i, x in q.items()], "qid long, q array<double>"),
+        spark.createDataFrame([(c, x.tolist()) for c, x in v.items()], "chunk_id string, v array<double>"),
+        spark.createDataFrame([(i, c, *x) for (i, c), x in met.items()], "qid long, chunk_id string, bm25 double, keyword double"),
+    )
+
+    def plain(i, f):
+        rows = []
+        for c in chunks:
+            score, there = 0.0, False
+            for w, x in zip((f.dense, *f.parts), (None if q[i] is None or c not in v else q[i] @ v[c], *met.get((i, c), (None, None))), strict=True):
+                if w is not None and x is not None:
+                    score, there = score + w * x, True
+            if there:
+                rows.append((-round(score, 9), c))
+        return sorted(rows)
+
+    formulas = {**ranking.MODES, "even": dense.Formula(0.5, (0.5, 0.0))}
+    want = {(name, i): [c for _, c in plain(i, f)[:3]] for name, f in formulas.items() for i in q}
+    found = {}
+    for r in got.top(formulas, 3).orderBy("rank").collect():
+        found.setdefault((r.formula, r.qid), []).append(r.chunk_id)
+    assert found == {k: x for k, x in want.items() if x}
+    fused = {}
+    for r in ranking.fused_topk(got, 3).orderBy("rank").collect():
+        fused.setdefault(r.qid, []).append(r.chunk_id)
+    for i in q:
+        flat, words = ({c: -s for s, c in plain(i, ranking.MODES[m])} for m in ("hybrid", "keyword_fallback"))
+        norm = lambda x: {c: s / max(x.values()) if max(x.values()) > 0 else 0.0 for c, s in x.items()}
+        flat, words = norm(flat) if flat else {}, norm(words) if words else {}
+        assert fused.get(i, []) == sorted({*flat, *words}, key=lambda c: (-round(0.5 * flat.get(c, 0) + 0.5 * words.get(c, 0), 9), c))[:3]
+
+
 def test_exact_topk_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((60, 8)).astype(np.float32)
