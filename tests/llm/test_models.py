@@ -391,17 +391,19 @@ def test_probabilities_sum_to_one(spark):
         if kind != "pairs":
             continue
         contexts, words, _, vi, wi, c = blob
-        seats, (times,) = blobs["seats", part], blobs["counts", part]
+        seats, (times, h) = blobs["seats", part], blobs["counts", part]
         if (times > 0).sum() != len(vocabulary) + 1:
             continue
         # the known words, and one for all unknown
         events = np.append(np.flatnonzero(times > 0), np.flatnonzero(times == 0)[0])
         for x in range(len(contexts)):
             mine, p = vi == x, 0.0
-            for k in range(2, len(seats), 2):
+            for k, sample in enumerate(model.sums["samples"]):
+                tables, wc, wt = seats[2 + 3 * k : 5 + 3 * k]
+                p_word = lm.word_probability(wc, wt, h.astype(float), sample, times > 0)
                 cs, ts = np.zeros(len(words)), np.zeros(len(words))
-                cs[wi[mine]], ts[wi[mine]] = c[mine], seats[k][mine]
-                p += lm.predictive(cs, ts, c[mine].sum(), seats[k][mine].sum(), seats[k + 1].astype(float), model.sums["d1"])[events].sum() / lm.SAMPLES
+                cs[wi[mine]], ts[wi[mine]] = c[mine], tables[mine]
+                p += lm.predictive(cs, ts, c[mine].sum(), tables[mine].sum(), p_word, model.sums["d1"])[events].sum() / lm.SAMPLES
             assert p == pytest.approx(1.0, abs=1e-4)
             seen += 1
     assert seen
@@ -477,8 +479,12 @@ def test_gibbs_sweeps_have_the_exact_distribution():
     for t, p in seatings(6, 0.05, 0.5, 40).items():
         assert found[t] / sum(found.values()) == pytest.approx(p, abs=0.01)
     wanted = rng.integers(0, 12, n)
+    wanted[:3] = 5000, 700, 90
     seats.become(wanted, room, in_room, base, 0.5, rng)
     assert (seats.customers() == wanted).all() and (in_room == 40 + seats.tables).all()
+    wanted[:3] = 100, 2, 9
+    seats.become(wanted, room, in_room, base, 0.5, rng)
+    assert (seats.customers() == wanted).all() and (in_room == 40 + seats.tables).all() and (seats.sizes > 0).all()
 
 
 def test_no_training_rows(spark):
