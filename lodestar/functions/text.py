@@ -137,7 +137,7 @@ def iri(eid: Column, space: str = "urn:entity:") -> Column:
 
 
 def from_iri(value: Column, space: str = "urn:entity:") -> Column:
-    return F.url_decode(F.substring(value, len(space) + 1, 1 << 20))
+    return F.url_decode(F.substring(value, F.lit(len(space) + 1), F.length(value)))
 
 
 def prefixed(text: Column, prefix: str) -> Column:
@@ -146,9 +146,19 @@ def prefixed(text: Column, prefix: str) -> Column:
 
 
 def positions(text: Column, needle: Column) -> Column:
-    """0-based starts of the non-overlapping occurrences of a literal, first to last."""
-    parts = F.split(text, F.concat(F.lit("\\Q"), needle, F.lit("\\E")), -1)
-    n = F.size(parts) - 1
-    return F.when((n <= 0) | (F.length(needle) == 0), F.array().cast("array<int>")).otherwise(
-        F.transform(F.sequence(F.lit(1), n), lambda i: (F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x)) + (i - 1) * F.length(needle)).cast("int"))
-    )
+    """0-based starts of the non-overlapping occurrences of a literal, first to last.
+
+    Each step looks for the next one behind the last, so the work is the length
+    of the text, whatever the needle holds. There can be no more steps than
+    needles fit into the text.
+    """
+    none = F.array().cast("array<int>")
+    most = (F.length(text) - F.length(F.replace(text, needle, F.lit("")))) / F.length(needle)
+
+    def step(acc: Column, _: Column) -> Column:
+        at = F.position(needle, text, acc.behind)
+        return F.struct(F.array_append(acc.found, at - 1).alias("found"), (at + F.length(needle)).alias("behind"))
+
+    start = F.struct(none.alias("found"), F.lit(1).alias("behind"))
+    every = F.aggregate(F.sequence(F.lit(1), most.cast("int")), start, step, lambda acc: acc.found)
+    return F.when((F.length(needle) > 0) & text.contains(needle), every).otherwise(none)

@@ -70,7 +70,7 @@ def test_spans_and_positions(spark):
     for _ in range(400):
         t = "".join(rng.choice("ab .\n|-다$\\") for _ in range(rng.randint(3, 140)))
         s = rng.randrange(len(t) - 1)
-        rows.append((t, s, rng.randint(s + 1, min(len(t), s + 9)), rng.choice(["a", "ab", ".", "$", "\\", "ba "])))
+        rows.append((t, s, rng.randint(s + 1, min(len(t), s + 9)), rng.choice(["a", "ab", ".", "$", "\\", "ba ", "\\E", "\\Q"])))
     df = spark.createDataFrame(rows, "t string, s int, e int, n string")
     got = df.select("*", T.sentence_around(F.col("t"), F.col("s"), F.col("e")).alias("x"), T.window_around(F.col("t"), F.col("s"), F.col("e")).alias("w"), T.positions(F.col("t"), F.col("n")).alias("p")).collect()
     for r in got:
@@ -138,8 +138,8 @@ def test_a_document_without_chunks_is_unlinked(spark):
 @pytest.mark.parametrize(
     ("text", "budget"),
     [
-        ("다. 사업비 : 157,300,000원(VAT 포함) (단위: 원)", "157,300,000원"), ("사업금액 20억원 미만 계약은 대기업 참여 제한", None), ("변경 소요 비용 예시) 1,046 백만원", None), ("123,456,000원", None),
-        ("사업 예산: 150 백만원", "150 백만원"), ("총 사업비는 1.5억원이다", "1.5억원"), ("배정예산 300백만원. 위원 수 4명", "300백만원"),
+        ("가. 총사업비 : 248,100,000원 (부가세 별도)", "248,100,000원"), ("사업금액 35억원 이상은 공동으로 맡는다", None), ("수리에 드는 돈 2,310 백만원", None), ("987,654,000원", None),
+        ("용역비 275 백만원", "275 백만원"), ("추정가격은 3.2억원 안팎", "3.2억원"), ("계약금액 640백만원. 배점 30점", "640백만원"),
     ],
 )
 def test_budgets(spark, text, budget):
@@ -150,8 +150,8 @@ def test_budgets(spark, text, budget):
 @pytest.mark.parametrize(
     ("text", "period"),
     [
-        ("나. 사업기간 : 계약체결일로부터 5개월 이내", "5개월 이내"), ("○ 과업기간 : 착수일로부터 90일 이내", "90일 이내"), ("용역기간 : 착수일로부터 75일까지", "75일까지"), ("최근 3개월 이내 발급한 서류", None),
-        ("적정 사업기간 산정기준에 따라 12개월 이내", None), ("사업기간 : 2024년 12월 31일까지", None), ("사업기간 : 2025.12.20일까지", None), ("적정 사업기간 산정기준, 사업기간: 6개월 이내", "6개월 이내"),
+        ("수행기간 : 계약일로부터 7개월", "계약일로부터 7개월"), ("- 이행기간 : 착수일로부터 45일 이내", "45일 이내"), ("개발기간 : 착수일로부터 60일까지", "60일까지"), ("서류는 지난 2개월 이내의 것", None),
+        ("적정 사업기간 산정표는 9개월 이내", None), ("사업기간 : 2031년 6월 15일까지", None), ("사업기간 : 2031.6.15일까지", None), ("적정 사업기간 산정표, 과업기간: 8개월 이내", "8개월 이내"),
     ],
 )
 def test_periods(spark, text, period):
@@ -175,7 +175,7 @@ def test_technologies(spark):
     rng = random.Random(2)
     forms = [f for fs in extract.TECH_FORMS.values() for f in fs]
     bits = forms + ["적음", "제외", ". ", "\n", " 및 ", " 사용 ", " - "]
-    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 25))) for _ in range(80)] + ["제본 및 스프링 사용", "JavaScript", "제안서는 제본 및 스프링 사용. 뒤쪽에서 전자정부 표준프레임워크를 적용한다."]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 25))) for _ in range(80)] + ["책자 제본과 스프링 묶음", "JavaScript", "리눅스 사용 불가. 다른 곳에서는 Linux 서버를 둔다."]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {i: {} for i in range(len(texts))}
     for r in extract.technologies(df, extract.alias_table(spark)).collect():
