@@ -121,7 +121,7 @@ _NORMAL = "{1} AS (SELECT qid, chunk_id, score / max(score) OVER (PARTITION BY q
 _NEAR = """di{0} AS (SELECT qid, eid, min(dist) AS dist FROM (SELECT qid, eid, 0 AS dist FROM sd{0} UNION ALL SELECT qid, dst, 1 FROM sd{0} JOIN edge ON eid = src) GROUP BY qid, eid),
         rs{0} AS (SELECT h.qid, chunk_id, sum(1.0e0 / (1 + least(h.dist, t.dist))) AS score FROM cr JOIN di{0} h ON h.eid = head JOIN di{0} t ON t.eid = tail AND t.qid = h.qid GROUP BY h.qid, chunk_id)"""
 _ITER = f"""{REL}, {EDGE}, {SEED}, {DIST}, {_ORD}, sc AS (SELECT qid, chunk_id, 1.0e0 / (1 + min(dist)) + 0.01e0 * count(*) AS score FROM (SELECT chunk_id, tail AS eid FROM cr) JOIN dist USING (eid) GROUP BY qid, chunk_id),
-        {top_sql('sc', 50, 'fl')}, {_NORMAL.format('fl', 'fn1')}, sd1 AS (SELECT s_suppkey AS qid, 'nation:' || s_nationkey AS eid FROM supplier), {_NEAR.format(1)}, {_NORMAL.format('rs1', 'rn1')}, {_FUSE.format(1)}, {top_sql('fu1', 3, 'b1')},
+        fl AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM sc), {_NORMAL.format('fl', 'fn1')}, sd1 AS (SELECT s_suppkey AS qid, 'nation:' || s_nationkey AS eid FROM supplier), {_NEAR.format(1)}, {_NORMAL.format('rs1', 'rn1')}, {_FUSE.format(1)}, {top_sql('fu1', 3, 'b1')},
         ends AS (SELECT qid, unnest([head, tail]) AS near, unnest([tail, head]) AS far FROM b1 JOIN cr USING (chunk_id) WHERE rank = 1),
         sd2 AS (SELECT DISTINCT qid, far AS eid FROM ends WHERE (qid, near) IN (SELECT qid, eid FROM sd1) AND (qid, far) NOT IN (SELECT qid, eid FROM sd1)), {_NEAR.format(2)}, {_NORMAL.format('rs2', 'rn2')},
         fn2 AS (SELECT * FROM fn1 WHERE qid IN (SELECT qid FROM sd2)), {_FUSE.format(2)}, {top_sql('fu2', 3, 'b2')},
