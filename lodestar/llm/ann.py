@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,15 +13,20 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.runtime import cut, take_by_hash, tune
 
-#: Centroids of each half; the index has CENTROIDS**2 cells.
-CENTROIDS = 64
-#: Vectors that the centroids are fitted on, at most, by a hash of their id.
+#: Centroids of each half: a share of the square root of the vectors, within these bounds; the index has their square of cells.
+LEAST_CENTROIDS, MOST_CENTROIDS, CELL_ROWS = 96, 1024, 12
+#: Vectors that the centroids are fitted on, at most, by a hash of their id: a documented bound of the fit alone.
 MAX_FITTED = 20_000
 ROUNDS = 12
-#: Share of all vectors that a query's cells hold at least, and a least number.
-SHARE, LEAST = 0.5, 1_000
-#: Rows of a block of the index, and queries that meet it at once, about.
-BLOCK_ROWS, BLOCK_QUERIES = 20_000, 20_000
+#: Share of all vectors that a query's cells hold at least.
+SHARE = 0.5
+#: Vectors of a group of the index, and queries that meet it at once, about.
+GROUP_ROWS, GROUP_QUERIES = 8_000, 100_000
+
+
+def centroids_for(n: int) -> int:
+    """Centroids of each half for ``n`` vectors: about ``CELL_ROWS`` vectors a cell."""
+    return max(LEAST_CENTROIDS, min(MOST_CENTROIDS, math.ceil(math.sqrt(n / CELL_ROWS))))
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 10) -> np.ndarray:
@@ -42,15 +48,15 @@ def cells_of(x: np.ndarray, centres: list[np.ndarray]) -> np.ndarray:
 
 
 def nearest_cells(left: np.ndarray, right: np.ndarray, counts: np.ndarray, wanted: int) -> list[int]:
-    """Cells (i, j) in order of left[i] + right[j], the larger first, until they hold ``wanted`` vectors.
+    """Cells (i, j) in order of left[i] + right[j], the smaller first, until they hold ``wanted`` vectors.
 
     The multi-sequence walk: of two sorted lists, a heap holds the pairs whose
     neighbours before them in either list have been taken.
     """
-    i_order, j_order = np.argsort(-left, kind="stable"), np.argsort(-right, kind="stable")
+    i_order, j_order = np.argsort(left, kind="stable"), np.argsort(right, kind="stable")
     a, b = left[i_order].tolist(), right[j_order].tolist()
     i_order, j_order, n = i_order.tolist(), j_order.tolist(), len(b)
-    heap, taken, out, held = [(-(a[0] + b[0]), 0, 0)], [0] * len(a), [], 0
+    heap, taken, out, held = [(a[0] + b[0], 0, 0)], [0] * len(a), [], 0
     while heap and held < wanted:
         _, i, j = heapq.heappop(heap)
         cell = i_order[i] * n + j_order[j]
@@ -59,9 +65,9 @@ def nearest_cells(left: np.ndarray, right: np.ndarray, counts: np.ndarray, wante
             out.append(cell)
             held += counts[cell]
         if j + 1 < n and (i == 0 or taken[i - 1] > j + 1):
-            heapq.heappush(heap, (-(a[i] + b[j + 1]), i, j + 1))
+            heapq.heappush(heap, (a[i] + b[j + 1], i, j + 1))
         if i + 1 < len(a) and taken[i + 1] == j:
-            heapq.heappush(heap, (-(a[i + 1] + b[j]), i + 1, j))
+            heapq.heappush(heap, (a[i + 1] + b[j], i + 1, j))
     return out
 
 
@@ -85,48 +91,70 @@ def _assigner(model, dim: int):
     return run
 
 
-def _router(model, dim: int, half_cells: int, wanted: int):
-    """Queries to the blocks of the index that hold their cells, with those cells as a mask."""
+def grouped(counts: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first group, number of groups) of the cells of each left centroid.
+
+    Centroids in turn share a group of about ``rows`` vectors; one with more has groups of its own.
+    """
+    first, many = np.zeros(len(counts), dtype=np.int64), np.ones(len(counts), dtype=np.int64)
+    at = held = 0
+    for i, c in enumerate(counts.tolist()):
+        if held and held + c > rows:
+            at, held = at + 1, 0
+        first[i] = at
+        if c > rows:
+            many[i] = -(-c // rows)
+            at += int(many[i])
+        else:
+            held += c
+    return first, many
+
+
+def _router(model, dim: int, wanted: int):
+    """Queries to the groups of the index that hold their cells, once each, with those cells as bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (left, right), counts, subs = model.value
-        half = left.shape[1]
-        counts_list = counts
+        (left, right), counts, first, many = model.value
+        half, width = left.shape[1], len(right)
+        lefts = {g: np.flatnonzero(first == g) for g in np.unique(first).tolist()}
         for batch in batches:
-            x = matrix(batch.column(1), dim)
-            a, b = x[:, :half] @ left.T, x[:, half:] @ right.T
-            rows, block, sub, mask = [], [], [], []
+            x = matrix(batch.column(1), dim).astype(np.float64)
+            # squared distances to the centroids, less what is the same for all
+            a, b = (((c * c).sum(1) - 2.0 * (y @ c.T)) for y, c in ((x[:, :half], left), (x[:, half:], right)))
+            rows, group, bits = [], [], []
             for q in range(len(x)):
-                by_block: dict[int, bytearray] = {}
-                for cell in nearest_cells(a[q], b[q], counts_list, wanted):
-                    by_block.setdefault(cell // half_cells, bytearray(half_cells))[cell % half_cells] = 1
-                for k, m in by_block.items():
-                    for s in range(subs[k]):
-                        rows.append(q)
-                        block.append(k)
-                        sub.append(s)
-                        mask.append(bytes(m))
+                visited = np.zeros(len(left) * width, dtype=bool)
+                visited[nearest_cells(a[q], b[q], counts, wanted)] = True
+                visited = visited.reshape(len(left), width)
+                for g, own in lefts.items():
+                    some = visited[own]
+                    if some.any():
+                        packed = np.packbits(some).tobytes()
+                        for k in range(int(many[own[0]])):
+                            rows.append(q)
+                            group.append(g + k)
+                            bits.append(packed)
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(block, pa.int32()), pa.array(sub, pa.int32()), pa.array(mask, pa.binary())],
-                ["id", "v", "block", "sub", "mask"],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(group, pa.int64()), pa.array(bits, pa.binary())], ["id", "v", "group", "bits"],
             )
 
     return run
 
 
-def _meet(dim: int, k: int, half_cells: int):
-    """The best ``k`` of a block's vectors for each of its queries."""
+def _meet(dim: int, k: int):
+    """The best ``k`` of a group's vectors for each of its queries."""
 
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
         if vectors.num_rows and queries.num_rows:
             vid, qid = vectors["id"].to_numpy(), queries["id"].to_numpy()
             v32, q32 = matrix(vectors["v"], dim), matrix(queries["v"], dim)
-            v, cell = v32.astype(np.float64), vectors["cell"].to_numpy() % half_cells
-            masks = np.frombuffer(b"".join(queries["mask"].to_pylist()), dtype=np.uint8).reshape(-1, half_cells)
+            v, cell = v32.astype(np.float64), vectors["place"].to_numpy()
+            bits = queries["bits"].to_pylist()
             for at in range(0, len(qid), 256):
-                q, m = q32[at : at + 256].astype(np.float64), masks[at : at + 256]
+                q = q32[at : at + 256].astype(np.float64)
+                m = np.unpackbits(np.frombuffer(b"".join(bits[at : at + 256]), dtype=np.uint8).reshape(len(q), -1), axis=1)
                 s = q @ v.T
                 s[m[:, cell] == 0] = -np.inf
                 s[qid[at : at + 256, None] == vid[None, :]] = -np.inf
@@ -147,22 +175,22 @@ def _meet(dim: int, k: int, half_cells: int):
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-           share: float = SHARE, least: int = LEAST, centroids: int = CENTROIDS) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", share: float = SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest by inner product among the other rows.
 
     Two halves of the vectors are quantised separately with centroids fitted on
     at most ``MAX_FITTED`` vectors; every vector is in one of the cells that the
-    pairs of centroids make. A query visits cells in order of the summed
-    products with the two centroids until they hold ``share`` of all vectors, and
+    pairs of centroids make. A query visits cells in order of the summed squared
+    distances to the two centroids until they hold ``share`` of all vectors, and
     reranks what they hold by the exact product. With ``share`` 1 the search is
     exhaustive.
 
-    Blocks of the index (cells of one left centroid) are split by a hash of the
-    id to about ``BLOCK_ROWS`` rows, and queries meet them in lots of about
-    ``BLOCK_QUERIES``. Of equal vectors only the k + 1 of the smallest ids can be
-    among the nearest, so only these enter a block: a common vector doesn't
-    crowd a cell, and no result is lost.
+    Cells lie in groups of about ``GROUP_ROWS`` vectors; a left centroid with more is split
+    by a hash of the id. A query goes to a group once, with its cells there as
+    bits. Only where there are more than ``GROUP_QUERIES`` queries does a group
+    meet them in lots, a nested loop of blocks. Of equal vectors only the k + 1 of
+    the smallest ids can be among the nearest, so only these enter the index: a
+    common vector doesn't crowd a cell, and no result is lost.
 
     Vectors that are null, empty, zero, of another length than most, or hold null or
     non-finite components take no part. Rows with a null id take no part. Ids
@@ -176,40 +204,42 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), is_query.alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0))
-    dims = rows.groupBy(F.size(v).alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
+    dims = rows.groupBy(F.size(v).alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asked")).orderBy(F.desc("n"), "dim").limit(1).collect()
     if not dims:
         return spark.createDataFrame([], empty)
-    dim, total = dims[0]["dim"], dims[0]["n"]
+    dim = dims[0]["dim"]
     rows = rows.where(F.size(v) == dim)
     fitted = take_by_hash(rows.select("id", "v"), "id", MAX_FITTED).toArrow()
     x = matrix(fitted["v"], dim).astype(np.float64)
-    half = max(1, dim // 2)
+    half, centroids = max(1, dim // 2), centroids_for(dims[0]["n"])
     centres = [kmeans(x[:, :half], centroids), kmeans(x[:, half:], centroids)] if dim > 1 else [kmeans(x, centroids), np.zeros((1, 0))]
-    half_cells = len(centres[1])
+    width = len(centres[1])
     model = spark.sparkContext.broadcast(centres)
     element = rows.schema["v"].dataType.simpleString()
     # one row of an id, then the k + 1 smallest ids of equal vectors
     few = rows.groupBy("id").agg(F.min("v").alias("v"))
     few = few.withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("nth") <= k + 1)
     indexed = cut(few.select("id", "v").mapInArrow(_assigner(model, dim), f"id long, v {element}, cell int"), "cells")
-    counts = np.zeros(len(centres[0]) * half_cells, dtype=np.int64)
-    for r in indexed.groupBy("cell").count().collect():  # at most centroids**2 rows
+    counts = np.zeros(len(centres[0]) * width, dtype=np.int64)
+    for r in indexed.groupBy("cell").count().collect():  # at most MOST_CENTROIDS**2 rows
         counts[r["cell"]] = r["count"]
-    subs = np.maximum(1, -(-counts.reshape(-1, half_cells).sum(1) // BLOCK_ROWS)).tolist()
-    routing = spark.sparkContext.broadcast((centres, counts.tolist(), subs))
+    first, many = grouped(counts.reshape(-1, width).sum(1), GROUP_ROWS)
+    # of each left centroid: its groups, and which of the centroids of its group it is
+    nth = np.arange(len(first)) - np.searchsorted(first, first)
+    routing = spark.sparkContext.broadcast((centres, counts.tolist(), first, many))
     asked = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"))
-    wanted = int(max(least, share * counts.sum()))
-    lots = max(1, -(-total // (20 * BLOCK_QUERIES)))
+    wanted = int(max(k + 1, share * counts.sum()))
+    lots = max(1, -(-dims[0]["asked"] // GROUP_QUERIES))
     sent = asked.select("id", "v").repartition(max(8, spark.sparkContext.defaultParallelism)).mapInArrow(
-        _router(routing, dim, half_cells, wanted), f"id long, v {element}, block int, sub int, mask binary"
-    ).withColumn("lot", F.pmod(F.xxhash64("id"), F.lit(lots)).cast("int"))
-    sub_of = F.element_at(F.array(*[F.lit(int(s)) for s in subs]), F.col("block") + 1)
-    held = (
-        indexed.withColumn("block", F.floor(F.col("cell") / half_cells).cast("int"))
-        .withColumn("sub", F.pmod(F.xxhash64("id"), sub_of).cast("int"))
-        .withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+        _router(routing, dim, wanted), f"id long, v {element}, group long, bits binary"
+    ).withColumn("lot", F.pmod(F.xxhash64("id"), F.lit(lots)))
+    left = F.floor(F.col("cell") / width).cast("int") + 1
+    of = lambda values: F.element_at(F.array(*[F.lit(int(y)) for y in values]), left)
+    held = indexed.select(
+        (of(first) + F.pmod(F.xxhash64("id"), of(many))).cast("long").alias("group"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))).alias("lot"),
+        "id", "v", (of(nth) * width + F.pmod(F.col("cell"), F.lit(width))).alias("place"),
     )
-    key = ["block", "sub", "lot"]
-    found = held.groupBy(key).cogroup(sent.groupBy(key)).applyInArrow(_meet(dim, k, half_cells), "query_id long, vec_id long, score double")
+    key = ["group", "lot"]
+    found = held.groupBy(key).cogroup(sent.groupBy(key)).applyInArrow(_meet(dim, k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

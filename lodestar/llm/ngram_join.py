@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -19,6 +20,8 @@ from lodestar.llm.textkernels import Words, chunks, windows
 CELL_BITS = 22
 #: Hash ranges in which the suffix filter compares two sets.
 RANGES = 32
+#: Classes of a shingle that meet by this shingle alone, at most; with more, they meet by a second one as well.
+COMMON = 64
 
 
 def _tally(width: int):
@@ -90,7 +93,8 @@ def _sets(width: int, num: int, den: int, order, whole: bool):
                 n = np.diff(edge)
                 cls = [hashlib.blake2b(h[a:b].tobytes() + g[a:b].tobytes(), digest_size=16).digest() for a, b in zip(edge[:-1], edge[1:], strict=True)]
                 signed = h.view(np.int64)
-                size = n if whole else np.array([prefix_length(int(k), num, den) for k in n], dtype=np.int64)
+                # one token more than the prefix, for pairs that meet by two
+                size = n if whole else np.minimum(n, np.array([prefix_length(int(k), num, den) + 1 for k in n], dtype=np.int64))
                 take = np.repeat(edge[:-1] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
                 edges = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
                 tokens = pa.ListArray.from_arrays(edges, pa.array(signed[take]))
@@ -119,14 +123,33 @@ def _positional(n1: Column, p1: Column, n2: Column, p2: Column, num: int, den: i
     return F.least(n1 - p1, n2 - p2) >= _least_overlap(n1, n2, num, den)
 
 
+def _prefix(n: Column, num: int, den: int) -> Column:
+    """``prefix_length`` as a column, of n > 0."""
+    return n - F.floor((n * num + (den - 1)) / den) + 1
+
+
+def _suffix(ranges: Column, tokens: Column, position: Column) -> Column:
+    """How many tokens behind ``position`` fall in each range: those of the whole set without the first ones."""
+    first = F.transform(F.slice(tokens, F.lit(1), position + 1), lambda t: F.shiftrightunsigned(t, 20).bitwiseAND(F.lit(RANGES - 1)).cast("int"))
+    return F.transform(ranges, lambda c, i: c - F.size(F.filter(first, lambda r: r == i)))
+
+
 def _suffix_filter(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Drops pairs whose sets differ too much in the ranges of the hash: a lower bound of their difference."""
-    own = sets.select("rep", "n", "ranges")
-    a = own.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("ranges").alias("ra"))
-    b = own.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("ranges").alias("rb"))
-    apart = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    """Drops pairs (a, b, pa, pb) whose suffixes behind their first shared token differ too much.
+
+    What suffixes hold in each range of the hash bounds their difference from
+    below. The first tokens share at most min(pa, pb) + 1, so suffixes must share the rest
+    of the least overlap.
+    """
+    own = sets.select("rep", "n", "tokens", "ranges")
+    a = own.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"), F.col("ranges").alias("ra"))
+    b = own.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"), F.col("ranges").alias("rb"))
     joined = pairs.join(a, "a").join(b, "b")
-    return joined.where(apart <= F.col("na") + F.col("nb") - 2 * _least_overlap(F.col("na"), F.col("nb"), num, den)).select("a", "b")
+    sa, sb = _suffix(F.col("ra"), F.col("ta"), F.col("pa")), _suffix(F.col("rb"), F.col("tb"), F.col("pb"))
+    apart = F.aggregate(F.zip_with(sa, sb, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    needed = _least_overlap(F.col("na"), F.col("nb"), num, den) - F.least("pa", "pb") - 1
+    room = F.col("na") - F.col("pa") + F.col("nb") - F.col("pb") - 2
+    return joined.where(apart <= room - 2 * F.greatest(needed, F.lit(0))).select("a", "b")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int, order) -> DataFrame:
@@ -185,7 +208,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
        filter and the exact test once per pair. Components of these links follow.
     2. Shingles whose classes are all in one component are done: no pair of them
        can change the result. In the others, classes of different components
-       meet in full, under the same filters.
+       meet within bands of length, under the same filters. A shingle of more
+       than ``COMMON`` classes pairs none by itself: a pair at the threshold
+       shares two tokens of prefixes that are one token longer, so its classes
+       meet by this shingle and a second one.
 
     So no large group of near copies is expanded into all its pairs, while
     every link between two components is found. Sets are compared as two
@@ -207,7 +233,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         rows.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("cls")
         .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("ranges").alias("ranges")), "classes",
     )
-    entries = sets.select("rep", "n", F.posexplode("tokens").alias("pos", "tok"))
+    entries = sets.select("rep", "n", F.posexplode("tokens").alias("pos", "tok")).where(F.col("pos") < _prefix(F.col("n"), num, den))
     packed = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")
     entries = entries.select("tok", "rep", packed.alias("np"))
     rank = F.shiftleft(F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)), 36) + F.shiftrightunsigned(F.xxhash64("rep"), 28)
@@ -220,20 +246,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     n = lambda c: F.shiftright(F.col(c), 32)
     p = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
     filters = lambda x, y: _close_lengths(n(x), n(y), num, den) & _positional(n(x), p(x), n(y), p(y), num, den)
-    ordered = [F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")]
-    starred = shared.where((F.col("rep") != F.col("hub")) & filters("np", "hub_np")).groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("c"))
+    first = F.col("rep") < F.col("hub")
+    ordered = [F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), F.when(first, p("np")).otherwise(p("hub_np")).alias("pa"), F.when(first, p("hub_np")).otherwise(p("np")).alias("pb")]
+    starred = shared.where((F.col("rep") != F.col("hub")) & filters("np", "hub_np"))
+    # of the tokens that two classes share in their prefixes, the first; positions rise together
+    starred = starred.groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(p("np").alias("at"), "np", "hub_np")).alias("f"))
     # each class tests its likeliest hub now; the rest is left to the second step
-    best = starred.groupBy("rep").agg(F.max_by("hub", F.struct("c", F.xxhash64("hub"))).alias("hub"))
-    pairs = cut(_suffix_filter(best.select(*ordered).distinct(), sets, num, den), "pairs")
+    best = starred.groupBy("rep").agg(F.max_by(F.struct("hub", "f.np", "f.hub_np"), F.struct("c", F.xxhash64("hub"))).alias("x")).select("rep", "x.*")
+    pairs = cut(_suffix_filter(best.select(*ordered).groupBy("a", "b").agg(F.min("pa").alias("pa"), F.min("pb").alias("pb")), sets, num, den), "pairs")
     links = _verify(pairs, own, width, num, den, order)
     labels = components(links)
     labelled = shared.select("tok", "rep", "np").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     labelled = cut(labelled, "labelled")
-    open_toks = labelled.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
-    rest = labelled.join(open_toks, "tok", "left_semi")
-    x = rest.select("tok", F.col("rep").alias("a"), F.col("np").alias("pa"), F.col("comp").alias("ca"))
-    y = rest.select("tok", F.col("rep").alias("b"), F.col("np").alias("pb"), F.col("comp").alias("cb"))
-    meet = x.join(y, "tok").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & filters("pa", "pb")).select("a", "b").distinct()
+    open_toks = labelled.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("classes")).where("lo < hi").select("tok", "classes")
+    # nothing is aggregated after this join, so adaptive execution can split a shingle of many classes
+    rest = cut(labelled.join(open_toks, "tok").withColumn("band", F.floor(F.log(n("np")) / math.log(den / num)).cast("int")), "open")
+    few, many = rest.where(F.col("classes") <= COMMON), rest.where(F.col("classes") > COMMON)
+    seconds = sets.select("rep", F.explode("tokens").alias("second"))
+    many = many.join(seconds, "rep").where(F.col("second") != F.col("tok"))
+
+    def met(rows: DataFrame, *keys: str) -> DataFrame:
+        """Pairs of different components; the longer class looks into its own band and the next shorter one."""
+        x = rows.select(*keys, F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("rep").alias("x"), F.col("np").alias("nx"), F.col("comp").alias("cx"))
+        y = rows.select(*keys, "band", F.col("rep").alias("y"), F.col("np").alias("ny"), F.col("comp").alias("cy"))
+        longer = (n("nx") > n("ny")) | ((n("nx") == n("ny")) & (F.col("x") < F.col("y")))
+        pair = x.join(y, [*keys, "band"]).where(longer & (F.col("cx") != F.col("cy")) & filters("nx", "ny"))
+        swap = F.col("x") < F.col("y")
+        return pair.select(
+            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, p("nx")).otherwise(p("ny")).alias("pa"), F.when(swap, p("ny")).otherwise(p("nx")).alias("pb"),
+        )
+
+    meet = met(few, "tok").unionByName(met(many, "tok", "second")).groupBy("a", "b").agg(F.min("pa").alias("pa"), F.min("pb").alias("pb"))
     fresh = meet.join(pairs, ["a", "b"], "left_anti")
     pairs2 = cut(_suffix_filter(fresh, sets, num, den), "pairs")
     if pairs2.limit(1).count():
@@ -246,7 +289,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("comp"))).otherwise(F.col("id")).alias("component_id"),
     )
-    drop(sets, shared, pairs, pairs2, labelled)
+    drop(sets, shared, pairs, pairs2, labelled, rest)
     return out
 
 

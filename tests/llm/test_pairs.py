@@ -1,5 +1,6 @@
 """The shingle join and the multi-index against brute force."""
 
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -68,6 +69,22 @@ def test_hot_group(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(rows, 4, 85, 100)
 
 
+def test_common_shingles_meet_by_two(spark, monkeypatch):
+    """Texts of few different words: many classes share each shingle, and few link."""
+    monkeypatch.setattr(ngram_join, "COMMON", 2)
+    rng = random.Random(5)
+    rows = []
+    for i in range(120):
+        t = [rng.choice("abcde") for _ in range(rng.randint(5, 40))]
+        rows.append((i, " ".join(t), None, None, 0))
+        if i % 4 == 0:
+            t[rng.randrange(len(t))] = "z"
+            rows.append((1000 + i, " ".join(t), None, None, 0))
+    for width, num in ((1, 60), (2, 70), (3, 80)):
+        got = ngram_join.near_duplicates(spark.createDataFrame(rows, messy.SCHEMA), width, num, 100).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(rows, width, num, 100)
+
+
 def test_prefix_lengths():
     for n in range(1, 200):
         p = ngram_join.prefix_length(n, 85, 100)
@@ -126,7 +143,7 @@ def test_recall(spark):
     x = x.astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = defaultdict(set)
-    for r in ann.search(df, F.col("vec_id") % 20 == 0, 20, least=0).collect():
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, 20).collect():
         got[r.query_id].add(r.vec_id)
     hits = [len(got[q] & {i for i, _ in brute(x.astype(np.float64), q, 20)}) for q in range(0, 3000, 20)]
     assert np.mean(hits) / 20 >= 0.9
@@ -138,10 +155,40 @@ def test_cells_come_in_order():
     counts = np.ones(63, dtype=int).tolist()
     order = ann.nearest_cells(a, b, counts, 63)
     sums = [a[c // 7] + b[c % 7] for c in order]
-    assert sorted(order) == list(range(63)) and sums == sorted(sums, reverse=True)
+    assert sorted(order) == list(range(63)) and sums == sorted(sums)
     assert ann.nearest_cells(a, b, counts, 10) == order[:10]
 
 
+@pytest.mark.parametrize("group", [50, 700, 8000])
+def test_groups_of_the_index(spark, monkeypatch, group):
+    """Groups that split a centroid, groups that hold many, and lots of queries find the same."""
+    monkeypatch.setattr(ann, "GROUP_ROWS", group)
+    monkeypatch.setattr(ann, "GROUP_QUERIES", 6)
+    monkeypatch.setattr(ann, "LEAST_CENTROIDS", 5)
+    df, x = vectors(spark)
+    got = defaultdict(list)
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, 20, share=1.0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert {q: [i for i, _ in brute(x, q, 20)] for q in range(0, 400, 20)} == got
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_recall_of_the_registered_query(spark, sf):
+    from lodestar.llm import queries
+
+    d = f"/root/testdata/{sf}"
+    if not os.path.isdir(d):
+        pytest.skip("no tables")
+    e = {r.vec_id: np.array(r.embedding, dtype=np.float64) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
+    ids = np.array(sorted(e))
+    m = np.array([e[i] for i in ids])
+    got = defaultdict(set)
+    for r in queries.op10_ann(spark, d).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = [len(got[q] & {int(ids[i]) for i, _ in brute(m, int(np.searchsorted(ids, q)), 20)}) for q in ids[ids % 20 == 0].tolist()]
+    assert np.mean(hits) / 20 >= 0.9
+
+
 def test_few_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.search(none, F.col("vec_id") % 20 == 0).count() == 0
