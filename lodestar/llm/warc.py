@@ -18,8 +18,10 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
 #: Two line ends close a record; Spark's text writer puts them after each row.
 CLOSE = CRLF + CRLF
-#: Records of one archive file, at most.
-FILE_RECORDS = 2_000
+#: Bytes of the payloads of one archive file, at most (a larger payload has a file of its own), and its records.
+FILE_BYTES, FILE_RECORDS = 128 << 20, 2_000
+#: The head that a response carries before its payload.
+HTTP_HEAD = "HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + CRLF
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -39,39 +41,56 @@ def record_id(page_id: Column) -> Column:
 
 
 def one_line(value: Column) -> Column:
-    return F.regexp_replace(F.coalesce(value, F.lit("")), r"[\r\n]+", " ")
+    return F.regexp_replace(value, r"[\r\n]+", " ")
 
 
 def _head(lines: list[tuple[str, Column]]) -> Column:
+    """Header lines; one whose value is null is left out."""
     parts = [F.lit("WARC/1.1" + CRLF)]
     for name, value in lines:
-        parts += [F.lit(f"{name}: "), value, F.lit(CRLF)]
+        parts.append(F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit("")))
     return F.concat(*parts, F.lit(CRLF))
 
 
 def records(pages: DataFrame, when: str) -> Column:
-    """The text of a record of (page_id, url, payload, digest, refers_to, refers_url); a revisit has no payload."""
+    """The text of a record of (page_id, url, payload, digest, refers_to, refers_url); a revisit has the HTTP head alone."""
     common = [("WARC-Record-ID", record_id(F.col("page_id"))), ("WARC-Target-URI", one_line(F.col("url"))), ("WARC-Date", F.lit(when)),
-              ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))]
-    response = F.concat(
-        _head([("WARC-Type", F.lit("response")), *common, ("Content-Type", F.lit("text/html")), ("Content-Length", F.octet_length("payload").cast("string"))]),
-        F.col("payload"),
-    )
-    revisit = _head([
+              ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), ("Content-Type", F.lit("application/http; msgtype=response"))]
+    length = F.octet_length("payload") + len(HTTP_HEAD)
+    response = F.concat(_head([("WARC-Type", F.lit("response")), *common, ("Content-Length", length.cast("string"))]), F.lit(HTTP_HEAD), F.col("payload"))
+    revisit = F.concat(_head([
         ("WARC-Type", F.lit("revisit")), *common, ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", record_id(F.col("refers_to"))),
-        ("WARC-Refers-To-Target-URI", one_line(F.col("refers_url"))), ("X-Payload-Length", F.col("bytes").cast("string")), ("Content-Length", F.lit("0")),
-    ])
+        ("WARC-Refers-To-Target-URI", one_line(F.col("refers_url"))), ("WARC-Refers-To-Date", F.lit(when)), ("X-Payload-Length", F.col("bytes").cast("string")),
+        ("Content-Length", F.lit(str(len(HTTP_HEAD)))),
+    ]), F.lit(HTTP_HEAD))
     return F.when(F.col("refers_to").isNull(), response).otherwise(revisit)
 
 
-def write_archives(rows: DataFrame, path: str, when: str) -> None:
-    """Writes records as gzip archives, at most ``FILE_RECORDS`` in each, through Spark's committer.
+def size_class(payload: Column) -> Column:
+    """0 for payloads of which ``FILE_RECORDS`` fill ``FILE_BYTES`` at most, then one for each factor of eight."""
+    least = FILE_BYTES // FILE_RECORDS
+    size = F.greatest(F.coalesce(F.octet_length(payload), F.lit(0)), F.lit(least)).cast("double")
+    return F.ceil(F.log(size / least) / F.log(F.lit(8.0)) - 1e-9).cast("int")
+
+
+def size_classes(rows: DataFrame) -> list[int]:
+    """The classes of the payloads of ``rows``: one for each factor of eight."""
+    return sorted(r[0] for r in rows.select(size_class(F.col("payload")).alias("c")).distinct().collect()) or [0]
 
-    The text writer puts ``CLOSE`` after every row, which is what ends a WARC
-    record, so files are valid archives on any file system that Spark writes.
+
+def write_archives(rows: DataFrame, path: str, when: str, classes: list[int]) -> None:
+    """Writes records as gzip archives through Spark's committer, a folder for each class of payload sizes.
+
+    The records of a file are bounded so that payloads of its class stay within
+    ``FILE_BYTES``: a reader, which gets a whole file in one row, never meets a
+    large one unless a single payload is large. The text writer puts ``CLOSE`` after every row, which is what
+    ends a WARC record, so files are valid archives on any file system that Spark
+    writes.
     """
-    (rows.select(records(rows, when).alias("record")).write.option("lineSep", CLOSE).option("compression", "gzip")
-     .option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", FILE_RECORDS).text(path))
+    for c in classes:
+        own = rows.where(size_class(F.col("payload")) == c) if len(classes) > 1 else rows
+        (own.select(records(own, when).alias("record")).write.option("lineSep", CLOSE).option("compression", "gzip")
+         .option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", max(1, FILE_RECORDS // 8**c)).text(f"{path}/size-{c}"))
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -102,10 +121,12 @@ def _read(with_payload: bool):
                 for head, block in parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer())))):
                     digest = head["warc-payload-digest"].removeprefix("sha1:")
                     response = head["warc-type"] == "response"
+                    if head.get("content-type", "").startswith("application/http"):
+                        block = block[block.index(b"\r\n\r\n") + 4 :]
                     if response and base64.b32encode(hashlib.sha1(block).digest()).decode() != digest:
                         raise ValueError(f"damaged record {head['warc-record-id']}")
                     size = len(block) if response else int(head["x-payload-length"])
-                    rows.append((head["warc-record-id"], head["warc-target-uri"], head["warc-type"], digest, size, head.get("warc-refers-to"), block.decode("utf-8", "replace") if with_payload else None))
+                    rows.append((head["warc-record-id"], head.get("warc-target-uri"), head["warc-type"], digest, size, head.get("warc-refers-to"), block.decode("utf-8", "replace") if with_payload else None))
                     held += len(block) if with_payload else 0
                     if len(rows) >= 1000 or held > 1 << 22:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names)
@@ -124,10 +145,10 @@ def read_archives(spark, path: str, with_payload: bool = False) -> DataFrame:
     """(record, url, type, digest, bytes, refers, payload) of the records under ``path``.
 
     Digests of responses are checked against their blocks; a damaged record fails the read.
-    A task holds the files of one partition of at most ``spark.sql.files.maxPartitionBytes``.
+    A file is one row, so files are written within ``FILE_BYTES`` of payloads.
     """
     tune(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(_read(with_payload), _SCHEMA)
 
 
@@ -147,16 +168,19 @@ def resolve(headers: DataFrame, least: int = 0) -> DataFrame:
 
 
 def deduplicate(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", body_col: str = "html",
-                when: str = "2024-01-01T00:00:00Z") -> tuple[DataFrame, str]:
+                when: str = "2024-01-01T00:00:00Z", path: str | None = None) -> tuple[DataFrame, str]:
     """Archives pages, deduplicates the archives by revisit records; (records as read back, path of the archives).
 
+    Archives written to ``path`` stay there; without one they lie in the shared
+    folder until the driver exits. ``when`` is the date of all records.
+
     Pages are first written as one response record each and read back, so the
     resolution works on archives alone: headers are shuffled by payload digest
     and length, and of equal payloads of at least ``least`` bytes the smallest
     page id stays a response while the others refer to it. The deduplicated
     archives get fresh headers; a revisit carries no payload.
 
-    A null body is an empty payload. Line ends in urls become spaces. Ids must be
+    A null body is an empty payload. A null url has no header and is null when read; line ends in urls become spaces. Ids must be
     integers and are taken as unique: of rows that repeat one, each is written and
     all resolve alike; a null id is a response of its own. Extra columns are ignored. An
     empty table gives an empty result.
@@ -166,15 +190,16 @@ def deduplicate(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_c
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(body_col), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.encode("payload", "UTF-8"))).withColumn("bytes", F.octet_length("payload").cast("long"))
     none = rows.withColumn("refers_to", F.lit(None).cast("long")).withColumn("refers_url", F.lit(None).cast("string"))
-    raw, final = table_path(spark, "warc-raw"), table_path(spark, "warc")
-    write_archives(none, raw, when)
+    raw, final = table_path(spark, "warc-raw"), path or table_path(spark, "warc")
+    classes = size_classes(rows)
+    write_archives(none, raw, when, classes)
     number = F.regexp_extract("record", r"<urn:page:(-?\d*)>", 1)
     page_id = F.when(number != "", number.cast("long"))
     headers = cut(read_archives(spark, raw).select(page_id.alias("page_id"), "url", "digest", "bytes"), "warc-headers")
     links = resolve(headers, least).where("refers_to is not null").groupBy("page_id", "digest", "bytes").agg(F.first("refers_to").alias("refers_to"), F.first("refers_url").alias("refers_url"))
     again = read_archives(spark, raw, with_payload=True).select(page_id.alias("page_id"), "url", "digest", "bytes", "payload")
     # a response keeps its payload beside the join; only a revisit's is dropped
-    write_archives(again.join(links, ["page_id", "digest", "bytes"], "left"), final, when)
+    write_archives(again.join(links, ["page_id", "digest", "bytes"], "left"), final, when, classes)
     target = F.regexp_extract("refers", r"<urn:page:(-?\d*)>", 1)
     out = read_archives(spark, final).select(
         page_id.alias(id_col), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"),

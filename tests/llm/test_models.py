@@ -168,6 +168,26 @@ def test_archives(spark, least):
     assert ("<urn:page:502>", rows[202][2]) in back and ("<urn:page:503>", rows[203][2]) in back
 
 
+def test_archives_are_bounded_by_bytes_and_stay(spark, tmp_path, monkeypatch):
+    """Large payloads lie in files of few records, and archives at a given path outlive the session's tables."""
+    import glob
+    import gzip
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "FILE_RECORDS", 20)
+    rng = random.Random(9)
+    rows = [(i, f"http://x/{i}" if i % 9 else None, "é" * rng.choice([0, 10, 400, 1500, 9000, 40_000])) for i in range(120)]
+    out = str(tmp_path / "archives")
+    got, path = warc.deduplicate(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path=out)
+    assert path == out and {r.page_id: r.target_uri for r in got.collect()} == {i: u for i, u, _ in rows}
+    sizes = [[len(b) for _, b in warc.parse(gzip.open(f))] for f in glob.glob(f"{out}/*/*.gz")]
+    assert sum(map(len, sizes)) == len(rows)
+    assert all(sum(s) <= 20_000 + 20 * len(warc.HTTP_HEAD) or len(s) == 1 for s in sizes)
+    from lodestar.llm import runtime
+
+    assert out not in runtime._made
+
+
 def test_no_pages(spark):
     got, _ = warc.deduplicate(spark.createDataFrame([], "page_id long, url string, html string"))
     assert got.count() == 0
@@ -215,6 +235,50 @@ def test_language(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(by) - {2000, 2001, 2002}
 
 
+def plain_mixture(loglik, allowed, rounds):
+    """EM of one document, word by word."""
+    share = {k: 1 / len(allowed) for k in allowed}
+    for _ in range(rounds):
+        total = dict.fromkeys(allowed, 0.0)
+        for word in loglik:
+            joint = {k: share[k] * math.exp(word[k]) for k in allowed}
+            for k in allowed:
+                total[k] += joint[k] / sum(joint.values())
+        share = {k: v / len(loglik) for k, v in total.items()}
+    return share, sum(math.log(sum(share[k] * math.exp(word[k]) for k in allowed)) for word in loglik)
+
+
+def test_mixtures_and_sets_against_plain_ones():
+    rng = np.random.default_rng(3)
+    sizes = [1, 2, 7, 30, 80]
+    loglik = np.concatenate([rng.normal(-6, 2, (n, 4)) + 3 * np.eye(4)[rng.integers(0, 1 + k % 4, n)] for k, n in enumerate(sizes)])
+    starts = np.cumsum([0, *sizes[:-1]])
+    best, chosen = langid.choose(loglik, starts)
+    for d, (s, n) in enumerate(zip(starts, sizes, strict=True)):
+        words = loglik[s : s + n].tolist()
+        full, _ = plain_mixture(words, range(4), langid.ROUNDS)
+        order = sorted(range(4), key=lambda k: -full[k])
+        value, kept = -math.inf, None
+        for k in range(1, 5):
+            share, ll = plain_mixture(words, order[:k], langid.ROUNDS)
+            now = ll - langid.PENALTY * k * 0.5 * math.log(n + 1)
+            if now <= value:
+                break
+            value, kept = now, share
+        assert chosen[d] == len(kept)
+        assert best[d].tolist() == pytest.approx([kept.get(k, 0.0) for k in range(4)], abs=1e-9)
+
+
+def test_clean_documents_of_many_languages_stay(spark):
+    rng = random.Random(14)
+    rows = [(i, speech(rng, l, 30), l) for i, l in enumerate([*LANGS] * 30)]
+    rows += [(500, " ".join(speech(rng, l, 20) for l in LANGS), None), (501, "12 !", None)]
+    kept = {r.doc_id for r in langid.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert kept == {r[0] for r in rows} - {501}
+    blank = spark.createDataFrame([(1, "words", None), (2, None, None)], "doc_id long, text string, lang string")
+    assert langid.keep_identified(blank).count() == 2  # nothing was learned, so nothing is rejected
+
+
 def test_language_without_labels(spark):
     df = spark.createDataFrame([(1, "the house", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in langid.identify(df).collect()] == [("und", 0.0)]
@@ -244,6 +308,35 @@ def test_quality(spark):
     assert blank[9000] == blank[9001]
 
 
+def test_updates_against_plain_ones():
+    """FTRL-proximal as it is written down, one weight at a time."""
+    rng = np.random.default_rng(4)
+    size = 30
+    rows = [(np.unique(rng.integers(0, size, 6)), int(rng.integers(0, 2))) for _ in range(60)]
+    rows = [(at, rng.random(len(at)), y) for at, y in rows]
+    z, n = np.zeros(size + 1), np.zeros(size + 1)
+    quality.fit_ftrl(rows, z, n)
+    pz, pn = [0.0] * (size + 1), [0.0] * (size + 1)
+
+    def weight(i):
+        l1, l2 = (quality.L1, quality.L2) if i < size else (0.0, 0.0)
+        if abs(pz[i]) <= l1:
+            return 0.0
+        return -(pz[i] - math.copysign(l1, pz[i])) / ((quality.BETA + math.sqrt(pn[i])) / quality.ALPHA + l2)
+
+    for at, x, y in rows:
+        pairs = [*zip(at.tolist(), x.tolist(), strict=True), (size, 1.0)]
+        w = {i: weight(i) for i, _ in pairs}
+        p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in pairs)))
+        for i, v in pairs:
+            g = (p - y) * v
+            sigma = (math.sqrt(pn[i] + g * g) - math.sqrt(pn[i])) / quality.ALPHA
+            pz[i] += g - sigma * w[i]
+            pn[i] += g * g
+    assert z.tolist() == pytest.approx(pz) and n.tolist() == pytest.approx(pn)
+    assert quality.weights_of(z, n).tolist() == pytest.approx([weight(i) for i in range(size + 1)], abs=1e-6)
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -296,6 +389,7 @@ def test_blobs():
     rng = np.random.default_rng(1)
     arrays = [rng.integers(0, 9, 50), np.zeros(0, dtype=np.int32), rng.random(3).astype(np.float32), rng.integers(0, 2**63, 7).astype(np.uint64)]
     got = lm.unpack(lm.pack(*arrays))
+    assert all((lm.sums_of(lm.steps_of(a)) == a).all() for a in arrays if a.dtype.kind != "f")
     assert [a.dtype for a in got] == [a.dtype for a in arrays] and all((a == b).all() for a, b in zip(got, arrays, strict=True))
 
 
@@ -385,7 +479,7 @@ def test_probabilities_sum_to_one(spark):
     # every known word, an unknown one and the end come after the context, so its part knows them all
     text = " ".join(f"{context} {w}" for w in [*vocabulary, "neverseen"]) + f" {context}"
     model = lm.train(spark.createDataFrame([*rows, (held, text)], "id long, text string"))
-    blobs = {(r["kind"], r["part"]): lm.unpack(r["blob"]) for r in model.state.collect()}
+    blobs = {(r["kind"], r["part"]): (lm.unpack_pairs if r["kind"] == "pairs" else lm.unpack)(r["blob"]) for r in model.state.collect()}
     seen = 0
     for (kind, part), blob in blobs.items():
         if kind != "pairs":
