@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.plans.lineage import cut
+
 HEADING_FACTOR = 1.2
 
 
@@ -57,28 +59,43 @@ def html_headings(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(found).alias("pos", "heading"))
 
 
-def read_files(spark, path: str, parser, pattern: str = "*.pdf") -> tuple[DataFrame, DataFrame]:
-    """Lines and tables of files, for ``page_chunks``, by an injected parser.
+_LINE, _TABLE = "struct<page_num:int,line_num:int,text:string,size:double>", "struct<page_num:int,table_num:int,rows:array<array<string>>>"
+
+
+def parse_files(spark, path: str, parser, pattern: str = "*.pdf") -> DataFrame:
+    """(doc_name, lines, tables, status) of files, by an injected parser.
 
     ``parser`` takes the bytes of a file and gives lines (page_num, line_num,
-    text, size) and tables (page_num, table_num, rows). The name of a document is
-    the stem of its file, so reading a file again gives the same ids.
+    text, size) and tables (page_num, table_num, rows). A file that fails has
+    empty lists and ``failed: <error>`` as its status, and does not stop the
+    others; the rest is ``ok``. The name of a document is the stem of its file,
+    so reading a file again gives the same ids.
     """
     from collections.abc import Iterator
 
     import pandas as pd
 
+    def one(content):
+        try:
+            lines, tables = parser(bytes(content))
+            return (
+                [dict(zip(("page_num", "line_num", "text", "size"), x, strict=True)) for x in lines],
+                [dict(zip(("page_num", "table_num", "rows"), x, strict=True)) for x in tables], "ok",
+            )
+        except Exception as e:  # noqa: BLE001  the status column reports it
+            return [], [], f"failed: {type(e).__name__}"
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            found = [parser(bytes(c)) for c in pdf["content"]]
-            yield pd.DataFrame({
-                "path": pdf["path"],
-                "lines": [[dict(zip(("page_num", "line_num", "text", "size"), x, strict=True)) for x in lines] for lines, _ in found],
-                "tables": [[dict(zip(("page_num", "table_num", "rows"), x, strict=True)) for x in tables] for _, tables in found],
-            })
-
-    line, table = "struct<page_num:int,line_num:int,text:string,size:double>", "struct<page_num:int,table_num:int,rows:array<array<string>>>"
+            found = [one(c) for c in pdf["content"]]
+            yield pd.DataFrame({"path": pdf["path"], "lines": [x for x, _, _ in found], "tables": [x for _, x, _ in found], "status": [x for _, _, x in found]})
+
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
-    parsed = files.mapInPandas(run, f"path string, lines array<{line}>, tables array<{table}>")
-    named = parsed.select(F.url_decode(F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)).alias("doc_name"), "lines", "tables")
-    return named.select("doc_name", F.explode("lines").alias("l")).select("doc_name", "l.*"), named.select("doc_name", F.explode("tables").alias("t")).select("doc_name", "t.*")
+    parsed = files.mapInPandas(run, f"path string, lines array<{_LINE}>, tables array<{_TABLE}>, status string")
+    return parsed.select(F.url_decode(F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)).alias("doc_name"), "lines", "tables", "status")
+
+
+def read_files(spark, path: str, parser, pattern: str = "*.pdf") -> tuple[DataFrame, DataFrame]:
+    """Lines and tables of the files that ``parse_files`` can read, for ``page_chunks``."""
+    parsed = cut(parse_files(spark, path, parser, pattern))  # every file is parsed once
+    return parsed.select("doc_name", F.explode("lines").alias("l")).select("doc_name", "l.*"), parsed.select("doc_name", F.explode("tables").alias("t")).select("doc_name", "t.*")

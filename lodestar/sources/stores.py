@@ -9,6 +9,7 @@ from lodestar.functions.text import iri
 from lodestar.operators.dense import exact_topk
 from lodestar.operators.graph import adjacency
 from lodestar.operators.lexical import LexicalIndex
+from lodestar.plans.lineage import cut
 
 
 def upsert(held: DataFrame, new: DataFrame, key: str = "chunk_id", order: str = "version") -> DataFrame:
@@ -37,6 +38,28 @@ def write_relations(relations: DataFrame, path: str) -> None:
     distinct_relations(relations).write.mode("overwrite").partitionBy("rtype").parquet(path)
 
 
+def load_relations(relations: DataFrame, path: str) -> int:
+    """Adds the relations that a graph does not hold yet, a folder a type; how many they were.
+
+    Loading the same again adds nothing. The new rows are found before anything is written.
+    """
+    spark = relations.sparkSession
+    new = distinct_relations(relations)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        new = new.join(read_relations(spark, path), ["head", "rtype", "tail"], "left_anti")
+    new = cut(new)
+    n = new.count()
+    if n:
+        new.repartition("rtype").write.mode("append").partitionBy("rtype").parquet(path)
+    return n
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON documents, one a line; a line that is none raises when read."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def read_relations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("head", "rtype", "tail")
 

@@ -54,8 +54,38 @@ def test_a_reader_between_writes_sees_the_last_generation(spark, tmp_path, monke
     assert e.health() == {"status": "ok", "generation": 2, "chunks": 2, "vectors": False}
 
 
+def test_requests(spark, tmp_path):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from lodestar import service
+
+    e = Engine(spark, str(tmp_path / "store"))
+    ask = lambda path, body=None, method="POST": service.handle(e, method, path, b"" if body is None else json.dumps(body).encode())
+    assert ask("/health", method="GET")[1]["status"] == "empty" and ask("/health")[0] == 405 and ask("/other")[0] == 404
+    assert ask("/query", {"question": "tide"})[0] == 404
+    assert ask("/ingest", {"documents": [{"name": "a.exe", "text": "x"}]})[0] == 400
+    for bad in ({}, {"documents": []}, {"documents": [{"name": "a.txt"}]}, {"documents": [{"name": "a.txt", "text": " "}]}):
+        assert ask("/ingest", bad)[0] == 422
+    assert service.handle(e, "POST", "/ingest", b"{")[0] == 422
+    assert ask("/ingest", {"documents": [{"name": "a.txt", "text": "tide tables"}, {"name": "b.md", "text": "harvest dates"}]}) == (200, {"chunks": 2})
+    assert ask("/query", {"question": " "})[0] == 422 and ask("/query", {"question": "tide", "k": 0})[0] == 422
+    server = service.serve(e, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    with urllib.request.urlopen(urllib.request.Request(f"{url}/query", json.dumps({"question": "tide", "k": 1}).encode())) as r:
+        found = json.load(r)
+    assert found["results"][0]["doc_name"] == "a" and found["answer"].startswith("[a")
+    with pytest.raises(urllib.error.HTTPError, match="404"):
+        urllib.request.urlopen(f"{url}/nothing")
+    server.shutdown()
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "manual 1.pdf").write_bytes(b"Title|body")
+    (tmp_path / "broken.pdf").write_bytes(b"no bar")
 
     def parser(content):
         a, b = content.decode().split("|")
@@ -63,3 +93,5 @@ def test_files(spark, tmp_path):
 
     got = pages.page_chunks(*pages.read_files(spark, str(tmp_path), parser)).collect()
     assert [(r.chunk_id, r.has_table, r.text.split("\n")[0]) for r in got] == [("manual 1_p000", True, "## Title")]
+    states = {r.doc_name: r.status for r in pages.parse_files(spark, str(tmp_path), parser).collect()}
+    assert states == {"manual 1": "ok", "broken": "failed: ValueError"}

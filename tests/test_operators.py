@@ -663,6 +663,32 @@ def test_relation_store(spark, tmp_path):
     assert sorted(map(tuple, stores.read_relations(spark, str(tmp_path)).collect())) == sorted(EDGES)
 
 
+def test_relations_load_once(spark, tmp_path):
+    path = str(tmp_path / "graph")
+    assert stores.load_relations(relations(spark, EDGES[:2] + EDGES[:1]), path) == len(set(EDGES[:2]))
+    assert stores.load_relations(relations(spark, EDGES), path) == len(set(EDGES)) - len(set(EDGES[:2]))
+    assert stores.load_relations(relations(spark, EDGES), path) == 0
+    assert sorted(map(tuple, stores.read_relations(spark, path).collect())) == sorted(set(EDGES))
+
+
+def test_json_rows(spark, tmp_path):
+    rows = spark.createDataFrame([("a", [1, 2])], "id string, n array<int>")
+    stores.write_json(rows, str(tmp_path / "rows"))
+    assert stores.read_json(spark, str(tmp_path / "rows"), "id string, n array<int>").collect() == rows.collect()
+
+
+def test_a_document_twice_in_a_batch(spark, tmp_path):
+    from lodestar.streaming.ingest import ingest_stream
+
+    source, target, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    schema = "doc_id string, text string, version int"
+    for rows in ([("a", "old\nlines", 1), ("a", "newer", 2)], [("a", "late", 1), ("b", "x", 1), ("b", "x", 1)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        ingest_stream(spark, source, schema, target, check, size=5, overlap=0).awaitTermination()
+    assert [(r.doc_id, r.text, r.version) for r in spark.read.parquet(f"{target}/generation=0").collect()] == [("a", "newer", 2)]
+    assert sorted((r.doc_id, r.text, r.version) for r in spark.read.parquet(f"{target}/generation=1").collect()) == [("a", "newer", 2), ("b", "x", 1)]
+
+
 def test_stream(spark, tmp_path):
     from lodestar.streaming.ingest import ingest_stream
 
