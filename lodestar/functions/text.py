@@ -162,3 +162,9 @@ def positions(text: Column, needle: Column) -> Column:
     start = F.struct(none.alias("found"), F.lit(1).alias("behind"))
     every = F.aggregate(F.sequence(F.lit(1), most.cast("int")), start, step, lambda acc: acc.found)
     return F.when((F.length(needle) > 0) & text.contains(needle), every).otherwise(none)
+
+
+def grams(text: Column, longest: int = 3) -> Column:
+    """The distinct pieces of 1 to ``longest`` characters."""
+    starts = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(text, i, F.lit(k)) for k in range(1, longest + 1)]))))

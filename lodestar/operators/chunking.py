@@ -19,23 +19,25 @@ def split_lines(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Colum
     if size <= 0:
         raise ValueError("size must be positive")
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"(?U)\S"))
-    empty = F.array().cast("array<string>")
+    lengths = F.transform(lines, lambda x: F.length(x))
+    spans = F.array().cast("array<struct<s:int,e:int>>")
 
-    def rewind(buffer: Column) -> Column:
-        start = F.struct(empty.alias("t"), F.lit(0).alias("b"))
-        step = lambda x, p: F.when(x.b >= overlap, x).otherwise(F.struct(F.array_prepend(x.t, p).alias("t"), (x.b + F.length(p)).alias("b")))
-        return F.aggregate(F.reverse(buffer), start, step)
+    def back(start: Column, end: Column) -> Column:
+        """How many of the last lines begin the next chunk, and their length."""
+        step = lambda x, n: F.when(x.n >= overlap, x).otherwise(F.struct((x.k + 1).alias("k"), (x.n + n).alias("n")))
+        return F.aggregate(F.reverse(F.slice(lengths, start + 1, end - start)), F.struct(F.lit(0).alias("k"), F.lit(0).alias("n")), step)
 
-    def add(acc: Column, line: Column) -> Column:
-        full = (acc.n + F.length(line) > size) & (F.size(acc.buf) > 0)
-        kept = rewind(acc.buf)
+    def add(acc: Column, length: Column) -> Column:
+        # only a chunk that closes adds to an array; a line moves three numbers
+        kept = back(acc.s, acc.i)
         return F.when(
-            full,
-            F.struct(F.array_append(acc.ch, F.array_join(acc.buf, "\n")).alias("ch"), F.array_append(kept.t, line).alias("buf"), (kept.b + F.length(line)).alias("n")),
-        ).otherwise(F.struct(acc.ch.alias("ch"), F.array_append(acc.buf, line).alias("buf"), (acc.n + F.length(line)).alias("n")))
+            (acc.n + length > size) & (acc.i > acc.s),
+            F.struct(F.array_append(acc.ch, F.struct(acc.s.alias("s"), acc.i.alias("e"))).alias("ch"), (acc.i - kept.k).alias("s"), (kept.n + length).alias("n"), (acc.i + 1).alias("i")),
+        ).otherwise(F.struct(acc.ch.alias("ch"), acc.s.alias("s"), (acc.n + length).alias("n"), (acc.i + 1).alias("i")))
 
-    start = F.struct(empty.alias("ch"), empty.alias("buf"), F.lit(0).alias("n"))
-    return F.aggregate(lines, start, add, lambda x: F.when(F.size(x.buf) > 0, F.array_append(x.ch, F.array_join(x.buf, "\n"))).otherwise(x.ch))
+    start = F.struct(spans.alias("ch"), F.lit(0).alias("s"), F.lit(0).alias("n"), F.lit(0).alias("i"))
+    last = lambda x: F.when(x.i > x.s, F.array_append(x.ch, F.struct(x.s.alias("s"), x.i.alias("e")))).otherwise(x.ch)
+    return F.transform(F.aggregate(lengths, start, add, last), lambda c: F.array_join(F.slice(lines, c.s + 1, c.e - c.s), "\n"))
 
 
 def chunk(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import fill, format_won, korean_units, number_set
+from lodestar.operators.extract import naming
 from lodestar.operators.graph import directed_edges, unique_steps
 from lodestar.plans.lineage import numbered
 
@@ -86,7 +87,7 @@ def shared_anchors(queries: DataFrame, entities: DataFrame, entities_of: DataFra
 def leaks(queries: DataFrame, entities: DataFrame) -> DataFrame:
     """(qid, eid) of entities that a question of two hops names though they are no seed, nor part of a seed's name."""
     multi = queries.where("hops >= 2")
-    named = multi.select("qid", "question").join(entities.select("eid", "name"), F.col("question").contains(F.col("name"))).select("qid", "eid", "name")
+    named = naming(multi.select("qid", "question"), entities.select("eid", "name").where(F.length("name") > 0)).select("qid", "eid", "name")
     seeds = multi.select("qid", F.explode("seeds").alias("seed")).join(entities.select(F.col("eid").alias("seed"), F.col("name").alias("seed_name")), "seed")
     at = seeds.select(F.col("qid").alias("q2"), "seed", "seed_name")
     return named.join(at, (F.col("qid") == F.col("q2")) & ((F.col("eid") == F.col("seed")) | F.col("seed_name").contains(F.col("name"))), "left_anti").select("qid", "eid")
@@ -159,7 +160,7 @@ def summary(queries: DataFrame) -> DataFrame:
     )
 
 
-#: Factors of altered amounts.
+# Factors of altered amounts.
 FACTORS = (0.5, 0.6, 0.75, 1.2, 1.5, 2.0)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import answer_tokens
 from lodestar.functions.vectors import cosine
+from lodestar.plans.lineage import numbered
 
 
 def _checked(gold: Column) -> Column:
@@ -125,11 +126,18 @@ def element(values: Column, share: float) -> Column:
 
 
 def at_share(rows: DataFrame, value: str, shares: dict[str, float], *by: str) -> DataFrame:
-    """Means and elements at shares of each group by ranks, without collecting a group into an array."""
-    w = Window.partitionBy(*by)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("__r", F.row_number().over(w.orderBy(value)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
-    picks = [F.max(F.when(F.col("__r") == F.least(F.floor(F.col("__n") * F.lit(s)), F.col("__n") - 1), F.col(value))).alias(name) for name, s in shares.items()]
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), *picks)
+    """Means and elements at shares of each group, by ranks.
+
+    Values are numbered over all groups by ranges, so that no task sorts a whole
+    group, and a group's ranks are the numbers from its first on.
+    """
+    own = numbered(rows.where(F.col(value).isNotNull()).select(*by, value), [*by, value], "nth")
+    size = own.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.min("nth").alias("first"))
+    wanted = [F.struct(F.lit(name).alias("name"), (F.col("first") + F.least(F.floor(F.col("n") * F.lit(s)), F.col("n") - 1)).alias("at")) for name, s in shares.items()]
+    places = size.select(*by, F.explode(F.array(*wanted)).alias("w")).select(*by, "w.name", "w.at")
+    picked = own.select("nth", F.col(value).alias("picked")).join(places, F.col("nth") == F.col("at"))
+    wide = picked.groupBy(*by).agg(*[F.max(F.when(F.col("name") == name, F.col("picked"))).alias(name) for name in shares])
+    return (size.join(wide, list(by)) if by else size.crossJoin(wide)).select(*by, "n", "mean", *shares)  # without groups, one row each
 
 
 def judge_summary(rows: DataFrame) -> DataFrame:

@@ -46,11 +46,6 @@ def weighted(a: DataFrame, b: DataFrame, wa: float | Column, wb: float | Column)
     return x.join(y, KEYS, "full_outer").select(*KEYS, (wa * zero("a") + wb * zero("b")).alias("score"))
 
 
-def hybrid(dense: DataFrame, lexical: DataFrame, weight: float = DENSE_WEIGHT) -> DataFrame:
-    """Dense scores as they are, lexical ones by their largest."""
-    return weighted(dense, normalize(lexical), weight, 1 - weight)
-
-
 #: Formulas over the product and the parts (bm25, keyword) of ``Scores``.
 PARTS = ("bm25", "keyword")
 MODES = {
@@ -115,17 +110,6 @@ def mode_of(dense: bool, lexical: bool) -> str:
     return {(True, True): "hybrid", (False, True): "bm25_only", (True, False): "dense_only", (False, False): "keyword_fallback"}[dense, lexical]
 
 
-def degrade(dense: DataFrame | None, lexical: DataFrame | None, keywords: DataFrame, weight: float = DENSE_WEIGHT) -> tuple[DataFrame, str]:
-    """The best scores that the available parts allow, and the mode: hybrid, bm25_only, dense_only or keyword_fallback."""
-    if dense is not None and lexical is not None:
-        return hybrid(dense, lexical, weight), "hybrid"
-    if lexical is not None:
-        return normalize(lexical), "bm25_only"
-    if dense is not None:
-        return dense, "dense_only"
-    return keywords, "keyword_fallback"
-
-
 def fused(flat: DataFrame, graph_scores: DataFrame, weight: float = GRAPH_WEIGHT) -> DataFrame:
     return weighted(normalize(flat), normalize(graph_scores), 1 - weight, weight)
 

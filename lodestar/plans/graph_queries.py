@@ -266,6 +266,20 @@ def _(spark, d):
 _LAB = "lb AS (SELECT l.doc_id, lang, quality, toxic, n_chars FROM labels l JOIN documents d USING (doc_id))"
 
 
+_TUNED = f"""oc AS (SELECT doc_id AS qid, CASE WHEN doc_id % 2 = 0 THEN 'dev' ELSE 'test' END AS split, quality = 1 AS a, toxic = 0 AS b, n_chars > 500 AS c FROM lb),
+        pr AS (SELECT 'flat' AS s, 'tuned' AS t, a AS x, b AS y FROM oc WHERE split = 'test' UNION ALL SELECT 'flat', 'plain', a, c FROM oc)"""
+
+
+@query("tuned_on_holdout", f"WITH {_LAB}, {_TUNED}, {contingency_sql('pr', 's, t')} SELECT s AS a, t AS b, n, a_only, b_only, round((b_only - a_only)::DOUBLE / n, 6) AS delta FROM ct")
+def _(spark, d):
+    """A strategy tuned on half of the questions is compared on the other half alone."""
+    l = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    says = F.array(*[F.struct(F.lit(n).alias("strategy"), c.alias("correct")) for n, c in (("flat", F.col("quality") == 1), ("tuned", F.col("toxic") == 0), ("plain", F.col("n_chars") > 500))])
+    rows = l.select(F.col("doc_id").alias("qid"), F.when(F.col("doc_id") % 2 == 0, "dev").otherwise(F.lit("test")).alias("split"), F.explode(says).alias("s")).select("qid", "split", "s.*")
+    return rounded(stats.compare(rows, [("flat", "tuned"), ("flat", "plain")], ("tuned",)).select("a", "b", "n", "a_only", "b_only", "delta"), "delta")
+
+
+
 def labelled(spark, d) -> DataFrame:
     return table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
 

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.functions import text as T
 from lodestar.functions.vectors import cosine, unit
-from lodestar.operators import answers, audit, chunking, dense, evalset, extract, graph, lexical, metrics, ontology, ranking, stats
-from lodestar.sources import pages as page_source
+from lodestar.operators import answers, chunking, dense, lexical, metrics, ranking, stats
 from lodestar.sources import stores
 
 Query = Callable[[SparkSession, str], DataFrame]
