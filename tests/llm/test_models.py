@@ -4,14 +4,12 @@ import base64
 import hashlib
 import math
 import random
-import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from lodestar.llm import langid, lm, packing, quality, seating, warc
 from lodestar.llm import textkernels as tk
