@@ -258,8 +258,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     labels = components(links)
     labelled = shared.select("tok", "rep", "np").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     labelled = cut(labelled, "labelled")
-    open_toks = labelled.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("classes")).where("lo < hi").select("tok", "classes")
-    # nothing is aggregated after this join, so adaptive execution can split a shingle of many classes
+    open_toks = labelled.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("classes")).where("lo < hi")
+    # a table of its own, so that neither side of the next join is an aggregation: adaptive
+    # execution can then split a shingle of many classes
+    open_toks = cut(open_toks.select("tok", "classes"), "open")
     rest = cut(labelled.join(open_toks, "tok").withColumn("band", F.floor(F.log(n("np")) / math.log(den / num)).cast("int")), "open")
     few, many = rest.where(F.col("classes") <= COMMON), rest.where(F.col("classes") > COMMON)
     seconds = sets.select("rep", F.explode("tokens").alias("second"))
@@ -289,7 +291,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("comp"))).otherwise(F.col("id")).alias("component_id"),
     )
-    drop(sets, shared, pairs, pairs2, labelled, rest)
+    drop(sets, shared, pairs, pairs2, labelled, rest, open_toks)
     return out
 
 
