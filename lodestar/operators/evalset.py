@@ -94,9 +94,10 @@ def leaks(queries: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def finalize(queries: DataFrame, prefix: str = "g", digits: int = 3) -> DataFrame:
-    """Adds qid by the order of (hops, question, gold)."""
+    """Adds qid by the order of (hops, question, gold): a number of ``digits`` digits, or of more where it needs them."""
     rows = numbered(queries, ["hops", "question", "gold"], "__n", 1)
-    return rows.select(F.concat(F.lit(prefix), F.lpad(F.col("__n").cast("string"), digits, "0")).alias("qid"), *queries.columns)
+    number = F.col("__n").cast("string")
+    return rows.select(F.concat(F.lit(prefix), F.lpad(number, F.greatest(F.length(number), F.lit(digits)), F.lit("0"))).alias("qid"), *queries.columns)
 
 
 def generate(relations: DataFrame, home: DataFrame, entities: DataFrame, entities_of: DataFrame, max_gold: int = MAX_GOLD) -> DataFrame:
