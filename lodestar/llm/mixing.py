@@ -109,8 +109,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     wide = wide.withColumnRenamed("of", "wide_of").withColumnRenamed("coarse", "wide").withColumnRenamed("low", "wide_low")
     inside = parts.join(known.select("of", "left"), of_source).join(wide, F.col("of").eqNullSafe(F.col("wide_of")) & (F.col("coarse") == F.col("wide")))
     narrow = last_within(inside, "fine", F.col("wide_low")).withColumnRenamed("of", "narrow_of").withColumnRenamed("fine", "last")
-    cuts = known.join(narrow, F.col("of").eqNullSafe(F.col("narrow_of")), "left").drop("narrow_of")
-    joined = rows.join(cuts, of_source).withColumn("at", F.col("fine") - F.coalesce(F.col("last"), F.lit(-1)))
+    # as a table its size is known, so it is broadcast only while it is small; as the
+    # joined rows are written before the window, a large source can be split if it is not
+    cuts = cut(known.join(narrow, F.col("of").eqNullSafe(F.col("narrow_of")), "left").drop("narrow_of"), "cuts")
+    joined = cut(rows.join(cuts, of_source).withColumn("at", F.col("fine") - F.coalesce(F.col("last"), F.lit(-1))), "placed")
     whole = joined.where("at <> 0").withColumn("extra", (F.col("at") < 0).cast("long"))
     edge = Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     end = (
