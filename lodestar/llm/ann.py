@@ -20,8 +20,8 @@ MAX_FITTED = 20_000
 ROUNDS = 12
 #: Share of all vectors that a query's cells hold at least.
 SHARE = 0.5
-#: Vectors of a group of the index, and queries that meet it at once, about.
-GROUP_ROWS, GROUP_QUERIES = 8_000, 100_000
+#: Vectors of a group of the index: a 64th of all within these bounds; and queries that meet it at once, about.
+LEAST_GROUP, MOST_GROUP, GROUP_QUERIES = 2_000, 20_000, 100_000
 
 
 def centroids_for(n: int) -> int:
@@ -185,7 +185,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     reranks what they hold by the exact product. With ``share`` 1 the search is
     exhaustive.
 
-    Cells lie in groups of about ``GROUP_ROWS`` vectors; a left centroid with more is split
+    Cells lie in groups of ``LEAST_GROUP`` to ``MOST_GROUP`` vectors; a left centroid with more is split
     by a hash of the id. A query goes to a group once, with its cells there as
     bits. Only where there are more than ``GROUP_QUERIES`` queries does a group
     meet them in lots, a nested loop of blocks. Of equal vectors only the k + 1 of
@@ -223,7 +223,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     counts = np.zeros(len(centres[0]) * width, dtype=np.int64)
     for r in indexed.groupBy("cell").count().collect():  # at most MOST_CENTROIDS**2 rows
         counts[r["cell"]] = r["count"]
-    first, many = grouped(counts.reshape(-1, width).sum(1), GROUP_ROWS)
+    first, many = grouped(counts.reshape(-1, width).sum(1), min(MOST_GROUP, max(LEAST_GROUP, int(counts.sum()) // 64)))
     # of each left centroid: its groups, and which of the centroids of its group it is
     nth = np.arange(len(first)) - np.searchsorted(first, first)
     routing = spark.sparkContext.broadcast((centres, counts.tolist(), first, many))

@@ -162,7 +162,7 @@ def test_cells_come_in_order():
 @pytest.mark.parametrize("group", [50, 700, 8000])
 def test_groups_of_the_index(spark, monkeypatch, group):
     """Groups that split a centroid, groups that hold many, and lots of queries find the same."""
-    monkeypatch.setattr(ann, "GROUP_ROWS", group)
+    monkeypatch.setattr(ann, "LEAST_GROUP", group)
     monkeypatch.setattr(ann, "GROUP_QUERIES", 6)
     monkeypatch.setattr(ann, "LEAST_CENTROIDS", 5)
     df, x = vectors(spark)
