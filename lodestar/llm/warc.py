@@ -78,19 +78,17 @@ def size_classes(rows: DataFrame) -> list[int]:
     return sorted(r[0] for r in rows.select(size_class(F.col("payload")).alias("c")).distinct().collect()) or [0]
 
 
-def write_archives(rows: DataFrame, path: str, when: str, classes: list[int]) -> None:
-    """Writes records as gzip archives through Spark's committer, a folder for each class of payload sizes.
+def write_archives(rows: DataFrame, path: str, when: str, size: int) -> None:
+    """Writes records of one class of payload sizes as gzip archives through Spark's committer.
 
-    The records of a file are bounded so that payloads of its class stay within
+    The records of a file are bounded so that payloads of the class stay within
     ``FILE_BYTES``: a reader, which gets a whole file in one row, never meets a
-    large one unless a single payload is large. The text writer puts ``CLOSE`` after every row, which is what
-    ends a WARC record, so files are valid archives on any file system that Spark
-    writes.
+    large one unless a single payload is large. The text writer puts ``CLOSE``
+    after every row, which is what ends a WARC record, so files are valid
+    archives on any file system that Spark writes.
     """
-    for c in classes:
-        own = rows.where(size_class(F.col("payload")) == c) if len(classes) > 1 else rows
-        (own.select(records(own, when).alias("record")).write.option("lineSep", CLOSE).option("compression", "gzip")
-         .option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", max(1, FILE_RECORDS // 8**c)).text(f"{path}/size-{c}"))
+    (rows.select(records(rows, when).alias("record")).write.option("lineSep", CLOSE).option("compression", "gzip")
+     .option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", max(1, FILE_RECORDS // 8**size)).text(f"{path}/size-{size}"))
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -192,14 +190,16 @@ def deduplicate(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_c
     none = rows.withColumn("refers_to", F.lit(None).cast("long")).withColumn("refers_url", F.lit(None).cast("string"))
     raw, final = table_path(spark, "warc-raw"), path or table_path(spark, "warc")
     classes = size_classes(rows)
-    write_archives(none, raw, when, classes)
+    for c in classes:
+        write_archives(none.where(size_class(F.col("payload")) == c), raw, when, c)
     number = F.regexp_extract("record", r"<urn:page:(-?\d*)>", 1)
     page_id = F.when(number != "", number.cast("long"))
     headers = cut(read_archives(spark, raw).select(page_id.alias("page_id"), "url", "digest", "bytes"), "warc-headers")
     links = resolve(headers, least).where("refers_to is not null").groupBy("page_id", "digest", "bytes").agg(F.first("refers_to").alias("refers_to"), F.first("refers_url").alias("refers_url"))
-    again = read_archives(spark, raw, with_payload=True).select(page_id.alias("page_id"), "url", "digest", "bytes", "payload")
-    # a response keeps its payload beside the join; only a revisit's is dropped
-    write_archives(again.join(links, ["page_id", "digest", "bytes"], "left"), final, when, classes)
+    for c in classes:  # each class reads its own folder
+        again = read_archives(spark, f"{raw}/size-{c}", with_payload=True).select(page_id.alias("page_id"), "url", "digest", "bytes", "payload")
+        # a response keeps its payload beside the join; only a revisit's is dropped
+        write_archives(again.join(links, ["page_id", "digest", "bytes"], "left"), final, when, c)
     target = F.regexp_extract("refers", r"<urn:page:(-?\d*)>", 1)
     out = read_archives(spark, final).select(
         page_id.alias(id_col), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"),
