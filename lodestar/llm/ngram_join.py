@@ -21,7 +21,7 @@ CELL_BITS = 22
 #: Hash ranges in which the suffix filter compares two sets.
 RANGES = 32
 #: Classes of a shingle that meet by this shingle alone, at most; with more, they meet by a second one as well.
-COMMON = 64
+COMMON = 8192
 
 
 def _tally(width: int):
