@@ -40,6 +40,12 @@ CHUNK_ROWS = 1000
 
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACES = _SEP
+#: All of ASCII but letters, and all of ASCII but letters and digits; bytes of other characters never separate.
+NOT_LETTERS = np.arange(256) < 128
+NOT_LETTERS[np.r_[65:91, 97:123]] = False
+NOT_ALNUM = NOT_LETTERS.copy()
+NOT_ALNUM[48:58] = False
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 #: Bytes up to which a word is hashed in blocks; longer ones go through BLAKE2.
@@ -112,9 +118,9 @@ class Words:
 
     __slots__ = ("data", "row", "start", "end", "rows", "offsets", "low")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = True, sep: np.ndarray = _SEP):
         self.data, self.offsets, self.rows = data, offsets, len(offsets) - 1
-        solid = ~_SEP[data]
+        solid = ~sep[data]
         n = len(data)
         first = np.zeros(n + 1, dtype=bool)
         first[offsets] = True
@@ -129,6 +135,14 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
+    def strings(self) -> pa.Array:
+        """The words, folded, as an Arrow array."""
+        size = self.end - self.start
+        edges = np.concatenate(([0], np.cumsum(size)))
+        at = np.repeat(self.start - edges[:-1], size) + np.arange(edges[-1])
+        kept = np.ascontiguousarray(self.low[at])
+        return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(kept))
+
     def per_row(self) -> np.ndarray:
         return np.bincount(self.row, minlength=self.rows)
 
@@ -159,6 +173,26 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.
         at = to
 
 
+def pieces(texts: pa.Array, sep: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """(first row, bytes, offsets, whether its row ends here) of ``chunks``, a text of over ``limit`` bytes in several.
+
+    Such a text is cut behind separators, at the first one beyond each ``limit``
+    bytes, so that no word is; its pieces follow each other and have one row each.
+    """
+    for at, data, offsets in chunks(texts, limit):
+        if len(offsets) > 2 or len(data) <= limit:
+            yield at, data, offsets, True
+            continue
+        done = 0
+        while done < len(data):
+            to = min(done + limit, len(data))
+            while to < len(data) and not sep[data[to - 1]]:
+                gaps = np.flatnonzero(sep[data[to : to + limit]])
+                to = to + int(gaps[0]) + 1 if len(gaps) else min(to + limit, len(data))
+            yield at, data[done:to], np.array([0, to - done]), to == len(data)
+            done = to
+
+
 def windows(hashes: np.ndarray, row: np.ndarray, rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every ``width`` consecutive words; a shorter row with words is one window."""
     n = len(hashes)
