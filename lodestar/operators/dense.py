@@ -125,7 +125,8 @@ def blend_topk(queries: DataFrame, vectors: DataFrame, formulas: dict[str, Formu
     other pair leaves a task, and all formulas come from one product. Ids keep
     their types.
     """
-    n, asked = vectors.count(), queries.count()
+    # a task holds a block of all chunks, with and without a vector
+    n, asked = max(vectors.count(), 0 if met is None else met.select("chunk_id").distinct().count()), queries.count()
     cores = queries.sparkSession.sparkContext.defaultParallelism
     blocks = max(1, -(-n // VECTOR_BLOCK), min(cores, -(-n // 256)))
     lots = max(1, -(-asked // QUERY_BLOCK))

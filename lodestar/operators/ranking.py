@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.operators import graph
+from lodestar.operators import graph, segments
 from lodestar.operators.dense import Formula, blend_topk
 from lodestar.operators.lexical import LexicalIndex, components
 from lodestar.plans.lineage import cut
@@ -78,6 +78,52 @@ def scores_of(index: LexicalIndex, questions: DataFrame, vectors: DataFrame | No
     return Scores(asked.join(encoded.select("qid", "q"), "qid", "left"), vectors.select("chunk_id", "v"), met)
 
 
+BM25, KEYWORD = Formula(None, (1.0, None)), Formula(None, (None, 1.0))
+
+
+@dataclass(frozen=True)
+class Retrieval:
+    """What strategies need to rank without a table of pairs: segments, ``queries`` (qid, question, perhaps q) and ``vectors`` (chunk_id, v)."""
+
+    index: segments.Segments
+    queries: DataFrame
+    vectors: DataFrame | None = None
+    idf: str = "okapi"
+
+    def raw(self, formulas: dict[str, Formula], k: int, scales: DataFrame | None = None) -> DataFrame:
+        return segments.search(self.index, self.queries, formulas, k, self.vectors, scales, self.idf)
+
+    def tops(self) -> DataFrame:
+        """(qid, share): what a BM25 score is multiplied by to be a share of the largest of its query; 0 if that is not above 0."""
+        best = self.raw({"bm25": BM25}, 1)
+        return cut(best.select("qid", F.when(F.col("score") > 0, 1 / F.col("score")).otherwise(F.lit(0.0)).alias("share")))
+
+    def top(self, formulas: dict[str, Formula], k: int, tops: DataFrame | None = None) -> DataFrame:
+        """(formula, qid, chunk_id, score, rank) by all the formulas in one pass, with BM25 as a share of the largest of its query."""
+        if not any(f.parts and f.parts[0] for f in formulas.values()):
+            return self.raw(formulas, k)
+        one = F.lit(1.0)
+        names = F.explode(F.array(*[F.lit(f) for f in formulas]))
+        return self.raw(formulas, k, (self.tops() if tops is None else tops).select("qid", names.alias("formula"), one.alias("d"), F.col("share").alias("b"), one.alias("s")))
+
+    def pair_shares(self, pairs: DataFrame) -> DataFrame:
+        """(qid, chunk_id, score): BM25 of chosen pairs as a share of the largest of the query."""
+        found = segments.search(self.index, self.queries, {}, 1, idf=self.idf, pairs=pairs)
+        return found.join(self.tops(), "qid").select(*KEYS, (F.col("score") * F.col("share")).alias("score"))
+
+    def fused(self, k: int, flat: Formula = MODES["hybrid"], other: Formula = MODES["keyword_fallback"], weight: float = GRAPH_WEIGHT) -> DataFrame:
+        """(qid, chunk_id, score, rank) of (1 - weight) * flat + weight * other, each by its largest of the query: the largest are found first, then all is one formula."""
+        share = self.tops()
+        best = self.top({"flat": flat, "other": other}, 1, share).groupBy("qid").agg(*[F.max(F.when(F.col("formula") == f, F.col("score"))).alias(f) for f in ("flat", "other")])
+        scale = {f: F.when(F.col(f) > 0, w / F.col(f)).otherwise(F.lit(0.0)) for f, w in (("flat", 1 - weight), ("other", weight))}
+        both = lambda a, b: scale["flat"] * F.lit(a or 0.0) + scale["other"] * F.lit(b or 0.0)
+        parts = [both(a, b) for a, b in zip(flat.parts, other.parts, strict=True)]
+        scales = cut(best.join(share, "qid", "left").select("qid", F.lit("fused").alias("formula"), both(flat.dense, other.dense).alias("d"), (parts[0] * F.coalesce("share", F.lit(0.0))).alias("b"), parts[1].alias("s")))
+        one = lambda *w: 1.0 if any(x is not None for x in w) else None
+        formula = Formula(one(flat.dense, other.dense), tuple(one(a, b) for a, b in zip(flat.parts, other.parts, strict=True)))
+        return self.raw({"fused": formula}, k, scales).drop("formula")
+
+
 def fused_topk(scores: Scores, k: int, flat: Formula = MODES["hybrid"], other: Formula = MODES["keyword_fallback"], weight: float = GRAPH_WEIGHT) -> DataFrame:
     """(qid, chunk_id, score, rank) of (1 - weight) * flat + weight * other, each by its largest of the query.
 
@@ -170,7 +216,7 @@ def sweep_rounds(found: DataFrame, gold: DataFrame, k: int, budgets: int = 4) ->
     return rows.groupBy("budget").agg(F.avg(ok.cast("double")).alias("full_hit"), F.avg("used").alias("avg_rounds"))
 
 
-def sweep_weights(scores: Scores, gold: DataFrame, k: int, steps: int = 10) -> DataFrame:
+def sweep_weights(scores: Scores | Retrieval, gold: DataFrame, k: int, steps: int = 10) -> DataFrame:
     """(w, full_hit, mrr) for w = 0, 1/steps, ... 1: every weight is a formula over the same scores, in one pass."""
     formulas = {str(s): Formula(s / steps, (1 - s / steps, None)) for s in range(steps + 1)}
     ranked = scores.top(formulas, k).withColumn("step", F.col("formula").cast("int"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import cosine, unit
-from lodestar.operators import answers, chunking, dense, lexical, metrics, ranking, stats
+from lodestar.operators import answers, chunking, dense, lexical, metrics, ranking, segments, stats
 from lodestar.sources import stores
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,12 +96,26 @@ def gold_of(spark: SparkSession, d: str) -> DataFrame:
     return gold_rows(spark, d).groupBy("qid").agg(F.array_sort(F.collect_list("doc_id")).alias("gold"))
 
 
-def scores_of(spark: SparkSession, d: str) -> ranking.Scores:
-    """Scores of the benchmark's questions against the documents; vectors are those of documents, and of questions, that have one."""
+def retrieval(spark: SparkSession, d: str, idf: str = "okapi") -> ranking.Retrieval:
+    """The benchmark's questions against the documents, by words."""
+    return ranking.Retrieval(segments.build(chunks_of(spark, d)), questions(spark, d), idf=idf)
+
+
+def bm25_best(spark: SparkSession, d: str, k: int, idf: str = "okapi") -> DataFrame:
+    return retrieval(spark, d, idf).raw({"bm25": ranking.BM25}, k).drop("formula")
+
+
+def words_best(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """(strategy, qid, chunk_id, score, rank) by BM25 and by shared tokens, from one pass."""
+    return retrieval(spark, d).raw({"bm25": ranking.BM25, "keyword": ranking.KEYWORD}, k).withColumnRenamed("formula", "strategy")
+
+
+def scores_of(spark: SparkSession, d: str) -> ranking.Retrieval:
+    """Also by vectors: those of documents, and of questions, that have one."""
     e = table(spark, d, "embeddings")
     v = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id")).join(e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v")), "chunk_id")
-    asked = questions(spark, d)
-    return ranking.scores_of(lexical.build_index(chunks_of(spark, d)), asked, v, e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")))
+    asked = questions(spark, d).join(e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), "qid", "left")
+    return ranking.Retrieval(segments.build(chunks_of(spark, d)), asked, v)
 
 
 @query("tokenize_stats", f"SELECT count(*) AS chunks, round(avg(len(t)), 6) AS avg_tokens, min(len(t)) AS min_tokens, max(len(t)) AS max_tokens FROM (SELECT {TOK.format('text')} AS t FROM documents)")
@@ -116,17 +130,17 @@ def _(spark, d):
 
 @query("bm25_topk", f"WITH {bm25_sql('okapi')}, {top_sql('bm', K, 'best')} SELECT qid, chunk_id, rank, round(score, 6) AS score FROM best")
 def _(spark, d):
-    return rounded(ranking.top_k(bm25_of(spark, d), K), "score")
+    return rounded(bm25_best(spark, d, K), "score")
 
 
 @query("bm25_lucene_topk", f"WITH {bm25_sql('lucene')}, {top_sql('bm', K, 'best')} SELECT qid, chunk_id, rank, round(score, 6) AS score FROM best")
 def _(spark, d):
-    return rounded(ranking.top_k(bm25_of(spark, d, "lucene"), K), "score")
+    return rounded(bm25_best(spark, d, K, "lucene"), "score")
 
 
 @query("bm25_normalized", f"WITH {bm25_sql('okapi')}, {NORM.format('bm', 'nm')}, {top_sql('nm', K, 'best')} SELECT qid, chunk_id, rank, round(score, 6) AS score FROM best")
 def _(spark, d):
-    return rounded(ranking.top_k(lexical.max_normalized(bm25_of(spark, d)), K), "score")
+    return rounded(retrieval(spark, d).top({"bm25": ranking.BM25}, K).drop("formula"), "score")
 
 
 @query("bm25_complete", f"""WITH {bm25_sql('okapi')} SELECT item_id AS qid, count(*) AS chunks, count(*) FILTER (coalesce(score, 0) = 0) AS zeros
@@ -138,7 +152,7 @@ def _(spark, d):
 
 @query("keyword_overlap", f"WITH {OVERLAP}, {top_sql('kw', K, 'best')} SELECT qid, chunk_id, rank, score FROM best")
 def _(spark, d):
-    return ranking.top_k(lexical.keyword_overlap(chunks_of(spark, d), questions(spark, d)), K)
+    return retrieval(spark, d).raw({"keyword": ranking.KEYWORD}, K).drop("formula")
 
 
 @query("sparse_topk", f"""WITH {bm25_sql('okapi')}, sp AS (SELECT qid, chunk_id, sum(q.qtf * tf.tf::DOUBLE / dl) AS score FROM q JOIN tf USING (term) GROUP BY qid, chunk_id), {NORM.format('sp', 'nm')}, {top_sql('nm', K, 'best')}
@@ -198,28 +212,27 @@ _PER = """per AS (SELECT qid, r, gold, (len(list_intersect(r[1:3], gold)) > 0)::
 
 @query("metrics_per_query", f"WITH {bm25_sql('okapi')}, {top_sql('bm', K, 'best')}, {_LISTS}, {GOLD}, {_PER} SELECT qid, hit, full_hit, round(rr, 6) AS rr, round(recall, 6) AS recall FROM per")
 def _(spark, d):
-    rows = metrics.per_query(ranking.retrieved(ranking.top_k(bm25_of(spark, d), K)), gold_of(spark, d), 3, strict=False)
+    rows = metrics.per_query(ranking.retrieved(bm25_best(spark, d, K)), gold_of(spark, d), 3, strict=False)
     return rounded(rows.select("qid", "hit", "full_hit", "rr", "recall"), "rr", "recall")
 
 
 @query("retrieval_metrics", f"WITH {bm25_sql('okapi')}, {top_sql('bm', K, 'best')}, {_LISTS}, {GOLD}, {_PER} SELECT count(*) AS n, round(avg(hit), 6) AS hit, round(avg(full_hit), 6) AS full_hit, round(avg(rr), 6) AS mrr, round(avg(recall), 6) AS recall FROM per")
 def _(spark, d):
-    rows = metrics.per_query(ranking.retrieved(ranking.top_k(bm25_of(spark, d), K)), gold_of(spark, d), 3, strict=False)
+    rows = metrics.per_query(ranking.retrieved(bm25_best(spark, d, K)), gold_of(spark, d), 3, strict=False)
     return rounded(metrics.aggregate(rows), "hit", "full_hit", "mrr", "recall")
 
 
 @query("metrics_at_depths", f"""WITH {bm25_sql('okapi')}, {top_sql('bm', K, 'best')}, {_LISTS}, {GOLD}, ks AS (SELECT unnest([1, 2, 3]) AS k), x AS (SELECT k, r[1:k] AS r, gold FROM lists JOIN gold USING (qid), ks)
         SELECT k, count(*) AS n, round(avg((len(list_intersect(r, gold)) > 0)::INT), 6) AS hit_rate, round(avg(coalesce(1.0e0 / list_min(list_filter(list_transform(gold, lambda g: list_position(r, g)), lambda p: p > 0)), 0)), 6) AS mrr FROM x GROUP BY k""")
 def _(spark, d):
-    return rounded(metrics.at_depths(ranking.retrieved(ranking.top_k(bm25_of(spark, d), K)), gold_of(spark, d)), "hit_rate", "mrr")
+    return rounded(metrics.at_depths(ranking.retrieved(bm25_best(spark, d, K)), gold_of(spark, d)), "hit_rate", "mrr")
 
 
 @query("metrics_by_hops", f"""WITH {bm25_sql('okapi')}, {OVERLAP}, b1 AS (SELECT 'bm25' AS strategy, qid, chunk_id, score FROM bm UNION ALL SELECT 'keyword', qid, chunk_id, score FROM kw), {top_sql('b1', K, 'best', 'strategy, qid')},
         lists AS (SELECT strategy, qid, list(chunk_id ORDER BY rank) AS r FROM best GROUP BY strategy, qid), {GOLD}, {_PER.replace('SELECT qid, r', 'SELECT strategy, CASE WHEN len(gold) = 1 THEN 1 ELSE 2 END AS hops, qid, r')}
         SELECT strategy, coalesce(hops, 0) AS hops, count(*) AS n, round(avg(hit), 6) AS hit, round(avg(full_hit), 6) AS full_hit, round(avg(rr), 6) AS mrr, round(avg(recall), 6) AS recall FROM per GROUP BY GROUPING SETS ((strategy), (strategy, hops))""")
 def _(spark, d):
-    both = ranking.fan_out({"bm25": bm25_of(spark, d), "keyword": lexical.keyword_overlap(chunks_of(spark, d), questions(spark, d))})
-    lists = ranking.retrieved(ranking.top_k(both, K, ("strategy", "qid")), ("strategy", "qid"))
+    lists = ranking.retrieved(words_best(spark, d, K), ("strategy", "qid"))
     gold = gold_of(spark, d).withColumn("hops", F.when(F.size("gold") == 1, 1).otherwise(2))
     return rounded(metrics.by_hops(metrics.per_query(lists, gold, 3, strict=False)).withColumn("hops", F.coalesce("hops", F.lit(0))), "hit", "full_hit", "mrr", "recall")
 
@@ -299,13 +312,15 @@ def _(spark, d):
 def _(spark, d):
     meta = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source")
     scores = scores_of(spark, d)
-    near = scores.top({"dense": ranking.MODES["dense_only"]}, 4).select("qid", "chunk_id", "score")
-    return ranking.hybrid_served(near, scores.met.select("qid", "chunk_id", F.col("bm25").alias("score")), meta, 2)
+    near = scores.raw({"dense": ranking.MODES["dense_only"]}, 4).select("qid", "chunk_id", "score")
+    # of lexical hits that are not near, only the best can be in the result
+    lexical_hits = scores.top({"bm25": ranking.BM25}, 2).select("qid", "chunk_id", "score").unionByName(scores.pair_shares(near)).dropDuplicates(["qid", "chunk_id"])
+    return ranking.hybrid_served(near, lexical_hits, meta, 2)
 
 
 @query("fused_topk", f"WITH {_HY}, {OVERLAP}, {NORM.format('hy', 'hn')}, {NORM.format('kw', 'kn')}, {fuse_sql('hn', 'kn', 0.5, 0.5, 'fu')}, {top_sql('fu', K, 'best')} SELECT qid, chunk_id, rank, round(score, 6) AS score FROM best")
 def _(spark, d):
-    return rounded(ranking.fused_topk(scores_of(spark, d), K), "score")
+    return rounded(scores_of(spark, d).fused(K), "score")
 
 
 _SWEEP = f"""{bm25_sql('okapi')}, {NORM.format('bm', 'nm')}, {DENSE}, grid AS (SELECT unnest(range(0, 11)) AS step),
@@ -364,15 +379,14 @@ def _(spark, d):
         once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, chunk_id ORDER BY rank, round) AS nth FROM al) WHERE nth = 1), pl AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY rank, round) AS rank FROM once)
         SELECT * FROM pl WHERE rank <= 4""")
 def _(spark, d):
-    a, b = ranking.top_k(bm25_of(spark, d), 3), ranking.top_k(lexical.keyword_overlap(chunks_of(spark, d), questions(spark, d)), 3)
-    rounds = a.select("qid", F.lit(1).alias("round"), "rank", "chunk_id").unionByName(b.select("qid", F.lit(2).alias("round"), "rank", "chunk_id"))
-    return ranking.interleave(rounds, 4)
+    best = words_best(spark, d, 3)
+    return ranking.interleave(best.select("qid", F.when(F.col("strategy") == "bm25", 1).otherwise(2).alias("round"), "rank", "chunk_id"), 4)
 
 
 @query("rerank_bound", f"""WITH {bm25_sql('okapi')}, {top_sql('bm', 20, 'best')}, {_LISTS}, {GOLD}
         SELECT qid, coalesce(len(list_intersect(r[1:3], gold)) = len(gold), false) AS now, coalesce(len(list_intersect(r, gold)) = len(gold), false) AS reachable FROM gold LEFT JOIN lists USING (qid)""")
 def _(spark, d):
-    ranked = ranking.top_k(bm25_of(spark, d), 20).withColumn("chunk_id", F.col("chunk_id").cast("string"))
+    ranked = bm25_best(spark, d, 20).withColumn("chunk_id", F.col("chunk_id").cast("string"))
     gold = gold_of(spark, d).withColumn("gold", F.col("gold").cast("array<string>"))
     return ranking.rerank_bound(ranked, gold)
 
@@ -383,7 +397,7 @@ def _(spark, d):
     def scorer(pairs):
         return [float(len(set(q.lower().split()) & set(t.lower().split()))) for q, t in pairs]
 
-    best = ranking.top_k(bm25_of(spark, d), 20)
+    best = bm25_best(spark, d, 20)
     pairs = best.select("qid", "chunk_id").join(questions(spark, d), "qid").join(chunks_of(spark, d), "chunk_id")  # texts of candidates alone
     return ranking.rerank(best, pairs, scorer, 3)
 
@@ -391,7 +405,6 @@ def _(spark, d):
 @query("export_by_strategy", f"""WITH {bm25_sql('okapi')}, {OVERLAP}, al AS (SELECT 'bm25' AS strategy, qid, chunk_id, score FROM bm UNION ALL SELECT 'keyword', * FROM kw), {top_sql('al', 3, 'best', 'strategy, qid')}
         SELECT strategy, qid, string_agg(chunk_id::VARCHAR, ' ' ORDER BY rank) AS ids FROM best GROUP BY strategy, qid""")
 def _(spark, d):
-    every = ranking.fan_out({"bm25": bm25_of(spark, d), "keyword": lexical.keyword_overlap(chunks_of(spark, d), questions(spark, d))})
-    lists = ranking.retrieved(ranking.top_k(every, 3, ("strategy", "qid")), ("strategy", "qid"))
+    lists = ranking.retrieved(words_best(spark, d, 3), ("strategy", "qid"))
     out = ranking.export_by(lists, "strategy")
     return out.select("strategy", F.explode("by_query").alias("qid", "r")).select("strategy", "qid", F.array_join(F.col("r").cast("array<string>"), " ").alias("ids"))

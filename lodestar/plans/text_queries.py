@@ -9,7 +9,7 @@ from lodestar.functions import text as T
 from lodestar.operators import answers, chunking, dense, evalset, extract, metrics, ranking
 from lodestar.plans.graph_queries import relations, REL
 from lodestar.plans.lineage import cut
-from lodestar.plans.queries import bm25_of, bm25_sql, chunks_of, gold_of, GOLD, query, questions, rounded, table, top_sql
+from lodestar.plans.queries import bm25_best, bm25_sql, chunks_of, gold_of, GOLD, query, questions, rounded, table, top_sql
 from lodestar.sources import pages, stores
 
 # ---- functions -------------------------------------------------------------
@@ -390,7 +390,7 @@ def _(spark, d):
 
 def _best(spark, d) -> DataFrame:
     meta = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_name"), F.lit(0).alias("page_num"), "text")
-    return ranking.top_k(bm25_of(spark, d), 2).join(meta, "chunk_id")
+    return bm25_best(spark, d, 2).join(meta, "chunk_id")
 
 
 _BEST = f"{bm25_sql('okapi')}, {top_sql('bm', 2, 'best')}, bt AS (SELECT qid, rank, source, d.text AS t FROM best JOIN documents d ON doc_id = chunk_id)"
@@ -433,4 +433,4 @@ def _(spark, d):
         FROM best LEFT JOIN gold USING (qid) JOIN documents ON doc_id = chunk_id""")
 def _(spark, d):
     c = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.when(F.col("lang") == "en", F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("states"))
-    return answers.badges(ranking.top_k(bm25_of(spark, d), 3), gold_of(spark, d), c)
+    return answers.badges(bm25_best(spark, d, 3), gold_of(spark, d), c)
