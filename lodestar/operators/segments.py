@@ -161,6 +161,13 @@ def weights(index: Segments, n: int, idf: str = "okapi") -> DataFrame:
     return raw.crossJoin(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))  # one row
 
 
+def gone_rows(chunks: DataFrame) -> DataFrame:
+    """``Segments.gone`` of (chunk_id, t), the tokens of chunks that no longer count."""
+    lengths = chunks.select("chunk_id", F.lit(None).cast("string").alias("term"), F.size("t").cast("long").alias("tf"))
+    terms = chunks.select("chunk_id", F.explode("t").alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return lengths.unionByName(terms)
+
+
 class _Term:
     """Postings of a term in a shard; occurrences are read when a score needs them."""
 
@@ -288,7 +295,7 @@ def _answer(k: int, mean: float, names: list[str], kinds: tuple[pa.DataType, pa.
             ids = member["ids"].chunk(0)[0].values if member["ids"].num_chunks == 1 else member["ids"].combine_chunks()[0].values
             # numbered by id, so that of equal scores the smaller id comes first
             lengths = np.frombuffer(member["lengths"][0].as_py(), dtype=np.int64)
-            order = pc.sort_indices(ids).to_numpy()
+            order = pc.sort_indices(ids).to_numpy().astype(np.int64)
             of = np.empty(len(order), dtype=np.int64)
             of[order] = np.arange(len(order))
             gone = member["gone"][0].as_py() or []
