@@ -108,8 +108,8 @@ def sentence_around(text: Column, start: Column, end: Column, pad: int = 45) ->
     """The span up to the nearest sentence breaks, at most ``pad`` characters away."""
     breaks = "".join("\\" + c if c in "\\]^-.|?" else c for c in SENTENCE_BREAKS)
     low = F.greatest(F.lit(0), start - pad)
-    left = F.regexp_extract(F.substring(text, low + 1, start - low), f"[^{breaks}]*\\z", 0)
-    right = F.regexp_extract(F.substring(text, end + 1, F.lit(pad)), f"^[^{breaks}]*", 0)
+    left = F.element_at(F.split(F.substring(text, low + 1, start - low), f"[{breaks}]", -1), -1)
+    right = F.element_at(F.split(F.substring(text, end + 1, F.lit(pad)), f"[{breaks}]", 2), 1)
     return strip(F.concat(left, F.substring(text, start + 1, end - start), right))
 
 

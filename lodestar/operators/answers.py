@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions.needles import matches
 from lodestar.functions.text import strip
 
 #: Texts of rule-based answers.
@@ -61,23 +62,9 @@ def judged_faithfulness(rows: DataFrame, judge: Callable[[str, str], bool], prep
     return out.withColumn("faithfulness", F.when(F.col("claims") > 0, F.col("supported") / F.col("claims")).otherwise(F.lit(1.0)))
 
 
-#: Needles that one broadcast holds.
-NEEDLES = 2000
-
-
 def holding(rows: DataFrame, text_col: str, needles: DataFrame, needle_col: str) -> DataFrame:
-    """The pairs of a row and a needle that its text contains.
-
-    Needles are broadcast in blocks of about ``NEEDLES``, so no broadcast grows
-    with their number; a needle set of one block is read once.
-    """
-    blocks = max(1, -(-needles.count() // NEEDLES))
-    out = None
-    for k in range(blocks):
-        block = needles.where(F.pmod(F.xxhash64(needle_col), F.lit(blocks)) == k) if blocks > 1 else needles
-        met = rows.join(F.broadcast(block), F.col(text_col).contains(F.col(needle_col)))
-        out = met if out is None else out.unionByName(met)
-    return out
+    """The pairs of a row, without its text, and a needle that its text contains: ``start`` is where it does first."""
+    return matches(rows, text_col, needles, needle_col, first=True)
 
 
 def find_document(docs: DataFrame, triples: DataFrame, query: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
+from lodestar.functions.needles import matches
 from lodestar.operators import answers, chunking, dense, evalset, extract, metrics, ranking
 from lodestar.plans.graph_queries import relations, REL
 from lodestar.plans.lineage import cut
@@ -56,8 +57,8 @@ def _(spark, d):
         SELECT item_id, doc_id, s AS start, trim(replace(substr(t, greatest(0, s - 40) + 1, s + n + 40 - greatest(0, s - 40)), chr(10), ' ')) AS window FROM m""")
 def _(spark, d):
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("needle"))
-    m = answers.holding(table(spark, d, "documents").select("doc_id", "text"), "text", b, "needle").withColumn("start", F.instr("text", F.col("needle")) - 1)
-    return m.select("item_id", "doc_id", "start", T.window_around(F.col("text"), F.col("start"), F.col("start") + F.length("needle")).alias("window"))
+    m = matches(table(spark, d, "documents").select("doc_id", "text"), "text", b, "needle", first=True, pad=40)
+    return m.select("item_id", "doc_id", "start", T.window_around(F.col("around"), F.col("at"), F.col("at") + F.length("needle")).alias("window"))
 
 
 # ---- extraction: files written from orders ---------------------------------
