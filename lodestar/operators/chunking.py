@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,25 +21,34 @@ def split_lines(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Colum
     if size <= 0:
         raise ValueError("size must be positive")
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"(?U)\S"))
-    lengths = F.transform(lines, lambda x: F.length(x))
+    return _bound(lines, lambda ls: _bound(F.transform(ls, lambda x: F.length(x)), lambda lengths: _chunks(ls, lengths, size, overlap)))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named: inside a lambda an expression would be computed each time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _chunks(lines: Column, lengths: Column, size: int, overlap: int) -> Column:
     spans = F.array().cast("array<struct<s:int,e:int>>")
 
     def back(start: Column, end: Column) -> Column:
         """How many of the last lines begin the next chunk, and their length."""
-        step = lambda x, n: F.when(x.n >= overlap, x).otherwise(F.struct((x.k + 1).alias("k"), (x.n + n).alias("n")))
-        return F.aggregate(F.reverse(F.slice(lengths, start + 1, end - start)), F.struct(F.lit(0).alias("k"), F.lit(0).alias("n")), step)
+        step = lambda x, j: F.when(x.n >= overlap, x).otherwise(F.struct((x.k + 1).alias("k"), (x.n + F.get(lengths, j)).alias("n")))
+        return F.aggregate(F.sequence(end - 1, start), F.struct(F.lit(0).alias("k"), F.lit(0).alias("n")), step)
 
     def add(acc: Column, length: Column) -> Column:
-        # only a chunk that closes adds to an array; a line moves three numbers
-        kept = back(acc.s, acc.i)
-        return F.when(
-            (acc.n + length > size) & (acc.i > acc.s),
-            F.struct(F.array_append(acc.ch, F.struct(acc.s.alias("s"), acc.i.alias("e"))).alias("ch"), (acc.i - kept.k).alias("s"), (kept.n + length).alias("n"), (acc.i + 1).alias("i")),
-        ).otherwise(F.struct(acc.ch.alias("ch"), acc.s.alias("s"), (acc.n + length).alias("n"), (acc.i + 1).alias("i")))
+        # only a chunk that closes looks back and adds to an array; a line moves three numbers
+        closed = lambda kept: F.struct(
+            F.array_append(acc.ch, F.struct(acc.s.alias("s"), acc.i.alias("e"))).alias("ch"), (acc.i - kept.k).alias("s"), (kept.n + length).alias("n"), (acc.i + 1).alias("i"),
+        )
+        goes_on = F.struct(acc.ch.alias("ch"), acc.s.alias("s"), (acc.n + length).alias("n"), (acc.i + 1).alias("i"))
+        return F.when((acc.n + length > size) & (acc.i > acc.s), _bound(back(acc.s, acc.i), closed)).otherwise(goes_on)
 
     start = F.struct(spans.alias("ch"), F.lit(0).alias("s"), F.lit(0).alias("n"), F.lit(0).alias("i"))
     last = lambda x: F.when(x.i > x.s, F.array_append(x.ch, F.struct(x.s.alias("s"), x.i.alias("e")))).otherwise(x.ch)
-    return F.transform(F.aggregate(lengths, start, add, last), lambda c: F.array_join(F.slice(lines, c.s + 1, c.e - c.s), "\n"))
+    # lines by their places: a slice would copy all of them
+    return F.transform(F.aggregate(lengths, start, add, last), lambda c: F.array_join(F.transform(F.sequence(c.s, c.e - 1), lambda j: F.get(lines, j)), "\n"))
 
 
 def chunk(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

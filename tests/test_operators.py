@@ -114,6 +114,21 @@ def test_chunking(spark, size, overlap):
     assert got == {i: plain_chunks(t, size, overlap) for i, t in enumerate(texts)}
 
 
+def test_twice_the_lines_take_twice_the_time(spark):
+    """Rows of a text of n lines, of which the larger has four times as many: the time may not grow as the square."""
+    import time
+
+    def seconds(n):
+        text = "\n".join(f"a line of some forty characters or so {i}" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        chunking.chunk(df).write.format("noop").mode("overwrite").save()
+        begun = time.perf_counter()
+        chunking.chunk(df).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - begun
+
+    assert seconds(48_000) < 8 * max(0.5, seconds(12_000))
+
+
 def test_chunk_size_must_be_positive(spark):
     with pytest.raises(ValueError):
         chunking.split_lines(F.lit("a"), 0)
