@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import cosine, unit
-from lodestar.operators import answers, chunking, dense, lexical, metrics, ranking, segments, stats
+from lodestar.operators import answers, chunking, dense, lexical, metrics, proximity, ranking, segments, stats
+from lodestar.plans.lineage import cut
 from lodestar.sources import stores
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -243,6 +244,10 @@ _VEC = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
 _EXACT = "ex AS (SELECT a.vec_id AS qid, b.vec_id AS chunk_id, a.label AS la, b.label AS lb, list_dot_product(a.e, b.e) AS score FROM v a, v b)"
 
 
+#: List of candidates and clusters of the graph index; fixed values: lists of the sweep.
+GRAPH_EF, GRAPH_PROBES, EF_STEPS = 40, 8, (10, 20, 40, 100, 200, 400)
+
+
 def _vectors(spark, d):
     e = table(spark, d, "embeddings")
     return e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"))
@@ -274,6 +279,19 @@ def _(spark, d):
     return rounded(dense.lsh_topk(*_vectors(spark, d), 5, planes=4, tables=8), "score")
 
 
+@query("vector_graph_topk")
+def _(spark, d):
+    q, v = _vectors(spark, d)
+    return rounded(proximity.search(proximity.build(v), q, 5, (GRAPH_EF,), GRAPH_PROBES).select("qid", "chunk_id", "rank", "score"), "score")
+
+
+@query("vector_graph_sweep")
+def _(spark, d):
+    q, v = _vectors(spark, d)
+    found = cut(proximity.search(proximity.build(v), q, 20, EF_STEPS, GRAPH_PROBES))
+    return rounded(proximity.sweep(found, cut(dense.exact_topk(q, v, 20)), 20, v.count()), "recall", "returned", "visited_share")
+
+
 _CENTRE = "c AS (SELECT label, list(m ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY label, pos) GROUP BY label)"
 
 
