@@ -24,6 +24,8 @@ SHARD_CHUNKS, SHARD_TOKENS, BLOCK, LOT = 8192, 1 << 22, 64, 4096
 FIRST_BLOCKS = 4
 #: What rounding may hide: scores are compared at PLACES digits.
 SLACK = 1e-8
+#: The first bit of a segment's number in that of a shard.
+SEGMENT = 44
 POSTINGS = "shard long, term string, df long, docs binary, tfs binary, codes binary"
 MEMBERS = "shard long, n long, total long, ids array<{0}>, lengths binary"
 
@@ -32,7 +34,8 @@ MEMBERS = "shard long, n long, total long, ids array<{0}>, lengths binary"
 class Segments:
     """``postings`` (POSTINGS) and ``members`` (MEMBERS): a row a shard with its chunks, in order, and their lengths.
 
-    ``gone`` (chunk_id, term, tf; a row without a term has the chunk's length as
+    The upper bits of a shard, from ``SEGMENT`` on, are the number of its segment in ``union``.
+    ``gone`` (segment, chunk_id, term, tf; a row without a term has the chunk's length as
     tf) has the chunks that no longer count, or is None.
     """
 
@@ -108,7 +111,7 @@ def _build(kind: pa.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        number = (context.partitionId() if context else 0) << 32
+        number = (context.partitionId() if context else 0) << 24
         ids, toks, held = [], [], 0
         for b in batches:
             ids.append(b.column(0))
@@ -162,12 +165,21 @@ def weights(index: Segments, n: int, idf: str = "okapi") -> DataFrame:
 
 
 def gone_rows(chunks: DataFrame) -> DataFrame:
-    """``Segments.gone`` of (chunk_id, t), the tokens of chunks that no longer count."""
-    lengths = chunks.select("chunk_id", F.lit(None).cast("string").alias("term"), F.size("t").cast("long").alias("tf"))
-    terms = chunks.select("chunk_id", F.explode("t").alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """``Segments.gone`` of (segment, chunk_id, t), the tokens of chunks that no longer count."""
+    lengths = chunks.select("segment", "chunk_id", F.lit(None).cast("string").alias("term"), F.size("t").cast("long").alias("tf"))
+    terms = chunks.select("segment", "chunk_id", F.explode("t").alias("term")).groupBy("segment", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     return lengths.unionByName(terms)
 
 
+def union(parts: dict[int, Segments], gone: DataFrame | None = None) -> Segments:
+    """Segments by their numbers as one index. Nothing is counted again: statistics are sums over shards, less those of ``gone``."""
+    postings = members = None
+    for number, x in parts.items():
+        own = [t.withColumn("shard", F.col("shard") + (number << SEGMENT)) for t in (x.postings, x.members)]
+        postings, members = own if postings is None else (postings.unionByName(own[0]), members.unionByName(own[1]))
+    return Segments(postings, members, gone)
+
+
 class _Term:
     """Postings of a term in a shard; occurrences are read when a score needs them."""
 
@@ -392,8 +404,10 @@ def search(index: Segments, queries: DataFrame, formulas: dict[str, Formula], k:
     members = index.members.select("shard", "ids", "lengths")
     flat = members.select("shard", F.posexplode("ids").alias("place", "chunk_id"))
     if index.gone is not None:
-        lost = flat.join(index.gone.where("term is null").select("chunk_id").distinct(), "chunk_id").groupBy("shard").agg(F.collect_list("place").alias("gone"))
-        members = members.join(lost, "shard", "left")
+        dead = index.gone.where("term is null").select("segment", "chunk_id").distinct()
+        flat = flat.withColumn("segment", F.shiftright("shard", SEGMENT))
+        lost = flat.join(dead, ["segment", "chunk_id"]).groupBy("shard").agg(F.collect_list("place").alias("gone"))
+        members, flat = members.join(lost, "shard", "left"), flat.join(dead, ["segment", "chunk_id"], "left_anti").drop("segment")
     else:
         members = members.withColumn("gone", F.lit(None).cast("array<int>"))
     blank = {"what": "int", "ids": f"array<{ckind.simpleString()}>", "lengths": "binary", "gone": "array<int>", "place": "int", "v": "array<double>", "qid": qkind.simpleString(), "q": "array<double>", "weights": "array<array<double>>"}

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _made: dict[str, SparkSession] = {}
+_owners = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,24 +32,48 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _delete(path: str) -> None:
+    spark = _made.pop(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @atexit.register
 def _delete_all() -> None:
-    for path, spark in list(_made.items()):
+    for path in list(_made):
         try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(path)
         except Exception:  # noqa: BLE001  the session may have ended before
             pass
 
 
+@contextmanager
+def owned() -> Iterator[None]:
+    """Tables that are cut inside, in this thread, go at the end: whatever reads them must be collected or written by then."""
+    outer, _owners.paths = getattr(_owners, "paths", None), []
+    try:
+        yield
+    finally:
+        for path in _owners.paths:
+            _delete(path)
+        _owners.paths = outer
+
+
+def held_tables() -> int:
+    """How many tables exist that were cut and have not gone."""
+    return len(_made)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder, read back: no lineage behind it, and later plans prune its columns.
 
-    Tables go when the driver exits.
+    Tables go when the driver exits, or at the end of ``owned``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     _made[path] = spark
+    if getattr(_owners, "paths", None) is not None:
+        _owners.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

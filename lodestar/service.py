@@ -7,6 +7,8 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import Any
 
 from lodestar.engine import Engine
+from lodestar.operators.answers import rule_answers
+from lodestar.plans.lineage import owned
 
 #: Formats that can be ingested.
 FORMATS = ("txt", "md")
@@ -35,8 +37,11 @@ def _query(engine: Engine, body: Any) -> tuple[int, dict[str, Any]]:
         return 422, {"detail": "a question must be a text, and k a number from 1 to 100"}
     question = engine.spark.createDataFrame([(1, asked)], "qid long, question string")
     try:
-        rows = engine.query(question, k).orderBy("rank").collect()  # k rows
-        answer = engine.answer(question, k).first()["answer"]
+        with owned():  # tables of a request go with it
+            found = engine.query(question, k)
+            rows = found.orderBy("rank").collect()  # k rows
+            # the answer is made of what is ranked already
+            answer = rule_answers(question, engine.spark.createDataFrame(rows, found.schema)).first()["answer"]
     except LookupError as e:
         return 404, {"detail": str(e)}
     names = ("rank", "chunk_id", "doc_name", "page_num", "text", "score", "mode")

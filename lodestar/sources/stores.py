@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from lodestar.functions.text import iri
 from lodestar.operators.dense import exact_topk
 from lodestar.operators.graph import adjacency
 from lodestar.operators.lexical import LexicalIndex
+from lodestar.operators.segments import Segments
 from lodestar.plans.lineage import cut
 
 
@@ -69,15 +72,21 @@ def as_triples(relations: DataFrame) -> DataFrame:
     return relations.select(iri(F.col("head")).alias("s"), iri(F.col("rtype"), "urn:relation:").alias("p"), iri(F.col("tail")).alias("o")).distinct()
 
 
-def write_index(index: LexicalIndex, path: str) -> None:
-    for name in ("postings", "terms", "stats", "chunks"):
-        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+def write_index(index: LexicalIndex | Segments, path: str) -> None:
+    for field in fields(index):
+        table = getattr(index, field.name)
+        if table is not None:
+            table.write.mode("overwrite").parquet(f"{path}/{field.name}")
 
 
 def read_index(spark: SparkSession, path: str) -> LexicalIndex:
     return LexicalIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats", "chunks")))
 
 
+def read_segment(spark: SparkSession, path: str) -> Segments:
+    return Segments(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "members")))
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 

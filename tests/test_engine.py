@@ -54,6 +54,47 @@ def test_a_reader_between_writes_sees_the_last_generation(spark, tmp_path, monke
     assert e.health() == {"status": "ok", "generation": 2, "chunks": 2, "vectors": False}
 
 
+def size_of(folder):
+    return sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+
+
+@pytest.mark.parametrize("with_vectors", [True, False])
+def test_a_store_of_many_segments_answers_as_one_that_is_rebuilt(spark, tmp_path, monkeypatch, with_vectors):
+    """Documents one by one, some again, through merges: the same rows as all at once, and no ingest but a merge writes more than its own."""
+    from lodestar import engine
+    from lodestar.plans import lineage
+
+    monkeypatch.setattr(engine, "FAN", 3)
+    words = ["battery", "motor", "sensor", "voltage", "logic", "pack", "control"]
+    texts = {f"d{i}": " ".join(words[(i * j) % 7] for j in range(1, 4 + i % 5)) for i in range(8)}
+    store = Engine(spark, str(tmp_path / "store"), encoder if with_vectors else None)
+    before = lineage.held_tables()
+    for name, text in [*((n, "old " + t) for n, t in list(texts.items())[:3]), *texts.items()]:
+        store.ingest(spark.createDataFrame([(name, text)], "doc_id string, text string"))
+    assert lineage.held_tables() == before
+    state = store._state()
+    assert state.generation == 11 and len(state.live) < 6 and store.health()["chunks"] == 8
+    whole = Engine(spark, str(tmp_path / "whole"), encoder if with_vectors else None)
+    whole.ingest(spark.createDataFrame(list(texts.items()), "doc_id string, text string"))
+    asked = spark.createDataFrame([(1, "battery voltage"), (2, "motor control old"), (3, "pack pack logic")], "qid long, question string")
+    rows = lambda e: sorted(map(tuple, e.query(asked, 3).collect()))
+    assert rows(store) == rows(whole)
+
+
+def test_one_document_more_writes_one_segment(spark, tmp_path):
+    """To a store of 20 and of 800 documents: the bytes are those of the document."""
+    written = []
+    for n in (20, 800):
+        path = tmp_path / f"store{n}"
+        e = Engine(spark, str(path))
+        e.ingest(spark.createDataFrame([(f"d{i}", f"battery number {i} of the pack {i * 7}") for i in range(n)], "doc_id string, text string"))
+        held = size_of(path)
+        e.ingest(spark.createDataFrame([("d3", "a motor instead")], "doc_id string, text string"))
+        written.append(size_of(path) - held)
+        assert e.health()["chunks"] == n
+    assert written[1] < 1.1 * written[0]
+
+
 def test_requests(spark, tmp_path):
     import json
     import threading
@@ -71,6 +112,10 @@ def test_requests(spark, tmp_path):
         assert ask("/ingest", bad)[0] == 422
     assert service.handle(e, "POST", "/ingest", b"{")[0] == 422
     assert ask("/ingest", {"documents": [{"name": "a.txt", "text": "tide tables"}, {"name": "b.md", "text": "harvest dates"}]}) == (200, {"chunks": 2})
+    from lodestar.plans import lineage
+
+    before = lineage.held_tables()
+    assert ask("/query", {"question": "harvest"})[1]["results"][0]["doc_name"] == "b" and lineage.held_tables() == before
     assert ask("/query", {"question": " "})[0] == 422 and ask("/query", {"question": "tide", "k": 0})[0] == 422
     server = service.serve(e, port=0)
     threading.Thread(target=server.serve_forever, daemon=True).start()
