@@ -18,8 +18,8 @@ LEAST_CENTROIDS, MOST_CENTROIDS, CELL_ROWS = 96, 1024, 12
 #: Vectors that the centroids are fitted on, at most, by a hash of their id: a documented bound of the fit alone.
 MAX_FITTED = 20_000
 ROUNDS = 12
-#: Share of all vectors that a query's cells hold at least.
-SHARE = 0.5
+#: Share of all vectors that a query's cells hold at least, up to FULL vectors; beyond, the share falls as this power of them.
+SHARE, FULL, FALL = 0.5, 512, 0.06
 #: Vectors of a group of the index: a 64th of all within these bounds; and queries that meet it at once, about.
 LEAST_GROUP, MOST_GROUP, GROUP_QUERIES = 2_000, 20_000, 100_000
 
@@ -29,6 +29,11 @@ def centroids_for(n: int) -> int:
     return max(LEAST_CENTROIDS, min(MOST_CENTROIDS, math.ceil(math.sqrt(n / CELL_ROWS))))
 
 
+def budget(n: int, share: float, least: int) -> int:
+    """Vectors that a query's cells hold at least, of ``n``: a share that falls with their number; 1 is all."""
+    return int(max(least, n if share >= 1 else share * n * (FULL / max(n, FULL)) ** FALL))
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 10) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centre = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
@@ -142,25 +147,41 @@ def _router(model, dim: int, wanted: int):
     return run
 
 
+def visited_products(q: np.ndarray, v: np.ndarray, edge: np.ndarray, visits: np.ndarray) -> tuple[np.ndarray, int]:
+    """(products, how many were computed): of each query with the vectors of the cells that it visits, -inf elsewhere.
+
+    Vectors lie sorted by cell, from ``edge[c]`` to ``edge[c + 1]``; ``visits`` has the cells of each query.
+    """
+    s = np.full((len(q), len(v)), -np.inf)
+    made = 0
+    for c in np.flatnonzero((np.diff(edge) > 0) & visits.any(axis=0)).tolist():
+        rows, a, b = np.flatnonzero(visits[:, c]), edge[c], edge[c + 1]
+        s[rows, a:b] = q[rows] @ v[a:b].T
+        made += len(rows) * (b - a)
+    return s, made
+
+
 def _meet(dim: int, k: int):
-    """The best ``k`` of a group's vectors for each of its queries."""
+    """The best ``k`` of a group's vectors for each of its queries, of the cells that it visits."""
 
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
         if vectors.num_rows and queries.num_rows:
+            vectors = vectors.take(pa.array(np.argsort(vectors["place"].to_numpy(), kind="stable")))
             vid, qid = vectors["id"].to_numpy(), queries["id"].to_numpy()
             v32, q32 = matrix(vectors["v"], dim), matrix(queries["v"], dim)
-            v, cell = v32.astype(np.float64), vectors["place"].to_numpy()
-            bits = queries["bits"].to_pylist()
-            for at in range(0, len(qid), 256):
-                q = q32[at : at + 256].astype(np.float64)
-                m = np.unpackbits(np.frombuffer(b"".join(bits[at : at + 256]), dtype=np.uint8).reshape(len(q), -1), axis=1)
-                s = q @ v.T
-                s[m[:, cell] == 0] = -np.inf
-                s[qid[at : at + 256, None] == vid[None, :]] = -np.inf
-                edge = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
-                edge -= 1e-9 * np.maximum(1.0, np.where(np.isfinite(edge), np.abs(edge), 0.0))
-                i, j = np.nonzero((s >= edge[:, None]) & np.isfinite(s))
+            v, bits = v32.astype(np.float64), queries["bits"].to_pylist()
+            cells = 8 * len(bits[0])
+            edge = np.searchsorted(vectors["place"].to_numpy(), np.arange(cells + 1))
+            step = max(64, (1 << 21) // len(v))
+            for at in range(0, len(qid), step):
+                q = q32[at : at + step].astype(np.float64)
+                visits = np.unpackbits(np.frombuffer(b"".join(bits[at : at + step]), dtype=np.uint8).reshape(len(q), -1), axis=1).astype(bool)
+                s, _ = visited_products(q, v, edge, visits)
+                s[qid[at : at + step, None] == vid[None, :]] = -np.inf
+                edge_score = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
+                edge_score -= 1e-9 * np.maximum(1.0, np.where(np.isfinite(edge_score), np.abs(edge_score), 0.0))
+                i, j = np.nonzero((s >= edge_score[:, None]) & np.isfinite(s))
                 exact = exact_products(q32[at + i], v32[j])
                 order = np.lexsort((vid[j], -exact, i))
                 i, j, exact = i[order], j[order], exact[order]
@@ -181,8 +202,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     Two halves of the vectors are quantised separately with centroids fitted on
     at most ``MAX_FITTED`` vectors; every vector is in one of the cells that the
     pairs of centroids make. A query visits cells in order of the summed squared
-    distances to the two centroids until they hold ``share`` of all vectors, and
-    reranks what they hold by the exact product. With ``share`` 1 the search is
+    distances to the two centroids until they hold ``budget`` vectors, and
+    reranks what they hold, and nothing else, by the exact product. With ``share`` 1 the search is
     exhaustive.
 
     Cells lie in groups of ``LEAST_GROUP`` to ``MOST_GROUP`` vectors; a left centroid with more is split
@@ -228,7 +249,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     nth = np.arange(len(first)) - np.searchsorted(first, first)
     routing = spark.sparkContext.broadcast((centres, counts.tolist(), first, many))
     asked = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"))
-    wanted = int(max(k + 1, share * counts.sum()))
+    wanted = budget(int(counts.sum()), share, k + 1)
     lots = max(1, -(-dims[0]["asked"] // GROUP_QUERIES))
     sent = asked.select("id", "v").repartition(max(8, spark.sparkContext.defaultParallelism)).mapInArrow(
         _router(routing, dim, wanted), f"id long, v {element}, group long, bits binary"

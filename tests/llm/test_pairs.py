@@ -172,6 +172,24 @@ def test_groups_of_the_index(spark, monkeypatch, group):
     assert {q: [i for i, _ in brute(x, q, 20)] for q in range(0, 400, 20)} == got
 
 
+def test_only_visited_cells_are_multiplied():
+    rng = np.random.default_rng(6)
+    v, q = rng.standard_normal((200, 5)), rng.standard_normal((30, 5))
+    edge = np.concatenate(([0], np.sort(rng.integers(0, 201, 15)), [200]))
+    visits = rng.random((30, 16)) < 0.3
+    s, made = ann.visited_products(q, v, edge, visits)
+    inside = np.repeat(visits, np.diff(edge), axis=1)
+    assert made == inside.sum() and (np.isfinite(s) == inside).all()
+    assert np.allclose(s[inside], (q @ v.T)[inside])
+
+
+def test_the_budget_grows_slower_than_the_vectors():
+    sizes = [500, 5_000, 50_000, 5_000_000]
+    shares = [ann.budget(n, ann.SHARE, 21) / n for n in sizes]
+    assert shares[0] == 0.5 and all(b < 0.9 * a for a, b in zip(shares, shares[1:], strict=False))
+    assert ann.budget(1000, 1.0, 21) == 1000 and ann.budget(10, 0.5, 21) == 21
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_recall_of_the_registered_query(spark, sf):
     from lodestar.llm import queries
