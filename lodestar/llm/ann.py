@@ -20,8 +20,8 @@ MAX_FITTED = 20_000
 ROUNDS = 12
 #: Share of all vectors that a query's cells hold at least, up to FULL vectors; beyond, the share falls as this power of them.
 SHARE, FULL, FALL = 0.5, 512, 0.06
-#: Vectors of a group of the index: a 64th of all within these bounds; and queries that meet it at once, about.
-LEAST_GROUP, MOST_GROUP, GROUP_QUERIES = 2_000, 20_000, 100_000
+#: Groups of the index, as long as one has vectors within these bounds; and queries that meet it at once, about.
+GROUPS, LEAST_GROUP, MOST_GROUP, GROUP_QUERIES = 24, 400, 20_000, 100_000
 
 
 def centroids_for(n: int) -> int:
@@ -244,7 +244,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     counts = np.zeros(len(centres[0]) * width, dtype=np.int64)
     for r in indexed.groupBy("cell").count().collect():  # at most MOST_CENTROIDS**2 rows
         counts[r["cell"]] = r["count"]
-    first, many = grouped(counts.reshape(-1, width).sum(1), min(MOST_GROUP, max(LEAST_GROUP, int(counts.sum()) // 64)))
+    first, many = grouped(counts.reshape(-1, width).sum(1), min(MOST_GROUP, max(LEAST_GROUP, int(counts.sum()) // GROUPS)))
     # of each left centroid: its groups, and which of the centroids of its group it is
     nth = np.arange(len(first)) - np.searchsorted(first, first)
     routing = spark.sparkContext.broadcast((centres, counts.tolist(), first, many))
