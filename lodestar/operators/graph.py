@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.plans.lineage import cut
@@ -20,24 +20,45 @@ def neighbors(relations: DataFrame, entities: DataFrame) -> DataFrame:
     return relations.select("head", "rtype", "tail", pair).join(entities.select("eid").distinct(), "eid").select("eid", "head", "rtype", "tail")
 
 
+#: Seeds that share a row, as bits of a number, and how many a lot of seeds has on average.
+BITS, IN_LOT = 64, 48
+
+
+def _numbered_seeds(seeds: DataFrame) -> DataFrame:
+    """(qid, word, bit): up to ``BITS`` searches share a word. Lots are dealt by hash; one that has more goes on in further words."""
+    asked = seeds.select("qid").distinct()
+    lots = max(1, -(-asked.count() // IN_LOT))
+    lot = F.pmod(F.xxhash64("qid"), F.lit(lots)).cast("long")
+    nth = F.row_number().over(Window.partitionBy("lot").orderBy("qid")) - 1
+    rows = asked.withColumn("lot", lot).withColumn("nth", nth)
+    return rows.select("qid", F.struct("lot", F.floor(F.col("nth") / BITS).alias("part")).alias("word"), (F.col("nth") % BITS).cast("int").alias("bit"))
+
+
 def expand(seeds: DataFrame, relations: DataFrame, hops: int) -> DataFrame:
     """(qid, eid, dist): least hops from any seed, up to ``hops``, in any direction; seeds have 0 even if unknown.
 
-    Each hop joins only the entities that were new at the one before; what was
-    seen is taken out by an anti join, so hubs are expanded once.
+    All searches go at once: of those that share a word, a row of the frontier
+    has an entity once, with a bit for each search that is new there. So a hub is
+    expanded once for ``BITS`` searches, and a hop is a join and a bitwise
+    aggregation; the bits that an entity had before are taken out.
     """
     if hops < 0:
         raise ValueError("hops must not be negative")
     edges = both_ways(relations)
-    seen = seeds.select("qid", "eid").distinct().withColumn("dist", F.lit(0))
-    front = seen
+    numbers = cut(_numbered_seeds(seeds))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    front = cut(seeds.select("qid", "eid").distinct().join(numbers, "qid").groupBy("eid", "word").agg(F.bit_or(one).alias("bits")))
+    known, found = front, front.withColumn("dist", F.lit(0))
     for hop in range(1, hops + 1):
-        step = front.join(edges, front["eid"] == edges["src"]).select("qid", F.col("dst").alias("eid")).distinct()
-        front = cut(step.join(seen.select("qid", "eid"), ["qid", "eid"], "left_anti").withColumn("dist", F.lit(hop)))
-        seen = seen.unionByName(front)
-        if front.limit(1).count() == 0:
+        step = front.join(edges, front["eid"] == edges["src"]).groupBy(F.col("dst").alias("eid"), "word").agg(F.bit_or("bits").alias("to"))
+        met = step.join(known, ["eid", "word"], "left").select("eid", "word", F.col("to").bitwiseAND(F.bitwise_not(F.coalesce("bits", F.lit(0).cast("long")))).alias("bits"))
+        front = cut(met.where("bits <> 0"))
+        found = found.unionByName(front.withColumn("dist", F.lit(hop)))
+        if hop == hops or front.limit(1).count() == 0:
             break
-    return seen
+        known = cut(known.unionByName(front).groupBy("eid", "word").agg(F.bit_or("bits").alias("bits")))
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda k: F.call_function("shiftright", F.col("bits"), k).bitwiseAND(F.lit(1)) == 1))
+    return found.select("eid", "word", "dist", bit.alias("bit")).join(numbers, ["word", "bit"]).select("qid", "eid", "dist")
 
 
 def expand_sql(seeds: str, edges: str, hops: int) -> str:

@@ -82,6 +82,40 @@ def substitute(relations: DataFrame, same: DataFrame) -> DataFrame:
     return relations.join(h, "head", "left").join(t, "tail", "left").select(F.coalesce("h", "head").alias("head"), "rtype", F.coalesce("t", "tail").alias("tail")).distinct()
 
 
+def saturate(relations: DataFrame, functional: tuple[str, ...] = ("ISSUED_BY", "HAS_BUDGET", "HAS_PERIOD"), most_rounds: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(relations, same): functional properties, equality and substitution carried to their joint fixpoint.
+
+    ``same`` is (eid, same) of all entities that equal another, with the smallest of their
+    class; the relations name these only. Substitution can give a subject two
+    values that it didn't have, which are then equal too, and so on. A
+    round looks only at subjects of relations that the round before changed, and
+    changes only relations that name an entity which moved. It is an error if
+    there is no end after ``most_rounds``.
+    """
+    facts = cut(relations.select("head", "rtype", "tail").distinct())
+    fresh, same = facts, None
+    for _ in range(most_rounds):
+        touched = fresh.where(F.col("rtype").isin(*functional)).select("head", "rtype").distinct()
+        pairs = cut(same_as(facts.join(touched, ["head", "rtype"], "left_semi"), functional))
+        if not pairs.limit(1).count():
+            break
+        moved = cut(closure(pairs).where("eid <> same"))
+        if same is None:
+            same = moved
+        else:
+            on = moved.select(F.col("eid").alias("was"), F.col("same").alias("now"))
+            same = cut(same.join(on, F.col("same") == F.col("was"), "left").select("eid", F.coalesce("now", "same").alias("same")).unionByName(moved))
+        h, t = (moved.select(F.col("eid").alias(c), F.col("same").alias(n)) for c, n in (("head", "h"), ("tail", "t")))
+        met = cut(facts.join(h, "head", "left").join(t, "tail", "left"))
+        fresh = cut(met.where("h is not null or t is not null").select(F.coalesce("h", "head").alias("head"), "rtype", F.coalesce("t", "tail").alias("tail")).distinct())
+        facts = cut(met.where("h is null and t is null").select("head", "rtype", "tail").unionByName(fresh).distinct())
+    else:
+        raise RuntimeError("the rules did not settle")
+    if same is None:
+        return facts, relations.select(F.col("head").alias("eid"), F.col("head").alias("same")).where("false")
+    return facts, same.unionByName(same.select(F.col("same").alias("eid"), "same").distinct())
+
+
 def inconsistencies(pairs: DataFrame, kind: str = "agency") -> DataFrame:
     """Pairs inferred to be the same although entities of their kind all differ."""
     of = lambda c: F.split(F.col(c), ":")[0] == kind

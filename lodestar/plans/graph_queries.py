@@ -440,3 +440,41 @@ def _(spark, d):
 @query("inconsistencies", f"WITH {_PROJ}, {_SAME} SELECT a, b FROM sm WHERE a LIKE 'agency:%' AND b LIKE 'agency:%'")
 def _(spark, d):
     return ontology.inconsistencies(ontology.same_as(projects(spark, d)))
+
+
+# agencies of two customers each, for some also of a project; an agency has one office, an office one area: equal agencies make
+# equal offices, and these equal areas
+_TOWER = """tw AS (SELECT 'project:' || (c_custkey // 2) AS head, 'ISSUED_BY' AS rtype, 'agency:' || c_custkey AS tail FROM customer WHERE (c_custkey // 2) % 3 = 0
+        UNION SELECT 'agency:' || c_custkey, 'HAS_OFFICE', 'office:' || (c_custkey * 3 // 4) FROM customer UNION SELECT 'office:' || (c_custkey * 3 // 4), 'HAS_AREA', 'area:' || (c_custkey * 3 // 4 // 3) FROM customer)"""
+
+
+def _level(name: str, source: str, rtype: str) -> str:
+    """Classes of the values of one functional property, after those of its subjects."""
+    return f"""{name}p AS (SELECT a.tail AS u, b.tail AS v FROM {source} a JOIN {source} b ON a.head = b.head AND a.rtype = b.rtype AND a.tail <> b.tail WHERE a.rtype = '{rtype}'),
+        {name}r(u, v) AS (SELECT u, v FROM {name}p UNION SELECT r.u, p.v FROM {name}r r JOIN {name}p p ON p.u = r.v),
+        {name} AS (SELECT u AS eid, min(v) AS same FROM (SELECT u, v FROM {name}r UNION SELECT u, u FROM {name}r) GROUP BY u),
+        {name}t AS (SELECT DISTINCT coalesce(h.same, head) AS head, rtype, coalesce(t.same, tail) AS tail FROM {source} LEFT JOIN {name} h ON h.eid = head LEFT JOIN {name} t ON t.eid = tail)"""
+
+
+_TOWER_SQL = f"WITH RECURSIVE {_TOWER}, {_level('l1', 'tw', 'ISSUED_BY')}, {_level('l2', 'l1t', 'HAS_OFFICE')}, {_level('l3', 'l2t', 'HAS_AREA')}"
+_FUNCTIONAL = ("ISSUED_BY", "HAS_OFFICE", "HAS_AREA")
+
+
+def tower(spark, d) -> DataFrame:
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").select(k)
+    name = lambda kind, x: F.concat(F.lit(f"{kind}:"), F.floor(x).cast("string"))
+    office = F.floor(k * 3 / 4)
+    rows = lambda h, r, t: c.select(h.alias("head"), F.lit(r).alias("rtype"), t.alias("tail"))
+    issued = c.where(F.floor(k / 2) % 3 == 0).select(name("project", k / 2).alias("head"), F.lit("ISSUED_BY").alias("rtype"), name("agency", k).alias("tail"))
+    return issued.unionByName(rows(name("agency", k), "HAS_OFFICE", name("office", office))).unionByName(rows(name("office", office), "HAS_AREA", name("area", office / 3))).distinct()
+
+
+@query("saturated_relations", f"{_TOWER_SQL} SELECT * FROM l3t")
+def _(spark, d):
+    return ontology.saturate(tower(spark, d), _FUNCTIONAL)[0]
+
+
+@query("saturated_classes", f"{_TOWER_SQL} SELECT eid, same FROM l1 UNION ALL SELECT eid, same FROM l2 UNION ALL SELECT eid, same FROM l3")
+def _(spark, d):
+    return ontology.saturate(tower(spark, d), _FUNCTIONAL)[1]
