@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import answer_tokens
 from lodestar.functions.vectors import cosine
-from lodestar.plans.lineage import numbered
+from lodestar.plans.lineage import cut
 
 
 def _checked(gold: Column) -> Column:
@@ -125,18 +125,38 @@ def element(values: Column, share: float) -> Column:
     return F.get(s, F.least(F.floor(F.size(s) * F.lit(share)).cast("int"), F.size(s) - 1))
 
 
+#: Ranges of equal width that values are counted in, and how often a range is divided before its values are.
+RANGES, DIVIDED = 1024, 2
+
+
 def at_share(rows: DataFrame, value: str, shares: dict[str, float], *by: str) -> DataFrame:
-    """Means and elements at shares of each group, by ranks.
+    """Means and elements at shares of each group, without sorting values.
 
-    Values are numbered over all groups by ranges, so that no task sorts a whole
-    group, and a group's ranks are the numbers from its first on.
+    Values are counted in ``RANGES`` ranges of each group, on the map side; the
+    range in which an element lies is divided again, and only the
+    different values of the last range are put in order. Ranges are cut at values that occur, so
+    a group of one value, or of many equal ones, ends at once.
     """
-    own = numbered(rows.where(F.col(value).isNotNull()).select(*by, value), [*by, value], "nth")
-    size = own.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.min("nth").alias("first"))
-    wanted = [F.struct(F.lit(name).alias("name"), (F.col("first") + F.least(F.floor(F.col("n") * F.lit(s)), F.col("n") - 1)).alias("at")) for name, s in shares.items()]
-    places = size.select(*by, F.explode(F.array(*wanted)).alias("w")).select(*by, "w.name", "w.at")
-    picked = own.select("nth", F.col(value).alias("picked")).join(places, F.col("nth") == F.col("at"))
-    wide = picked.groupBy(*by).agg(*[F.max(F.when(F.col("name") == name, F.col("picked"))).alias(name) for name in shares])
+    own = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
+    size = own.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("__v").alias("mean"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.least(F.floor(F.col("n") * F.lit(float(s))), F.col("n") - 1).alias("left")) for name, s in shares.items()])).alias("w")
+    sought = size.select(*by, wanted, "lo", "hi").select(*by, "w.name", "w.left", "lo", "hi")
+    keys = [*by, "name"]
+
+    def inside(sought: DataFrame, slot: Column) -> DataFrame:
+        """(keys, slot, c, low, high, left, before) of the values from lo to hi of each element that is sought."""
+        met = own.join(sought, list(by)) if by else own.crossJoin(F.broadcast(sought))  # without groups, a row an element
+        counts = met.where(F.col("__v").between(F.col("lo"), F.col("hi"))).groupBy(*keys, slot.alias("slot")).agg(F.count(F.lit(1)).alias("c"), F.min("__v").alias("low"), F.max("__v").alias("high"), F.first("left").alias("left"))
+        before = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counts.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
+        return placed.where((F.col("before") <= F.col("left")) & (F.col("left") < F.col("before") + F.col("c")))
+
+    width = (F.col("__v") - F.col("lo")).cast("double") / (F.col("hi") - F.col("lo")).cast("double")
+    for _ in range(DIVIDED):
+        slot = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(RANGES - 1), F.floor(width * RANGES))).otherwise(F.lit(0))
+        sought = cut(inside(sought, slot).select(*keys, (F.col("left") - F.col("before")).alias("left"), F.col("low").alias("lo"), F.col("high").alias("hi")))
+    wide = inside(sought, F.col("__v")).groupBy(*by).agg(*[F.max(F.when(F.col("name") == name, F.col("low"))).alias(name) for name in shares])
+    size = size.select(*by, "n", "mean")
     return (size.join(wide, list(by)) if by else size.crossJoin(wide)).select(*by, "n", "mean", *shares)  # without groups, one row each
 
 

@@ -498,6 +498,27 @@ def test_auroc(spark):
     assert metrics.auroc(spark.createDataFrame([(1.0, 1)], "score double, label int")).first()[0] is None
 
 
+@pytest.mark.parametrize(("ranges", "divided"), [(1024, 2), (3, 2), (2, 1)])
+def test_elements_at_shares(spark, monkeypatch, ranges, divided):
+    monkeypatch.setattr(metrics, "RANGES", ranges)
+    monkeypatch.setattr(metrics, "DIVIDED", divided)
+    rng = random.Random(ranges)
+    groups = {"one": [7.5], "same": [2.0] * 30, "ties": [float(rng.randint(0, 3)) for _ in range(50)], "wide": [rng.gauss(0, 1) ** 9 * 1e6 for _ in range(200)], "even": [float(i) for i in range(100)]}
+    rows = [(g, x) for g, v in groups.items() for x in v] + [("one", None), ("none", None)]
+    shares = {"low": 0.0, "p50": 0.5, "p95": 0.95, "top": 1.0}
+    df = spark.createDataFrame(rows, "g string, x double")
+
+    def want(v):
+        return [sorted(v)[min(int(len(v) * s), len(v) - 1)] for s in shares.values()]
+
+    got = {r.g: r for r in metrics.at_share(df, "x", shares, "g").collect()}
+    assert {g: [r[c] for c in shares] for g, r in got.items()} == {g: want(v) for g, v in groups.items()}
+    assert all(got[g].n == len(v) and got[g]["mean"] == pytest.approx(sum(v) / len(v)) for g, v in groups.items())
+    every = metrics.at_share(df, "x", shares).first()
+    assert [every[c] for c in shares] == want([x for _, x in rows if x is not None])
+    assert metrics.at_share(df.where("g = 'one'").select(F.col("x").cast("long").alias("x")), "x", {"p50": 0.5}).first().p50 == 7
+
+
 def test_binomial(spark):
     cases = [(k, n) for n in (0, 1, 5, 6, 37, 400, 999) for k in {0, n // 3, n // 2, n}]
     df = spark.createDataFrame(cases, "k long, n long")
