@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lodestar.llm.runtime import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: The sampling key is summed in RANGES ranges, each in RANGES smaller ones, before any rows are sorted.
-RANGES = 256
+#: Keys are summed in ranges, a sixteenth of a doubling each, and those in PARTS parts, before any rows are sorted.
+RANGES, PARTS = 16, 512
 
 
 def n_words(text: Column) -> Column:
@@ -70,25 +70,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     a row lies within the budget.
 
     Texts are read once, into a table of ids, sizes and keys. No source is sorted
-    as a whole: keys are summed in ranges, two levels of ``RANGES``, with map-side
-    combining; prefix sums over the ranges, and over the parts of the one in
-    which a source's budget ends, find the part in which it does, and only rows
-    of that part are sorted. Parts before it are taken whole and those after it
-    not at all. No window holds more than ``RANGES`` rows but that last one, a
-    65,536th of a source.
+    as a whole: keys are summed in ranges of their logarithm, two levels of them,
+    with map-side combining; prefix sums over the ranges, and over the parts of
+    the one in which a source's budget ends, find the part in which it does, and
+    only rows of that part are sorted. Parts before it are taken whole and those
+    after it not at all. A part is ``RANGES * PARTS`` to a doubling of the key.
+    As an exponential variate falls between x and x(1 + d) with a probability of
+    at most d/e whatever its rate, a part is expected to hold at most a 32,000th
+    of a source, for any quality weights.
 
     Null or wordless texts have size 0 and are never taken by words (taken 0).
-    A null source is a source. Null ids and repeated rows are rows of their
-    own. Very long texts are rows like others. An empty table gives an empty
-    result. Other columns are ignored, whatever their names. Reruns agree.
+    A null source is a source. Repeated rows are rows of their own; their keys
+    are equal, and those of null ids are drawn by the text, so only rows alike in
+    both share one. Very long texts are rows like others. An empty table gives an
+    empty result. Other columns are ignored, whatever their names. Reruns agree.
     """
     size = n_words(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), size.alias("size"), (F.lit(None).cast("double") if quality is None else quality).alias("q"))
     q = text_quality(F.col("text"), F.col("size")) if quality is None else F.col("q")
-    unit = (F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit(seed)), 11).cast("double") + 0.5) / float(2**53)
-    rows = rows.select("id", "source", "size", (-F.log(unit) / q).alias("key"))
-    fine = F.least(F.lit(RANGES * RANGES - 1), F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * (RANGES * RANGES))).cast("int")
-    rows = cut(rows.withColumn("fine", fine).withColumn("coarse", F.floor(F.col("fine") / RANGES).cast("int")), "keys")
+    draw = F.when(F.col("id").isNull(), F.xxhash64(F.col("text"), F.lit(seed))).otherwise(F.xxhash64(F.col("id"), F.lit(seed)))
+    unit = (F.shiftrightunsigned(draw, 11).cast("double") + 0.5) / float(2**53)
+    rows = rows.select("id", "source", "size", F.greatest(-F.log(unit) / q, F.lit(2.0**-60)).alias("key"))
+    fine = F.floor(F.log2("key") * (RANGES * PARTS)).cast("int")
+    rows = cut(rows.withColumn("fine", fine).withColumn("coarse", F.floor(F.col("fine") / PARTS).cast("int")), "keys")
     parts = rows.groupBy("source", "coarse", "fine").agg(F.sum("size").alias("words"))
     ranges = parts.groupBy("source", "coarse").agg(F.sum("words").alias("words"))
     known = targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
@@ -112,7 +116,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # as a table its size is known, so it is broadcast only while it is small; as the
     # joined rows are written before the window, a large source can be split if it is not
     cuts = cut(known.join(narrow, F.col("of").eqNullSafe(F.col("narrow_of")), "left").drop("narrow_of"), "cuts")
-    joined = cut(rows.join(cuts, of_source).withColumn("at", F.col("fine") - F.coalesce(F.col("last"), F.lit(-1))), "placed")
+    joined = cut(rows.join(cuts, of_source).withColumn("at", F.col("fine") - F.coalesce(F.col("last"), F.lit(-(2**30)))), "placed")
     whole = joined.where("at <> 0").withColumn("extra", (F.col("at") < 0).cast("long"))
     edge = Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     end = (

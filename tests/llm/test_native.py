@@ -1,6 +1,8 @@
 """Exact dedup, sharding and mixing against plain versions."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -145,6 +147,47 @@ def test_mix(spark):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
+def test_mix_takes_the_rows_of_a_plain_sampler(spark):
+    """Exponential keys in order, the middle of a row within the budget; with qualities far apart."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    rows = [(i, " ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(0, 12))), rng.choice("aab") if i % 50 else None) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    quality = F.when(F.col("doc_id") % 3 == 0, 0.001).when(F.col("doc_id") % 3 == 1, 1.0).otherwise(40.0)
+    got = {r.doc_id: r for r in mixing.mix(docs, quality=quality).collect()}
+    draws = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(20)).alias("h")).collect()}
+    key = lambda i: -math.log(((draws[i] % 2**64 >> 11) + 0.5) / 2**53) / (0.001, 1.0, 40.0)[i % 3]
+    seen = set()
+    for s in ("a", "b", None):
+        ids = sorted((i for i, _, x in rows if x == s), key=key)
+        whole, target = got[ids[0]].source_size, got[ids[0]].target
+        run, left = 0, target - target // whole * whole
+        for i in ids:
+            extra = run + got[i]["size"] / 2 <= left and run < left
+            run += got[i]["size"]
+            seen.add(bool(extra))
+            assert got[i].times == target // whole + extra
+    assert seen == {True, False}
+
+
+def test_mix_parts_are_small(spark):
+    """No part of the key holds much of a source, whatever its qualities, and null ids are spread by their text."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"), "id")
+    seen = []
+    real = mixing.cut
+    mixing.cut = lambda df, tag: seen.append((tag, real(df, tag))) or seen[-1][1]
+    try:
+        mixing.mix(docs, quality=F.when(F.col("id") % 3 == 0, 0.01).otherwise(5.0)).count()
+    finally:
+        mixing.cut = real
+    keys = dict(seen)["keys"]
+    assert keys.groupBy("fine").count().agg(F.max("count")).first()[0] < 40  # 6.2 expected at most
+    assert keys.groupBy("coarse").count().agg(F.max("count")).first()[0] < 200_000 / 16
+
+
 def test_mix_prefers_quality(spark):
     from pyspark.sql import functions as F
 
