@@ -121,9 +121,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     """Weights of the labelled rows outside the held-out fold, at most ``MAX_LABELLED`` of them.
 
     The bound is by a hash of the id, so it is the same rows at every run; an id
-    with more than one label counts with the smallest. The ids and labels of the
-    sample are at most MAX_LABELLED rows, so they are broadcast; features are made
-    where the texts are, and one task fits them.
+    with more than one label counts with the smallest, and one with more than one
+    text with the text whose features have the smallest hash. The ids and labels
+    of the sample are at most MAX_LABELLED rows, so they are broadcast; features
+    are made where the texts are, an id's are combined there, and one task fits
+    at most MAX_LABELLED rows of them.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -135,7 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     rows = rows.join(F.broadcast(sample), F.col("id") == F.col("marked")).select("id", "text", "label")
     kind = docs.schema[id_col].dataType.simpleString()
     made = rows.mapInArrow(_examples, f"id {kind}, label int, at binary, share binary")
-    made = made.select(F.lit(1).alias("fit"), F.xxhash64("id").alias("turn"), "label", "at", "share")
+    one = F.min_by(F.struct("label", "at", "share"), F.struct(F.xxhash64("at", "share"), "at", "share"))
+    made = made.groupBy("id").agg(one.alias("x")).select(F.lit(1).alias("fit"), F.xxhash64("id").alias("turn"), "x.*")
     fitted = made.groupBy("fit").applyInPandas(_fit, "w binary, rows long").collect()
     return np.frombuffer(fitted[0]["w"], np.float32) if fitted else np.zeros(BUCKETS + 1, dtype=np.float32)
 
