@@ -283,6 +283,34 @@ def test_language_without_labels(spark):
     assert langid.identify(messy.empty(spark)).count() == 0
 
 
+def test_likelihoods_of_words_in_blocks(monkeypatch):
+    """Words by lots of bytes, equal words once, a word beyond a lot: the same as byte by byte."""
+    rng = np.random.default_rng(3)
+    table = rng.normal(-5, 1, (langid.CELLS, 3)).astype(np.float32)
+    texts = pa.array(["ab abc ab", "", "x" * 500 + " Abc", "c"])
+    (_, data, offsets), = langid.chunks(texts)
+    words = langid.Words(data, offsets)
+    pick = np.arange(len(words))
+    whole = langid.likelihoods(words, pick, table)
+    for block in (1, 7, 100):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        assert langid.likelihoods(words, pick, table) == pytest.approx(whole)
+    for k, w in enumerate("ab abc ab".split() + ["x" * 500, "abc", "c"]):
+        cells = langid.trigram_cells(np.frombuffer(w.encode(), np.uint8), np.array([0]))
+        assert whole[k] == pytest.approx(table[cells].sum(axis=0, dtype=np.float64))
+    times = np.array([2.0, 1.0])
+    twice, ll = langid.proportions(whole[[0, 1, 0]], np.array([0]), np.ones((1, 3)))
+    once, same = langid.proportions(whole[[0, 1]], np.array([0]), np.ones((1, 3)), times)
+    assert once == pytest.approx(twice) and same == pytest.approx(ll)
+
+
+def test_too_many_languages_raise(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    docs = spark.createDataFrame([(i, "text", f"l{i}") for i in range(3)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 2"):
+        langid.train(docs)
+
+
 def test_quality(spark):
     rng = random.Random(8)
     rows, labels = [], []
@@ -306,6 +334,15 @@ def test_quality(spark):
     assert blank[9000] == blank[9001]
 
 
+def test_quality_fits_an_id_once(spark):
+    """An id that repeats is one row of the fit, whatever its texts and their order."""
+    rows = [(i, f"good words of row {i}" if i % 2 else f"BAD %%% row {i}") for i in range(60)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    once = quality.train(spark.createDataFrame(rows, "doc_id long, text string"), marks)
+    copies = spark.createDataFrame(rows + [rows[3]] * 500 + [rows[6]] * 300, "doc_id long, text string").repartition(5)
+    assert once.tolist() == quality.train(copies, marks).tolist()
+
+
 def test_updates_against_plain_ones():
     """FTRL-proximal as it is written down, one weight at a time."""
     rng = np.random.default_rng(4)
