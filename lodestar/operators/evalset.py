@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.text import fill, format_won, korean_units, number_set
 from lodestar.operators.extract import naming
 from lodestar.operators.graph import directed_edges, unique_steps
-from lodestar.plans.lineage import numbered
+from lodestar.plans.lineage import cut, numbered
 
 MAX_GOLD = 3
 # How questions read, by relation type and direction. (kind, type, forward, template)
@@ -176,6 +176,33 @@ def altered_amount(n: Column, forbidden: Column, seed: Column) -> Column:
     return F.coalesce(*made)
 
 
+def other_agencies(rows: DataFrame, agencies: DataFrame, seed: int = 0, tries: int = 4) -> DataFrame:
+    """(project_id, other_agency): of each row (project_id, agency, all) an agency that is not its own and not named in ``all``.
+
+    Agencies are numbered, and a row asks for the numbers behind one drawn by
+    hash, ``tries`` of them and twice as many at each further turn, until one fits
+    or all were asked. So a row meets few agencies, whatever their number; a row
+    that no agency fits, or without its own, has no result.
+    """
+    known = cut(numbered(agencies.select(F.col("agency").alias("other_agency")).where("other_agency is not null").distinct(), ["other_agency"], "nth"))
+    total, done, found = known.count(), 0, None
+    left = rows.select("project_id", "agency", "all").where("agency is not null")
+    while done < total:
+        upto = min(done + tries, total)
+        asked = F.transform(F.sequence(F.lit(done), F.lit(upto - 1)), lambda k: F.pmod(F.xxhash64("project_id", F.lit(seed)), F.lit(total)) + k)
+        drawn = left.select("project_id", F.posexplode(asked).alias("turn", "at")).select("project_id", "turn", F.pmod("at", F.lit(total)).alias("nth"))
+        names = drawn.join(known, "nth").groupBy("project_id").agg(F.sort_array(F.collect_set(F.struct("turn", "other_agency")))["other_agency"].alias("names"))
+        fits = F.filter("names", lambda x: (x != F.col("agency")) & ~F.col("all").contains(x))
+        met = cut(left.join(names, "project_id").withColumn("other_agency", F.get(fits, F.lit(0))).drop("names"))
+        won = met.where("other_agency is not null").select("project_id", "other_agency")
+        found = won if found is None else found.unionByName(won)
+        left = met.where("other_agency is null").drop("other_agency")
+        done, tries = upto, tries * 2
+        if left.isEmpty():
+            break
+    return rows.select("project_id", F.col("agency").alias("other_agency")).limit(0) if found is None else found
+
+
 def hallucination_items(facts: DataFrame, chunks: DataFrame, agencies: DataFrame, seed: int = 0, n_dev: int = 16) -> DataFrame:
     """Four answers of each amount, two true and two not.
 
@@ -198,10 +225,8 @@ def hallucination_items(facts: DataFrame, chunks: DataFrame, agencies: DataFrame
     draws = draws.select("project_id", "begin", "size", F.posexplode(F.when(F.col("room") > 1, F.array(one, two)).otherwise(F.array(one))).alias("r", "nth"))
     few = draws.select("project_id", "r", F.when(F.col("nth") < F.col("begin"), F.col("nth")).otherwise(F.col("nth") + F.col("size")).alias("pos")).join(others.select("pos", "other_text"), "pos")
     extra = few.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("r", "other_text")))["other_text"].alias("distractors"))
-    rows = good.join(extra, "project_id").withColumn("contexts", F.concat(F.array("text"), F.col("distractors"))).withColumn("all", F.array_join("contexts", "\n"))
-    wrong = rows.join(agencies.select(F.col("agency").alias("other_agency")), (F.col("other_agency") != F.col("agency")) & ~F.col("all").contains(F.col("other_agency")))
-    pick = wrong.groupBy("project_id").agg(F.min(F.struct(F.xxhash64("project_id", "other_agency", F.lit(seed)).alias("h"), "other_agency"))["other_agency"].alias("other_agency"))
-    rows = rows.join(pick, "project_id")
+    rows = cut(good.join(extra, "project_id").withColumn("contexts", F.concat(F.array("text"), F.col("distractors"))).withColumn("all", F.array_join("contexts", "\n")))
+    rows = rows.join(other_agencies(rows, agencies, seed), "project_id")
     says = lambda amount: F.concat(F.col("project_name"), F.lit("의 사업 예산은 "), amount, F.lit("입니다."))
     exact = says(format_won(F.col("amount")))
     other = altered_amount(F.col("amount"), number_set(F.col("all")), F.pmod(F.xxhash64("project_id", F.lit(seed + 1)), F.lit(6)))

@@ -668,6 +668,19 @@ def test_hallucination_items(spark):
         assert len(i.contexts) == 3
 
 
+def test_other_agencies_are_drawn_and_verified(spark):
+    """Also where all but one are named: every turn asks for more, and no agency is missed."""
+    names = [f"<{k}>" for k in range(37)]
+    rows = [(f"p{i}", names[i], "".join(n for k, n in enumerate(names) if k != (i + 5) % 37)) for i in range(37)]
+    rows += [("plain", "<3>", "no name"), ("every", "<1>", "".join(names)), ("own", "<1>", "".join(names[:1] + names[2:])), ("none", None, "x")]
+    df = spark.createDataFrame(rows, "project_id string, agency string, all string")
+    known = spark.createDataFrame([(n,) for n in names + names[:3] + [None]], "agency string")
+    got = {r.project_id: r.other_agency for r in evalset.other_agencies(df, known).collect()}
+    assert {i: got[f"p{i}"] for i in range(37)} == {i: names[(i + 5) % 37] for i in range(37)}
+    assert got.keys() == {f"p{i}" for i in range(37)} | {"plain"} and got["plain"] in names and got["plain"] != "<3>"
+    assert evalset.other_agencies(df, known.limit(0)).count() == 0
+
+
 def test_distractors_are_of_other_documents(spark):
     facts = [(f"p{i}", f"사업{i}", (i + 1) * 37_000_000, f"d{i % 4}", f"사업비 {(i + 1) * 37_000_000:,}원", f"기관{i}") for i in range(20)]
     df = spark.createDataFrame(facts, "project_id string, project_name string, amount long, doc_name string, text string, agency string")
