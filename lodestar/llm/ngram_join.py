@@ -20,8 +20,8 @@ from lodestar.llm.textkernels import Words, chunks, windows
 CELL_BITS = 22
 #: Hash ranges in which the suffix filter compares two sets.
 RANGES = 32
-#: Classes of a shingle that meet by this shingle alone, at most; with more, they meet by a second one as well.
-COMMON = 8192
+#: Tokens before a shared one that travel with it, so that a pair that has met by one of them doesn't meet again.
+EARLIER = 16
 
 
 def _tally(width: int):
@@ -93,8 +93,7 @@ def _sets(width: int, num: int, den: int, order, whole: bool):
                 n = np.diff(edge)
                 cls = [hashlib.blake2b(h[a:b].tobytes() + g[a:b].tobytes(), digest_size=16).digest() for a, b in zip(edge[:-1], edge[1:], strict=True)]
                 signed = h.view(np.int64)
-                # one token more than the prefix, for pairs that meet by two
-                size = n if whole else np.minimum(n, np.array([prefix_length(int(k), num, den) + 1 for k in n], dtype=np.int64))
+                size = n if whole else np.array([prefix_length(int(k), num, den) for k in n], dtype=np.int64)
                 take = np.repeat(edge[:-1] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
                 edges = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
                 tokens = pa.ListArray.from_arrays(edges, pa.array(signed[take]))
@@ -123,9 +122,37 @@ def _positional(n1: Column, p1: Column, n2: Column, p2: Column, num: int, den: i
     return F.least(n1 - p1, n2 - p2) >= _least_overlap(n1, n2, num, den)
 
 
-def _prefix(n: Column, num: int, den: int) -> Column:
-    """``prefix_length`` as a column, of n > 0."""
-    return n - F.floor((n * num + (den - 1)) / den) + 1
+def _size(packed: Column) -> Column:
+    return F.shiftright(packed, 32)
+
+
+def _position(packed: Column) -> Column:
+    return packed.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _filters(x: Column, y: Column, num: int, den: int) -> Column:
+    """Length and positional filter of two entries, each its set's size and its position packed."""
+    return _close_lengths(_size(x), _size(y), num, den) & _positional(_size(x), _position(x), _size(y), _position(y), num, den)
+
+
+def meet(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b, pa, pb) of classes of different components, from entries (tok, rep, np, comp, earlier).
+
+    Within a shingle the longer class looks into its own band of lengths and the
+    next shorter one. A pair is left out where the tokens that travel with its
+    entries (``earlier``, those just before) have one in common: it passes all
+    filters there too, since its positions are smaller, so it has met there. What
+    such a window misses only repeats a pair, never loses one.
+    """
+    banded = entries.withColumn("band", F.floor(F.log(_size(F.col("np")).cast("double")) / math.log(den / num)).cast("int"))
+    x = banded.select("tok", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("rep").alias("x"), F.col("np").alias("nx"), F.col("comp").alias("cx"), F.col("earlier").alias("ex"))
+    y = banded.select("tok", "band", F.col("rep").alias("y"), F.col("np").alias("ny"), F.col("comp").alias("cy"), F.col("earlier").alias("ey"))
+    nx, ny = _size(F.col("nx")), _size(F.col("ny"))
+    longer = (nx > ny) | ((nx == ny) & (F.col("x") < F.col("y")))
+    # the costly test comes last
+    pair = x.join(y, ["tok", "band"]).where(longer & (F.col("cx") != F.col("cy")) & _filters(F.col("nx"), F.col("ny"), num, den) & ~F.arrays_overlap("ex", "ey"))
+    swap, px, py = F.col("x") < F.col("y"), _position(F.col("nx")), _position(F.col("ny"))
+    return pair.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, px).otherwise(py).alias("pa"), F.when(swap, py).otherwise(px).alias("pb"))
 
 
 def _suffix(ranges: Column, tokens: Column, position: Column) -> Column:
@@ -208,10 +235,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
        filter and the exact test once per pair. Components of these links follow.
     2. Shingles whose classes are all in one component are done: no pair of them
        can change the result. In the others, classes of different components
-       meet within bands of length, under the same filters. A shingle of more
-       than ``COMMON`` classes pairs none by itself: a pair at the threshold
-       shares two tokens of prefixes that are one token longer, so its classes
-       meet by this shingle and a second one.
+       meet within bands of length, under the same filters, at the first shingle
+       that they share (``meet``): a pair leaves the join about once, however
+       many shingles it shares.
 
     So no large group of near copies is expanded into all its pairs, while
     every link between two components is found. Sets are compared as two
@@ -233,7 +259,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         rows.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("cls")
         .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("ranges").alias("ranges")), "classes",
     )
-    entries = sets.select("rep", "n", F.posexplode("tokens").alias("pos", "tok")).where(F.col("pos") < _prefix(F.col("n"), num, den))
+    entries = sets.select("rep", "n", F.posexplode("tokens").alias("pos", "tok"))
     packed = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")
     entries = entries.select("tok", "rep", packed.alias("np"))
     rank = F.shiftleft(F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)), 36) + F.shiftrightunsigned(F.xxhash64("rep"), 28)
@@ -243,12 +269,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     )
     # entries whose shingle another class has in its prefix too
     shared = cut(entries.join(hubs, "tok"), "shared")
-    n = lambda c: F.shiftright(F.col(c), 32)
-    p = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
-    filters = lambda x, y: _close_lengths(n(x), n(y), num, den) & _positional(n(x), p(x), n(y), p(y), num, den)
+    p = lambda c: _position(F.col(c))
     first = F.col("rep") < F.col("hub")
     ordered = [F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), F.when(first, p("np")).otherwise(p("hub_np")).alias("pa"), F.when(first, p("hub_np")).otherwise(p("np")).alias("pb")]
-    starred = shared.where((F.col("rep") != F.col("hub")) & filters("np", "hub_np"))
+    starred = shared.where((F.col("rep") != F.col("hub")) & _filters(F.col("np"), F.col("hub_np"), num, den))
     # of the tokens that two classes share in their prefixes, the first; positions rise together
     starred = starred.groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(p("np").alias("at"), "np", "hub_np")).alias("f"))
     # each class tests its likeliest hub now; the rest is left to the second step
@@ -258,28 +282,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     labels = components(links)
     labelled = shared.select("tok", "rep", "np").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     labelled = cut(labelled, "labelled")
-    open_toks = labelled.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("classes")).where("lo < hi")
-    # a table of its own, so that neither side of the next join is an aggregation: adaptive
+    open_toks = labelled.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
+    # tables of their own, so that no side of the next joins is an aggregation: adaptive
     # execution can then split a shingle of many classes
-    open_toks = cut(open_toks.select("tok", "classes"), "open")
-    rest = cut(labelled.join(open_toks, "tok").withColumn("band", F.floor(F.log(n("np")) / math.log(den / num)).cast("int")), "open")
-    few, many = rest.where(F.col("classes") <= COMMON), rest.where(F.col("classes") > COMMON)
-    seconds = sets.select("rep", F.explode("tokens").alias("second"))
-    many = many.join(seconds, "rep").where(F.col("second") != F.col("tok"))
-
-    def met(rows: DataFrame, *keys: str) -> DataFrame:
-        """Pairs of different components; the longer class looks into its own band and the next shorter one."""
-        x = rows.select(*keys, F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("rep").alias("x"), F.col("np").alias("nx"), F.col("comp").alias("cx"))
-        y = rows.select(*keys, "band", F.col("rep").alias("y"), F.col("np").alias("ny"), F.col("comp").alias("cy"))
-        longer = (n("nx") > n("ny")) | ((n("nx") == n("ny")) & (F.col("x") < F.col("y")))
-        pair = x.join(y, [*keys, "band"]).where(longer & (F.col("cx") != F.col("cy")) & filters("nx", "ny"))
-        swap = F.col("x") < F.col("y")
-        return pair.select(
-            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, p("nx")).otherwise(p("ny")).alias("pa"), F.when(swap, p("ny")).otherwise(p("nx")).alias("pb"),
-        )
-
-    meet = met(few, "tok").unionByName(met(many, "tok", "second")).groupBy("a", "b").agg(F.min("pa").alias("pa"), F.min("pb").alias("pb"))
-    fresh = meet.join(pairs, ["a", "b"], "left_anti")
+    open_toks = cut(open_toks, "open")
+    before = F.slice("tokens", F.greatest(p("np") - (EARLIER - 1), F.lit(1)).cast("int"), F.least(p("np"), F.lit(EARLIER)).cast("int"))
+    rest = cut(labelled.join(open_toks, "tok").join(sets.select("rep", "tokens"), "rep").select("tok", "rep", "np", "comp", before.alias("earlier")), "open")
+    met = meet(rest, num, den).groupBy("a", "b").agg(F.min("pa").alias("pa"), F.min("pb").alias("pb"))
+    fresh = met.join(pairs, ["a", "b"], "left_anti")
     pairs2 = cut(_suffix_filter(fresh, sets, num, den), "pairs")
     if pairs2.limit(1).count():
         more = _verify(pairs2, own, width, num, den, order)

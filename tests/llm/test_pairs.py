@@ -69,9 +69,10 @@ def test_hot_group(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(rows, 4, 85, 100)
 
 
-def test_common_shingles_meet_by_two(spark, monkeypatch):
+@pytest.mark.parametrize("earlier", [1, 16])
+def test_common_shingles(spark, monkeypatch, earlier):
     """Texts of few different words: many classes share each shingle, and few link."""
-    monkeypatch.setattr(ngram_join, "COMMON", 2)
+    monkeypatch.setattr(ngram_join, "EARLIER", earlier)
     rng = random.Random(5)
     rows = []
     for i in range(120):
@@ -85,6 +86,24 @@ def test_common_shingles_meet_by_two(spark, monkeypatch):
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(rows, width, num, 100)
 
 
+def test_a_pair_meets_once(spark):
+    """However many shingles two classes share, one row of the join is theirs; a short window repeats it, never loses it."""
+    rng = random.Random(8)
+    sets = [sorted(rng.sample(range(60), rng.randint(30, 40))) for _ in range(40)]
+
+    def rows(window):
+        out = []
+        for i, s in enumerate(sets):
+            prefix = s[: ngram_join.prefix_length(len(s), 60, 100)]
+            out += [(t, i, (len(s) << 32) | k, i, prefix[max(0, k - window) : k]) for k, t in enumerate(prefix)]
+        return [tuple(r) for r in ngram_join.meet(spark.createDataFrame(out, "tok long, rep int, np long, comp int, earlier array<long>"), 60, 100).select("a", "b").collect()]
+
+    once, some, every = rows(60), rows(2), rows(0)
+    assert len(set(once)) == len(once) and set(once) == set(some) == set(every) and len(every) > 4 * len(once)
+    linked = {(a, b) for b in range(40) for a in range(b) if 10 * len(set(sets[a]) & set(sets[b])) >= 6 * len(set(sets[a]) | set(sets[b]))}
+    assert linked and linked <= set(once)
+
+
 def test_prefix_lengths():
     for n in range(1, 200):
         p = ngram_join.prefix_length(n, 85, 100)
