@@ -104,7 +104,9 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
         head: dict[str, str] = {}
         while (line := stream.readline().rstrip(b"\r\n")):
             name, _, value = line.decode("utf-8", "replace").partition(":")
-            head[name.strip().lower()] = value.strip()
+            name = name.strip().lower()
+            # a url keeps its white space but for the one space behind the colon
+            head[name] = value.removeprefix(" ") if name == "warc-target-uri" else value.strip()
         block = stream.read(int(head.get("content-length", "0")))
         yield head, block
 
