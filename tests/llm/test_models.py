@@ -186,6 +186,12 @@ def test_archives_are_bounded_by_bytes_and_stay(spark, tmp_path, monkeypatch):
     assert out not in runtime._made
 
 
+def test_urls_keep_their_white_space(spark):
+    urls = {1: " http://x/1", 2: "http://x/2 \t", 3: "http://x/a b", 4: None}
+    got, _ = warc.deduplicate(spark.createDataFrame([(i, u, f"body {i}") for i, u in urls.items()], "page_id long, url string, html string"))
+    assert {r.page_id: r.target_uri for r in got.collect()} == urls
+
+
 def test_no_pages(spark):
     got, _ = warc.deduplicate(spark.createDataFrame([], "page_id long, url string, html string"))
     assert got.count() == 0
@@ -621,3 +627,27 @@ def test_no_training_rows(spark):
     got = lm.score(spark.createDataFrame([(one, "a b")], "doc_id long, text string")).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got] == [(3, 0, 0, 0.0, 0.0)]
     assert lm.score(messy.empty(spark)).count() == 0
+
+
+def test_a_lot_of_very_many_words():
+    """More different words than 22 bits number: every pair is still its own, in the right row."""
+    n = (1 << 22) + 5000
+    h = np.random.default_rng(4).permutation(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    none = np.zeros(0, dtype=np.uint64)
+    dealer = lm.Dealer(none, none, np.zeros(0), none, np.zeros(0, dtype=np.int64), 4)
+    known, base, blobs = dealer.lot(h, np.array([n - 7, 0, 7]), np.array([1, 1, 0]))
+    assert not known.any() and not base.any()
+    edge = dealer.edge
+    ids = [lm.word_ids(np.concatenate(x), none, none) for x in ((edge, h[:-7], edge), (edge, edge), (edge, h[-7:], edge))]
+    code = lambda v, w: tk.mix(v) ^ (w * np.uint64(3))
+    want = np.sort(np.concatenate([code(x[:-1], x[1:]) for x in ids]))
+    got, learned, in_row = [], 0, np.zeros(3, dtype=np.int64)
+    for _, pairs, entries, _ in blobs:
+        v, w, c = lm.unpack(pairs)
+        many, row, times = lm.unpack(entries)
+        assert many.sum() == len(row)
+        got.append(code(v, w))
+        learned += int(c.sum())
+        in_row += np.bincount(row, weights=times, minlength=3).astype(np.int64)
+    assert (np.unique(want) == np.sort(np.concatenate(got))).all()
+    assert in_row.tolist() == [n - 6, 1, 8] and learned == n - 5
