@@ -79,15 +79,16 @@ def table_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
+def cut(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back.
 
     The new frame has no lineage behind it, so a lost executor costs a reread,
-    and shuffle files of what came before can go.
+    and shuffle files of what came before can go. ``by`` is a column whose values
+    get folders of their own, for ``drop_kind``.
     """
     spark = df.sparkSession
     path = table_path(spark, tag)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     sweep(spark)
@@ -108,6 +109,11 @@ def drop(*frames: DataFrame) -> None:
         _made.pop(path, None)
 
 
+def drop_kind(df: DataFrame, kind: str) -> None:
+    """Deletes the rows of one kind of a frame from ``cut(..., by="kind")``; later plans must filter it out."""
+    _delete(df.sparkSession, f"{df._cut_path}/kind={kind}")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path from ``table_path``."""
     _delete(spark, path)
