@@ -27,6 +27,16 @@ def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("qid",)) -> DataFram
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def reached_topk(seeds: DataFrame, relations: DataFrame, hops: int, of: DataFrame, score: Callable[[DataFrame], DataFrame], k: int) -> DataFrame:
+    """(qid, chunk_id, score, rank): the ``k`` best by ``score`` of what a search reaches, if it reads no entities but those of ``of`` (eid).
+
+    Queries that reach these alike are searched, scored and ranked once.
+    """
+    same = cut(graph.alike(seeds, relations, of))
+    best = top_k(score(graph.expand(graph.first_of(seeds, same), relations, hops)), k)
+    return graph.to_all(cut(best), same)
+
+
 def retrieved(ranked: DataFrame, by: tuple[str, ...] = ("qid",)) -> DataFrame:
     """One array of chunk ids a query, in order of rank."""
     return ranked.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id")))["chunk_id"].alias("retrieved"))
