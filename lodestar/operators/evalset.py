@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import fill, format_won, korean_units, number_set
@@ -60,14 +60,22 @@ def two_hop(edges: DataFrame, home: DataFrame, entities: DataFrame, entities_of:
 
     The first step must be the only one of its type and direction; the second
     may lead to several entities, but not back. Gold is 2..``max_gold`` chunks, and
-    no entity of all of them is named in the question.
+    no entity of all of them is named in the question. How many chunks a second
+    step has is counted before the steps meet, so a hub of many ends, which has too
+    many for a question, meets none of its entities.
     """
     homed = edges.join(home, ["head", "rtype", "tail"])
     first = homed.join(unique_steps(edges), ["src", "rtype", "forward"]).join(_kind(templates, "phrase"), ["rtype", "forward"]).select(
         "src", F.col("rtype").alias("r1"), F.col("forward").alias("f1"), F.col("dst").alias("via"), F.col("chunk_id").alias("g1"), F.col("template").alias("phrase"),
     )
     second = homed.select(F.col("src").alias("via"), F.col("rtype").alias("r2"), F.col("forward").alias("f2"), F.col("dst").alias("far"), F.col("chunk_id").alias("g2"))
-    met = first.join(second, "via").where((F.col("far") != F.col("src")) & (F.col("far") != F.col("via")))
+    step = ["via", "r2", "f2"]
+    # a chunk that has one far end alone does not count for a question from there
+    ends = cut(second.where(F.col("far") != F.col("via")).groupBy(*step, "g2").agg(F.min("far").alias("least"), F.max("far").alias("most")))
+    lone = ends.where("least = most").groupBy(*step, F.col("least").alias("src")).agg(F.count(F.lit(1)).alias("own"))
+    sizes = ends.groupBy(*step).agg(F.count(F.lit(1)).alias("size"))
+    asked = first.join(sizes, "via").join(lone, [*step, "src"], "left").where((F.col("size") - F.coalesce("own", F.lit(0))).between(1, max_gold)).drop("size", "own")
+    met = asked.join(ends, step).where((F.col("least") != F.col("most")) | (F.col("least") != F.col("src")))
     rows = met.groupBy("src", "r1", "f1", "r2", "f2", "phrase").agg(F.array_sort(F.array_union(F.collect_set("g1"), F.collect_set("g2"))).alias("gold"))
     rows = rows.where(F.size("gold").between(2, max_gold))
     tail = _kind(templates, "tail").select(F.col("rtype").alias("r2"), F.col("forward").alias("f2"), F.col("template").alias("tail"))
@@ -121,8 +129,11 @@ def from_spec(spec: DataFrame, home: DataFrame, entities: DataFrame) -> DataFram
 
 def split_holdout(queries: DataFrame) -> DataFrame:
     """Adds ``split``: within each number of hops, by qid, even places are dev and odd ones test."""
-    n = F.row_number().over(Window.partitionBy("hops").orderBy("qid")) - 1
-    return queries.withColumn("split", F.when(n % 2 == 0, "dev").otherwise(F.lit("test")))
+    rows = cut(numbered(queries, ["hops", "qid"], "__n"))
+    first = rows.groupBy("hops").agg(F.min("__n").alias("__first"))
+    n = F.col("__n") - F.col("__first")
+    met = rows.alias("a").join(first.alias("b"), F.col("a.hops").eqNullSafe(F.col("b.hops")))
+    return met.select(*[f"a.{c}" for c in queries.columns], F.when(n % 2 == 0, "dev").otherwise(F.lit("test")).alias("split"))
 
 
 def real_questions(home: DataFrame, entities: DataFrame, entities_of: DataFrame, max_gold: int = MAX_GOLD) -> DataFrame:
