@@ -19,6 +19,8 @@ from lodestar.plans.lineage import cut
 QUERY_BLOCK, VECTOR_BLOCK = 4096, 8192
 #: Digits that scores are compared at.
 PLACES = 9
+#: Scores of a row that are first looked at by their largest.
+GROUP = 64
 
 
 @dataclass(frozen=True)
@@ -41,6 +43,21 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the ``k`` largest of each row, columns in order among equals; -inf is no candidate."""
+    groups = score.shape[1] // GROUP
+    if k <= groups:
+        # the k-th largest of the groups' largest is no more than the k-th largest of all
+        tops = score[:, : groups * GROUP].reshape(len(score), groups, GROUP).max(axis=2)
+        if len(score) and (tops < np.inf).all():
+            edge = np.partition(tops, groups - k, axis=1)[:, groups - k]
+            edge = edge - 2 * 10.0**-PLACES - 4e-15 * np.abs(edge)
+            i, j = np.nonzero(score >= edge[:, None])
+            value = score[i, j]
+            real = np.isfinite(value)
+            i, j, value = i[real], j[real], value[real]
+            at = np.lexsort((j, -np.round(value, PLACES), i))
+            i, j = i[at], j[at]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+            return i[keep], j[keep]
     order = -np.round(score, PLACES)
     edge = np.partition(order, min(k, order.shape[1]) - 1, axis=1)[:, [min(k, order.shape[1]) - 1]]
     i, j = np.nonzero((order <= edge) & np.isfinite(score))
@@ -95,6 +112,13 @@ def _blend(formulas: dict[str, Formula], k: int):
                 value[r[ok], c[ok]], held[r[ok], c[ok]] = x[ok], True
                 spread.append((value, held))
             for name, f in formulas.items():
+                if not width and f.dense is not None and len(mine) == n and has.all():
+                    i, j = _best(product if f.dense == 1 else f.dense * product, k)
+                    names += [name] * len(i)
+                    out_q.append(at + i)
+                    out_c.append(j)
+                    out_s.append(f.dense * product[i, j])
+                    continue
                 score, candidate = np.zeros((n, len(ids))), np.zeros((n, len(ids)), dtype=bool)
                 for weight, (value, held) in zip((f.dense, *f.parts), ((product, there), *spread), strict=True):
                     if weight is not None:
@@ -112,7 +136,7 @@ def _blend(formulas: dict[str, Formula], k: int):
     return run
 
 
-def blend_topk(queries: DataFrame, vectors: DataFrame, formulas: dict[str, Formula], k: int, met: DataFrame | None = None, parts: tuple[str, ...] = ()) -> DataFrame:
+def blend_topk(queries: DataFrame, vectors: DataFrame, formulas: dict[str, Formula], k: int, met: DataFrame | None = None, parts: tuple[str, ...] = (), cell: str | None = None) -> DataFrame:
     """(formula, qid, chunk_id, score, rank): the ``k`` best chunks of every query by each formula, ties to the smaller id.
 
     ``queries`` (qid, q) and ``vectors`` (chunk_id, v) give the product; ``met``
@@ -123,10 +147,17 @@ def blend_topk(queries: DataFrame, vectors: DataFrame, formulas: dict[str, Formu
     Blocks of chunks meet lots of queries: a task multiplies one by the other, adds
     the parts of its pairs and keeps the k best of each query and formula. No
     other pair leaves a task, and all formulas come from one product. Ids keep
-    their types.
+    their types. With ``cell``, a column of both that is not null, a query meets
+    the vectors of its cell alone; that is for the product without ``met``.
     """
+    if cell is not None:
+        if met is not None:
+            raise ValueError("cells are for vectors alone")
+        queries, vectors = queries.where(F.col(cell).isNotNull()), vectors.where(F.col(cell).isNotNull())
+
     # a task holds a block of all chunks, with and without a vector
-    n, asked = max(vectors.count(), 0 if met is None else met.select("chunk_id").distinct().count()), queries.count()
+    most = lambda df: df.count() if cell is None else df.groupBy(cell).count().agg(F.max("count")).first()[0] or 0
+    n, asked = max(most(vectors), 0 if met is None else met.select("chunk_id").distinct().count()), most(queries)
     cores = queries.sparkSession.sparkContext.defaultParallelism
     blocks = max(1, -(-n // VECTOR_BLOCK), min(cores, -(-n // 256)))
     lots = max(1, -(-asked // QUERY_BLOCK))
@@ -135,22 +166,24 @@ def blend_topk(queries: DataFrame, vectors: DataFrame, formulas: dict[str, Formu
     if any(len(f.parts) != width for f in formulas.values()):
         raise ValueError("a formula needs a weight for each part")
     ids, kinds = queries.schema["qid"].dataType, vectors.schema["chunk_id"].dataType
+    cells = [] if cell is None else [F.col(cell).alias("cell")]
+    by = ["block", "lot"] + ["cell"] * len(cells)
     none = [F.lit(None).cast("double").alias(f"p{m}") for m in range(width)]
     upto = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
-    others = queries.select(upto(blocks).alias("block"), lot.alias("lot"), F.col("qid").cast(ids), F.lit(None).cast(kinds).alias("chunk_id"), F.col("q").cast("array<double>").alias("q"), *none)
+    others = queries.select(upto(blocks).alias("block"), lot.alias("lot"), F.col("qid").cast(ids), F.lit(None).cast(kinds).alias("chunk_id"), F.col("q").cast("array<double>").alias("q"), *none, *cells)
     if met is not None:
         own = [F.col(c).cast("double").alias(f"p{m}") for m, c in enumerate(parts)]
         others = others.unionByName(met.select(block.alias("block"), lot.alias("lot"), F.col("qid").cast(ids), F.col("chunk_id").cast(kinds), F.lit(None).cast("array<double>").alias("q"), *own))
-    held = vectors.select(block.alias("block"), upto(lots).alias("lot"), "chunk_id", "v")
+    held = vectors.select(block.alias("block"), upto(lots).alias("lot"), "chunk_id", "v", *cells)
     schema = f"formula string, qid {ids.simpleString()}, chunk_id {kinds.simpleString()}, score double"
-    found = held.groupBy("block", "lot").cogroup(others.groupBy("block", "lot")).applyInArrow(_blend(formulas, k), schema)
+    found = held.groupBy(*by).cogroup(others.groupBy(*by)).applyInArrow(_blend(formulas, k), schema)
     rank = F.row_number().over(Window.partitionBy("formula", "qid").orderBy(F.desc(F.round("score", PLACES)), "chunk_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def exact_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(qid, chunk_id, score, rank): the ``k`` best of all rows by inner product, ties to the smaller id."""
-    return blend_topk(queries, vectors, {"dense": Formula(1.0)}, k).drop("formula")
+def exact_topk(queries: DataFrame, vectors: DataFrame, k: int, cell: str | None = None) -> DataFrame:
+    """(qid, chunk_id, score, rank): the ``k`` best of all rows, or of those of the same ``cell``, by inner product, ties to the smaller id."""
+    return blend_topk(queries, vectors, {"dense": Formula(1.0)}, k, cell=cell).drop("formula")
 
 
 def _buckets(x: np.ndarray, normals: np.ndarray, probes: int) -> np.ndarray:
