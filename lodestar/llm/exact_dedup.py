@@ -71,13 +71,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     compared whole. An empty table gives an empty result. Columns may have any
     names.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.select("row", "id", content_hash(fold_ascii(F.col("text"))).alias("h"), F.col("text"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), content_hash(fold_ascii(F.col(text_col))).alias("h"))
+    name = docs.select(text_col).columns[0]  # a row has its text once
     several = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # large groups are split in this join by adaptive execution; nothing is aggregated after it
-    marked = cut(rows.join(several, "h", "left").select("row", "id", "text", "h", F.col("n").isNotNull().alias("again")), "marked")
+    marked = cut(rows.join(several, "h", "left").select("row", "id", "h", F.col("n").isNotNull().alias("again")), "marked")
     alone = marked.where("not again").select("row.*")
     best = F.min_by if keep == "smallest" else F.max_by
     order = F.struct((F.col("id").isNull() if keep == "smallest" else F.col("id").isNotNull()).alias("first"), "id")
-    one = marked.where("again").groupBy("h", fold_ascii(F.col("text")).alias("norm")).agg(best("row", order).alias("row"))
+    one = marked.where("again").groupBy("h", fold_ascii(F.col("row")[name]).alias("norm")).agg(best("row", order).alias("row"))
     return alone.unionByName(one.select("row.*"))

@@ -259,9 +259,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         rows.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("cls")
         .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("ranges").alias("ranges")), "classes",
     )
+    whole, rows = rows, cut(rows.select("id", "n", "cls"), "members")
+    drop(whole)
     entries = sets.select("rep", "n", F.posexplode("tokens").alias("pos", "tok"))
     packed = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")
-    entries = entries.select("tok", "rep", packed.alias("np"))
+    # dealt by shingle once: hubs are found where the entries lie, and both read the same shuffle
+    entries = entries.select("tok", "rep", packed.alias("np")).repartition("tok")
     rank = F.shiftleft(F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)), 36) + F.shiftrightunsigned(F.xxhash64("rep"), 28)
     hubs = (
         entries.groupBy("tok").agg(F.min_by("rep", rank).alias("hub"), F.min_by("np", rank).alias("hub_np"), F.count(F.lit(1)).alias("c"))
@@ -282,26 +285,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     labels = components(links)
     labelled = shared.select("tok", "rep", "np").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     labelled = cut(labelled, "labelled")
+    drop(shared)
     open_toks = labelled.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
     # tables of their own, so that no side of the next joins is an aggregation: adaptive
     # execution can then split a shingle of many classes
     open_toks = cut(open_toks, "open")
     before = F.slice("tokens", F.greatest(p("np") - (EARLIER - 1), F.lit(1)).cast("int"), F.least(p("np"), F.lit(EARLIER)).cast("int"))
     rest = cut(labelled.join(open_toks, "tok").join(sets.select("rep", "tokens"), "rep").select("tok", "rep", "np", "comp", before.alias("earlier")), "open")
+    drop(labelled, open_toks)
     met = meet(rest, num, den).groupBy("a", "b").agg(F.min("pa").alias("pa"), F.min("pb").alias("pb"))
     fresh = met.join(pairs, ["a", "b"], "left_anti")
     pairs2 = cut(_suffix_filter(fresh, sets, num, den), "pairs")
+    drop(rest)
     if pairs2.limit(1).count():
         more = _verify(pairs2, own, width, num, den, order)
         if more.limit(1).count():
             labels = components(links.unionByName(more))
     reps = sets.select("cls", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("comp", "rep").alias("comp"))
     reps = cut(reps, "components")
-    out = rows.select("id", "n", "cls").join(reps, "cls", "left").select(
+    out = rows.join(reps, "cls", "left").select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("comp"))).otherwise(F.col("id")).alias("component_id"),
     )
-    drop(sets, shared, pairs, pairs2, labelled, rest, open_toks)
+    drop(sets, pairs, pairs2)
     return out
 
 
