@@ -16,6 +16,8 @@ ANSWER_TOKEN = "[0-9a-zA-Z가-힣]+"
 NUMBER = r"[0-9][0-9,]*[0-9]|[0-9]"
 #: Characters that end a sentence.
 SENTENCE_BREAKS = "\n.。!?;:·▪◦□■○●◇◆-–—|"
+#: How far from a match a sentence may reach.
+SENTENCE_REACH = 45
 
 
 def strip(text: Column) -> Column:
@@ -104,12 +106,13 @@ def window_around(text: Column, start: Column, end: Column, pad: int = 40) -> Co
     return strip(F.translate(F.substring(text, low + 1, end + pad - low), "\n", " "))
 
 
-def sentence_around(text: Column, start: Column, end: Column, pad: int = 45) -> Column:
+def sentence_around(text: Column, start: Column, end: Column, pad: int = SENTENCE_REACH) -> Column:
     """The span up to the nearest sentence breaks, at most ``pad`` characters away."""
     breaks = "".join("\\" + c if c in "\\]^-.|?" else c for c in SENTENCE_BREAKS)
     low = F.greatest(F.lit(0), start - pad)
-    left = F.element_at(F.split(F.substring(text, low + 1, start - low), f"[{breaks}]", -1), -1)
-    right = F.element_at(F.split(F.substring(text, end + 1, F.lit(pad)), f"[{breaks}]", 2), 1)
+    # replacing keeps its compiled pattern from row to row, splitting doesn't
+    left = F.regexp_replace(F.substring(text, low + 1, start - low), f"(?s)^.*[{breaks}]", "")
+    right = F.regexp_replace(F.substring(text, end + 1, F.lit(pad)), f"(?s)[{breaks}].*", "")
     return strip(F.concat(left, F.substring(text, start + 1, end - start), right))
 
 
