@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import without_space
+from lodestar.plans.lineage import cut
 
 SIZE, OVERLAP = 1000, 150
 RELATION = "array<struct<head:string,rtype:string,tail:string>>"
@@ -103,8 +104,9 @@ def build_corpus(docs: DataFrame, triples: DataFrame, aliases: DataFrame | None
     relation; a chunk's ``states`` keep repeats and its ``entities`` do not. A document
     without chunks leaves its relations unlinked.
     """
-    chunks = chunk(docs, size, overlap)
-    placed = locate(triples, chunks, aliases)
+    # all tables below read these two, which are made once
+    chunks = cut(chunk(docs, size, overlap))
+    placed = cut(locate(triples, chunks, aliases))
     kind = tail_kind(F.col("rtype"))
     rel = placed.select(
         "doc_id", "seq", entity_id("project", F.col("head")).alias("head"), "rtype", entity_id(kind, F.col("tail")).alias("tail"),
