@@ -160,7 +160,8 @@ def blend_topk(queries: DataFrame, vectors: DataFrame, formulas: dict[str, Formu
     n, asked = max(most(vectors), 0 if met is None else met.select("chunk_id").distinct().count()), most(queries)
     cores = queries.sparkSession.sparkContext.defaultParallelism
     blocks = max(1, -(-n // VECTOR_BLOCK), min(cores, -(-n // 256)))
-    lots = max(1, -(-asked // QUERY_BLOCK))
+    # a lot gets all vectors and a block all queries: with nothing else to hold, lots are larger and fewer
+    lots = max(1, -(-asked // (QUERY_BLOCK if met is not None else 4 * QUERY_BLOCK)))
     block, lot = F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)), F.pmod(F.xxhash64("qid"), F.lit(lots))
     width = len(parts)
     if any(len(f.parts) != width for f in formulas.values()):

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -21,6 +22,8 @@ PART, FITTED, ROUNDS = 16384, 20_000, 8
 LOOKED, KEPT, ALPHA = 48, 16, 1.2
 #: Queries that walk side by side.
 LOT = 1024
+#: What single precision may hide of a score, and rows that are merged at once, about.
+NEAR, FOUND = 1e-5, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -74,7 +77,7 @@ def neighbours(v: np.ndarray) -> np.ndarray:
         near = np.argpartition(-s, looked - 1, axis=1)[:, :looked]
         near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, axis=1), axis=1, kind="stable"), axis=1)
         away = 1 - np.take_along_axis(s, near, axis=1)
-        between = 1 - np.einsum("nid,njd->nij", v[near], v[near])
+        between = 1 - np.matmul(v[near], v[near].transpose(0, 2, 1))
         kept = np.zeros(near.shape, dtype=bool)
         count = np.zeros(len(near), dtype=np.int64)
         for j in range(looked):
@@ -156,74 +159,154 @@ def build(vectors: DataFrame, part: int = PART) -> ProximityIndex:
     return ProximityIndex(cut(made), centres, parts.tolist())
 
 
-def walk(v: np.ndarray, near: np.ndarray, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, scores, vectors looked at) of a best-first search of each query with a list of ``ef`` candidates.
+#: No entry of a list, and the bits of a score in one that are not its sign.
+EMPTY, SIGN = np.uint64(2**64 - 1), np.uint32(1 << 31)
+
+
+def _keys(score: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Entries of a list, smallest first: scores descending, then places; the lowest bit says that an entry was expanded."""
+    bits = score.astype(np.float32).view(np.uint32)
+    falling = np.where(bits & SIGN, bits, ~(bits | SIGN))
+    return (falling.astype(np.uint64) << np.uint64(32)) | (place.astype(np.uint64) << np.uint64(1))
+
+
+def _scores(keys: np.ndarray) -> np.ndarray:
+    """Scores of entries; of ``EMPTY`` -inf."""
+    falling = (keys >> np.uint64(32)).astype(np.uint32)
+    score = np.where(falling & SIGN, falling, ~falling & ~SIGN).view(np.float32)
+    return np.where(keys == EMPTY, np.float32(-np.inf), score)
+
+
+def _places(keys: np.ndarray) -> np.ndarray:
+    return np.where(keys == EMPTY, -1, ((keys >> np.uint64(1)) & np.uint64(2**31 - 1)).astype(np.int64))
+
+
+def walks(v: np.ndarray, near: np.ndarray, q: np.ndarray, efs: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, scores, vectors looked at) of a best-first search of each query, best first, for each of rising ``efs``.
 
     All queries walk side by side. Each begins at the best of about a root of
     all vectors, spread evenly; a step expands the best candidate that wasn't, and a
-    query ends when all in its list are.
+    query ends with a list of ``ef`` candidates when the first ``ef`` all are. Until then a longer
+    list takes the same steps, so one walk with the longest passes the ends of all.
     """
-    n, many = len(v), len(q)
+    n, many, wide = len(v), len(q), efs[-1]
     start = np.unique(np.linspace(0, n - 1, math.isqrt(n - 1) + 1).astype(np.int64))
     seen = np.zeros((many, n), dtype=bool)
     seen[:, start] = True
-    score = np.full((many, ef), -np.inf, dtype=np.float32)
-    place = np.full((many, ef), -1, dtype=np.int64)
-    done = np.zeros((many, ef), dtype=bool)
-    first = q @ v[start].T
-    best = np.argsort(-first, axis=1, kind="stable")[:, :ef]
-    score[:, : best.shape[1]] = np.take_along_axis(first, best, axis=1)
-    place[:, : best.shape[1]] = start[best]
-    while True:
-        open_score = np.where(done | (place < 0), -np.inf, score)
-        pick = open_score.argmax(axis=1)
-        rows = np.flatnonzero(open_score[np.arange(many), pick] > -np.inf)
-        if not len(rows):
-            break
-        done[rows, pick[rows]] = True
-        around = near[place[rows, pick[rows]]]
+    looked = np.full(many, len(start), dtype=np.int64)
+    held = np.full((many, wide), EMPTY, dtype=np.uint64)
+    first = np.sort(_keys(q @ v[start].T, np.broadcast_to(start, (many, len(start)))), axis=1)[:, :wide]
+    held[:, : first.shape[1]] = first
+    ends = [np.full((many, ef), EMPTY, dtype=np.uint64) for ef in efs]
+    counts = [np.zeros(many, dtype=np.int64) for _ in efs]
+    rows, stage = np.arange(many), np.zeros(many, dtype=np.int64)
+    while len(rows):
+        fresh = (held & np.uint64(1)) == 0
+        pick = fresh.argmax(axis=1)
+        pick[~fresh[np.arange(len(rows)), pick]] = wide
+        for s, ef in enumerate(efs):
+            over = np.flatnonzero((stage == s) & (pick >= ef))
+            if len(over):
+                ends[s][rows[over]], counts[s][rows[over]] = held[over, :ef], looked[rows[over]]
+                stage[over] += 1
+        going = stage < len(efs)
+        if not going.all():
+            rows, stage, held, pick = rows[going], stage[going], held[going], pick[going]
+            if not len(rows):
+                break
+        every = np.arange(len(rows))
+        around = near[_places(held[every, pick])]
+        held[every, pick] |= np.uint64(1)
         i, j = np.nonzero((around >= 0) & ~seen[rows[:, None], around])
         to = around[i, j]
         seen[rows[i], to] = True
-        fresh = np.full(around.shape, -np.inf, dtype=np.float32)
-        fresh[i, j] = np.einsum("nd,nd->n", v[to], q[rows[i]])
-        all_score = np.concatenate((score[rows], fresh), axis=1)
-        all_place = np.concatenate((place[rows], np.where(np.isfinite(fresh), around, -1)), axis=1)
-        all_done = np.concatenate((done[rows], np.zeros(fresh.shape, dtype=bool)), axis=1)
-        keep = np.argpartition(-all_score, ef - 1, axis=1)[:, :ef]
-        score[rows], place[rows], done[rows] = (np.take_along_axis(x, keep, axis=1) for x in (all_score, all_place, all_done))
-    return place, score, seen.sum(axis=1)
+        looked[rows] += np.bincount(i, minlength=len(rows))
+        keys = _keys(np.einsum("nd,nd->n", v[to], q[rows[i]]), to)
+        # what a full list has no room for changes nothing
+        enters = keys < held[i, -1]
+        i, keys = i[enters], keys[enters]
+        some, many_of = np.unique(i, return_counts=True)
+        if len(some):
+            more = np.full((len(some), int(many_of.max())), EMPTY, dtype=np.uint64)
+            more[np.repeat(np.arange(len(some)), many_of), np.arange(len(i)) - np.repeat(np.cumsum(many_of) - many_of, many_of)] = keys
+            held[some] = np.sort(np.concatenate((held[some], more), axis=1), axis=1)[:, :wide]
+    return [(_places(e), _scores(e), c) for e, c in zip(ends, counts, strict=True)]
+
+
+def walk(v: np.ndarray, near: np.ndarray, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``walks`` with one list."""
+    return walks(v, near, q, (ef,))[0]
 
 
 def _search(k: int, efs: tuple[int, ...], kinds: tuple[pa.DataType, pa.DataType]):
     def run(index: pa.Table, queries: pa.Table) -> pa.Table:
-        out = {"ef": [], "qid": [], "chunk_id": [], "score": [], "visited": []}
-        # a query's count stands in its first row, so that it is added once
+        qid, ids, scores, lists, visited, ends = [], [], [], [], [], [np.zeros(1, dtype=np.int64)]
         if index.num_rows and queries.num_rows:
             index = index.take(pa.array(np.argsort(index["place"].to_numpy())))
-            v, ids = _matrix(index["v"]), index["chunk_id"].combine_chunks()
+            v, own = _matrix(index["v"]), index["chunk_id"].combine_chunks()
             near = index["near"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
-            exact = v.astype(np.float64)
             for at in range(0, queries.num_rows, LOT):
                 part = queries.slice(at, LOT)
                 q = _unit(_matrix(part["q"]))
-                for ef in efs:
-                    place, score, looked = walk(v, near, q, ef)
-                    i, j = np.nonzero(place >= 0)
-                    p = place[i, j]
-                    s = np.einsum("nd,nd->n", exact[p], q[i].astype(np.float64))
+                found = walks(v, near, q, efs)
+                # what each list returns, once for all lists that do
+                row, place, bit = [], [], []
+                for e, (p, score, _) in enumerate(found):
+                    edge = score[:, min(k, p.shape[1]) - 1] - NEAR
+                    i, j = np.nonzero((p >= 0) & (score >= edge[:, None]))
+                    p = p[i, j]
+                    s = np.einsum("nd,nd->n", v[p].astype(np.float64), q[i].astype(np.float64))
                     order = np.lexsort((p, -np.round(s, PLACES), i))
-                    i, p, s = i[order], p[order], s[order]
-                    keep = np.arange(len(i)) - np.searchsorted(i, i) < min(k, ef)
-                    i, p, s = i[keep], p[keep], s[keep]
-                    out["ef"].append(np.full(len(i), ef))
-                    out["qid"].append(part["qid"].combine_chunks().take(pa.array(i)))
-                    out["chunk_id"].append(ids.take(pa.array(p)))
-                    out["score"].append(s)
-                    out["visited"].append(np.where(np.searchsorted(i, i) == np.arange(len(i)), looked[i], 0))
+                    i, p = i[order], p[order]
+                    keep = np.arange(len(i)) - np.searchsorted(i, i) < min(k, efs[e])
+                    row.append(i[keep])
+                    place.append(p[keep])
+                    bit.append(np.full(int(keep.sum()), 1 << e, dtype=np.int64))
+                i, p, b = (np.concatenate(x) for x in (row, place, bit))
+                pair, back = np.unique(i * len(v) + p, return_inverse=True)
+                i, p = pair // len(v), pair % len(v)
+                of = np.zeros(len(pair), dtype=np.int64)
+                np.bitwise_or.at(of, back, b)
+                qid.append(part["qid"].combine_chunks())
+                ids.append(own.take(pa.array(p)))
+                scores.append(np.einsum("nd,nd->n", v[p].astype(np.float64), q[i].astype(np.float64)))
+                lists.append(of)
+                visited.append(np.stack([x[2] for x in found], axis=1).ravel())
+                ends.append(ends[-1][-1] + np.cumsum(np.bincount(i, minlength=len(q))))
         flat = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0), t)
-        lists = lambda x, t: pa.concat_arrays(x).cast(t) if x else pa.array([], t)
-        return pa.table({"ef": flat(out["ef"], pa.int32()), "qid": lists(out["qid"], kinds[0]), "chunk_id": lists(out["chunk_id"], kinds[1]), "score": flat(out["score"], pa.float64()), "visited": flat(out["visited"], pa.int64())})
+        whole = lambda x, t: pa.concat_arrays(x).cast(t) if x else pa.array([], t)
+        edges = pa.array(np.concatenate(ends), pa.int32())
+        qids = whole(qid, kinds[0])
+        each = pa.array(np.arange(len(qids) + 1) * len(efs), pa.int32())
+        made = [pa.ListArray.from_arrays(*x) for x in ((edges, whole(ids, kinds[1])), (edges, flat(scores, pa.float64())), (edges, flat(lists, pa.int64())), (each, flat(visited, pa.int64())))]
+        return pa.table([qids, *made], ["qid", "chunk_id", "score", "lists", "visited"])
+
+    return run
+
+
+def _merge(k: int, efs: tuple[int, ...], kinds: tuple[pa.DataType, pa.DataType]):
+    """The best of some queries, of what their parts found."""
+
+    def run(found: pa.Table) -> pa.Table:
+        coded = found["qid"].combine_chunks().dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        column = found["chunk_id"].combine_chunks()
+        q = np.repeat(code, pc.list_value_length(column).to_numpy())
+        ids, score, lists = column.flatten(), *(found[c].combine_chunks().flatten().to_numpy() for c in ("score", "lists"))
+        sums = np.zeros((len(coded.dictionary), len(efs)), dtype=np.int64)
+        np.add.at(sums, code, found["visited"].combine_chunks().flatten().to_numpy().reshape(-1, len(efs)))
+        names = ids.unique()
+        by_id = pc.index_in(ids, names.take(pc.sort_indices(names))).to_numpy()
+        order = np.lexsort((by_id, -np.round(score, PLACES), q))
+        out = []
+        for e, ef in enumerate(efs):
+            at = order[(lists[order] >> e) & 1 == 1]
+            nth = np.arange(len(at)) - np.searchsorted(q[at], q[at])
+            keep = nth < min(k, ef)
+            out.append((np.full(int(keep.sum()), ef), at[keep], nth[keep] + 1, sums[q[at[keep]], e]))
+        ef, at, rank, visited = (np.concatenate(x) for x in zip(*out, strict=True))
+        columns = [pa.array(ef, pa.int32()), coded.dictionary.take(pa.array(q[at])).cast(kinds[0]), ids.take(pa.array(at)).cast(kinds[1]), pa.array(score[at]), pa.array(visited), pa.array(rank, pa.int32())]
+        return pa.table(columns, ["ef", "qid", "chunk_id", "score", "visited", "rank"])
 
     return run
 
@@ -252,18 +335,23 @@ def search(index: ProximityIndex, queries: DataFrame, k: int, efs: tuple[int, ..
     Queries that are null, empty or zero have no rows.
     """
     spark = queries.sparkSession
+    efs = tuple(sorted(set(efs)))
     asked = queries.select("qid", F.col("q").cast("array<float>").alias("q")).where(F.exists("q", lambda x: x != 0))
     kinds = asked.schema["qid"].dataType, index.rows.schema["chunk_id"].dataType
     parts = np.array(index.parts, dtype=np.int64)
     shared = spark.sparkContext.broadcast((index.centres, np.cumsum(parts) - parts, parts))
-    lots = max(1, -(-asked.count() // (8 * LOT)))
+    # a part is sent to its lots, so their number follows the queries that a part meets, not all of them
+    many, cores = asked.count(), spark.sparkContext.defaultParallelism
+    met = many * min(1.0, probes / max(1, len(parts)))
+    lots = max(1, math.ceil(met / (8 * LOT)), min(math.ceil(met / LOT), -(-2 * cores // max(1, int(parts.sum())))))
     sent = asked.mapInArrow(_route(shared, probes), f"qid {kinds[0].simpleString()}, q array<float>, part long").withColumn("lot", F.pmod(F.xxhash64("qid"), F.lit(lots)).cast("long"))
     held = index.rows.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))))
-    run = _search(k, tuple(efs), tuple(to_arrow_type(x) for x in kinds))
-    found = held.groupBy("part", "lot").cogroup(sent.groupBy("part", "lot")).applyInArrow(run, f"ef int, qid {kinds[0].simpleString()}, chunk_id {kinds[1].simpleString()}, score double, visited long")
-    by = Window.partitionBy("ef", "qid")
-    rank = F.row_number().over(by.orderBy(F.desc(F.round("score", PLACES)), "chunk_id"))
-    return found.withColumn("visited", F.sum("visited").over(by)).withColumn("rank", rank).where((F.col("rank") <= k) & (F.col("rank") <= F.col("ef")))
+    arrow = tuple(to_arrow_type(x) for x in kinds)
+    qid, chunk_id = (x.simpleString() for x in kinds)
+    found = held.groupBy("part", "lot").cogroup(sent.groupBy("part", "lot")).applyInArrow(_search(k, efs, arrow), f"qid {qid}, chunk_id array<{chunk_id}>, score array<double>, lists array<long>, visited array<long>")
+    groups = max(cores, math.ceil(met * len(parts) * k / FOUND))
+    dealt = found.groupBy(F.pmod(F.xxhash64("qid"), F.lit(groups)).alias("group"))
+    return dealt.applyInArrow(_merge(k, efs, arrow), f"ef int, qid {qid}, chunk_id {chunk_id}, score double, visited long, rank int")
 
 
 def sweep(found: DataFrame, exact: DataFrame, k: int, n: int) -> DataFrame:

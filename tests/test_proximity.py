@@ -102,3 +102,20 @@ def test_registered(spark):
     best = dense.exact_topk(e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v")), 5)
     found = registry.QUERIES["vector_graph_topk"](spark, d)
     assert best.join(found, ["qid", "chunk_id"], "left_semi").count() >= 0.95 * best.count()
+
+
+def test_one_walk_passes_the_ends_of_shorter_lists():
+    v = proximity._unit(clustered(3000, 16).astype(np.float32))
+    near, q, efs = proximity.neighbours(v), v[:60], (1, 5, 30, 90)
+    together = proximity.walks(v, near, q, efs)
+    for ef, (place, score, looked) in zip(efs, together, strict=True):
+        own_place, own_score, own_looked = proximity.walk(v, near, q, ef)
+        assert place.tolist() == own_place.tolist() and score.tolist() == own_score.tolist() and looked.tolist() == own_looked.tolist()
+        assert np.allclose(score, np.einsum("nkd,nd->nk", v[place], q), atol=1e-6) and (np.diff(score, axis=1) <= 0).all()
+
+
+def test_a_list_orders_scores_of_both_signs():
+    score = np.array([0.5, -0.25, 0.0, -0.0, 1.0, -1.0], dtype=np.float32)
+    keys = np.sort(proximity._keys(score, np.arange(6)))
+    assert proximity._scores(keys).tolist() == [1.0, 0.5, 0.0, 0.0, -0.25, -1.0] and proximity._places(keys)[[0, 1, 4, 5]].tolist() == [4, 0, 1, 5]
+    assert proximity._scores(np.array([proximity.EMPTY])).tolist() == [-np.inf] and proximity._places(np.array([proximity.EMPTY])).tolist() == [-1]
