@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.runtime import cut, drop, tree_sum, tune
+from lodestar.llm.runtime import arrow_rows, cut, drop, tree_sum, tune
 from lodestar.llm.textkernels import Words, chunks, windows
 
 #: Cells of the table that orders shingles by how often they occur: a fixed size, 2 bytes each when broadcast.
@@ -21,7 +21,9 @@ CELL_BITS = 22
 #: Hash ranges in which the suffix filter compares two sets.
 RANGES = 32
 #: Tokens before a shared one that travel with it, so that a pair that has met by one of them doesn't meet again.
-EARLIER = 16
+EARLIER = 8
+#: Pairs of whole texts in a batch.
+PAIR_ROWS = 64
 
 
 def _tally(width: int):
@@ -82,8 +84,8 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - (num * n + den - 1) // den + 1 if n else 0
 
 
-def _sets(width: int, num: int, den: int, order, whole: bool):
-    names = ["id", "n", "cls", "tokens", "seconds" if whole else "ranges"]
+def _sets(width: int, num: int, den: int, order):
+    names = ["id", "n", "cls", "tokens", "ranges"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = order.value
@@ -93,16 +95,13 @@ def _sets(width: int, num: int, den: int, order, whole: bool):
                 n = np.diff(edge)
                 cls = [hashlib.blake2b(h[a:b].tobytes() + g[a:b].tobytes(), digest_size=16).digest() for a, b in zip(edge[:-1], edge[1:], strict=True)]
                 signed = h.view(np.int64)
-                size = n if whole else np.array([prefix_length(int(k), num, den) for k in n], dtype=np.int64)
+                size = np.array([prefix_length(int(k), num, den) for k in n], dtype=np.int64)
                 take = np.repeat(edge[:-1] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
                 edges = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
                 tokens = pa.ListArray.from_arrays(edges, pa.array(signed[take]))
-                if whole:
-                    ranges = pa.ListArray.from_arrays(edges, pa.array(g.view(np.int64)[take]))
-                else:
-                    row = np.repeat(np.arange(len(n)), n)
-                    cells = np.bincount(row * RANGES + ((h >> np.uint64(20)) % np.uint64(RANGES)).astype(np.int64), minlength=len(n) * RANGES)
-                    ranges = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * RANGES), pa.array(cells.astype(np.int32)))
+                row = np.repeat(np.arange(len(n)), n)
+                cells = np.bincount(row * RANGES + ((h >> np.uint64(20)) % np.uint64(RANGES)).astype(np.int64), minlength=len(n) * RANGES)
+                ranges = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * RANGES), pa.array(cells.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(n.astype(np.int32)), pa.array(cls, pa.binary()), tokens, ranges], names)
 
     return run
@@ -179,21 +178,47 @@ def _suffix_filter(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> Dat
     return joined.where(apart <= room - 2 * F.greatest(needed, F.lit(0))).select("a", "b")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int, order) -> DataFrame:
-    """The pairs whose whole sets reach num/den, each tested once; only sets of documents in pairs are made."""
+def _hash_sets(texts: pa.Array, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Both hashes of the distinct shingles of each text."""
+    any_order, out = np.zeros(1 << CELL_BITS, dtype=np.uint16), []
+    for _, data, offsets in chunks(texts):
+        h, g, edge = ordered_sets(data, offsets, width, any_order)
+        out += [(h[a:b], g[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    return out
+
+
+def _linked(width: int, num: int, den: int):
+    """The rows (a, b) of (a, b, ta, tb) whose whole sets reach num/den."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for (ha, ga), (hb, gb) in zip(_hash_sets(batch.column(2), width), _hash_sets(batch.column(3), width), strict=True):
+                # shingles count as shared if both of their hashes say so
+                both = min(len(np.intersect1d(ha, hb)), len(np.intersect1d(ga, gb)))
+                keep.append(both * den >= (len(ha) + len(hb) - both) * num)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs whose whole sets reach num/den, each tested once; only texts of documents in pairs move.
+
+    Sets are made where a pair is tested: a text is several times smaller than the
+    two hashes of each of its shingles, in shuffles and in tables.
+    """
+    spark = docs.sparkSession
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     kind = docs.schema["id"].dataType.simpleString()
-    texts = docs.join(nodes, "id", "left_semi").select("id", "text")
-    schema = f"id {kind}, n int, cls binary, tokens array<long>, seconds array<long>"
-    made = cut(texts.mapInArrow(_sets(width, num, den, order, True), schema).dropDuplicates(["id", "cls"]).select("id", "tokens", "seconds"), "sets")
-    a = made.select(F.col("id").alias("a"), F.col("tokens").alias("ta"), F.col("seconds").alias("sa"))
-    b = made.select(F.col("id").alias("b"), F.col("tokens").alias("tb"), F.col("seconds").alias("sb"))
-    # shingles count as shared if both of their hashes say so
-    shared = F.least(F.size(F.array_intersect("ta", "tb")), F.size(F.array_intersect("sa", "sb")))
-    joined = pairs.join(b, "b").join(a, "a").select("a", "b", shared.alias("both"), F.size("ta").alias("na"), F.size("tb").alias("nb"))
+    texts = cut(docs.join(nodes, "id", "left_semi").select("id", "text").dropDuplicates(["id", "text"]), "texts")
+    a = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
+    b = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    joined = pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
     # no aggregation follows the joins, so adaptive execution can split the pairs of a hub
-    links = cut(joined.where(F.col("both").cast("long") * den >= (F.col("na") + F.col("nb") - F.col("both")).cast("long") * num).select("a", "b"), "links")
-    drop(made)
+    with arrow_rows(spark, PAIR_ROWS):
+        links = cut(joined.mapInArrow(_linked(width, num, den), f"a {kind}, b {kind}"), "links")
+    drop(texts)
     return links
 
 
@@ -254,7 +279,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     kind = own.schema["id"].dataType.simpleString()
     order = spark.sparkContext.broadcast(frequency_order(own.select("text"), width))  # 2 bytes a cell
     schema = f"id {kind}, n int, cls binary, tokens array<long>, ranges array<int>"
-    rows = cut(own.mapInArrow(_sets(width, num, den, order, False), schema), "prefixes")
+    rows = cut(own.mapInArrow(_sets(width, num, den, order), schema), "prefixes")
     sets = cut(
         rows.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("cls")
         .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("ranges").alias("ranges")), "classes",
@@ -281,7 +306,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     # each class tests its likeliest hub now; the rest is left to the second step
     best = starred.groupBy("rep").agg(F.max_by(F.struct("hub", "f.np", "f.hub_np"), F.struct("c", F.xxhash64("hub"))).alias("x")).select("rep", "x.*")
     pairs = cut(_suffix_filter(best.select(*ordered).groupBy("a", "b").agg(F.min("pa").alias("pa"), F.min("pb").alias("pb")), sets, num, den), "pairs")
-    links = _verify(pairs, own, width, num, den, order)
+    links = _verify(pairs, own, width, num, den)
     labels = components(links)
     labelled = shared.select("tok", "rep", "np").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     labelled = cut(labelled, "labelled")
@@ -293,12 +318,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     before = F.slice("tokens", F.greatest(p("np") - (EARLIER - 1), F.lit(1)).cast("int"), F.least(p("np"), F.lit(EARLIER)).cast("int"))
     rest = cut(labelled.join(open_toks, "tok").join(sets.select("rep", "tokens"), "rep").select("tok", "rep", "np", "comp", before.alias("earlier")), "open")
     drop(labelled, open_toks)
-    met = meet(rest, num, den).groupBy("a", "b").agg(F.min("pa").alias("pa"), F.min("pb").alias("pb"))
-    fresh = met.join(pairs, ["a", "b"], "left_anti")
-    pairs2 = cut(_suffix_filter(fresh, sets, num, den), "pairs")
+    # a table, so that what met is gone from disk before the pairs fetch their sets
+    met = cut(meet(rest, num, den).groupBy("a", "b").agg(F.min("pa").alias("pa"), F.min("pb").alias("pb")), "met")
     drop(rest)
+    pairs2 = cut(_suffix_filter(met.join(pairs, ["a", "b"], "left_anti"), sets, num, den), "pairs")
+    drop(met)
     if pairs2.limit(1).count():
-        more = _verify(pairs2, own, width, num, den, order)
+        more = _verify(pairs2, own, width, num, den)
         if more.limit(1).count():
             labels = components(links.unionByName(more))
     reps = sets.select("cls", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("comp", "rep").alias("comp"))

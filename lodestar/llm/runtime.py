@@ -91,6 +91,7 @@ def cut(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    del df  # the last reference, where the caller gave the frame no name: its shuffle files go now, not at the next table
     sweep(spark)
     return out
 

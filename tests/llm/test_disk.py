@@ -37,3 +37,14 @@ def test_hubs_and_their_entries_read_one_shuffle(spark, monkeypatch):
     ngram_join.near_duplicates(_docs(spark), width=5)
     plan = next(p for tag, p in plans if tag == "shared")
     assert plan.count("Exchange hashpartitioning(tok") == 2 == plan.count("REPARTITION_BY_COL")
+
+
+def test_pairs_are_verified_from_texts(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(ngram_join, "cut", lambda df, tag: made.append((tag, df.columns)) or runtime.cut(df, tag))
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, f"{text} more"), (3, text.replace("word30", "other")), (3, text), (3, text)], "doc_id long, text string")
+    out = ngram_join.near_duplicates(docs, width=2).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == [(1, 59, 1), (2, 60, 1), (3, 59, 1), (3, 59, 1), (3, 59, 1)]
+    assert not [tag for tag, columns in made if "seconds" in columns]  # no table of both hashes of whole sets
+    assert ["id", "text"] in [columns for _, columns in made] and "met" in [tag for tag, _ in made]
