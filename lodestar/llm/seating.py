@@ -6,8 +6,10 @@ import numpy as np
 
 #: Strength of every restaurant.
 STRENGTH = 1.0
-#: Customers of a dish that one sweep takes away and seats again, at most: a random scan.
+#: Steps after which ``Seats.steps`` first puts its tables back in order.
 MOVES = 4
+#: Customers of a dish up to which a sweep moves them one at a time; of larger dishes in ``LOTS`` lots.
+ONE_BY_ONE, LOTS = 32, 8
 #: Bytes of context of the spelling model. There are at most 258**3 grams of three symbols.
 CONTEXT = 2
 #: Symbols of the spelling model: bytes, then the begin and the end of a word.
@@ -143,9 +145,26 @@ class Seats:
             dishes = dishes[times[dishes] > done]
 
     def sweep(self, room, in_room, base, discount, rng) -> None:
-        """A Gibbs sweep: customers are taken away one at a time and seated again, up to ``MOVES`` of a dish."""
+        """A Gibbs sweep: every dish makes as many moves as it has customers, each takes a random one away and seats it again.
+
+        Dishes beyond ``ONE_BY_ONE`` customers move them in ``LOTS`` lots, at the rates at a lot's begin.
+        """
         customers = self.customers()
-        self.steps(np.where(customers > 1, np.minimum(customers, MOVES), 0), True, True, room, in_room, base, discount, rng)
+        self.steps(np.where((customers > 1) & (customers <= MOVES), customers, 0), True, True, room, in_room, base, discount, rng)
+        many = customers > MOVES
+        if not many.any():
+            return
+        mine = np.repeat(many, self.tables)
+        part, c, args = Seats(self.tables[many], self.sizes[mine]), customers[many], (room[many], in_room, base[many], discount, rng)
+        part.steps(np.where(c <= ONE_BY_ONE, c, 0), True, True, *args)
+        large = c > ONE_BY_ONE
+        for _ in range(LOTS if large.any() else 0):
+            # each customer leaves with the same chance, so those of a table are one draw
+            part._leave(np.where(np.repeat(large, part.tables), rng.binomial(part.sizes, 1.0 / LOTS), 0), room[many], in_room)
+            part._lot(c - part.customers(), False, *args)
+        owner = np.concatenate((np.repeat(np.flatnonzero(~many), self.tables[~many]), np.repeat(np.flatnonzero(many), part.tables)))
+        self.sizes = np.concatenate((self.sizes[~mine], part.sizes))[np.argsort(owner, kind="stable")]
+        self.tables = np.bincount(owner, minlength=len(many))
 
     def become(self, wanted: np.ndarray, room, in_room, base, discount, rng) -> None:
         """Customers come and go until each dish has ``wanted``: their children opened and closed tables.
@@ -166,6 +185,14 @@ class Seats:
                 else:
                     self._lot(lot, take, room, in_room, base, discount, rng)
 
+    def _leave(self, gone: np.ndarray, room, in_room) -> None:
+        """``gone`` customers of each table leave at once."""
+        owner, self.sizes = np.repeat(np.arange(len(self.tables)), self.tables), self.sizes - gone
+        kept = self.sizes > 0
+        tables = np.bincount(owner[kept], minlength=len(self.tables))
+        np.add.at(in_room, room, tables - self.tables)
+        self.sizes, self.tables = self.sizes[kept], tables
+
     def _lot(self, lot: np.ndarray, take: bool, room, in_room, base, discount, rng) -> None:
         """``lot`` customers of each dish leave or come at once."""
         cum, end = np.cumsum(self.sizes), np.cumsum(self.tables)
@@ -175,7 +202,9 @@ class Seats:
         fresh = np.zeros(len(dish), dtype=bool)
         if not take:
             opens = (STRENGTH + discount * in_room[room[dish]]) * base[dish]
-            fresh = (rng.random(len(dish)) * (opens + customers[dish] - discount * self.tables[dish]) < opens) | (customers[dish] == 0)
+            # those of the lot that came before are there already
+            there = customers[dish] + np.arange(len(dish)) - np.repeat(np.cumsum(lot) - lot, lot)
+            fresh = (rng.random(len(dish)) * (opens + there - discount * self.tables[dish]) < opens) | (customers[dish] == 0)
         at, left = np.zeros(len(dish), dtype=np.int64), np.flatnonzero(~fresh)
         who = np.zeros(len(dish), dtype=np.int64)
         while len(left):

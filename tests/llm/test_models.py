@@ -622,6 +622,22 @@ def test_gibbs_sweeps_have_the_exact_distribution():
     assert (seats.customers() == wanted).all() and (in_room == 40 + seats.tables).all() and (seats.sizes > 0).all()
 
 
+def test_a_sweep_moves_all_customers_of_frequent_dishes():
+    """From one table each, sweeps come to where steps of one customer at a time come."""
+    n, size, rng = 2000, 100, np.random.default_rng(5)
+    room, base, found = np.arange(n), np.full(n, 0.05), []
+    for plain in (False, True):
+        seats, in_room = seating.Seats(np.ones(n), np.full(n, size)), np.full(n, 101.0)
+        for _ in range(12):
+            if plain:
+                seats.steps(np.full(n, size), True, True, room, in_room, base, 0.5, rng)
+            else:
+                seats.sweep(room, in_room, base, 0.5, rng)
+            assert (seats.customers() == size).all() and (in_room == 100 + seats.tables).all() and (seats.sizes > 0).all()
+        found.append(seats.tables.mean())
+    assert found[0] == pytest.approx(found[1], rel=0.05)
+
+
 def test_no_training_rows(spark):
     one = next(i for i in range(100) if crc(i, 7) == 2)
     got = lm.score(spark.createDataFrame([(one, "a b")], "doc_id long, text string")).collect()
