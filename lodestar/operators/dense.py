@@ -21,6 +21,8 @@ QUERY_BLOCK, VECTOR_BLOCK = 4096, 8192
 PLACES = 9
 #: Scores of a row that are first looked at by their largest.
 GROUP = 64
+#: Queries and vectors that are multiplied at once in single precision, and of how many a query needs the others before a block is multiplied in double.
+ASKED, TILE, DOUBTFUL = 256, 4096, 256
 
 
 @dataclass(frozen=True)
@@ -112,13 +114,6 @@ def _blend(formulas: dict[str, Formula], k: int):
                 value[r[ok], c[ok]], held[r[ok], c[ok]] = x[ok], True
                 spread.append((value, held))
             for name, f in formulas.items():
-                if not width and f.dense is not None and len(mine) == n and has.all():
-                    i, j = _best(product if f.dense == 1 else f.dense * product, k)
-                    names += [name] * len(i)
-                    out_q.append(at + i)
-                    out_c.append(j)
-                    out_s.append(f.dense * product[i, j])
-                    continue
                 score, candidate = np.zeros((n, len(ids))), np.zeros((n, len(ids)), dtype=bool)
                 for weight, (value, held) in zip((f.dense, *f.parts), ((product, there), *spread), strict=True):
                     if weight is not None:
@@ -136,7 +131,7 @@ def _blend(formulas: dict[str, Formula], k: int):
     return run
 
 
-def blend_topk(queries: DataFrame, vectors: DataFrame, formulas: dict[str, Formula], k: int, met: DataFrame | None = None, parts: tuple[str, ...] = (), cell: str | None = None) -> DataFrame:
+def blend_topk(queries: DataFrame, vectors: DataFrame, formulas: dict[str, Formula], k: int, met: DataFrame | None = None, parts: tuple[str, ...] = ()) -> DataFrame:
     """(formula, qid, chunk_id, score, rank): the ``k`` best chunks of every query by each formula, ties to the smaller id.
 
     ``queries`` (qid, q) and ``vectors`` (chunk_id, v) give the product; ``met``
@@ -147,17 +142,10 @@ def blend_topk(queries: DataFrame, vectors: DataFrame, formulas: dict[str, Formu
     Blocks of chunks meet lots of queries: a task multiplies one by the other, adds
     the parts of its pairs and keeps the k best of each query and formula. No
     other pair leaves a task, and all formulas come from one product. Ids keep
-    their types. With ``cell``, a column of both that is not null, a query meets
-    the vectors of its cell alone; that is for the product without ``met``.
+    their types.
     """
-    if cell is not None:
-        if met is not None:
-            raise ValueError("cells are for vectors alone")
-        queries, vectors = queries.where(F.col(cell).isNotNull()), vectors.where(F.col(cell).isNotNull())
-
     # a task holds a block of all chunks, with and without a vector
-    most = lambda df: df.count() if cell is None else df.groupBy(cell).count().agg(F.max("count")).first()[0] or 0
-    n, asked = max(most(vectors), 0 if met is None else met.select("chunk_id").distinct().count()), most(queries)
+    n, asked = max(vectors.count(), 0 if met is None else met.select("chunk_id").distinct().count()), queries.count()
     cores = queries.sparkSession.sparkContext.defaultParallelism
     blocks = max(1, -(-n // VECTOR_BLOCK), min(cores, -(-n // 256)))
     # a lot gets all vectors and a block all queries: with nothing else to hold, lots are larger and fewer
@@ -167,24 +155,113 @@ def blend_topk(queries: DataFrame, vectors: DataFrame, formulas: dict[str, Formu
     if any(len(f.parts) != width for f in formulas.values()):
         raise ValueError("a formula needs a weight for each part")
     ids, kinds = queries.schema["qid"].dataType, vectors.schema["chunk_id"].dataType
-    cells = [] if cell is None else [F.col(cell).alias("cell")]
-    by = ["block", "lot"] + ["cell"] * len(cells)
+    by = ["block", "lot"]
     none = [F.lit(None).cast("double").alias(f"p{m}") for m in range(width)]
     upto = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
-    others = queries.select(upto(blocks).alias("block"), lot.alias("lot"), F.col("qid").cast(ids), F.lit(None).cast(kinds).alias("chunk_id"), F.col("q").cast("array<double>").alias("q"), *none, *cells)
+    others = queries.select(upto(blocks).alias("block"), lot.alias("lot"), F.col("qid").cast(ids), F.lit(None).cast(kinds).alias("chunk_id"), F.col("q").cast("array<double>").alias("q"), *none)
     if met is not None:
         own = [F.col(c).cast("double").alias(f"p{m}") for m, c in enumerate(parts)]
         others = others.unionByName(met.select(block.alias("block"), lot.alias("lot"), F.col("qid").cast(ids), F.col("chunk_id").cast(kinds), F.lit(None).cast("array<double>").alias("q"), *own))
-    held = vectors.select(block.alias("block"), upto(lots).alias("lot"), "chunk_id", "v", *cells)
+    held = vectors.select(block.alias("block"), upto(lots).alias("lot"), "chunk_id", "v")
     schema = f"formula string, qid {ids.simpleString()}, chunk_id {kinds.simpleString()}, score double"
     found = held.groupBy(*by).cogroup(others.groupBy(*by)).applyInArrow(_blend(formulas, k), schema)
     rank = F.row_number().over(Window.partitionBy("formula", "qid").orderBy(F.desc(F.round("score", PLACES)), "chunk_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _doubtful(q: np.ndarray, v: np.ndarray, hidden: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(row, column) of all products that may be among the ``k`` largest of a row, where single precision hides up to ``hidden`` of one; None if they are too many."""
+    found, number, tops = [], 0, np.zeros((len(q), 0), dtype=np.float32)
+    for at in range(0, len(v), TILE):
+        score = q @ v[at : at + TILE].T
+        groups = score.shape[1] // GROUP
+        if groups:
+            # the k-th largest of the groups' largest is no more than the k-th largest of all
+            tops = np.concatenate((tops, score[:, : groups * GROUP].reshape(len(q), GROUP, groups).max(axis=1)), axis=1)
+            tops = np.partition(tops, tops.shape[1] - k, axis=1)[:, -k:]
+        edge = tops.min(axis=1) - hidden
+        flat = np.flatnonzero(score >= edge[:, None])
+        number += len(flat)
+        if number > DOUBTFUL * len(q):
+            return None
+        i, j = np.divmod(flat, score.shape[1])
+        found.append((i, at + j, score[i, j]))
+    i, j, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    may = score >= edge[i]
+    return i[may], j[may]
+
+
+def _nearest(k: int):
+    """The best ``k`` of a block of vectors for a lot of queries: found in single precision where that leaves few in doubt, decided in double."""
+
+    def run(vectors: pa.Table, asked: pa.Table) -> pa.Table:
+        asked = asked.filter(pc.is_valid(asked["q"]))
+        ids = vectors["chunk_id"].combine_chunks().unique()
+        ids = ids.take(pc.sort_indices(ids))
+        rows, columns, scores = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+        if len(ids) and asked.num_rows:
+            v = _matrix(vectors["v"])
+            whole = np.zeros((len(ids), v.shape[1]))
+            whole[pc.index_in(vectors["chunk_id"], ids).to_numpy()] = v
+            single, longest = whole.astype(np.float32), np.linalg.norm(whole, axis=1).max()
+            step = ASKED if k <= min(len(ids), TILE) // GROUP else max(1, (1 << 22) // len(ids))
+            for at in range(0, asked.num_rows, step):
+                q = _matrix(asked["q"].slice(at, step))
+                size, found = np.linalg.norm(q, axis=1), None
+                if step == ASKED and longest < 1e15 and size.max() < 1e15:
+                    hidden = 2 * (1.01 * 2.0**-24 * (q.shape[1] + 4) * size * longest + 10.0**-PLACES)
+                    found = _doubtful(q.astype(np.float32), single, hidden, k)
+                if found is None:
+                    most = max(1, (1 << 22) // len(ids))
+                    for a in range(0, len(q), most):
+                        product = q[a : a + most] @ whole.T
+                        i, j = _best(product, k)
+                        rows.append(at + a + i)
+                        columns.append(j)
+                        scores.append(product[i, j])
+                    continue
+                i, j = found
+                score = np.concatenate([np.einsum("nd,nd->n", q[i[a : a + TILE]], whole[j[a : a + TILE]]) for a in range(0, len(i), TILE)])
+                order = np.lexsort((j, -np.round(score, PLACES), i))
+                order = order[np.arange(len(i)) - np.searchsorted(i[order], i[order]) < k]
+                rows.append(at + i[order])
+                columns.append(j[order])
+                scores.append(score[order])
+        of, to = (pa.array(np.concatenate(x)) for x in (rows, columns))
+        return pa.table({"qid": asked["qid"].combine_chunks().take(of), "chunk_id": ids.take(to), "score": pa.array(np.concatenate(scores))})
+
+    return run
+
+
 def exact_topk(queries: DataFrame, vectors: DataFrame, k: int, cell: str | None = None) -> DataFrame:
-    """(qid, chunk_id, score, rank): the ``k`` best of all rows, or of those of the same ``cell``, by inner product, ties to the smaller id."""
-    return blend_topk(queries, vectors, {"dense": Formula(1.0)}, k, cell=cell).drop("formula")
+    """(qid, chunk_id, score, rank): the ``k`` best of all rows, or of those of the same ``cell``, by inner product, ties to the smaller id.
+
+    Blocks of vectors meet lots of queries: a task multiplies one by the other and
+    keeps the k best of each query, no other pair leaves it. A query may have a null q.
+    With ``cell``, a column of both that is not null, a query meets the vectors of
+    its cell alone.
+    """
+    cells = [] if cell is None else [F.col(cell).alias("cell")]
+    if cell is not None:
+        queries, vectors = queries.where(F.col(cell).isNotNull()), vectors.where(F.col(cell).isNotNull())
+    most = lambda df: df.count() if cell is None else df.groupBy(cell).count().agg(F.max("count")).first()[0] or 0
+    n, asked = most(vectors), most(queries)
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    # each block gets all queries, each lot all vectors: few and large ones move the least
+    blocks = max(1, -(-n // (4 * VECTOR_BLOCK)), min(cores, -(-n // 256)))
+    lots = max(1, -(-asked // (4 * QUERY_BLOCK)))
+    upto = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    part = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("long")
+    held = vectors.select(part("chunk_id", blocks).alias("block"), upto(lots).alias("lot"), "chunk_id", "v", *cells)
+    asks = queries.select(upto(blocks).alias("block"), part("qid", lots).alias("lot"), "qid", "q", *cells)
+    by = ["block", "lot"] + ["cell"] * len(cells)
+    if cell is None:
+        # groups are few and long, so each gets a task that is not merged with others
+        held, asks = (x.repartition(min(blocks * lots, 4096), *by) for x in (held, asks))
+    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"
+    found = held.groupBy(*by).cogroup(asks.groupBy(*by)).applyInArrow(_nearest(k), schema)
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", PLACES)), "chunk_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def _buckets(x: np.ndarray, normals: np.ndarray, probes: int) -> np.ndarray:

@@ -22,6 +22,8 @@ PART, FITTED, ROUNDS = 16384, 20_000, 8
 LOOKED, KEPT, ALPHA = 48, 16, 1.2
 #: Queries that walk side by side.
 LOT = 1024
+#: Candidates whose least is known, and pairs that are multiplied at once.
+BLOCK, PAIRS = 16, 1024
 #: What single precision may hide of a score, and rows that are merged at once, about.
 NEAR, FOUND = 1e-5, 1 << 19
 
@@ -188,48 +190,85 @@ def walks(v: np.ndarray, near: np.ndarray, q: np.ndarray, efs: tuple[int, ...])
     all vectors, spread evenly; a step expands the best candidate that wasn't, and a
     query ends with a list of ``ef`` candidates when the first ``ef`` all are. Until then a longer
     list takes the same steps, so one walk with the longest passes the ends of all.
+
+    Lists are not kept in order: what was expanded is counted up to the next
+    candidate, and candidates lie in blocks whose least are known. What the longest
+    list has no room for goes when the blocks are full.
     """
-    n, many, wide = len(v), len(q), efs[-1]
+    n, many, wide, width = len(v), len(q), efs[-1], near.shape[1]
     start = np.unique(np.linspace(0, n - 1, math.isqrt(n - 1) + 1).astype(np.int64))
     seen = np.zeros((many, n), dtype=bool)
     seen[:, start] = True
+    seen = seen.ravel()
     looked = np.full(many, len(start), dtype=np.int64)
-    held = np.full((many, wide), EMPTY, dtype=np.uint64)
+    # an edge that is not there leads back to where it begins
+    near = np.where(near < 0, np.arange(n, dtype=near.dtype)[:, None], near)
+    blocks = -(-(2 * wide + 8 * width) // BLOCK)
     first = np.sort(_keys(q @ v[start].T, np.broadcast_to(start, (many, len(start)))), axis=1)[:, :wide]
-    held[:, : first.shape[1]] = first
+    ahead = np.full((many, blocks * BLOCK), EMPTY, dtype=np.uint64)
+    ahead[:, : first.shape[1]] = first
+    least, fill = ahead.reshape(many, blocks, BLOCK).min(axis=2), np.full(many, first.shape[1], dtype=np.int64)
+    edge, floor = np.full(many, EMPTY, dtype=np.uint64), np.full(many, -np.inf, dtype=np.float32)
+    done, steps = np.full((many, wide + BLOCK), EMPTY, dtype=np.uint64), 0
     ends = [np.full((many, ef), EMPTY, dtype=np.uint64) for ef in efs]
     counts = [np.zeros(many, dtype=np.int64) for _ in efs]
-    rows, stage = np.arange(many), np.zeros(many, dtype=np.int64)
+    rows, stage, lists = np.arange(many), np.zeros(many, dtype=np.int64), np.array(efs)
+    every = rows
+    x, y = (np.empty((PAIRS, v.shape[1]), dtype=np.float32) for _ in range(2))
     while len(rows):
-        fresh = (held & np.uint64(1)) == 0
-        pick = fresh.argmax(axis=1)
-        pick[~fresh[np.arange(len(rows)), pick]] = wide
-        for s, ef in enumerate(efs):
-            over = np.flatnonzero((stage == s) & (pick >= ef))
-            if len(over):
-                ends[s][rows[over]], counts[s][rows[over]] = held[over, :ef], looked[rows[over]]
-                stage[over] += 1
+        block = least.argmin(axis=1)
+        best = least[every, block]
+        # a list has ended if as many expanded ones as it holds come before the next, or there is no next
+        over = every
+        while len(over := over[(lists[stage[over]] <= steps) | (best[over] == EMPTY)]):
+            over = over[(best[over] == EMPTY) | ((done[over, :steps] < best[over, None]).sum(axis=1) >= lists[stage[over]])]
+            for s in np.unique(stage[over]):
+                those = over[stage[over] == s]
+                held = np.sort(done[those, :steps], axis=1)[:, : efs[s]]
+                ends[s][rows[those], : held.shape[1]], counts[s][rows[those]] = held, looked[rows[those]]
+            stage[over] += 1
+            over = over[stage[over] < len(efs)]
         going = stage < len(efs)
         if not going.all():
-            rows, stage, held, pick = rows[going], stage[going], held[going], pick[going]
+            rows, stage, fill, edge, floor, block, best = (a[going] for a in (rows, stage, fill, edge, floor, block, best))
+            ahead, least, done, every = ahead[going], least[going], done[going], np.arange(len(rows))
             if not len(rows):
                 break
-        every = np.arange(len(rows))
-        around = near[_places(held[every, pick])]
-        held[every, pick] |= np.uint64(1)
-        i, j = np.nonzero((around >= 0) & ~seen[rows[:, None], around])
-        to = around[i, j]
-        seen[rows[i], to] = True
+        if steps == done.shape[1]:
+            done = np.concatenate((done, np.full_like(done, EMPTY)), axis=1)
+        done[:, steps] = best
+        steps += 1
+        those = every * blocks + block
+        held = ahead.reshape(-1, BLOCK).take(those, axis=0)
+        np.putmask(held, held == best[:, None], EMPTY)
+        ahead.reshape(-1, BLOCK)[those], least[every, block] = held, held.min(axis=1)
+        around = near.take(_places(best), axis=0)
+        spot = (rows * n)[:, None] + around
+        new = np.flatnonzero(~seen.take(spot))
+        seen[spot.ravel()[new]] = True
+        i, to = new // width, around.ravel()[new]
         looked[rows] += np.bincount(i, minlength=len(rows))
-        keys = _keys(np.einsum("nd,nd->n", v[to], q[rows[i]]), to)
-        # what a full list has no room for changes nothing
-        enters = keys < held[i, -1]
+        score, asks = np.empty(len(to), dtype=np.float32), rows[i]
+        for a in range(0, len(to), PAIRS):
+            b = min(a + PAIRS, len(to))
+            np.take(v, to[a:b], axis=0, out=x[: b - a], mode="clip")
+            np.take(q, asks[a:b], axis=0, out=y[: b - a], mode="clip")
+            np.einsum("nd,nd->n", x[: b - a], y[: b - a], out=score[a:b])
+        enters = np.flatnonzero(score >= floor.take(i))
+        i, keys = i.take(enters), _keys(score.take(enters), to.take(enters))
+        enters = keys < edge.take(i)
         i, keys = i[enters], keys[enters]
-        some, many_of = np.unique(i, return_counts=True)
-        if len(some):
-            more = np.full((len(some), int(many_of.max())), EMPTY, dtype=np.uint64)
-            more[np.repeat(np.arange(len(some)), many_of), np.arange(len(i)) - np.repeat(np.cumsum(many_of) - many_of, many_of)] = keys
-            held[some] = np.sort(np.concatenate((held[some], more), axis=1), axis=1)[:, :wide]
+        many_of = np.bincount(i, minlength=len(rows))
+        at = np.arange(len(i)) + (every * (blocks * BLOCK) + fill - np.cumsum(many_of) + many_of).take(i)
+        ahead.reshape(-1)[at] = keys
+        np.minimum.at(least.reshape(-1), at // BLOCK, keys)
+        fill += many_of
+        if int(fill.max()) + width > blocks * BLOCK:
+            edge = np.partition(np.concatenate((done[:, :steps], ahead), axis=1), wide - 1, axis=1)[:, wide - 1]
+            floor = _scores(edge)
+            ahead = np.sort(ahead, axis=1)
+            ahead[ahead > edge[:, None]] = EMPTY
+            least, fill = ahead[:, ::BLOCK].copy(), (ahead != EMPTY).sum(axis=1)
     return [(_places(e), _scores(e), c) for e, c in zip(ends, counts, strict=True)]
 
 
@@ -348,6 +387,9 @@ def search(index: ProximityIndex, queries: DataFrame, k: int, efs: tuple[int, ..
     held = index.rows.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))))
     arrow = tuple(to_arrow_type(x) for x in kinds)
     qid, chunk_id = (x.simpleString() for x in kinds)
+    # groups are few and long, so each gets a task that is not merged with others
+    tasks = max(1, min(int(parts.sum()) * lots, 4096))
+    held, sent = (x.repartition(tasks, "part", "lot") for x in (held, sent))
     found = held.groupBy("part", "lot").cogroup(sent.groupBy("part", "lot")).applyInArrow(_search(k, efs, arrow), f"qid {qid}, chunk_id array<{chunk_id}>, score array<double>, lists array<long>, visited array<long>")
     groups = max(cores, math.ceil(met * len(parts) * k / FOUND))
     dealt = found.groupBy(F.pmod(F.xxhash64("qid"), F.lit(groups)).alias("group"))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,31 @@ def test_best_by_groups_is_best():
     for row in range(50):
         want = [c for c in sorted(range(1000), key=lambda c: (-score[row, c], c)) if np.isfinite(score[row, c])][:6]
         assert j[i == row].tolist() == want
+
+
+def test_best_in_single_precision_is_decided_in_double(monkeypatch):
+    """Products that differ by less than single precision holds, ties, a vector so long that all are in doubt, and values that are no number."""
+    monkeypatch.setattr(dense, "TILE", 512)
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((1400, 6)).astype(np.float32).astype(float)
+    close = base.copy()
+    close[1:900] = base[0] + 1e-8 * rng.standard_normal((899, 6))
+    equal = rng.integers(-1, 2, (1400, 6)).astype(float)
+    long, odd = base.copy(), base.copy()
+    long[7] *= 1e9
+    odd[5, 0] = odd[9, 1] = np.nan
+    for v in (base, close, equal, long, odd, base[:100], base[:3]):
+        q = np.concatenate((v[:30], 1e-3 * base[:300]))
+        asked = pa.table({"qid": pa.array(range(len(q) + 1)), "q": pa.array([*q.tolist(), None], pa.list_(pa.float64()))})
+        ids = pa.array([f"c{i:04d}" for i in range(len(v))])
+        for k in (1, 5):
+            got = {}
+            out = dense._nearest(k)(pa.table({"chunk_id": ids, "v": pa.array(v.tolist())}), asked)
+            for i, c, s in zip(*(out[x].to_pylist() for x in ("qid", "chunk_id", "score")), strict=True):
+                got.setdefault(i, []).append((int(c[1:]), s))
+            for i in range(len(q)):
+                score = (q[i] * v).sum(axis=1)
+                want = [c for c in np.lexsort((np.arange(len(v)), -np.round(score, 9))).tolist() if np.isfinite(score[c])][:k]
+                assert [c for c, _ in got.get(i, [])] == want
+                assert [s for _, s in got.get(i, [])] == pytest.approx(score[want].tolist(), rel=1e-9, abs=1e-12)
+            assert len(q) not in got
